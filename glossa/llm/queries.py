@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import quality_rules, substring_dedup
+from glossa.llm import bpe, chat_format, html_extract, minhash_dedup, packing, quality_rules, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,7 +22,28 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_substring_dedup)}
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_read(spark, sf_dir, "pages"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.with_probe(_read(spark, sf_dir, "conversations")))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(_read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    return packing.digest(_read(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_extraction, op3_chat_formatting, op4_quality_rules, op5_substring_dedup, op7_minhash_near_dedup, op8_byte_level_bpe, op10_packing)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS.split())
 _WS = r"[\x20\x09-\x0D]+"

@@ -20,22 +20,18 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import need, slices, spread
+from glossa.llm.common import blocks, need, slices, spread
 
 #: White space as the vocabularies' pattern means it (Unicode White_Space), in place of a library's own \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-BLOCK_CHARS = 8 << 20
 
 
 @functools.cache
@@ -113,33 +109,10 @@ class Block:
             self.docs.append(np.concatenate([np.array(plain[c], np.int64), flatten[at]]))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Runs of a task's rows of about BLOCK_CHARS bytes of text, each with a name made from its contents."""
-    held, size = [], 0
-
-    def close():
-        table = pa.Table.from_batches(held).combine_chunks()
-        h = xxhash.xxh64(seed=7)
-        for c in table.columns:
-            for chunk in c.chunks:
-                for b in chunk.fill_null("").buffers()[1:] if pa.types.is_string(chunk.type) else chunk.buffers()[1:]:
-                    h.update(b)
-        return int(np.uint64(h.intdigest()).astype(np.int64)), table
-
-    for batch in slices(batches, "text", 1 << 20):
-        held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema))
-        size += batch.nbytes
-        if size >= BLOCK_CHARS:
-            yield close()
-            held, size = [], 0
-    if held:
-        yield close()
-
-
 def _words(source: str):
     def run(batches):
         pat = pattern(source)
-        for name, table in _blocks(batches):
+        for name, table in blocks(batches):
             words = list(Block(table.column("text").chunk(0), pat).words)
             for k in range(0, len(words), 1 << 16):
                 part = pa.array(words[k : k + (1 << 16)], pa.string())
@@ -152,10 +125,10 @@ def _words(source: str):
 def _positions(source: str):
     def run(batches):
         pat = pattern(source)
-        for name, table in _blocks(batches):
+        for name, table in blocks(batches):
             docs = Block(table.column("text").chunk(0), pat).docs
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(docs), name)), table.column("doc_id").combine_chunks() if isinstance(table.column("doc_id"), pa.ChunkedArray) and table.column("doc_id").num_chunks != 1 else table.column("doc_id").chunk(0), pa.array([d.astype(np.int32).tobytes() for d in docs], pa.binary())],
+                [pa.array(np.full(len(docs), name)), table.column("doc_id").chunk(0), pa.array([d.astype(np.int32).tobytes() for d in docs], pa.binary())],
                 ["block", "doc_id", "seq"],
             )
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +151,47 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             begin = stop
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[tuple[int, pa.Table]]:
+    """A task's rows in runs of about `most` bytes, each with a name made from its contents.
+
+    A second pass over a stable input forms the same blocks under the same names, in whatever order tasks run or are run again.
+    """
+    held, size = [], 0
+
+    def close():
+        table = pa.Table.from_batches(held).combine_chunks()
+        h = xxhash.xxh64(seed=7)
+        for values in (c.chunk(0) for c in table.columns):
+            h.update(values.is_null().cast(pa.uint8()).to_numpy().tobytes())
+            for b in (values if not values.null_count else values.fill_null("" if pa.types.is_string(values.type) else 0)).buffers()[1:]:
+                h.update(b or b"")
+        return int(np.uint64(h.intdigest()).astype(np.int64)), table
+
+    for batch in slices(batches, column, 1 << 20):
+        held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema))
+        size += batch.nbytes
+        if size >= most:
+            yield close()
+            held, size = [], 0
+    if held:
+        yield close()
+
+
+def planes(x: np.ndarray, keep: int | None = None) -> bytes:
+    """An unsigned array byte plane by byte plane, most significant first: equal leading bytes of sorted values compress to nothing."""
+    width = x.dtype.itemsize
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, width)[:, ::-1]
+    return np.ascontiguousarray(raw[:, : keep or width].T).tobytes()
+
+
+def unplaned(b: bytes, width: int, keep: int | None = None) -> np.ndarray:
+    keep = keep or width
+    raw = np.frombuffer(b, np.uint8).reshape(keep, -1)
+    out = np.zeros((raw.shape[1], width), np.uint8)
+    out[:, width - keep :] = raw[::-1].T
+    return out.view(f"<u{width}").reshape(-1)
+
+
 class Forest:
     """Union-find over integer ids within one task; roots are the smallest ids."""
 

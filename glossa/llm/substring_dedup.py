@@ -22,32 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import U64, Words, need, plan_bytes, slices
+from glossa.llm.common import U64, Words, need, plan_bytes, planes, slices, unplaned
 
 WINDOW = 35
 _BLOCK = 1 << 20  # windows that a task holds before it deals them out
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of a sorted uint64 array, most significant bytes first, plane by plane: leading planes compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unplane(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
-
-
-_DEALT = "bucket long, hashes binary, docs binary, starts binary, keys binary"
+_DEALT = "bucket long, block long, hashes binary, docs binary, starts binary, keys binary"
 
 
 def _deal(bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, size = [], [], 0
+        block = TaskContext.get().partitionId() << 32
 
         def flush():
+            nonlocal block
+            block += 1
             hashes, docs, starts = (np.concatenate([h[i] for h in held]) for i in range(3))
             all_keys = np.concatenate(keys)
             order = np.argsort(hashes, kind="stable")
@@ -57,9 +52,9 @@ def _deal(bits: int, width: int):
             rows = []
             for a, b in zip(cut, [*cut[1:], len(hashes)], strict=True):
                 used, local = np.unique(docs[a:b], return_inverse=True)
-                rows.append((int(bucket[a]), _planes(hashes[a:b]), local.astype(np.uint32).tobytes(), starts[a:b].astype(np.uint32).tobytes(), all_keys[used].tobytes()))
+                rows.append((int(bucket[a]), block, planes(hashes[a:b]), planes(local.astype("<u4")), planes(starts[a:b].astype("<u4")), all_keys[used].tobytes()))
             for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "hashes", "docs", "starts", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "block", "hashes", "docs", "starts", "keys"])
 
         base = 0
         for batch in slices(batches, "text", 2 << 20):
@@ -80,8 +75,8 @@ def _deal(bits: int, width: int):
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each document with repeated windows, their starts."""
-    parts = [_unplane(x) for x in table.column("hashes").to_pylist()]
+    """Of a bucket: for each block with repeated windows, one row with the documents and starts of all of them."""
+    parts = [unplaned(x, 8) for x in table.column("hashes").to_pylist()]
     hashes = np.concatenate(parts)
     order = np.argsort(hashes, kind="stable")
     s = hashes[order]
@@ -91,33 +86,28 @@ def _repeated(table: pa.Table) -> pa.Table:
     twice[:-1] |= same
     hit = np.zeros(len(s), bool)
     hit[order[twice]] = True
-    keys, starts, pos = [], [], 0
-    for h, d, at, k in zip(parts, *(table.column(c).to_pylist() for c in ("docs", "starts", "keys")), strict=True):
+    rows, pos = [], 0
+    for h, block, d, at, k in zip(parts, *(table.column(c).to_pylist() for c in ("block", "docs", "starts", "keys")), strict=True):
         mine = hit[pos : pos + len(h)]
         pos += len(h)
         if mine.any():
-            keys.append(np.frombuffer(k, np.int64)[np.frombuffer(d, np.uint32)[mine]])
-            starts.append(np.frombuffer(at, np.uint32)[mine])
-    if not keys:
-        return pa.table({"key": pa.array([], pa.int64()), "starts": pa.array([], pa.binary())})
-    key, start = np.concatenate(keys), np.concatenate(starts)
-    order = np.lexsort((start, key))
-    key, start = key[order], start[order]
-    cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-    return pa.table({"key": pa.array(key[cut], pa.int64()), "starts": pa.array([start[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(key)], strict=True)], pa.binary())})
+            rows.append((block, np.frombuffer(k, np.int64)[unplaned(d, 4)[mine]].tobytes(), planes(unplaned(at, 4)[mine])))
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "starts": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _merge(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Starts of repeated windows to maximal half-open word intervals, as packed pairs."""
-        for batch in batches:
-            out = []
-            for parts in batch.column("parts").to_pylist():
-                at = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in parts])).astype(np.int64)
-                new = np.flatnonzero(np.diff(at, prepend=-width - 1) > width)
-                begin, stop = at[new], at[np.append(new[1:], len(at)) - 1] + width
-                out.append(np.stack([begin, stop], 1).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "cuts"])
+    def run(table: pa.Table) -> pa.Table:
+        """Of a block: starts of repeated windows to each document's maximal half-open word intervals, as packed pairs."""
+        key = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("keys").to_pylist()])
+        at = np.concatenate([unplaned(b, 4) for b in table.column("starts").to_pylist()]).astype(np.int64)
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        other = np.diff(key, prepend=key[0] - 1) != 0
+        new = np.flatnonzero(other | (np.diff(at, prepend=-width - 1) > width))
+        pairs = np.stack([at[new], at[np.append(new[1:], len(at)) - 1] + width], 1).astype("<u4")
+        of = key[new]
+        cut = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+        return pa.table({"key": of[cut], "cuts": pa.array([pairs[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(of)], strict=True)], pa.binary())})
 
     return run
 
@@ -127,8 +117,10 @@ def intervals(df: DataFrame, width: int = WINDOW, bucket_mb: int = 12) -> DataFr
     bits = max(4, (plan_bytes(df) * 3 // (bucket_mb << 20)).bit_length())
     # equal rows are one window set twice over: their own windows count, so no distinct here
     dealt = need(df, "key", "text").mapInArrow(_deal(bits, width), _DEALT)
-    found = dealt.groupBy("bucket").applyInArrow(_repeated, "key long, starts binary")
-    return found.groupBy("key").agg(F.collect_list("starts").alias("parts")).mapInArrow(_merge(width), "key long, cuts binary")
+    found = dealt.groupBy("bucket").applyInArrow(_repeated, "block long, keys binary, starts binary")
+    merged = found.groupBy("block").applyInArrow(_merge(width), "key long, cuts binary")
+    # equal rows may lie in several blocks; each of them has the same windows, so any one tells all
+    return merged.groupBy("key").agg(F.min("cuts").alias("cuts"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, chat_format, html_extract, minhash_dedup, packing, quality_rules, substring_dedup
+from glossa.llm import bpe, chat_format, embedding_dedup, html_extract, lm_scoring, minhash_dedup, packing, quality_rules, substring_dedup, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_read(spark, sf_dir, "pages"))
 
@@ -30,6 +34,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.with_probe(_read(spark, sf_dir, "conversations")))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(_read(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -38,12 +46,17 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    return token_output.digest(_read(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
     return packing.digest(_read(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_extraction, op3_chat_formatting, op4_quality_rules, op5_substring_dedup, op7_minhash_near_dedup, op8_byte_level_bpe, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_html_extraction, op3_chat_formatting, op4_quality_rules, op5_substring_dedup, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_byte_level_bpe, op9_token_output, op10_packing)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS.split())
 _WS = r"[\x20\x09-\x0D]+"

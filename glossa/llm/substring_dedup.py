@@ -2,8 +2,8 @@
 
 Each task hashes its documents' windows (64 bits, one value a start) and deals them by their leading
 bits into buckets: one row a (block, bucket) with the hashes and the places they came from as packed
-arrays, so a passage that a third of all documents share is still spread evenly and no row is
-made per window.  A bucket's task finds the values that occur more than once and returns the places;
+arrays, and no row is made per window.  What a block repeats itself is settled there, and a block sends each value once, so a passage that a third of
+all documents share is one entry a block.  A bucket's task finds the values that occur more than once and returns the places;
 places meet by document and merge into maximal removal intervals.
 
 The number of buckets follows the input's size, so a bucket stays near 16 MB at any
@@ -47,9 +47,16 @@ def _deal(bits: int, width: int):
             all_keys = np.concatenate(keys)
             order = np.argsort(hashes, kind="stable")
             hashes, docs, starts = hashes[order], docs[order], starts[order]
+            # a value that the block itself repeats is settled here: its places go straight to the merge, and one entry goes on
+            again = np.concatenate([[False], hashes[1:] == hashes[:-1]])
+            own = again | np.append(again[1:], False)
+            if own.any():
+                used, local = np.unique(docs[own], return_inverse=True)
+                settled = (-block, block, b"", planes(local.astype("<u4")), planes(starts[own].astype("<u4")), all_keys[used].tobytes())
+            hashes, docs, starts = hashes[~again], docs[~again], starts[~again]
             bucket = (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = []
+            rows = [settled] if own.any() else []
             for a, b in zip(cut, [*cut[1:], len(hashes)], strict=True):
                 used, local = np.unique(docs[a:b], return_inverse=True)
                 rows.append((int(bucket[a]), block, planes(hashes[a:b]), planes(local.astype("<u4")), planes(starts[a:b].astype("<u4")), all_keys[used].tobytes()))
@@ -76,6 +83,9 @@ def _deal(bits: int, width: int):
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Of a bucket: for each block with repeated windows, one row with the documents and starts of all of them."""
+    if table.column("bucket")[0].as_py() < 0:
+        rows = zip(*(table.column(c).to_pylist() for c in ("block", "docs", "starts", "keys")), strict=True)
+        return _found([(block, np.frombuffer(k, np.int64)[unplaned(d, 4)].tobytes(), at) for block, d, at, k in rows])
     parts = [unplaned(x, 8) for x in table.column("hashes").to_pylist()]
     hashes = np.concatenate(parts)
     order = np.argsort(hashes, kind="stable")
@@ -92,6 +102,10 @@ def _repeated(table: pa.Table) -> pa.Table:
         pos += len(h)
         if mine.any():
             rows.append((block, np.frombuffer(k, np.int64)[unplaned(d, 4)[mine]].tobytes(), planes(unplaned(at, 4)[mine])))
+    return _found(rows)
+
+
+def _found(rows: list) -> pa.Table:
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "starts": pa.array([r[2] for r in rows], pa.binary())})
 
 

@@ -1,10 +1,43 @@
-"""Stages of the corpus pipeline."""
+"""Corpus pipeline: quality rules, MinHash near-dedup, substring dedup, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from glossa.llm import minhash_dedup, packing, quality_rules, substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or the threshold table go."""
+    return quality_rules.apply(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one with the smallest doc_id stays."""
+    return minhash_dedup.keep_one(docs, width=5, percent=80)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words covered by a repeated 35-word window are cut."""
+    return substring_dedup.apply(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 ids, filled with BM25 neighbours; one row a piece, with its ids."""
+    path, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, path, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", quality), ("minhash_near_dedup", near_dedup), ("substring_dedup", passages), ("packing", packed)]
+#: Transitive closure over exact similarities and retrieval order are not stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

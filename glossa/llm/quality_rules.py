@@ -102,7 +102,9 @@ def apply(df: DataFrame, text: str = "text", table=THRESHOLDS) -> DataFrame:
     """The rows of df that pass the base rule and the table, all columns as they were."""
     names = df.columns
     inner = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    kept = measures(inner, "_text").where(~base_failed() & verdict())
+    # a filter over this would be pushed below the projections and spell their expressions out anew for each use;
+    # a running number among them keeps it above
+    kept = measures(inner, "_text").withColumn("_at", F.monotonically_increasing_id()).where(~base_failed() & verdict(table=table) & (F.col("_at") >= 0))
     return kept.select(*(F.col(f"_row.`{c}`") for c in names))
 
 

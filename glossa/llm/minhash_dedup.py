@@ -9,8 +9,9 @@
    member one pair, with the list's smallest member, and is marked hot.
 4. The union-sketch estimate drops pairs far below the threshold; exact Jaccard on the full sets decides.  First each class's best
    pair is decided; then only pairs whose ends are not yet connected.
-5. A pair that meets in hot lists alone belongs to classes most of whose runs are hot.  Those classes, where still apart, are compared
-   block against block by their sketches inside tasks, which emit only pairs that pass the estimate.
+5. A pair that meets in hot lists alone belongs to classes many of whose runs are hot.  Those classes form groups by the hot lists they
+   share; in groups that are not yet one component, blocks of classes are compared with each other inside tasks, exactly and each
+   pair of blocks once, and a task emits only stars over what links, at most one row a member.
 
 So no list is expanded into all its pairs beyond the fixed `FEW`, each task's memory is bounded, and no link
 between different texts is left out but by the chance given above.
@@ -35,7 +36,7 @@ from glossa.llm.common import U64, Words, components, mix, need, plan_bytes, rol
 K = 64
 RUN = 3
 FEW = 64
-_CELL = 512  # members of a block in step 5
+_CELL, _CELL_VALUES = 512, 1 << 19  # members of a block in step 5, and their shingles, on average
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -209,37 +210,45 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
     return written(texts.mapInArrow(_verify(width, percent), "a long, b long").distinct())
 
 
-def _cells(k: int, percent: int):
-    """Of a cell (two blocks of a hot list, or one with itself): pairs of different components that pass the estimate."""
+def _sets(width: int):
+    def run(batches):
+        for batch in slices(batches, "text", 2 << 20):
+            sets = [x.tobytes() for x in shingle_sets(Words(batch.column("text"), lower=True), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "members"])
+
+    return run
+
+
+def _cells(percent: int):
+    """Of a cell (two blocks of a group, or one with itself): exact Jaccard of all its pairs by one sparse product; stars over what links."""
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "comp"))
-        sk = [np.frombuffer(x, U64) for x in table.column("sketch").to_pylist()]
-        sizes = np.array([len(x) for x in sk])
-        value, column, count = np.unique(np.concatenate(sk), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sk)), sizes)
-        use = count[column] > 1
-        renumber = np.cumsum(count > 1) - 1
-        row, column = row[use], renumber[column[use]]
-        overlap = np.zeros((len(sk), len(sk)), np.float32)
-        for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
-            here = (column >= at) & (column < at + 4096)
-            x = np.zeros((len(sk), 4096), np.float32)
-            x[row[here], column[here] - at] = 1
-            overlap += x @ x.T
-        t = percent / 100
-        # values of the union below both sketches' ends are at most this many: a bound that keeps every pair the estimate would keep
-        able = overlap >= 0.5 * (2 * t - 1) * np.minimum(sizes[:, None], sizes[None, :])
-        fits = np.minimum(n[:, None], n[None, :]) >= t * np.maximum(n[:, None], n[None, :]) - 1e-9
-        i, j = np.nonzero(able & fits & (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :]))
-        mixed = side.min() != side.max()
-        if mixed:
-            cross = side[i] != side[j]
-            i, j = i[cross], j[cross]
-        good = [sketch_overlap(sk[p], sk[q], k) >= floor_of(t, k, int(n[p]), int(n[q])) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
-        g = np.array(good, bool)
-        return pa.table({"a": ids[i[g]], "b": ids[j[g]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        order = np.argsort(ids)
+        ids, comp = ids[order], comp[order]
+        sets = [np.frombuffer(b, U64) for b in table.column("members").to_pylist()]
+        sets = [sets[i] for i in order.tolist()]
+        n = np.array([len(x) for x in sets], np.float64)
+        overlap = np.zeros((len(ids), len(ids)), np.float32)
+        if len(set(comp.tolist())) > 1:
+            _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+            use = count[column] > 1
+            row, column = row[use], (np.cumsum(count > 1) - 1)[column[use]]
+            for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+                here = (column >= at) & (column < at + 4096)
+                x = np.zeros((len(sets), 4096), np.float32)
+                x[row[here], column[here] - at] = 1
+                overlap += x @ x.T
+        near = (overlap > 0) & (100 * overlap.astype(np.float64) >= percent * (n[:, None] + n[None, :] - overlap))
+        root = np.arange(len(ids))
+        while True:
+            least = np.minimum(root, np.where(near, root[None, :], len(ids)).min(1, initial=len(ids)))
+            if (least == root).all():
+                break
+            root = least
+        far = root != np.arange(len(ids))
+        return pa.table({"a": ids[root[far]], "b": ids[far]})
 
     return run
 
@@ -278,20 +287,22 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> Dat
         return x.join(first.toDF(at, name), at, "left").withColumn(name, F.coalesce(name, at))
 
     rest = with_component(with_component(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    # hot lists: classes most of whose runs are hot, where more than one component is left
-    dense = info.where("h >= greatest(1, floor(keys / 12))").select("id")
-    members = with_component(hot.select("key", "id").distinct().join(dense, "id", "left_semi"), "id", "comp")
-    many = members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "m")
+    # classes most of whose runs are hot: groups that share hot lists, each pair of blocks compared once
+    dense = hot.join(info.where("h >= greatest(1, floor(keys / 12))").select("id"), "id", "left_semi").select("key", "id").distinct()
+    ends = written(dense.join(dense.groupBy("key").agg(F.min("id").alias("low")), "key").where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    group = written(components(ends, parts).withColumnRenamed("component_id", "group"))
+    members = with_component(group, "id", "comp").join(info.select("id", "n"), "id")
+    many = members.groupBy("group").agg(F.greatest(F.count("*") / F.lit(_CELL), F.sum("n") / F.lit(_CELL_VALUES)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("group", F.ceil("m").cast("int").alias("blocks"))
+    chosen = members.join(many, "group")
+    sets = docs.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
     cells = (
-        members.join(many, "key")
-        .withColumn("blocks", F.ceil(F.col("m") / F.lit(_CELL)).cast("int"))
+        chosen.join(sets, "id")
         .withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("side"), "id", "comp")
-        .join(reps.select("id", "n", "sketch"), "id")
+        .select("group", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "id", "comp", "members")
     )
-    late = cells.groupBy("key", "x", "y").applyInArrow(_cells(k, percent), "a long, b long")
-    second = _confirmed(written(rest.union(late).distinct()), reps, docs, width, percent, k)
+    late = cells.groupBy("group", "x", "y").applyInArrow(_cells(percent), "a long, b long")
+    second = _confirmed(rest, reps, docs, width, percent, k).union(late)
     every = second.union(first.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b")))
     final = components(every, parts)
     of_class = reps.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("root"))

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import blocks, need, slices, spread
+from glossa.llm.common import U64, blocks, need, plan_bytes, planes, slices, squeezed, string_hashes, unplaned, unsqueezed
 
 #: White space as the vocabularies' pattern means it (Unicode White_Space), in place of a library's own \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -109,74 +109,89 @@ class Block:
             self.docs.append(np.concatenate([np.array(plain[c], np.int64), flatten[at]]))
 
 
-def _words(source: str):
+def _ordered(words: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A block's words by hash, their hashes, and each word's rank in that order; both passes find the same."""
+    column = pa.array(words, pa.large_string())
+    hashes = string_hashes(column)
+    order = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return column.take(pa.array(order)), hashes[order], rank
+
+
+def _words(source: str, bits: int):
+    """(bucket, block, sizes, data): a block's distinct words dealt by the leading bits of their hashes, packed."""
+
     def run(batches):
         pat = pattern(source)
         for name, table in blocks(batches):
-            words = list(Block(table.column("text").chunk(0), pat).words)
-            for k in range(0, len(words), 1 << 16):
-                part = pa.array(words[k : k + (1 << 16)], pa.string())
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.arange(k, k + n, dtype=np.int32)), part], ["block", "at", "word"])
+            words, hashes, _ = _ordered(list(Block(table.column("text").chunk(0), pat).words))
+            offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+            data = words.buffers()[2].to_pybytes() if len(words) else b""
+            bucket = (hashes >> U64(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            rows = [(int(bucket[a]), name, planes(np.diff(offsets[a : b + 1]).astype("<u4")), squeezed(data[offsets[a] : offsets[b]])) for a, b in zip(cut, [*cut[1:], len(words)], strict=True)]
+            for k in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "sizes", "data"])
 
     return run
 
 
 def _positions(source: str):
+    """(block, doc_id, seq): each document's words as ranks among the block's words."""
+
     def run(batches):
         pat = pattern(source)
         for name, table in blocks(batches):
-            docs = Block(table.column("text").chunk(0), pat).docs
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(docs), name)), table.column("doc_id").chunk(0), pa.array([d.astype(np.int32).tobytes() for d in docs], pa.binary())],
-                ["block", "doc_id", "seq"],
-            )
+            block = Block(table.column("text").chunk(0), pat)
+            rank = _ordered(list(block.words))[2]
+            seq = [planes(rank[d].astype("<u4")) for d in block.docs]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seq), name)), table.column("doc_id").chunk(0), pa.array(seq, pa.binary())], ["block", "doc_id", "seq"])
 
     return run
 
 
 def _encode(path: str, source: str):
-    """Rows of one word stand together (sorted by word): each word is encoded once."""
-
-    def run(batches):
-        one = encoder(path, source)._core_bpe.encode_single_piece
-        table = ranks(path)
-        last, last_ids = None, b""
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            out = []
-            for w in words:
-                if w != last:
-                    b = w.encode()
-                    last = w
-                    ids = (table[b],) if b in table else one(b)
-                    last_ids = np.array(ids, np.uint16).tobytes() if max(ids) < 65536 else b"\xff" + np.array(ids, np.uint32).tobytes()
-                out.append(last_ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(out, pa.binary())], ["block", "at", "ids"])
+    """Of a bucket: each distinct word is encoded once; each block gets its words' ids in the order it sent them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        one, known = encoder(path, source)._core_bpe.encode_single_piece, ranks(path)
+        sizes = [unplaned(b, 4).astype(np.int64) for b in table.column("sizes").to_pylist()]
+        data = b"".join(map(unsqueezed, table.column("data").to_pylist()))
+        size = np.concatenate(sizes)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).dictionary_encode()
+        at = words.indices.to_numpy()
+        ids = [(known[w],) if w in known else one(w) for w in words.dictionary.to_pylist()]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+        begin = np.cumsum(count) - count
+        counts, packed, pos = [], [], 0
+        for s in sizes:
+            here = at[pos : pos + len(s)]
+            pos += len(s)
+            n = count[here]
+            gather = np.repeat(begin[here] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            counts.append(planes(n.astype("<u4")))
+            packed.append(planes(flat[gather].astype("<u4")))
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array(counts, pa.binary()), "ids": pa.array(packed, pa.binary())})
 
     return run
 
 
 def _assemble(key, docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Positions and word ids of a block to its documents' ids (little-endian unsigned 32-bit)."""
-    rows = words.num_rows
-    if not rows:
-        if any(docs.column("seq").to_pylist()):
-            raise RuntimeError("a block of the second pass has no partner: the input is not stable")
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array([b""] * docs.num_rows, pa.binary())})
-    if not docs.num_rows:
-        raise RuntimeError("a block of the first pass has no partner: the input is not stable")
-    at = words.column("at").to_numpy()
-    packed = words.column("ids").to_pylist()
-    table: list = [None] * (int(at.max()) + 1)
-    for i, b in zip(at.tolist(), packed, strict=True):
-        table[i] = np.frombuffer(b, np.uint16).astype("<u4") if len(b) % 2 == 0 else np.frombuffer(b, "<u4", offset=1)
-    count = np.array([len(x) for x in table], np.int64)
-    flat = np.concatenate(table)
+    """Ranks and word ids of a block to its documents' ids (little-endian unsigned 32-bit)."""
+    sequences = [unplaned(b, 4) for b in docs.column("seq").to_pylist()]
+    if not docs.num_rows or not words.num_rows and any(map(len, sequences)):
+        raise RuntimeError("a block has no partner in the other pass: the input is not stable")
+    seen = {}
+    for b, c, i in sorted(zip(*(words.column(c).to_pylist() for c in ("bucket", "counts", "ids")), strict=True)):
+        seen.setdefault(b, (unplaned(c, 4).astype(np.int64), unplaned(i, 4)))  # equal blocks are answered alike
+    count = np.concatenate([np.empty(0, np.int64), *(v[0] for v in seen.values())])
+    flat = np.concatenate([np.empty(0, np.uint32), *(v[1] for v in seen.values())])
     begin = np.cumsum(count) - count
     out = []
-    for seq in docs.column("seq").to_pylist():
-        s = np.frombuffer(seq, np.int32)
+    for s in sequences:
         n = count[s]
         gather = np.repeat(begin[s] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         out.append(flat[gather].astype("<u4").tobytes())
@@ -186,9 +201,9 @@ def _assemble(key, docs: pa.Table, words: pa.Table) -> pa.Table:
 def encode(df: DataFrame, path: str, source: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one row a row of df."""
     base = need(df, "doc_id", "text")
-    parts = spread(base, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = base.mapInArrow(_words(source), "block long, at int, word string")
-    coded = words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_encode(path, source), "block long, at int, ids binary")
+    bits = max(4, (plan_bytes(base) // (4 << 20)).bit_length())
+    words = base.mapInArrow(_words(source, bits), "bucket long, block long, sizes binary, data binary")
+    coded = words.groupBy("bucket").applyInArrow(_encode(path, source), "block long, bucket long, counts binary, ids binary")
     kind = base.schema["doc_id"].dataType.simpleString()
     docs = base.mapInArrow(_positions(source), f"block long, doc_id {kind}, seq binary")
     return docs.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, f"doc_id {kind}, ids binary")

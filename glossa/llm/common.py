@@ -68,6 +68,19 @@ def rolling(values: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     return mix((prefix[width:] - prefix[: n - width + 1]) * powers(inverse, n - width + 1))
 
 
+def string_hashes(x: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string (no nulls), from the buffers alone."""
+    x = x.cast(pa.large_binary())
+    offsets = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+    if not len(x) or offsets[-1] == offsets[0]:
+        return mix(np.zeros(len(x), U64))
+    data = np.frombuffer(x.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    at = offsets - offsets[0]
+    prefix = np.zeros(len(data) + 1, U64)
+    np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=prefix[1:])
+    return mix((prefix[at[1:]] - prefix[at[:-1]]) * powers(_INV, len(data) + 1)[at[:-1]] + np.diff(at).astype(U64))
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts (null: empty).
 
@@ -188,6 +201,14 @@ def planes(x: np.ndarray, keep: int | None = None) -> bytes:
     return raw.size.to_bytes(8, "little") + _ZSTD.compress(raw.tobytes(), asbytes=True)
 
 
+def squeezed(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + _ZSTD.compress(b, asbytes=True)
+
+
+def unsqueezed(b: bytes) -> bytes:
+    return _ZSTD.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
+
+
 def unplaned(b: bytes, width: int, keep: int | None = None) -> np.ndarray:
     keep = keep or width
     raw = np.frombuffer(_ZSTD.decompress(b[8:], int.from_bytes(b[:8], "little")), np.uint8).reshape(keep, -1)

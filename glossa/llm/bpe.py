@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import U64, blocks, need, plan_bytes, planes, slices, squeezed, string_hashes, unplaned, unsqueezed
+from glossa.llm.common import U64, blocks, need, plan_bytes, planes, slices, squeezed, string_hashes, trimmed, trimmed_group, unplaned, unsqueezed
 
 #: White space as the vocabularies' pattern means it (Unicode White_Space), in place of a library's own \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -202,11 +202,11 @@ def encode(df: DataFrame, path: str, source: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one row a row of df."""
     base = need(df, "doc_id", "text")
     bits = max(4, (plan_bytes(base) // (4 << 20)).bit_length())
-    words = base.mapInArrow(_words(source, bits), "bucket long, block long, sizes binary, data binary")
-    coded = words.groupBy("bucket").applyInArrow(_encode(path, source), "block long, bucket long, counts binary, ids binary")
+    words = base.mapInArrow(trimmed(_words(source, bits)), "bucket long, block long, sizes binary, data binary")
+    coded = words.groupBy("bucket").applyInArrow(trimmed_group(_encode(path, source)), "block long, bucket long, counts binary, ids binary")
     kind = base.schema["doc_id"].dataType.simpleString()
-    docs = base.mapInArrow(_positions(source), f"block long, doc_id {kind}, seq binary")
-    return docs.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, f"doc_id {kind}, ids binary")
+    docs = base.mapInArrow(trimmed(_positions(source)), f"block long, doc_id {kind}, seq binary")
+    return docs.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(trimmed_group(_assemble), f"doc_id {kind}, ids binary")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -214,11 +214,11 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         table = np.array(token_bytes(path), object)
-        for batch in slices(batches, "ids", 2 << 20):
+        for batch in slices(batches, "ids"):
             out = [b"".join(table[np.frombuffer(b, "<u4")].tolist()) if b else b"" for b in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "bytes"])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", bytes binary")
+    return df.mapInArrow(trimmed(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", bytes binary")
 
 
 def digest(df: DataFrame, path: str, source: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from glossa.llm.common import need
+from glossa.llm.common import need, trimmed
 
 HEAD, MID, TAIL = b"<turn ", b">\n", b"</turn>\n"
 LOSS_ROLE = "assistant"
@@ -115,7 +115,7 @@ def format_turns(df: DataFrame) -> DataFrame:
     base = need(df, "conv_id", "turn", "role", "text")
     kind = base.schema["conv_id"].dataType.simpleString()
     dealt = base.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return dealt.mapInArrow(_format, f"conv_id {kind}, part long, n_turns long, formatted string, loss_spans binary")
+    return dealt.mapInArrow(trimmed(_format), f"conv_id {kind}, part long, n_turns long, formatted string, loss_spans binary")
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -168,7 +168,7 @@ def digest(df: DataFrame) -> DataFrame:
     """The contract's columns, read back from what `format_turns` made."""
     out = format_turns(df)
     kind = out.schema["conv_id"].dataType.simpleString()
-    return out.mapInArrow(_read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return out.mapInArrow(trimmed(_read), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: The contract's extra conversation: control strings inside texts.

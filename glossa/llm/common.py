@@ -9,6 +9,10 @@ times an inverse power (the Rabin-Karp identity).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import inspect
 import math
 import uuid
 from collections.abc import Iterator
@@ -119,6 +123,40 @@ class Words:
         return every[at], at
 
 
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(f):
+    """A function over batches that gives back what it held when it ends."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trimmed_group(f):
+    """The same for a function over one group."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            trim()
+
+    run.__signature__ = inspect.signature(f)
+    return run
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns can't clash with working names."""
     if missing := [c for c in columns if c not in df.columns]:
@@ -153,7 +191,7 @@ def spread(df: DataFrame, least: int = 1, per: int = 16 << 20, grows: float = 1.
     return max(least, math.ceil(plan_bytes(df) * grows / per))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of `column`; a longer text stands alone."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -266,7 +304,7 @@ def components(links: DataFrame, parts: int) -> DataFrame:
     """
     links = need(links, "a", "b").where("a is not null and b is not null and a <> b")
     schema = "a long, b long"
-    now = written(links.mapInArrow(_contract, schema).distinct().coalesce(parts))
+    now = written(links.mapInArrow(trimmed(_contract), schema).distinct().coalesce(parts))
     signature = None
     for _ in range(60):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -281,7 +319,7 @@ def components(links: DataFrame, parts: int) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").union(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        now = written(small.mapInArrow(_contract, schema).distinct().coalesce(parts))
+        now = written(small.mapInArrow(trimmed(_contract), schema).distinct().coalesce(parts))
     else:
         raise RuntimeError("components: no fixed point in 60 rounds")
     roots = now.groupBy("b").agg(F.min("a").alias("component_id")).select(F.col("b").alias("id"), "component_id")

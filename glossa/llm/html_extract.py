@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glossa.llm.common import need, slices
+from glossa.llm.common import need, slices, trimmed
 
 #: HTML element names by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -215,9 +215,9 @@ def main_text(df: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of df (page_id, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html", 4 << 20):
+        for batch in slices(batches, "html"):
             texts = [extract(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     base = need(df, "page_id", "url", "html")
-    return base.mapInArrow(run, f"page_id {base.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return base.mapInArrow(trimmed(run), f"page_id {base.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

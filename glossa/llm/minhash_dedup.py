@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import U64, Words, components, mix, need, plan_bytes, rolling, slices, written
+from glossa.llm.common import U64, Words, components, mix, need, plan_bytes, rolling, slices, trimmed, trimmed_group, written
 
 K = 64
 RUN = 3
@@ -53,7 +53,7 @@ def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
 
 def _sketch(width: int, k: int):
     def run(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             n, key, sketch = [], [], []
             for s in shingle_sets(Words(batch.column("text"), lower=True), width):
                 n.append(len(s))
@@ -109,7 +109,7 @@ def _lists(reps: DataFrame, parts_bits: int) -> DataFrame:
         if size:
             yield from flush()
 
-    return reps.select("id", "sketch").mapInArrow(run, "bucket long, keys binary, ids binary, low binary")
+    return reps.select("id", "sketch").mapInArrow(trimmed(run), "bucket long, keys binary, ids binary, low binary")
 
 
 def _pairs_of(table: pa.Table) -> pa.Table:
@@ -185,7 +185,7 @@ def _verify(width: int, percent: int):
     """Exact Jaccard of two texts' sets in integers: 100 * common >= percent * union."""
 
     def run(batches):
-        for batch in slices(batches, "ta", 1 << 20):
+        for batch in slices(batches, "ta"):
             good = []
             one, two = batch.column("ta"), Words(batch.column("tb"), lower=True)
             a_sets = list(shingle_sets(Words(one, lower=True), width))
@@ -204,15 +204,15 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
     s = reps.select("id", "n", "sketch")
     with_a = pairs.join(s.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     with_b = with_a.join(s.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    close = written(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate(percent / 100, k), "a long, b long"))
+    close = written(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_estimate(percent / 100, k)), "a long, b long"))
     texts_a = close.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     texts = texts_a.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return written(texts.mapInArrow(_verify(width, percent), "a long, b long").distinct())
+    return written(texts.mapInArrow(trimmed(_verify(width, percent)), "a long, b long").distinct())
 
 
 def _sets(width: int):
     def run(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             sets = [x.tobytes() for x in shingle_sets(Words(batch.column("text"), lower=True), width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "members"])
 
@@ -258,14 +258,14 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> Dat
     docs = need(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sketched = written(docs.mapInArrow(_sketch(width, k), "doc_id long, n long, set_key binary, sketch binary"))
+    sketched = written(docs.mapInArrow(trimmed(_sketch(width, k)), "doc_id long, n long, set_key binary, sketch binary"))
     reps = written(sketched.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min("sketch").alias("sketch")))
     bits = max(4, (plan_bytes(reps) * 2 // (8 << 20)).bit_length())
     # a class's number of run keys, as run_keys makes them
     keys_of = F.expr(f"case when n <= 10 then greatest(0, n - 2) + greatest(0, n - 1) + n else least(n, {k}) - 2 end")
     # dealt once by bucket; what tasks kept back of hot lists is spread by chance
     dealt = _lists(reps, bits).withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("ids") % 1024).otherwise(F.lit(0)))
-    found = written(dealt.groupBy("bucket", "salt").applyInArrow(_pairs_of, "a long, b long, c long, hot boolean"))
+    found = written(dealt.groupBy("bucket", "salt").applyInArrow(trimmed_group(_pairs_of), "a long, b long, c long, hot boolean"))
     hot = found.where("hot").select(F.col("c").alias("key"), F.col("a").alias("low"), F.col("b").alias("id"))
     hot_of = hot.groupBy("id").agg(F.count_distinct("key").alias("h"))
     star = hot.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct().withColumn("c", F.lit(1 << 20).cast("long"))
@@ -294,14 +294,14 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> Dat
     members = with_component(group, "id", "comp").join(info.select("id", "n"), "id")
     many = members.groupBy("group").agg(F.greatest(F.count("*") / F.lit(_CELL), F.sum("n") / F.lit(_CELL_VALUES)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("group", F.ceil("m").cast("int").alias("blocks"))
     chosen = members.join(many, "group")
-    sets = docs.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
+    sets = docs.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(trimmed(_sets(width)), "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
     cells = (
         chosen.join(sets, "id")
         .withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("group", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "id", "comp", "members")
     )
-    late = cells.groupBy("group", "x", "y").applyInArrow(_cells(percent), "a long, b long")
+    late = cells.groupBy("group", "x", "y").applyInArrow(trimmed_group(_cells(percent)), "a long, b long")
     second = _confirmed(rest, reps, docs, width, percent, k).union(late)
     every = second.union(first.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b")))
     final = components(every, parts)

@@ -20,6 +20,7 @@ one; ties in score go to the earlier document; an empty table gives an empty tab
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from glossa.llm.bpe import encoder
-from glossa.llm.common import need, slices
+from glossa.llm.common import need, slices, trimmed
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 LENGTH = 1024
 K1, B = 1.2, 0.75
-_CACHE = 400_000
+_CACHE = 100_000
 
 
 @functools.cache
@@ -45,18 +46,24 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def special_tokens(path: str) -> list[str]:
+    """Strings that the library takes for special tokens; read from the file, so the library is loaded only where a text holds one."""
+    with open(path) as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
 class Coder:
     """Ids of whole texts, by chunks between single spaces, which stand alone unless white space is at their edges."""
 
     def __init__(self, path: str, ranks: str, source: str):
-        self.library = library(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path, self.special = path, special_tokens(path)
         self.one = encoder(ranks, source).encode_ordinary
         self.known: dict[str, list[int]] = {}
 
     def text(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+            return np.array(library(self.path).encode(text, add_special_tokens=False).ids, np.int32)
         return np.array(self.one(text), np.int32)
 
     def shard(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -219,7 +226,7 @@ def pack(df: DataFrame, path: str, ranks: str, source: str, length: int = LENGTH
             for k in range(0, out.num_rows, 4096):
                 yield out.slice(k, 4096)
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema))
             size += batch.nbytes
             if size >= shard_bytes:
@@ -230,7 +237,7 @@ def pack(df: DataFrame, path: str, ranks: str, source: str, length: int = LENGTH
 
     base = need(df, "doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, {_SCHEMA}" + ", ids binary" * with_ids)
+    return base.mapInArrow(trimmed(run), f"doc_id {kind}, {_SCHEMA}" + ", ids binary" * with_ids)
 
 
 def digest(df: DataFrame, path: str, ranks: str, source: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import U64, Words, need, plan_bytes, planes, slices, unplaned
+from glossa.llm.common import U64, Words, need, plan_bytes, planes, slices, trimmed, trimmed_group, unplaned
 
 WINDOW = 35
 _BLOCK = 1 << 20  # windows that a task holds before it deals them out
@@ -64,11 +64,11 @@ def _deal(bits: int, width: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "block", "hashes", "docs", "starts", "keys"])
 
         base = 0
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             hashes, at = words.windows(width)
             doc = np.searchsorted(words.doc, at, side="right") - 1
-            held.append((hashes, doc + base, at - words.doc[doc]))
+            held.append((hashes, (doc + base).astype(np.uint32), (at - words.doc[doc]).astype(np.uint32)))
             keys.append(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64))
             base += batch.num_rows
             size += len(hashes)
@@ -130,16 +130,16 @@ def intervals(df: DataFrame, width: int = WINDOW, bucket_mb: int = 12) -> DataFr
     """(key, cuts): packed [begin, end) word intervals to remove; df has key (long, one a row's content) and text."""
     bits = max(4, (plan_bytes(df) * 3 // (bucket_mb << 20)).bit_length())
     # equal rows are one window set twice over: their own windows count, so no distinct here
-    dealt = need(df, "key", "text").mapInArrow(_deal(bits, width), _DEALT)
-    found = dealt.groupBy("bucket").applyInArrow(_repeated, "block long, keys binary, starts binary")
-    merged = found.groupBy("block").applyInArrow(_merge(width), "key long, cuts binary")
+    dealt = need(df, "key", "text").mapInArrow(trimmed(_deal(bits, width)), _DEALT)
+    found = dealt.groupBy("bucket").applyInArrow(trimmed_group(_repeated), "block long, keys binary, starts binary")
+    merged = found.groupBy("block").applyInArrow(trimmed_group(_merge(width)), "key long, cuts binary")
     # equal rows may lie in several blocks; each of them has the same windows, so any one tells all
     return merged.groupBy("key").agg(F.min("cuts").alias("cuts"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds words counted, words removed and what is kept, its words joined by one space."""
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text"):
         words = Words(batch.column("text"))
         texts, n, removed = [], np.diff(words.doc), np.zeros(batch.num_rows, np.int64)
         buf = words.buf.tobytes()
@@ -167,7 +167,7 @@ def remove(df: DataFrame, width: int = WINDOW) -> DataFrame:
     base = need(df, "doc_id", "text").withColumn("key", _key())
     cut = intervals(base, width)
     joined = base.join(cut, "key", "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(_keep, "doc_id long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return joined.mapInArrow(trimmed(_keep), "doc_id long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def apply(df: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -175,7 +175,7 @@ def apply(df: DataFrame, width: int = WINDOW) -> DataFrame:
     names = df.columns
     base = df.select(F.col("doc_id"), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("_row")).withColumn("key", _key())
     cut = intervals(base, width)
-    out = base.join(cut, "key", "left").drop("key").mapInArrow(_keep, f"{_ddl(base.drop('key'))}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    out = base.join(cut, "key", "left").drop("key").mapInArrow(trimmed(_keep), f"{_ddl(base.drop('key'))}, n_words long, n_removed long, kept_text string, kept_sha256 string")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.select(*(text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in names))
 

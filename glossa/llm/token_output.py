@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import U64, mix, need, slices, spread, written
+from glossa.llm.common import U64, mix, need, slices, spread, trimmed, written
 from glossa.llm.packing import Coder
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 256, 0x5EED, 6
@@ -62,7 +62,7 @@ def sequences(df: DataFrame, path: str, ranks: str, source: str, length: int = L
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, place, task = Coder(path, ranks, source), 0, TaskContext.get().partitionId()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             if not batch.num_rows:
                 continue
             ids, _, _ = coder.shard(batch.column("text"))
@@ -84,7 +84,7 @@ def sequences(df: DataFrame, path: str, ranks: str, source: str, length: int = L
             place += n
 
     base = need(df, "doc_id", "text")
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, piece long, n_tokens long, ids binary, task long, place long")
+    return base.mapInArrow(trimmed(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, piece long, n_tokens long, ids binary, task long, place long")
 
 
 def _slots(n: int, key: int):
@@ -138,11 +138,11 @@ def shards(df: DataFrame, path: str, ranks: str, source: str, length: int = LENG
     before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     n = int(counts.agg(F.sum("n")).first()[0] or 0)
     kind = made.schema["doc_id"].dataType.simpleString()
-    placed = made.join(before, "task").mapInArrow(_slots(n, key), f"slot long, doc_id {kind}, piece long, n_tokens long, ids binary")
+    placed = made.join(before, "task").mapInArrow(trimmed(_slots(n, key)), f"slot long, doc_id {kind}, piece long, n_tokens long, ids binary")
     parts = spread(made, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = placed.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(parts, "shard").sortWithinPartitions("slot").drop("shard")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return ranged.mapInArrow(_shards(length, per_shard, arrow), f"shard_id long, first_slot long, n_sequences long, stride long, doc_ids array<{kind}>, pieces array<long>, n_tokens array<long>, crc32 long, payload binary")
+    return ranged.mapInArrow(trimmed(_shards(length, per_shard, arrow)), f"shard_id long, first_slot long, n_sequences long, stride long, doc_ids array<{kind}>, pieces array<long>, n_tokens array<long>, crc32 long, payload binary")
 
 
 def write(df: DataFrame, folder: str) -> None:
@@ -166,7 +166,7 @@ def unpack(df: DataFrame) -> DataFrame:
                     {"slot": pa.array(r["first_slot"] + np.arange(n)), "shard_id": pa.array(np.full(n, r["shard_id"])), "offset": pa.array(at), "doc_id": pa.array(r["doc_ids"], batch.schema.field("doc_ids").type.value_type), "piece": pa.array(r["pieces"], pa.int64()), "n_tokens": pa.array(r["n_tokens"], pa.int64()), "ids": pa.array(ids, pa.binary())}
                 )
 
-    return df.mapInArrow(run, f"slot long, shard_id long, offset long, doc_id {kind}, piece long, n_tokens long, ids binary")
+    return df.mapInArrow(trimmed(run), f"slot long, shard_id long, offset long, doc_id {kind}, piece long, n_tokens long, ids binary")
 
 
 def read(spark: SparkSession, folder: str, start: int = 0, stop: int | None = None, per_shard: int = PER_SHARD) -> DataFrame:

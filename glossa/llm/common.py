@@ -277,22 +277,34 @@ class Forest:
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a task as stars: each id with the smallest id that the task's links reach; at most one row an id."""
     forest = Forest()
-    size = 0
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
-        size = len(forest.up)
-        if size > 1 << 20:  # bounded memory: hand on what is known and start anew
-            yield _stars(forest)
+        if len(forest.up) > 1 << 20:  # bounded memory: hand on what is known and start anew
+            yield from _stars(forest, False)
             forest = Forest()
-    if forest.up:
-        yield _stars(forest)
+    yield from _stars(forest, False)
 
 
-def _stars(forest: Forest) -> pa.RecordBatch:
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links in one task: each id with its root, roots included."""
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.join(a, b)
+    yield from _stars(forest, True)
+
+
+def _stars(forest: Forest, roots: bool) -> Iterator[pa.RecordBatch]:
     pairs = [(forest.root(x), x) for x in list(forest.up)]
-    pairs = [p for p in pairs if p[0] != p[1]]
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+    pairs = [p for p in pairs if roots or p[0] != p[1]]
+    for k in range(0, len(pairs), 1 << 16):
+        part = pairs[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["a", "b"])
+
+
+#: So many links fit into one task's union-find, which ends the rounds; more go on in rounds until so few are left or none changes.
+_FEW_LINKS = 1 << 18
 
 
 def components(links: DataFrame, parts: int) -> DataFrame:
@@ -300,16 +312,19 @@ def components(links: DataFrame, parts: int) -> DataFrame:
 
     Each task first contracts its links to stars, then large-star and small-star steps alternate
     until no link changes.  Every round is one table in the shared folder; nothing but
-    two sums reaches the driver.  Null ends are left out; an empty table gives an empty table.
+    two sums reaches the driver; a fixed number of links or fewer is settled by one task.  Null ends are left out; an empty table gives an empty table.
     """
     links = need(links, "a", "b").where("a is not null and b is not null and a <> b")
     schema = "a long, b long"
-    now = written(links.mapInArrow(trimmed(_contract), schema).distinct().coalesce(parts))
+    now = written(links.mapInArrow(trimmed(_contract), schema))
     signature = None
     for _ in range(60):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == signature or not mark[0]:
             break
+        if mark[0] <= _FEW_LINKS:
+            settled = written(now.coalesce(1).mapInArrow(trimmed(_settle), schema))
+            return settled.select(F.col("b").alias("id"), F.col("a").alias("component_id"))
         signature = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: each neighbour larger than u gets the smallest id near u

@@ -72,7 +72,7 @@ def run_keys(sketch: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _lists(reps: DataFrame, parts_bits: int) -> DataFrame:
+def _lists(reps: DataFrame, parts_bits: int, few: int) -> DataFrame:
     """(bucket, keys, ids): run keys of sketches dealt by their leading bits, one row a task and bucket."""
 
     def run(batches):
@@ -82,11 +82,11 @@ def _lists(reps: DataFrame, parts_bits: int) -> DataFrame:
             k, i = np.concatenate(keys), np.concatenate(ids)
             order = np.lexsort((i, k))
             k, i = k[order], i[order]
-            # of a key with more than FEW members in this task, FEW + 1 go on: enough to mark it hot; the rest follow its smallest member
+            # of a key with more than `few` members in this task, few + 1 go on: enough to mark it hot; the rest follow its smallest member
             begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             count = np.diff(np.append(begin, len(k)))
             rank = np.arange(len(k)) - np.repeat(begin, count)
-            far = rank > FEW
+            far = rank > few
             low = np.repeat(i[begin], count)
             bucket = (k >> U64(64 - parts_bits)).astype(np.int64)
             k2, i2, b2 = k[~far], i[~far], bucket[~far]
@@ -112,44 +112,47 @@ def _lists(reps: DataFrame, parts_bits: int) -> DataFrame:
     return reps.select("id", "sketch").mapInArrow(trimmed(run), "bucket long, keys binary, ids binary, low binary")
 
 
-def _pairs_of(table: pa.Table) -> pa.Table:
-    """Of a bucket: pairs (a < b) with the runs they share here; `hot` rows (a: the list's smallest member, b) with their key."""
-    keys = np.concatenate([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()])
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-    lows = [np.frombuffer(x, np.int64) for x in table.column("low").to_pylist()]
-    out_a, out_b, out_key = [], [], []
-    if sum(map(len, lows)):  # what tasks kept back of hot lists
-        low = np.concatenate(lows)
-        out_a, out_b, out_key = [low], [ids], [keys.view(np.int64)]
-        hot_from = 0
-    else:
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        count = np.diff(np.append(begin, len(keys)))
-        small = (count > 1) & (count <= FEW)
-        pa_, pb_ = [], []
-        for step in range(1, int(count[small].max()) if small.any() else 1):  # pairs at distance `step` within all small lists at once
-            use = small & (count > step)
-            n = count[use] - step
-            at = np.repeat(begin[use] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            pa_.append(ids[at])
-            pb_.append(ids[at + step])
-        hot_from = 0
-        if pa_:
-            a, b = np.concatenate(pa_), np.concatenate(pb_)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            out_a, out_b, out_key = [a[new]], [b[new]], [np.diff(np.append(new, len(a))).astype(np.int64)]
-            hot_from = len(new)
-        for x, n in zip(begin[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
-            out_a.append(np.full(n, ids[x]))
-            out_b.append(ids[x : x + n])
-            out_key.append(np.full(n, keys[x]).view(np.int64))
-    a, b, k = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b, out_key))
-    hot = np.arange(len(a)) >= hot_from
-    return pa.table({"a": a, "b": b, "c": k, "hot": hot})
+def _pairs_of(few: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of a bucket: pairs (a < b) with the runs they share here; `hot` rows (a: the list's smallest member, b) with their key."""
+        keys = np.concatenate([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()])
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        lows = [np.frombuffer(x, np.int64) for x in table.column("low").to_pylist()]
+        out_a, out_b, out_key = [], [], []
+        if sum(map(len, lows)):  # what tasks kept back of hot lists
+            low = np.concatenate(lows)
+            out_a, out_b, out_key = [low], [ids], [keys.view(np.int64)]
+            hot_from = 0
+        else:
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            count = np.diff(np.append(begin, len(keys)))
+            small = (count > 1) & (count <= few)
+            pa_, pb_ = [], []
+            for step in range(1, int(count[small].max()) if small.any() else 1):  # pairs at distance `step` within all small lists at once
+                use = small & (count > step)
+                n = count[use] - step
+                at = np.repeat(begin[use] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                pa_.append(ids[at])
+                pb_.append(ids[at + step])
+            hot_from = 0
+            if pa_:
+                a, b = np.concatenate(pa_), np.concatenate(pb_)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                out_a, out_b, out_key = [a[new]], [b[new]], [np.diff(np.append(new, len(a))).astype(np.int64)]
+                hot_from = len(new)
+            for x, n in zip(begin[count > few].tolist(), count[count > few].tolist(), strict=True):
+                out_a.append(np.full(n, ids[x]))
+                out_b.append(ids[x : x + n])
+                out_key.append(np.full(n, keys[x]).view(np.int64))
+        a, b, k = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b, out_key))
+        hot = np.arange(len(a)) >= hot_from
+        return pa.table({"a": a, "b": b, "c": k, "hot": hot})
+
+    return run
 
 
 def _estimate(threshold: float, k: int):
@@ -159,26 +162,25 @@ def _estimate(threshold: float, k: int):
         for batch in batches:
             good = []
             for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True):
-                good.append(min(n, m) >= threshold * max(n, m) - 1e-9 and sketch_overlap(np.frombuffer(x, U64), np.frombuffer(y, U64), k) >= floor_of(threshold, k, n, m))
+                whole = max(n, m) <= k
+                good.append(min(n, m) >= threshold * max(n, m) - 1e-9 and sketch_overlap(np.frombuffer(x, U64), np.frombuffer(y, U64), k, whole) >= floor_of(threshold, k, whole))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def sketch_overlap(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """Share of the union's k smallest values that both sets have."""
+def sketch_overlap(x: np.ndarray, y: np.ndarray, k: int, whole: bool) -> float:
+    """Share of the union's k smallest values that both sets have; of the whole union where the sketches are whole sets."""
     both = np.concatenate([x, y])
     both.sort()
     same = np.append(both[1:] == both[:-1], False)
     first = np.append(True, ~same[:-1])  # of each value
-    common = same[first][:k]
+    common = same[first] if whole else same[first][:k]
     return common.sum() / max(1, len(common))
 
 
-def floor_of(threshold: float, k: int, n: int, m: int) -> float:
-    if max(n, m) <= k:
-        return threshold - 1e-9
-    return threshold - 6 * (threshold * (1 - threshold) / k) ** 0.5
+def floor_of(threshold: float, k: int, whole: bool) -> float:
+    return threshold - (1e-9 if whole else 6 * (threshold * (1 - threshold) / k) ** 0.5)
 
 
 def _verify(width: int, percent: int):
@@ -204,10 +206,10 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
     s = reps.select("id", "n", "sketch")
     with_a = pairs.join(s.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     with_b = with_a.join(s.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    close = written(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_estimate(percent / 100, k)), "a long, b long"))
+    close = with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_estimate(percent / 100, k)), "a long, b long")
     texts_a = close.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     texts = texts_a.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return written(texts.mapInArrow(trimmed(_verify(width, percent)), "a long, b long").distinct())
+    return written(texts.mapInArrow(trimmed(_verify(width, percent)), "a long, b long"))
 
 
 def _sets(width: int):
@@ -253,7 +255,7 @@ def _cells(percent: int):
     return run
 
 
-def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df (doc_id long, text)."""
     docs = need(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = df.sparkSession
@@ -264,13 +266,13 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> Dat
     # a class's number of run keys, as run_keys makes them
     keys_of = F.expr(f"case when n <= 10 then greatest(0, n - 2) + greatest(0, n - 1) + n else least(n, {k}) - 2 end")
     # dealt once by bucket; what tasks kept back of hot lists is spread by chance
-    dealt = _lists(reps, bits).withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("ids") % 1024).otherwise(F.lit(0)))
-    found = written(dealt.groupBy("bucket", "salt").applyInArrow(trimmed_group(_pairs_of), "a long, b long, c long, hot boolean"))
+    dealt = _lists(reps, bits, few).withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("ids") % 1024).otherwise(F.lit(0)))
+    found = written(dealt.groupBy("bucket", "salt").applyInArrow(trimmed_group(_pairs_of(few)), "a long, b long, c long, hot boolean"))
     hot = found.where("hot").select(F.col("c").alias("key"), F.col("a").alias("low"), F.col("b").alias("id"))
     hot_of = hot.groupBy("id").agg(F.count_distinct("key").alias("h"))
     star = hot.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct().withColumn("c", F.lit(1 << 20).cast("long"))
     shared = found.where("not hot").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    info = reps.select("id", "n", keys_of.alias("keys")).join(hot_of, "id", "left").select("id", "n", "keys", F.coalesce("h", F.lit(0)).alias("h"))
+    info = written(reps.select("id", "n", keys_of.alias("keys")).join(hot_of, "id", "left").select("id", "n", "keys", F.coalesce("h", F.lit(0)).alias("h")))
     pairs = (
         shared.union(star)
         .join(info.toDF("a", "na", "ka", "ha"), "a")
@@ -279,30 +281,32 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> Dat
         .select("a", "b", "c")
     )
     pairs = written(pairs)
-    best = pairs.where(f"c < {1 << 20}").groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b").union(pairs.where(f"c >= {1 << 20}").select("a", "b")).distinct()
+    best = pairs.where(f"c < {1 << 20}").groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b").union(pairs.where(f"c >= {1 << 20}").select("a", "b"))
     links = _confirmed(best, reps, docs, width, percent, k)
-    first = written(components(links, parts))
+    first = components(links, parts)
 
     def with_component(x: DataFrame, at: str, name: str) -> DataFrame:
         return x.join(first.toDF(at, name), at, "left").withColumn(name, F.coalesce(name, at))
 
     rest = with_component(with_component(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    # classes most of whose runs are hot: groups that share hot lists, each pair of blocks compared once
-    dense = hot.join(info.where("h >= greatest(1, floor(keys / 12))").select("id"), "id", "left_semi").select("key", "id").distinct()
-    ends = written(dense.join(dense.groupBy("key").agg(F.min("id").alias("low")), "key").where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    group = written(components(ends, parts).withColumnRenamed("component_id", "group"))
-    members = with_component(group, "id", "comp").join(info.select("id", "n"), "id")
-    many = members.groupBy("group").agg(F.greatest(F.count("*") / F.lit(_CELL), F.sum("n") / F.lit(_CELL_VALUES)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("group", F.ceil("m").cast("int").alias("blocks"))
-    chosen = members.join(many, "group")
-    sets = docs.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(trimmed(_sets(width)), "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
-    cells = (
-        chosen.join(sets, "id")
-        .withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("group", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "id", "comp", "members")
-    )
-    late = cells.groupBy("group", "x", "y").applyInArrow(trimmed_group(_cells(percent)), "a long, b long")
-    second = _confirmed(rest, reps, docs, width, percent, k).union(late)
+    second = _confirmed(rest, reps, docs, width, percent, k)
+    if not hot.isEmpty():
+        # classes most of whose runs are hot: groups that share hot lists, each pair of blocks compared once
+        dense = hot.join(info.where("h >= greatest(1, floor(keys / 12))").select("id"), "id", "left_semi").select("key", "id").distinct()
+        ends = dense.join(dense.groupBy("key").agg(F.min("id").alias("low")), "key").where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b"))
+        group = components(ends, parts).withColumnRenamed("component_id", "group")
+        members = with_component(group, "id", "comp").join(info.select("id", "n"), "id")
+        many = members.groupBy("group").agg(F.greatest(F.count("*") / F.lit(_CELL), F.sum("n") / F.lit(_CELL_VALUES)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("group", F.ceil("m").cast("int").alias("blocks"))
+        chosen = members.join(many, "group")
+        sets = docs.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(trimmed(_sets(width)), "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
+        cells = (
+            chosen.join(sets, "id")
+            .withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .select("group", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "id", "comp", "members")
+        )
+        late = cells.groupBy("group", "x", "y").applyInArrow(trimmed_group(_cells(percent)), "a long, b long")
+        second = second.union(late)
     every = second.union(first.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b")))
     final = components(every, parts)
     of_class = reps.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("root"))

@@ -35,10 +35,10 @@ _BLOCK = 1 << 20  # windows that a task holds before it deals them out
 _DEALT = "bucket long, block long, hashes binary, docs binary, starts binary, keys binary"
 
 
-def _deal(bits: int, width: int):
+def _deal(bits: int, width: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, size = [], [], 0
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 32  # number of this task's first block, less one
 
         def flush():
             nonlocal block
@@ -72,7 +72,7 @@ def _deal(bits: int, width: int):
             keys.append(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64))
             base += batch.num_rows
             size += len(hashes)
-            if size >= _BLOCK:
+            if size >= most:
                 yield from flush()
                 held, keys, size, base = [], [], 0, 0
         if size:
@@ -126,11 +126,11 @@ def _merge(width: int):
     return run
 
 
-def intervals(df: DataFrame, width: int = WINDOW, bucket_mb: int = 12) -> DataFrame:
+def intervals(df: DataFrame, width: int = WINDOW, bucket_mb: int = 12, block: int = _BLOCK) -> DataFrame:
     """(key, cuts): packed [begin, end) word intervals to remove; df has key (long, one a row's content) and text."""
     bits = max(4, (plan_bytes(df) * 3 // (bucket_mb << 20)).bit_length())
     # equal rows are one window set twice over: their own windows count, so no distinct here
-    dealt = need(df, "key", "text").mapInArrow(trimmed(_deal(bits, width)), _DEALT)
+    dealt = need(df, "key", "text").mapInArrow(trimmed(_deal(bits, width, block)), _DEALT)
     found = dealt.groupBy("bucket").applyInArrow(trimmed_group(_repeated), "block long, keys binary, starts binary")
     merged = found.groupBy("block").applyInArrow(trimmed_group(_merge(width)), "key long, cuts binary")
     # equal rows may lie in several blocks; each of them has the same windows, so any one tells all

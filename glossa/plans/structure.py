@@ -126,7 +126,10 @@ def running_counts(spark, sf_dir):
     return streams.drain(streams.running_counts(streams.source(spark, sf_dir, "events"), "event_type"), "complete")
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
+_CLOSED = "(SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
+
+
+@query(f"SELECT * FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL '1 hour' <= {_CLOSED}")
 def tumbling_windows(spark, sf_dir):
     out = streams.drain(streams.tumbling(streams.source(spark, sf_dir, "events"), "1 hour", "10 minutes"), "append")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -136,3 +139,17 @@ def tumbling_windows(spark, sf_dir):
 def stateless_stream(spark, sf_dir):
     s = streams.source(spark, sf_dir, "conversations")
     return streams.drain(s.select("conv_id", "turn", F.upper("role").alias("role"), F.length("text").cast("long").alias("n")), "append")
+
+
+@query(f"SELECT * FROM (SELECT time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' AS start, event_type, count(*)::BIGINT AS n FROM events, range(0, 2) AS r(k) GROUP BY 1, 2) WHERE start + INTERVAL '2 hours' <= {_CLOSED}")
+def sliding_windows(spark, sf_dir):
+    out = streams.drain(streams.sliding(streams.source(spark, sf_dir, "events"), "2 hours", "1 hour", "10 minutes"), "append")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(f"""SELECT user_id, start, n FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS stop, count(*)::BIGINT AS n FROM (
+    SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events))
+  GROUP BY user_id, s) WHERE stop <= {_CLOSED}""")
+def session_windows(spark, sf_dir):
+    out = streams.drain(streams.sessions(streams.source(spark, sf_dir, "events"), "30 minutes", "10 minutes"), "append")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -292,10 +292,10 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K, few: i
     second = _confirmed(rest, reps, docs, width, percent, k)
     if not hot.isEmpty():
         # classes most of whose runs are hot: groups that share hot lists, each pair of blocks compared once
-        dense = hot.join(info.where("h >= greatest(1, floor(keys / 12))").select("id"), "id", "left_semi").select("key", "id").distinct()
-        ends = dense.join(dense.groupBy("key").agg(F.min("id").alias("low")), "key").where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b"))
+        dense = info.where("h >= greatest(1, floor(keys / 12))").select("id", "n")
+        ends = star.select("a", "b").join(dense.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
         group = components(ends, parts).withColumnRenamed("component_id", "group")
-        members = with_component(group, "id", "comp").join(info.select("id", "n"), "id")
+        members = with_component(group.join(dense, "id"), "id", "comp")
         many = members.groupBy("group").agg(F.greatest(F.count("*") / F.lit(_CELL), F.sum("n") / F.lit(_CELL_VALUES)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("group", F.ceil("m").cast("int").alias("blocks"))
         chosen = members.join(many, "group")
         sets = docs.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(trimmed(_sets(width)), "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))

@@ -68,8 +68,11 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     )
     stop = "array(" + ",".join(f"'{w}'" for w in STOP_WORDS.split()) + ")"
     repeat = F.expr(f"aggregate(transform(_at, (p, i) -> if(i = 0, {WINDOW}L, least({WINDOW}L, p - get(_at, i - 1)))), 0L, (a, x) -> a + x)")
+    # a filter over the counts would be pushed below the projections and spell their expressions out anew for each use, without end;
+    # a part that Spark takes for not deterministic (always 0) keeps filters above
+    still = F.monotonically_increasing_id().bitwiseAND(F.lit(0))
     struct = F.struct(
-        n.cast("long").alias("n_words"),
+        (n.cast("long") + still).alias("n_words"),
         F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -102,9 +105,7 @@ def apply(df: DataFrame, text: str = "text", table=THRESHOLDS) -> DataFrame:
     """The rows of df that pass the base rule and the table, all columns as they were."""
     names = df.columns
     inner = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    # a filter over this would be pushed below the projections and spell their expressions out anew for each use;
-    # a running number among them keeps it above
-    kept = measures(inner, "_text").withColumn("_at", F.monotonically_increasing_id()).where(~base_failed() & verdict(table=table) & (F.col("_at") >= 0))
+    kept = measures(inner, "_text").where(~base_failed() & verdict(table=table))
     return kept.select(*(F.col(f"_row.`{c}`") for c in names))
 
 

@@ -257,9 +257,11 @@ def test_packing_covers_every_id_once(odd, empty):
     rows = packing.pack(odd, PATH, RANKS, P.PATTERN).toPandas()
     assert packing.pack(empty, PATH, RANKS, P.PATTERN).count() == 0
     for d, g in rows.groupby("doc_id"):
-        starts = Counter(g.start)
-        assert all(v == (2 if d == 4 else 1) for v in starts.values())
-        g = g.drop_duplicates("start").sort_values("start")
+        if d == 4:  # two rows of one id; either may be cut
+            assert g.length.sum() == 2 * len(want[4])
+            continue
+        assert g.start.is_unique
+        g = g.sort_values("start")
         assert np.frombuffer(b"".join(g.ids), "<u4").tolist() == want[d]
         assert [zlib.crc32(b) for b in g.ids] == g.ids_crc32.tolist() and (g.doc_tokens == len(want[d])).all()
     for _, g in rows.sort_values("offset").groupby("sequence_id"):

@@ -87,7 +87,7 @@ def binned_length(column: str = "tok", bins: tuple[int, ...] = (1, 3, 6, 10)) ->
     return out
 
 
-def morphology_features(attrs: str = "attrs", names: tuple[str, ...] = ("case", "number", "pos", "leta_lemma")) -> Column:
+def morphology_features(attrs: str = "attrs", names: tuple[str, ...] = ("case", "number", "pos", "lemma_class")) -> Column:
     """MORPHO-NAME=value of a token's attribute map."""
     return F.array_compact(F.array(*(F.when(F.col(attrs)[n].isNotNull(), F.concat(F.lit(f"MORPHO-{n.upper()}="), F.col(attrs)[n])) for n in names)))
 

@@ -138,7 +138,8 @@ def shards(df: DataFrame, path: str, ranks: str, source: str, length: int = LENG
     before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     n = int(counts.agg(F.sum("n")).first()[0] or 0)
     kind = made.schema["doc_id"].dataType.simpleString()
-    placed = made.join(before, "task").mapInArrow(trimmed(_slots(n, key)), f"slot long, doc_id {kind}, piece long, n_tokens long, ids binary")
+    # one row a scan task, 16 bytes each: far below any input, so it is sent to all tasks rather than all sequences dealt by task
+    placed = made.join(F.broadcast(before), "task").mapInArrow(trimmed(_slots(n, key)), f"slot long, doc_id {kind}, piece long, n_tokens long, ids binary")
     parts = spread(made, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = placed.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(parts, "shard").sortWithinPartitions("slot").drop("shard")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -320,8 +321,6 @@ def gap_decode(gaps: Column) -> Column:
 
 def common_subsequence_udf():
     """Length of the longest common subsequence of two strings."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):
@@ -341,8 +340,6 @@ def common_subsequence_udf():
 
 def common_substring_udf():
     """Length of the longest common contiguous substring of two strings."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):

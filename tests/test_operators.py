@@ -186,7 +186,7 @@ def test_tree_round_trip_and_relations(spark):
     assert count("NP", ("<1", "D", "x")) == 2
     assert count("NP", ("<-1", "N", "x")) == 2
     assert count("VP", (",", "NP", "x")) == 1
-    assert trees.constituents(nodes).count() == 8
+    assert trees.constituents(nodes).count() == 9
 
 
 def test_tree_edits():

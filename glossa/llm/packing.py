@@ -2,8 +2,8 @@
 
 Documents form shards of about `shard_bytes` of text, each within one scan task, so nothing is
 shuffled.  A shard has its own inverted index: a term's postings with BM25 weights from the shard's own
-document frequencies and lengths.  Terms found in one document, or in more than an eighth of the shard's
-documents, rank nothing and are not indexed.  A window is opened by a seed (a document not
+document frequencies and lengths.  Terms found in one document only can rank no other and are not indexed;
+all others are.  A window is opened by a seed (a document not
 used yet, or the rest of one that was cut); when the seed ends before the window does, the
 index is asked with the seed's terms, and unused neighbours follow by falling score until the window is full.
 Without a neighbour the next unused document follows.  The last document of a window is cut at its end
@@ -107,7 +107,7 @@ class Coder:
 
 
 class Index:
-    """BM25 postings of a shard."""
+    """BM25 weights of a shard's terms: postings, or a row over all documents where a term is in more than an eighth of them."""
 
     def __init__(self, chunk: np.ndarray, offsets: np.ndarray):
         n = len(offsets) - 1
@@ -116,13 +116,18 @@ class Index:
         pairs, tf = np.unique(np.repeat(np.arange(n), words) * width + chunk, return_counts=True)
         doc, term = np.divmod(pairs, width)
         df = np.bincount(term, minlength=width)
-        use = (df > 1) & (df <= max(8, n // 8))
-        keep = use[term]
+        keep = df[term] > 1
         doc, term, tf = doc[keep], term[keep], tf[keep]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / max(words.mean(), 1e-9)))
         self.n, self.terms = n, term
         self.of_doc = np.searchsorted(doc, np.arange(n + 1))
+        wide = df > max(8, n // 8)
+        self.row = np.where(wide, np.cumsum(wide) - 1, -1)
+        full = wide[term]
+        self.rows = np.zeros((int(wide.sum()), n))
+        self.rows[self.row[term[full]], doc[full]] = weight[full]
+        doc, term, weight = doc[~full], term[~full], weight[~full]
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         size = np.bincount(term, minlength=width)
@@ -132,11 +137,9 @@ class Index:
         """Unused documents that share a term with doc, best first."""
         terms = self.terms[self.of_doc[doc] : self.of_doc[doc + 1]]
         n = self.size[terms]
-        total = int(n.sum())
-        if not total:
-            return terms[:0]
-        at = np.repeat(self.begin[terms] - (np.cumsum(n) - n), n) + np.arange(total)
-        score = np.bincount(self.docs[at], self.weights[at], self.n)
+        at = np.repeat(self.begin[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        rows = self.row[terms]
+        score = self.rows[rows[rows >= 0]].sum(axis=0) + np.bincount(self.docs[at], self.weights[at], self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]

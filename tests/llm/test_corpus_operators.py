@@ -280,6 +280,24 @@ def test_packing_puts_neighbours_together():
     assert {int(i) % 3 for i in order[:3]} == {0}
 
 
+def test_packing_ranks_copies_that_fill_a_third_of_a_shard():
+    copies = [f"one template that many share number {k % 5}" for k in range(20)]
+    words = [t.split(" ") for t in copies + [f"a{k} b{k % 7} c{k % 9} many" for k in range(40)]]
+    n, mean = len(words), np.mean(list(map(len, words)))
+    df = Counter(w for ws in words for w in set(ws))
+    index = packing.Index(*packing.Coder(PATH, RANKS, P.PATTERN).shard(pa.array(map(" ".join, words)))[1:])
+    for seed in (0, 7, 25):
+        want = np.zeros(n)
+        for d, ws in enumerate(words):
+            for w in set(ws) & set(words[seed]) if d != seed else ():
+                tf = ws.count(w)
+                want[d] += np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(ws) / mean))
+        order = index.ask(seed, np.arange(n) != seed)
+        assert sorted(order.tolist()) == np.flatnonzero(want).tolist()
+        assert np.allclose(want[order], np.sort(want)[::-1][: len(order)])
+    assert set(index.ask(0, np.arange(n) != 0)[:19].tolist()) == set(range(1, 20))
+
+
 def test_feistel_is_a_bijection():
     for n in (1, 2, 3, 17, 256, 1000):
         s = token_output.permute(np.arange(n), n)

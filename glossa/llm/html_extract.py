@@ -5,6 +5,8 @@ a tag, adjusted by how its links compare with the page's.  A node's score is the
 children's densities; the best node is the content, together with whatever hangs on the way from it to the body and is at
 least as dense as the least dense node of that way.  Elements that are never main text (menus, headers, footers,
 sidebars, forms, scripts, adverts, notices, reader comments) carry no characters, so they win nothing and are not printed.
+A class, an id or a form says so of a whole element only where the element does not hold the article or main, nor (reader
+comments aside) most of the text of the article, or of the page where there is none; there density decides.
 
 Defined results: null or empty html, or a page without text, gives an empty string; bytes after unclosed markup
 are read as far as they go; repeated rows are extracted one by one; pages of any size are read whole, without recursion; an
@@ -34,39 +36,47 @@ INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s
 ENDS_P = BLOCK - {"body", "html", "br", "button", "caption", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|comments?|commentlist|disqus|replies|reply|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend\w*|share|sharing|social|widget|pagination|pager|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.I,
-)
+_NAMES = r"(?:ads?|adv|advert[a-z0-9]*|sponsor[a-z0-9]*|promo[a-z0-9]*|banner|sidebar|side|menu|nav[a-z0-9]*|breadcrumbs?|footer|foot|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend[a-z0-9]*|share|sharing|social|widget|pagination|pager|toolbar|skip|hidden)"
+_COMMENT_NAMES = r"(?:comments?|commentlist|disqus|replies|reply)"
+#: Parts of a class that say where or of what kind an element is, not what it holds.
+_PLACES = r"(?:site|page|main|post|top|bottom|left|right|primary|secondary|global|bar|box|list|links?|section|container|wrapper|wrap|block|area|inner|item|buttons?|threads?|posts|articles|\d+)"
+#: Whole classes: names alone, or joined to each other and to places by hyphens or underscores.
+_COMMENTS = re.compile(rf"(?:^|\s)(?:{_PLACES}[_-]+)*{_COMMENT_NAMES}(?:[_-]+(?:{_PLACES}|{_COMMENT_NAMES}))*(?=\s|$)", re.I)
+_HINT = re.compile(rf"(?:^|\s)(?:{_PLACES}[_-]+)*{_NAMES}(?:[_-]+(?:{_PLACES}|{_NAMES}))*(?=\s|$)", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]|$))""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in BOILER:
-        return True
+#: What an element's own tag and attributes say: nothing, a hint that its size may refute, reader comments, never main text.
+_NONE, _HINTED, _COMMENTED, _NEVER = range(4)
+
+
+def _mark(tag: str, attributes: str) -> int:
+    if tag in BOILER and tag != "form":
+        return _NEVER
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return _HINTED if tag == "form" else _NONE
+    mark = _HINTED if tag == "form" else _NONE
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and _HINT.search(value):
-            return True
+        if name in ("class", "id"):
+            mark = max(mark, _COMMENTED if _COMMENTS.search(value) else _HINTED if _HINT.search(value) else _NONE)
         if name == "role" and value.lower() in _ROLES:
-            return True
+            mark = max(mark, _HINTED if value.lower() == "form" else _NEVER)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return _NEVER
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return _NEVER
+    return mark
 
 
 class Dom:
     """Nodes as parallel lists in page order; node 0 is the root."""
 
     def __init__(self, page: str):
-        self.tag, self.up, self.unwanted, self.link = ["#"], [-1], [False], [False]
+        self.tag, self.up, self.unwanted, self.mark, self.link = ["#"], [-1], [False], [_NONE], [False]
         #: (node, text) and (node, None) for a block's border, in page order
         self.text: list[tuple[int, str | None]] = []
         stack, pos, n = [0], 0, len(page)
@@ -104,11 +114,35 @@ class Dom:
             node, parent = len(self.tag), stack[-1]
             self.tag.append(tag)
             self.up.append(parent)
-            self.unwanted.append(self.unwanted[parent] or _unwanted(tag, attributes))
+            self.mark.append(_mark(tag, attributes))
+            self.unwanted.append(self.unwanted[parent] or self.mark[node] == _NEVER)
             self.link.append(self.link[parent] or tag == "a")
             if tag not in VOID:
                 stack.append(node)
 
+    def judge(self, sizes: list[int]) -> None:
+        """Hinted elements are unwanted, unless the characters of texts (sizes) show that they hold what the page is about."""
+        n = len(self.tag)
+        held = [0] * n
+        for (node, _), size in zip(self.text, sizes, strict=True):
+            if not self.unwanted[node]:
+                held[node] += size
+        for i in range(n - 1, 0, -1):
+            held[self.up[i]] += held[i]
+        article, main = (max((i for i in range(n) if self.tag[i] == t), key=held.__getitem__, default=0) for t in ("article", "main"))
+        around = set()
+        for i in (article, main):
+            while i > 0 and held[i]:
+                i = self.up[i]
+                around.add(i)
+        article, main = (i if held[i] else 0 for i in (article, main))
+        core = article if article and (not main or 2 * held[article] >= held[main]) else main
+        inside = [i == core for i in range(n)]
+        for i in range(1, n):
+            inside[i] = inside[i] or inside[self.up[i]]
+            refuted = i in around or self.mark[i] == _HINTED and inside[i] and 2 * held[i] > held[core]
+            self.unwanted[i] = self.unwanted[i] or self.unwanted[self.up[i]] or self.mark[i] != _NONE and not refuted
+
     def _imply(self, stack: list[int], close: set[str], limits: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             t = self.tag[stack[k]]
@@ -137,10 +171,10 @@ def extract(page: str | None) -> str:
     n = len(dom.tag)
     chars, links, tags, link_tags = [0] * n, [0] * n, [1] * n, [0] * n
     all_chars = all_links = 0
-    for node, text in dom.text:
-        if text is None:
-            continue
-        size = sum(map(len, entities.unescape(text).split())) if "&" in text else sum(map(len, text.split()))
+    sizes = [sum(map(len, (entities.unescape(text) if "&" in text else text).split())) if text else 0 for _, text in dom.text]
+    if any(dom.mark):
+        dom.judge(sizes)
+    for (node, _), size in zip(dom.text, sizes, strict=True):
         all_chars += size
         if dom.link[node]:
             all_links += size

@@ -370,6 +370,21 @@ def test_main_text(spark):
     assert html_extract.main_text(df.where("false")).count() == 0
 
 
+BODY = "<p>Long enough text of the page itself.</p><p>And some more of it here.</p>"
+HINTED = [f"<div class='{c}'>{BODY}</div>" for c in ("content has-sidebar", "no-sidebar", "page header-fixed", "widget")] + [
+    f"<form action=x><nav><a>menu</a></nav><div>{BODY}</div></form>",
+    f"<form><div class=related><article>{BODY}</article></div></form>",
+    "<article><p>Long enough text of the page itself.</p><section id='side-effects'><p>And some more of it here.</p></section></article>",
+    f"<article>{BODY}<div class='site-footer'>no</div><div class='post-comments'><p>{'I liked this very much indeed. ' * 9}</p></div></article>",
+    f"<div class='related-posts'>{'<article>teaser</article>' * 20}</div><article>{BODY}</article>",
+]
+
+
+@pytest.mark.parametrize("page", HINTED)
+def test_main_text_inside_hinted_wrappers(page):
+    assert html_extract.extract(f"<html><body>{page}</body></html>") == "Long enough text of the page itself. And some more of it here."
+
+
 def test_main_text_of_deep_pages():
     assert html_extract.extract("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
 

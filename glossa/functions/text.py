@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -319,45 +320,73 @@ def gap_decode(gaps: Column) -> Column:
     return F.transform(gaps, lambda x, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0).cast("long"), lambda a, b: a + b))
 
 
-def common_subsequence_udf():
-    """Length of the longest common subsequence of two strings."""
+#: Characters whose places are one integer's bits.
+_BITS = 4096
+
+
+def common_subsequence(x: str, y: str) -> int:
+    """Columns of the edit table as bits, y in blocks: the bits carried out of a block are kept for each character of x."""
+    carry, total = bytearray(len(x)), 0
+    for k in range(0, len(y), _BITS):
+        block = y[k : k + _BITS]
+        width, places = len(block), {}
+        for i, c in enumerate(block):
+            places[c] = places.get(c, 0) | 1 << i
+        full = free = (1 << width) - 1
+        for j, c in enumerate(x):
+            at = places.get(c, 0)
+            match = free & at
+            if match or carry[j]:
+                new = free + match + carry[j]
+                carry[j] = new >> width
+                free = (new | (free ^ match)) & full
+        total += width - free.bit_count()
+    return total
+
+
+def common_substring(x: str, y: str) -> int:
+    """Windows of 1, 2, 4, ... characters are numbered by their halves' numbers; any length is two of these that overlap."""
+    n, m = len(x), len(y)
+    names = [np.frombuffer((x + y).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)]
+
+    def common(length: int) -> bool:
+        if length > min(n, m):
+            return False
+        k = length.bit_length() - 1
+        while len(names) <= k:
+            half = 1 << len(names) - 1
+            r = names[-1]
+            names.append(np.unique((r[:-half] << 32) | r[half:], return_inverse=True)[1])
+        r, rest = names[k], length - (1 << k)
+        pairs = (r[: len(r) - rest] << 32) | r[rest:]
+        return len(np.intersect1d(pairs[: n - length + 1], pairs[n : n + m - length + 1])) > 0
+
+    high = 1
+    while common(high):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if common(middle) else (low, middle)
+    return low
+
+
+def _of_pairs(one):
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            row = [0] * (len(y) + 1)
-            for c in x:
-                diagonal = 0
-                for j, d in enumerate(y, 1):
-                    diagonal, row[j] = row[j], diagonal + 1 if c == d else max(row[j], row[j - 1])
-            return row[-1]
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+        return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)])
 
     return run
 
 
+def common_subsequence_udf():
+    """Length of the longest common subsequence of two strings."""
+    return _of_pairs(common_subsequence)
+
+
 def common_substring_udf():
     """Length of the longest common contiguous substring of two strings."""
-    @F.pandas_udf("int")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            best, row = 0, [0] * (len(y) + 1)
-            for c in x:
-                new = [0] * (len(y) + 1)
-                for j, d in enumerate(y, 1):
-                    if c == d:
-                        new[j] = row[j - 1] + 1
-                        best = max(best, new[j])
-                row = new
-            return best
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-    return run
+    return _of_pairs(common_substring)
 
 
 def acronym_of(phrase: Column) -> Column:

@@ -178,8 +178,8 @@ def word_shape_known(spark, sf_dir):
 
 @query()
 def lcs_lengths(spark, sf_dir):
-    """Common subsequence and substring lengths of the texts' heads with the next document's."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("a"))
+    """Common subsequence and substring lengths of the whole texts with the next document's."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
     p = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
     return p.select("doc_id", T.common_subsequence_udf()("a", "b").alias("lcs"), T.common_substring_udf()("a", "b").alias("contiguous"))
 

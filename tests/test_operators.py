@@ -266,3 +266,26 @@ def test_results_do_not_hang_on_partitioning(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     count = lambda d: sorted(map(tuple, context.occurrence_patterns(context.tokenise(d)).groupBy("pattern").count().collect()))
     assert count(docs.repartition(1)) == count(docs.repartition(17))
+
+
+def test_lcs_of_whole_texts(spark, tmp_path):
+    import random
+
+    from glossa.plans import catalogue
+
+    def by_hand(x, y):
+        row, run, best = [0] * (len(y) + 1), [0] * (len(y) + 1), 0
+        for c in x:
+            row, old, run, last = [0] * (len(y) + 1), row, [0] * (len(y) + 1), run
+            for j, d in enumerate(y, 1):
+                row[j] = old[j - 1] + 1 if c == d else max(old[j], row[j - 1])
+                run[j] = last[j - 1] + 1 if c == d else 0
+            best = max(best, *run)
+        return row[-1], best
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("abé😀 ") for _ in range(n)) for n in (300, 700, 1, 90)]
+    texts += ["", "x" * 70 + "tail", "y" * 70 + "tail", *("".join(r.choice("abcd") for _ in range(n)) for n in (150, 4500))]  # the last has more than one block
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x[0]: tuple(x[1:]) for x in catalogue.QUERIES["lcs_lengths"](spark, str(tmp_path)).collect()}
+    assert got == {k: by_hand(texts[k], texts[k + 1]) for k in range(len(texts) - 1)} and got[5] == (4, 4)

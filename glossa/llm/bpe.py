@@ -9,7 +9,7 @@ the token-byte table, whose size the vocabulary bounds.
 
 Blocks are formed from scan batches, and both passes over the input form them again; a block's name is a
 hash of its contents, so blocks that do not come out alike find no partner and the job fails instead
-of returning wrong ids.  Give `encode` a stable input (files or a written table).
+of returning wrong ids.  An input that is more than files under projections and filters is first written once.
 
 Defined results: null text is an empty text, with no ids; rows with equal ids or texts are encoded one by one;
 a text that starts or ends with white space, or has runs of it, takes the plain path over the whole text;
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import U64, blocks, need, plan_bytes, planes, slices, squeezed, string_hashes, trimmed, trimmed_group, unplaned, unsqueezed
+from glossa.llm.common import U64, blocks, need, plan_bytes, planes, slices, squeezed, stable, string_hashes, trimmed, trimmed_group, unplaned, unsqueezed
 
 #: White space as the vocabularies' pattern means it (Unicode White_Space), in place of a library's own \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -200,7 +200,7 @@ def _assemble(key, docs: pa.Table, words: pa.Table) -> pa.Table:
 
 def encode(df: DataFrame, path: str, source: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one row a row of df."""
-    base = need(df, "doc_id", "text")
+    base = stable(need(df, "doc_id", "text"))
     bits = max(4, (plan_bytes(base) // (4 << 20)).bit_length())
     words = base.mapInArrow(trimmed(_words(source, bits)), "bucket long, block long, sizes binary, data binary")
     coded = words.groupBy("bucket").applyInArrow(trimmed_group(_encode(path, source)), "block long, bucket long, counts binary, ids binary")

@@ -1,10 +1,9 @@
 """Shared parts of the corpus operators: column guards, shared-folder tables, hashed
 word arithmetic over whole Arrow batches, and distributed connected components.
 
-Word arithmetic never loops over words in Python.  A batch of texts becomes one byte
-buffer; word borders come from a mask and word hashes from a prefix sum of
-``T[byte] * B**i`` modulo 2**64, so a word's hash is a difference of two prefix values
-times an inverse power (the Rabin-Karp identity).
+A batch of texts becomes one byte buffer; word borders come from a mask, a batch's distinct words are found by Arrow's
+dictionary and hashed once each by xxh3, and windows of words are Rabin-Karp hashes modulo the prime 2**61 - 1.  (A modulus that is a
+power of two has texts of two letters that collide for every base, Thue and Morse's; a prime has none.)
 """
 
 from __future__ import annotations
@@ -25,9 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+_P = (1 << 61) - 1
+_BASES = 0x1E3779B97F4A7C15 % _P, 0x0D6E8FEB86659FD9 % _P
 #: Bytes that part words: space and \x09-\x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -44,55 +42,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-_powers: dict[int, np.ndarray] = {}
+def _below(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & U64(_P)) + (x >> U64(61))
+    return np.where(x >= U64(_P), x - U64(_P), x)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and doubled as longer runs are asked for."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.ones(1 << max(10, int(n - 1).bit_length()), dtype=U64)
-        size, step = 1, base & _MASK
-        while size < len(out):
-            out[size : 2 * size] = out[:size] * U64(step)
-            size, step = 2 * size, step * step & _MASK
-        _powers[base] = have = out
-    return have[:n]
+def _times(x: np.ndarray, by: int) -> np.ndarray:
+    """x * by, of values below 2**61 - 1: less than 2**63, congruent, not reduced."""
+    half, low = U64(32), U64(0xFFFFFFFF)
+    b1, b0 = U64(by >> 32), U64(by & 0xFFFFFFFF)
+    x1, x0 = x >> half, x & low
+    middle, last = x1 * b0 + x0 * b1, x0 * b0
+    # 2**64 is 8 and 2**61 is 1 modulo 2**61 - 1
+    return x1 * b1 * U64(8) + (middle >> U64(29)) + ((middle & U64((1 << 29) - 1)) << half) + (last & U64(_P)) + (last >> U64(61))
 
 
-def rolling(values: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
-    """Rabin-Karp hashes of all windows of `width` neighbours of `values`, mixed; empty if there is none."""
+def rolling(values: np.ndarray, width: int, base: int = _BASES[0]) -> np.ndarray:
+    """Rabin-Karp hashes modulo 2**61 - 1 of all windows of `width` neighbours of `values`, mixed; empty if there is none.
+
+    A window's hash is put together from those of its two parts, so `width` costs its logarithm.
+    """
     n = len(values)
     if n < width:
         return np.empty(0, U64)
-    inverse = _INV if base == _BASE else pow(base, -1, 1 << 64)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(values * powers(base, n), out=prefix[1:])
-    return mix((prefix[width:] - prefix[: n - width + 1]) * powers(inverse, n - width + 1))
+    part, size, out, have = _below(values), 1, None, 0
+    while True:
+        if width & size:
+            if out is None:
+                out, have = part, size
+            else:
+                out = _below(_times(out[: n - have - size + 1], pow(base, size, _P)) + part[have:])
+                have += size
+        if 2 * size > width:
+            return mix(out)
+        part = _below(_times(part[:-size], pow(base, size, _P)) + part[size:])
+        size *= 2
 
 
 def string_hashes(x: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string (no nulls), from the buffers alone."""
-    x = x.cast(pa.large_binary())
-    offsets = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
-    if not len(x) or offsets[-1] == offsets[0]:
-        return mix(np.zeros(len(x), U64))
-    data = np.frombuffer(x.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    at = offsets - offsets[0]
-    prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=prefix[1:])
-    return mix((prefix[at[1:]] - prefix[at[:-1]]) * powers(_INV, len(data) + 1)[at[:-1]] + np.diff(at).astype(U64))
+    """A 64-bit hash of each string (no nulls)."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, x.cast(pa.large_binary()).to_pylist()), U64, len(x))
 
 
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts (null: empty).
 
     buf: all bytes, a space after each text; start, end: byte borders of words;
-    hash: one 64-bit value a word; doc: word offsets of texts (length texts + 1).
+    hash: one 64-bit value a word (xxh3; if `wide`, the first half of 128 bits, `other` the second); doc: word offsets of texts (length texts + 1).
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    other: np.ndarray | None = None
+
+    def __init__(self, texts: pa.Array, lower: bool = False, wide: bool = False):
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         if texts.null_count:
             texts = texts.fill_null("")
@@ -108,19 +110,24 @@ class Words:
         inside = ~_SPACE[self.buf]
         edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        prefix = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum(_TABLE[self.buf] * powers(_BASE, len(self.buf)), out=prefix[1:])
-        length = (self.end - self.start).astype(U64)
-        self.hash = mix((prefix[self.end] - prefix[self.start]) * powers(_INV, len(self.buf) + 1)[self.start] + length)
         self.doc = np.concatenate([[0], np.searchsorted(self.start, self.text_end)]).astype(np.int64)
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all word windows that lie within one text, and their first words' numbers."""
-        every = rolling(self.hash, width)
+        at = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(at), pa.py_buffer(self.buf[inside])]).dictionary_encode()
+        number = words.indices.to_numpy()
+        if wide:
+            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), U64).reshape(-1, 2)
+            self.hash, self.other = both[number, 0], both[number, 1]
+        else:
+            self.hash = string_hashes(words.dictionary)[number]
+
+    def windows(self, width: int) -> tuple[np.ndarray, ...]:
+        """Hashes of all word windows that lie within one text, a second, independent hash if the words are `wide`, and their first words' numbers."""
         count = np.diff(self.doc)
-        last = np.repeat(self.doc[1:], count)[: len(every)]
-        at = np.flatnonzero(np.arange(len(every)) + width <= last)
-        return every[at], at
+        at = np.arange(max(0, len(self.hash) - width + 1))
+        at = at[at + width <= np.repeat(self.doc[1:], count)[: len(at)]]
+        if self.other is None:
+            return rolling(self.hash, width)[at], at
+        return rolling(self.hash, width)[at], rolling(self.other, width, _BASES[1])[at], at
 
 
 def trim() -> None:
@@ -181,6 +188,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df if it is files under projections and filters alone, so that every pass has the same rows in the same order; else df written once."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    fixed = plan.deterministic()
+    while fixed and plan.children().length() == 1:
+        fixed = plan.nodeName() in ("Project", "Filter")
+        plan = plan.children().apply(0)
+    return df if fixed and plan.nodeName() == "LogicalRelation" else written(df)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; for a scan the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -212,9 +229,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     def close():
         table = pa.Table.from_batches(held).combine_chunks()
         h = xxhash.xxh64(seed=7)
-        for values in (c.chunk(0) for c in table.columns):
-            h.update(values.is_null().cast(pa.uint8()).to_numpy().tobytes())
-            for b in (values if not values.null_count else values.fill_null("" if pa.types.is_string(values.type) else 0)).buffers()[1:]:
+        for values in (table.column(c).chunk(0) for c in ("doc_id", column)):
+            h.update(values.is_null().cast(pa.uint8()).to_numpy(zero_copy_only=False).tobytes())
+            if pa.types.is_string(values.type):
+                values = values.fill_null("")
+                h.update(pa.compute.binary_length(values).to_numpy().tobytes())
+            elif values.null_count:
+                values = values.fill_null(pa.scalar(0).cast(values.type))
+            for b in values.buffers()[1 + pa.types.is_string(values.type) :]:
                 h.update(b or b"")
         return int(np.uint64(h.intdigest()).astype(np.int64)), table
 

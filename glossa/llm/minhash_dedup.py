@@ -55,9 +55,13 @@ def _sketch(width: int, k: int):
     def run(batches):
         for batch in slices(batches, "text"):
             n, key, sketch = [], [], []
-            for s in shingle_sets(Words(batch.column("text"), lower=True), width):
+            words = Words(batch.column("text"), lower=True)
+            for i, s in enumerate(shingle_sets(words, width)):
                 n.append(len(s))
-                key.append(xxhash.xxh128_digest(s.tobytes()))
+                # a set of one shingle is known by its words themselves, so that short texts have 128 bits too
+                a = int(words.doc[i])
+                one = words.buf[words.start[a] : words.end[min(a + width, int(words.doc[i + 1])) - 1]].tobytes() if len(s) == 1 else None
+                key.append(xxhash.xxh128_digest(s.tobytes() if one is None else b" ".join(one.split()), seed=len(s)))
                 sketch.append(s[:k].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n", "set_key", "sketch"])
 

@@ -152,8 +152,31 @@ def test_substrings(odd, width):
 
 
 def test_substrings_over_block_borders(odd):
-    blocks = lambda n: sorted((r["key"], bytes(r["cuts"])) for r in substring_dedup.intervals(odd.select("doc_id", "text").withColumn("key", substring_dedup._key()), 35, block=n).collect())
-    assert blocks(50) == blocks(1 << 20)
+    rows = [sorted(map(tuple, substring_dedup.remove(odd, 35, block=n).collect()), key=repr) for n in (300, 4 << 20)]
+    assert rows[0] == rows[1]
+
+
+def morse(n):
+    """Words of n letters that collide under every polynomial modulo a power of two."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_collide_modulo_powers_of_two(spark, n):
+    a, b = morse(n)
+    same_34 = " ".join(f"w{i}" for i in range(34))
+    texts = [a, b, f"{same_34} {a}", f"{same_34} {b}", " ".join(a), " ".join(b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_removed"] for r in sorted(substring_dedup.digest(df.where("doc_id < 4")).collect())] == [0, 0, 0, 0]
+    assert sorted((r[0], tuple(r)[1:]) for r in substring_dedup.digest(df).collect()) == list(enumerate(removed_by_hand([words_of(t) for t in texts], 35)))
+    got = {r[0]: tuple(r)[1:] for r in minhash_dedup.classes(df, 3, 85).collect()}
+    assert got == classes_by_hand(list(enumerate(texts)), 3, 85) and got[0][1] != got[1][1]
+
+
+def test_substrings_keep_the_kind_of_ids(spark):
+    df = spark.createDataFrame([("a", prose(1, 80)), (None, prose(1, 80)), ("b", None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in substring_dedup.digest(df).collect()} == {("a", 80), (None, 80), ("b", 0)}
 
 
 def test_substrings_same_rows_as_sql(spark, sf):

@@ -495,6 +495,30 @@ def test_embeddings(spark, leaf):
     assert embedding_dedup.classes(df.where("false")).count() == 0
 
 
+def planted(n, dims, pairs, seed):
+    """n random directions, of which `pairs` have a partner at a cosine just over the threshold, and a cluster of 300 that all link."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(n - pairs - 300, dims)))
+    turn = rng.normal(size=(pairs, dims))
+    base = x[:pairs]
+    turn = unit(turn - (turn * base).sum(1, keepdims=True) * base)
+    return np.concatenate([x, 0.931 * base + (1 - 0.931**2) ** 0.5 * turn, unit(x[-1] + 0.02 * rng.normal(size=(300, dims)))])
+
+
+@pytest.mark.parametrize(("n", "rounds"), [(5_000, 8), (20_000, 8), (20_000, 3)])
+def test_embedding_recall_and_pairs_compared(spark, monkeypatch, n, rounds):
+    monkeypatch.setattr(embedding_dedup, "STEP", rounds)
+    x = planted(n, 64, 1000, n)
+    df = spark.createDataFrame([(i, v.tolist(), 7_000_000_000) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label long").repartition(4)
+    want = np.concatenate([(x[k : k + 2000] @ x.T >= 0.93).sum(1) - 1 for k in range(0, n, 2000)])
+    got = embedding_dedup.classes(df).toPandas().sort_values("vec_id")
+    assert (got.n_links.to_numpy() <= want).all() and got.n_links.sum() >= 0.995 * want.sum()
+    leaves = embedding_dedup.routed(df.select("label", F.lit(64).alias("dims"), "embedding", "vec_id", F.lit(1).cast("long").alias("weight"))).groupBy("leaf").count().toPandas()["count"]
+    share = (leaves * (leaves - 1)).sum() / (n * (n - 1))
+    assert share < (0.5 if n == 5_000 else 0.3), share
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@ tables, further columns with clashing names."""
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -408,6 +409,100 @@ def test_main_text_inside_hinted_wrappers(page):
     assert html_extract.extract(f"<html><body>{page}</body></html>") == "Long enough text of the page itself. And some more of it here."
 
 
+MORE = "<p>Long enough text of the page itself, which goes on for some time.</p><p>And some more of it here, so that there is a body.</p><p>Short.</p>"
+PLAIN = "Long enough text of the page itself, which goes on for some time. And some more of it here, so that there is a body. Short."
+SHAPES = [
+    (f"<article><header><h1>The Title</h1></header>{MORE}</article>", f"The Title {PLAIN}"),
+    (f"<article>{MORE}<p>Let <math><mi>x</mi></math> be. <label>Fig</label> 1</p></article>", f"{PLAIN} Let x be. Fig 1"),
+    (f"<div class='naval-history'>{MORE}</div>", PLAIN),
+    (f"<div class=promontory>{MORE}</div>", PLAIN),
+    (f"<nav><a>x</a></nav><div><h1>Title</h1>{MORE}</div><div>Copyright 2020 Foo</div>", f"Title {PLAIN}"),
+    (f"{MORE}<div>Copyright 2020</div>", PLAIN),
+    (f"<article><h1>Title here</h1><div>{MORE}</div><p>End.</p></article>", f"Title here {PLAIN} End."),
+    (f"<article><section>{MORE}</section><section>{MORE}</section></article>", f"{PLAIN} {PLAIN}"),
+    (f"<div><h1>Title</h1>{MORE}<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div>", f"Title {PLAIN}"),
+    (f"<main><h1>T</h1><div class=body>{MORE}</div><div class=sidebar><p>Other stories you may like that are long.</p></div></main>", f"T {PLAIN}"),
+    (f"<div class=post>{MORE}</div><div class=comments>{'<p>First! I liked this very much indeed, thank you all.</p>' * 5}</div>", PLAIN),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHAPES)
+def test_main_text_of_shapes(page, text):
+    assert html_extract.extract(f"<html><body>{page}</body></html>") == text
+
+
+def random_page(rng, depth=0):
+    """A well-formed tree of sections, paragraphs and links: (tag, [text or tree])."""
+    if depth == 3 or depth and rng.random() < 0.4:
+        words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 999, n))
+        parts = [words(rng.integers(1, 40))]
+        if rng.random() < 0.4:
+            parts += [("a", [words(rng.integers(1, 6))]), words(rng.integers(1, 9))]
+        return "p", parts
+    return "div", [random_page(rng, depth + 1) for _ in range(rng.integers(1, 5))]
+
+
+def best_by_hand(page):
+    """The node of the greatest density sum, written out from the definition on trees."""
+    def size(t, linked=False):
+        if isinstance(t, str):
+            k = len("".join(t.split()))
+            return np.array([k, k * linked, 0, 0])
+        linked = linked or t[0] == "a"
+        return sum((size(c, linked) for c in t[1]), np.array([0, 0, 1, int(t[0] == "a")]))
+
+    whole = size(page)
+
+    def density(t):
+        c, lc, tags, lt = map(int, size(t, False))
+        lc = c if t[0] == "a" else lc
+        base = np.log(c / max(1, c - lc) * lc + whole[1] / whole[0] * c + np.e)
+        return c / tags * np.log(max(1, c / max(1, lc) * tags / max(1, lt))) / np.log(base + 1)
+
+    def score(t):
+        own = sum(len("".join(c.split())) for c in t[1] if isinstance(c, str))
+        return sum(density(c) for c in t[1] if not isinstance(c, str)) + (min(density(t), own) if own else 0)
+
+    def nodes(t):
+        yield t
+        for c in t[1]:
+            if not isinstance(c, str):
+                yield from nodes(c)
+
+    return max(nodes(page), key=score)
+
+
+def test_densities_by_hand():
+    rng = np.random.default_rng(3)
+    show = lambda t: t if isinstance(t, str) else f"<{t[0]}>{' '.join(map(show, t[1]))}</{t[0]}>"
+    text = lambda t: t if isinstance(t, str) else " ".join(map(text, t[1]))
+    for _ in range(200):
+        page = ("body", [random_page(rng) for _ in range(rng.integers(1, 4))])
+        got, want = html_extract.extract(f"<html>{show(page)}</html>"), text(best_by_hand(page))
+        assert want in got or html_extract.extract(f"<html><body>{show(best_by_hand(page))}</body></html>") in got, show(page)
+
+
+@pytest.mark.parametrize("page", ["<span>" * 40_000 + "</div>" * 40_000, "<ul><article>" + "<span>" * 60_000 + "</ul>" * 60_000, "<b>" * 100_000 + "</i>" * 100_000, "<li><p>" * 100_000, '<a "' * 200_000])
+def test_hostile_markup_takes_linear_time(page):
+    start = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - start < 5  # well below a second on a free machine; a walk over open elements took minutes
+
+
+def test_main_text_without_tags_that_name_the_article(spark, sf):
+    import html
+
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        page = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_extract.extract(page) == " ".join(html.unescape(re.sub("<[^>]*>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", " ", body))).split())
+
+
+def test_main_text_of_repeated_pages(spark):
+    df = spark.createDataFrame([(1, "u", MORE), (1, "u", MORE), (None, None, MORE)], "page_id long, url string, html string")
+    assert [r["text"] for r in html_extract.main_text(df).collect()] == [PLAIN] * 3
+
+
 def test_main_text_of_deep_pages():
     assert html_extract.extract("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
 

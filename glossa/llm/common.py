@@ -42,6 +42,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, U64))
+
+
+def powers(at: np.ndarray) -> np.ndarray:
+    """A fixed odd 64-bit number for each place in a string; places far out are mixed anew."""
+    return _POWERS[at & 0xFFF] ^ mix((at >> 12).astype(U64) << U64(1)) if len(at) and at.max() >> 12 else _POWERS[at]
+
+
 def _below(x: np.ndarray) -> np.ndarray:
     """x modulo 2**61 - 1."""
     x = (x & U64(_P)) + (x >> U64(61))

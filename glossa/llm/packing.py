@@ -1,9 +1,15 @@
 """Lexical retrieval packing: neighbours found by BM25 fill the window that a seed document opened.
 
-Documents form shards of about `shard_bytes` of text, each within one scan task, so nothing is
-shuffled.  A shard has its own inverted index: a term's postings with BM25 weights from the shard's own
-document frequencies and lengths.  Terms found in one document only can rank no other and are not indexed;
-all others are.  A window is opened by a seed (a document not
+1. One pass counts, over all documents, in how many each term occurs, and the documents, their terms and bytes.  Counts are kept for `CELLS`
+   hash values of terms, so their size is fixed and they can be sent to all tasks; two terms in one cell share its count, which
+   moves a term's weight by the logarithm alone.
+2. The index is sharded by content.  A document goes by its topic, the term whose document frequency is nearest to a shard's number of documents, and within
+   that by the next such term; so documents that share a fitting term stand together wherever they come from.  A term in more documents than
+   a shard holds is dealt over as many groups as it takes, so a third of all documents being copies makes many even groups.  This is the one shuffle of texts.
+3. A shard is a run of about `shard_bytes` of a task's sorted documents.  It has its own inverted index: a term's postings with BM25 weights from the
+   corpus' document frequencies and mean length.  Terms found in one document of the shard can rank no other there and are not indexed; all others are.
+
+A window is opened by a seed (a document not
 used yet, or the rest of one that was cut); when the seed ends before the window does, the
 index is asked with the seed's terms, and unused neighbours follow by falling score until the window is full.
 Without a neighbour the next unused document follows.  The last document of a window is cut at its end
@@ -14,7 +20,8 @@ Ids are those of the `tokenizers` library for the vocabulary, found once a disti
 a shard through the same vocabulary as ranks; texts that hold a special token's string go through the library itself.
 
 Defined results: null text is empty, so the document is its end id alone; repeated rows are packed one by
-one; ties in score go to the earlier document; an empty table gives an empty table; texts are used whole.
+one; ties in score go to the earlier document of the shard, ties between topics to the smaller hash; an empty table gives an empty table; texts are used
+whole, a long one alone may exceed a shard's size; doc_id may be of any simple type, null too; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +36,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from glossa.llm.bpe import encoder
-from glossa.llm.common import need, slices, trimmed
+from glossa.llm.bpe import encoder, token_bytes
+from glossa.llm.common import U64, mix, need, planes, powers, slices, spread, stable, trimmed, trimmed_group, unplaned
 
 SHARD_BYTES = 4 << 20
 LENGTH = 1024
 K1, B = 1.2, 0.75
-_CACHE = 100_000
+#: Counted hash values of terms, and the parts in which their counts travel.
+CELLS, _PARTS = 1 << 20, 64
 
 
 @functools.cache
@@ -53,63 +63,177 @@ def special_tokens(path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
+def _chunks(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Texts cut at single spaces: chunk numbers in order, the distinct chunks, and the chunk offsets of texts."""
+    split = pc.split_pattern(texts.fill_null("").cast(pa.large_string()), " ")
+    offsets = np.asarray(split.offsets)
+    coded = split.flatten().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, offsets - offsets[0]
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of strings, and the places where they begin and the last ends."""
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    data = strings.buffers()[2] if len(strings) else None
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8), at - at[0]
+
+
+def term_hashes(terms: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each term, by array arithmetic; good for counting and dealing, not for telling terms apart."""
+    data, at = _bytes_of(terms)
+    size = np.diff(at)
+    weighted = mix(data.astype(U64) + U64(1)) * powers(np.arange(len(data)) - np.repeat(at[:-1], size))
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(weighted)])
+    return mix(total[at[1:]] - total[at[:-1]] + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
 class Coder:
     """Ids of whole texts, by chunks between single spaces, which stand alone unless white space is at their edges."""
 
     def __init__(self, path: str, ranks: str, source: str):
         self.path, self.special = path, special_tokens(path)
         self.one = encoder(ranks, source).encode_ordinary
-        self.known: dict[str, list[int]] = {}
+        self.width = np.fromiter(map(len, token_bytes(ranks)), np.int64)
 
     def text(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(library(self.path).encode(text, add_special_tokens=False).ids, np.int32)
         return np.array(self.one(text), np.int32)
 
-    def shard(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Each text's ids; chunk numbers in order; the chunk offsets of texts."""
-        texts = texts.fill_null("").cast(pa.large_string())
-        split = pc.split_pattern(texts, " ")
-        offsets = np.asarray(split.offsets)
-        offsets = offsets - offsets[0]
-        coded = split.flatten().dictionary_encode()
-        chunk = coded.indices.to_numpy(zero_copy_only=False)
-        values = coded.dictionary.to_pylist()
-        edge = np.array([not v or v[0].isspace() or v[-1].isspace() for v in values], bool)
+    def _edges(self, chunks: pa.Array) -> np.ndarray:
+        """Chunks that are empty, start or end with white space, or hold a special token's string."""
+        data, at = _bytes_of(chunks)
+        edge = np.diff(at) == 0
+        some = np.flatnonzero(~edge)
+        first, last = data[at[:-1][some]], data[at[1:][some] - 1]
+        # plain marks, digits and letters are no white space; the rest is looked at one by one
+        for i in some[(first < 0x21) | (first > 0x7E) | (last < 0x21) | (last > 0x7E)].tolist():
+            v = chunks[i].as_py()
+            edge[i] = v[0].isspace() or v[-1].isspace()
         for s in self.special:
-            edge |= np.array([s in v for v in values], bool)
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        known, one = self.known, self.one
-        ids = []
-        for v in values:
-            x = known.get(v)
-            if x is None:
-                x = known[v] = one(" " + v)
-            ids.append(x)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))
+            edge |= pc.match_substring(chunks, s).to_numpy(zero_copy_only=False)
+        return edge
+
+    def _each(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + chunk for chunks that stand alone, all in one text: flat ids and their number for each chunk."""
+        if not len(chunks):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), pa.scalar(" ", pa.large_string()))[0].as_py()
+        flat = np.array(self.one(" " + joined), np.int32)
+        end, border = np.cumsum(self.width[flat]), np.cumsum(np.diff(_bytes_of(chunks)[1]) + 1)
+        stop = np.searchsorted(end, border)
+        if (end[stop] != border).any():
+            raise RuntimeError("a token runs over a space between chunks: the pattern does not cut there")
+        return flat, np.diff(stop + 1, prepend=0)
+
+    def shard(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, pa.Array]:
+        """Each text's ids; chunk numbers in order; the chunk offsets of texts; the distinct chunks."""
+        chunk, values, offsets = _chunks(texts)
+        edge = self._edges(values)
+        flat, some = self._each(values.filter(pa.array(~edge)))
+        count = np.zeros(len(values), np.int64)
+        count[~edge] = some
         begin = np.cumsum(count) - count
-        spaced = np.array([" " in s for s in self.special], bool).any()
-        out = []
+        spaced = any(" " in s for s in self.special)
         odd_at = edge[chunk]
-        for i in range(len(texts)):
-            a, b = int(offsets[i]), int(offsets[i + 1])
+        odd = np.concatenate([[0], np.cumsum(odd_at)])
+        n = count[chunk]
+        n[offsets[:-1]] = 0  # a text's first chunk has no space before it
+        at = np.repeat(begin[chunk] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        every, place = flat[at], np.concatenate([[0], np.cumsum(n)])
+        out = []
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             alone = b - a == 1
-            if spaced or (odd_at[a:b].any() and not alone) or (alone and odd_at[a]):
-                out.append(self.text(texts[i].as_py()))
-                continue
-            rest = chunk[a + 1 : b]
-            n = count[rest]
-            at = np.repeat(begin[rest] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append(np.concatenate([np.array(self.one(values[chunk[a]]), np.int32), flat[at]]))
-        return out, chunk, offsets
+            if spaced or (odd[b] > odd[a] and not alone) or (alone and odd_at[a]):
+                out.append(self.text(texts[i].as_py() or ""))
+            else:
+                out.append(np.concatenate([np.array(self.one(values[int(chunk[a])].as_py()), np.int32), every[place[a] : place[b]]]))
+        return out, chunk, offsets, values
+
+
+class Corpus:
+    """What all documents say of terms: documents, mean terms, mean bytes, and for each hash value the documents that hold it."""
+
+    def __init__(self, documents: int, terms: int, size: int, cells: np.ndarray | None):
+        self.documents, self.mean, self.size = documents, terms / max(1, documents), size / max(1, documents)
+        self._packed = planes(cells.astype("<u8")) if cells is not None else None  # travels packed, is read once a worker
+        self._cells: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_cells": None}
+
+    def frequency(self, hashes: np.ndarray) -> np.ndarray:
+        if self._cells is None:
+            self._cells = unplaned(self._packed, 8).astype(np.float64)
+        return self._cells[_cell(hashes)]
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(task, part, documents, terms, size, cells) of a task's documents."""
+    cells, documents, terms, size, task = np.zeros(CELLS, "<u8"), 0, 0, 0, TaskContext.get().partitionId()
+    for batch in slices(batches, "text"):
+        texts = batch.column("text")
+        chunk, values, offsets = _chunks(texts)
+        width = max(1, len(values))
+        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets)) * width + chunk) % width
+        cells += np.bincount(_cell(term_hashes(values))[pairs], minlength=CELLS).astype("<u8")
+        documents, terms, size = documents + len(texts), terms + len(chunk), size + texts.nbytes
+    if documents:
+        yield _parts(task, documents, terms, size, cells)
+
+
+def _parts(task: int, documents: int, terms: int, size: int, cells: np.ndarray) -> pa.RecordBatch:
+    one = [1, *[0] * (_PARTS - 1)]  # the sums stand in the first part alone
+    columns = [[task] * _PARTS, list(range(_PARTS)), *([x * k for k in one] for x in (documents, terms, size)), [planes(x) for x in np.split(cells, _PARTS)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 5, pa.binary()], strict=True)], ["task", "part", "documents", "terms", "size", "cells"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    cells = np.zeros(CELLS // _PARTS, "<u8")
+    for b in table.column("cells").to_pylist():
+        cells += unplaned(b, 8)
+    row = [[table.column("task")[0].as_py()], [table.column("part")[0].as_py()], *([pc.sum(table.column(c)).as_py()] for c in ("documents", "terms", "size"))]
+    return pa.table([*(pa.array(x, pa.int64()) for x in row), pa.array([planes(cells)], pa.binary())], names=["task", "part", "documents", "terms", "size", "cells"])
+
+
+def corpus(df: DataFrame) -> Corpus:
+    """Counts over all documents of df (text).  Summed in two steps over parts of the cells; what reaches the driver is `CELLS` counts, whatever the input."""
+    schema = "task long, part long, documents long, terms long, size long, cells binary"
+    rows = df.select("text").mapInArrow(trimmed(_counts), schema)
+    first = rows.withColumn("task", F.floor(F.col("task") / 64)).groupBy("task", "part").applyInArrow(trimmed_group(_summed), schema)
+    found = first.groupBy("part").applyInArrow(trimmed_group(_summed), schema).orderBy("part").collect()
+    cells = np.concatenate([unplaned(bytes(r["cells"]), 8) for r in found]) if found else np.zeros(CELLS, "<u8")
+    return Corpus(*(sum(r[c] for r in found) for c in ("documents", "terms", "size")), cells)
+
+
+def topics(texts: pa.Array, about: Corpus, fit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's topic, the next one, and the documents that hold the first: terms whose frequency is nearest to `fit`, ties to the smaller hash."""
+    chunk, values, offsets = _chunks(texts)
+    hashes = term_hashes(values)
+    often = np.maximum(about.frequency(hashes), 1)
+    far = np.minimum(np.abs(np.log2(often / fit)) * 1024, 65_535).astype(U64)
+    rank = (far << U64(48) | hashes >> U64(16))[chunk]
+    begin = offsets[:-1]
+    best = np.minimum.reduceat(rank, begin) if len(begin) else rank
+    last = np.uint64(0xFFFFFFFFFFFFFFFF)
+    own = np.repeat(best, np.diff(offsets))
+    following = np.minimum.reduceat(np.where(rank == own, last, rank), begin) if len(begin) else rank
+    held = np.maximum.reduceat(np.where(rank == own, often[chunk], 0), begin) if len(begin) else np.empty(0)
+    return best, following, held
 
 
 class Index:
-    """BM25 weights of a shard's terms: postings, or a row over all documents where a term is in more than an eighth of them."""
+    """BM25 weights of a shard's terms: postings, or a row over all documents where a term is in more than an eighth of them.
+
+    `often`: the documents of the corpus that hold each chunk; without it and `about` the shard is the corpus.
+    """
 
-    def __init__(self, chunk: np.ndarray, offsets: np.ndarray):
+    def __init__(self, chunk: np.ndarray, offsets: np.ndarray, about: Corpus | None = None, often: np.ndarray | None = None):
         n = len(offsets) - 1
         words = np.diff(offsets)
         width = int(chunk.max()) + 1 if len(chunk) else 1
@@ -118,8 +242,9 @@ class Index:
         df = np.bincount(term, minlength=width)
         keep = df[term] > 1
         doc, term, tf = doc[keep], term[keep], tf[keep]
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / max(words.mean(), 1e-9)))
+        every, often, mean = (about.documents, np.maximum(often, df), about.mean) if about else (n, df, words.mean())
+        idf = np.log1p((np.maximum(every - often, 0) + 0.5) / (often + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / max(mean, 1e-9)))
         self.n, self.terms = n, term
         self.of_doc = np.searchsorted(doc, np.arange(n + 1))
         wide = df > max(8, n // 8)
@@ -188,11 +313,33 @@ def fill(tokens: np.ndarray, index: Index, length: int = LENGTH) -> list[list[tu
     return windows
 
 
+def grouped(df: DataFrame, about: Corpus, shard_bytes: int) -> DataFrame:
+    """df (doc_id, text), dealt and sorted by topics."""
+    fit = max(1.0, shard_bytes / max(1.0, about.size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text"):
+            best, following, held = topics(batch.column("text"), about, fit)
+            tie = mix(np.arange(row, row + batch.num_rows).astype(U64))
+            row += batch.num_rows
+            salt = tie % np.ceil(held / fit).clip(1).astype(U64)
+            keys = [pa.array(x.view(np.int64)) for x in (best, salt, following, tie)]
+            yield pa.RecordBatch.from_arrays([*keys, *batch.columns], ["topic", "salt", "following", "tie", *batch.schema.names])
+
+    keys = [StructField(c, LongType()) for c in ("topic", "salt", "following", "tie")]
+    parts = spread(df, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.mapInArrow(trimmed(run), StructType([*keys, *df.schema.fields])).repartition(parts, "topic", "salt")
+    return dealt.sortWithinPartitions("topic", "salt", "following", "tie").select(*df.columns)
+
+
 _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pack(df: DataFrame, path: str, ranks: str, source: str, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian unsigned 32-bit)."""
+    base = stable(need(df, "doc_id", "text"))
+    about = corpus(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, ranks, source)
@@ -203,10 +350,10 @@ def pack(df: DataFrame, path: str, ranks: str, source: str, length: int = LENGTH
             nonlocal first
             table = pa.Table.from_batches(held).combine_chunks()
             texts = table.column("text").chunk(0)
-            ids, chunk, offsets = coder.shard(texts)
+            ids, chunk, offsets, terms = coder.shard(texts)
             ids = [np.append(x, 0).astype("<u4") for x in ids]
             tokens = np.array([len(x) for x in ids], np.int64)
-            windows = fill(tokens, Index(chunk, offsets), length)
+            windows = fill(tokens, Index(chunk, offsets, about, about.frequency(term_hashes(terms))), length)
             rows, at, crc, sequence, data = [], [], [], [], []
             for w in windows:
                 offset = 0
@@ -238,9 +385,8 @@ def pack(df: DataFrame, path: str, ranks: str, source: str, length: int = LENGTH
         if held:
             yield from close()
 
-    base = need(df, "doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(trimmed(run), f"doc_id {kind}, {_SCHEMA}" + ", ids binary" * with_ids)
+    return grouped(base, about, shard_bytes).mapInArrow(trimmed(run), f"doc_id {kind}, {_SCHEMA}" + ", ids binary" * with_ids)
 
 
 def digest(df: DataFrame, path: str, ranks: str, source: str) -> DataFrame:

@@ -294,32 +294,110 @@ def test_packing_covers_every_id_once(odd, empty):
         assert total == 1024 or total & (total - 1) == 0
 
 
+def shard_of(texts):
+    """A shard's index with the counts of a corpus, and its texts' chunks."""
+    chunk, offsets, terms = packing.Coder(PATH, RANKS, P.PATTERN).shard(pa.array(texts))[1:]
+    return chunk, offsets, packing.term_hashes(terms)
+
+
 def test_packing_puts_neighbours_together():
     topic = lambda k, n: " ".join(f"t{k}w{i % 17}" for i in range(n))
-    texts = pa.array([topic(k % 3, 40 + k) for k in range(12)])
-    coder = packing.Coder(PATH, RANKS, P.PATTERN)
-    ids, chunk, offsets = coder.shard(texts)
-    index = packing.Index(chunk, offsets)
+    index = packing.Index(*shard_of([topic(k % 3, 40 + k) for k in range(12)])[:2])
     order = index.ask(0, np.array([i != 0 for i in range(12)]))
     assert {int(i) % 3 for i in order[:3]} == {0}
 
 
-def test_packing_ranks_copies_that_fill_a_third_of_a_shard():
+def bm25_by_hand(shard, seed, corpus):
+    """Scores of a shard's texts for a seed, with document frequencies, number and mean length of `corpus` (lists of words)."""
+    df = Counter(w for ws in corpus for w in set(ws))
+    n, mean, local = len(corpus), np.mean(list(map(len, corpus))), Counter(w for ws in shard for w in set(ws))
+    out = np.zeros(len(shard))
+    for d, ws in enumerate(shard):
+        for w in set(ws) & set(shard[seed]) if d != seed else ():
+            tf = ws.count(w)
+            if local[w] > 1:
+                out[d] += np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(ws) / mean))
+    return out
+
+
+def words_for_packing():
     copies = [f"one template that many share number {k % 5}" for k in range(20)]
-    words = [t.split(" ") for t in copies + [f"a{k} b{k % 7} c{k % 9} many" for k in range(40)]]
-    n, mean = len(words), np.mean(list(map(len, words)))
-    df = Counter(w for ws in words for w in set(ws))
-    index = packing.Index(*packing.Coder(PATH, RANKS, P.PATTERN).shard(pa.array(map(" ".join, words)))[1:])
+    shard = [t.split(" ") for t in copies + [f"a{k} b{k % 7} c{k % 9} many" for k in range(40)]]
+    return shard, shard + [f"one a{k} z{k} many others".split(" ") for k in range(50)]
+
+
+def test_packing_ranks_by_the_whole_corpus():
+    """All terms rank, those of copies that fill a third of a shard too, with the frequencies of all documents."""
+    shard, every = words_for_packing()
+    chunk, offsets, hashes = shard_of(list(map(" ".join, shard)))
+    cells = np.zeros(packing.CELLS, np.int64)
+    for ws in every:
+        np.add.at(cells, packing._cell(packing.term_hashes(pa.array(sorted(set(ws)), pa.large_string()))), 1)
+    about = packing.Corpus(len(every), sum(map(len, every)), 1, cells)
+    index = packing.Index(chunk, offsets, about, about.frequency(hashes))
     for seed in (0, 7, 25):
-        want = np.zeros(n)
-        for d, ws in enumerate(words):
-            for w in set(ws) & set(words[seed]) if d != seed else ():
-                tf = ws.count(w)
-                want[d] += np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(ws) / mean))
-        order = index.ask(seed, np.arange(n) != seed)
+        want = bm25_by_hand(shard, seed, every)
+        order = index.ask(seed, np.arange(len(shard)) != seed)
         assert sorted(order.tolist()) == np.flatnonzero(want).tolist()
         assert np.allclose(want[order], np.sort(want)[::-1][: len(order)])
-    assert set(index.ask(0, np.arange(n) != 0)[:19].tolist()) == set(range(1, 20))
+    assert set(index.ask(0, np.arange(len(shard)) != 0)[:19].tolist()) == set(range(1, 20))
+
+
+def fill_by_hand(tokens, shard, length):
+    """Windows of (document, start, length), greedily: the rest of a cut document or the next unused one is the seed, its best unused neighbours follow."""
+    left, windows, rest = list(range(len(tokens))), [], None
+    while left or rest:
+        window, room, seed, near = [], length, None, None
+        while room and (left or rest):
+            if rest:
+                (d, at), rest = rest, None
+            else:
+                if seed is not None and near is None:
+                    score = bm25_by_hand(shard, seed, shard)
+                    near = sorted((x for x in left if score[x] > 0), key=lambda x: (-score[x], x))
+                d = next((x for x in near or [] if x in left), left[0])
+                left.remove(d)
+                at = 0
+            if seed is None:
+                seed, near = d, None
+            take = min(room, tokens[d] - at)
+            window.append((d, at, take))
+            room -= take
+            if at + take < tokens[d]:
+                rest = (d, at + take)
+        windows.append(window)
+    return windows
+
+
+def test_packing_fills_greedily():
+    shard, _ = words_for_packing()
+    chunk, offsets, _ = shard_of(list(map(" ".join, shard)))
+    tokens = np.array([len(ws) * 3 + k % 4 for k, ws in enumerate(shard)])
+    got, want = packing.fill(tokens, packing.Index(chunk, offsets), 32), fill_by_hand(tokens.tolist(), shard, 32)
+    assert got[: len(want) - 1] == want[:-1] and sum(k for w in got for _, _, k in w) == tokens.sum()
+
+
+def test_packing_counts_all_documents(odd):
+    about = packing.corpus(odd)
+    words = [(t or "").split(" ") for t in [t for _, t in ODD] + ["one"]]
+    df = Counter(w for ws in words for w in set(ws))
+    assert about.documents == len(words) and about.mean == np.mean(list(map(len, words)))
+    some = pa.array(sorted(df), pa.large_string())
+    assert (about.frequency(packing.term_hashes(some)) >= [df[w] for w in sorted(df)]).all() and about.frequency(packing.term_hashes(pa.array(["one"], pa.large_string())))[0] == df["one"]
+
+
+def test_packing_finds_neighbours_in_other_partitions(spark):
+    """Documents of a topic lie in as many partitions as there are; they meet in one shard, and a group larger than a shard is dealt over several."""
+    rows = [(k, " ".join([f"topic{k % 40}"] * 3 + [f"own{k}x{i}" for i in range(30)] + ["all"])) for k in range(800)] + [(1000 + k, "the same text again and again") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    about = packing.corpus(df)
+    where = packing.grouped(common.written(df), about, 20 * 280).withColumn("p", F.spark_partition_id()).toPandas()
+    topical = where[where.doc_id < 800].assign(topic=lambda x: x.doc_id % 40)
+    together = topical.groupby("topic").p.agg(lambda p: p.value_counts().max()).sum()
+    assert together >= 0.99 * len(topical) and topical.p.nunique() > 1  # two terms in one cell may lead a document elsewhere
+    breaks = sum((np.diff(g.topic) != 0).sum() - g.topic.nunique() + 1 for _, g in topical.groupby("p"))
+    assert breaks <= 4  # and next to each other
+    assert where[where.doc_id >= 1000].p.nunique() > 1 and len(where) == len(rows)
 
 
 def test_feistel_is_a_bijection():
@@ -333,14 +411,18 @@ def test_feistel_is_a_bijection():
 def test_token_shards_round_trip(spark, odd, empty, tmp_path):
     made = token_output.shards(odd, PATH, RANKS, P.PATTERN, length=64, per_shard=8)
     token_output.write(made, str(tmp_path / "shards"))
-    rows = token_output.read(spark, str(tmp_path / "shards"), per_shard=8).toPandas().sort_values("slot")
+    rows = token_output.read(spark, str(tmp_path / "shards")).toPandas().sort_values("slot")
     n = len(rows)
     assert rows.slot.tolist() == list(range(n)) and (rows.shard_id == rows.slot // 8).all() and (rows.offset == rows.slot % 8 * 128).all()
     want = {d: ids_by_library(t) for d, t in ODD}
     for d, g in rows[rows.doc_id != 4].groupby("doc_id"):
         assert np.frombuffer(b"".join(g.sort_values("piece").ids), "<u2").tolist() == want[d]
-    resumed = token_output.read(spark, str(tmp_path / "shards"), 11, 40, per_shard=8).toPandas().sort_values("slot")
+    resumed = token_output.read(spark, str(tmp_path / "shards"), 11, 40).toPandas().sort_values("slot")
     assert resumed.slot.tolist() == list(range(11, min(40, n)))
+    wide = tmp_path / "wide"  # more sequences a shard than the default
+    token_output.write(token_output.shards(odd, PATH, RANKS, P.PATTERN, length=8, per_shard=1000), str(wide))
+    many = token_output.read(spark, str(wide)).count()
+    assert many > 1500 and sorted(r["slot"] for r in token_output.read(spark, str(wide), 999).collect()) == list(range(999, many))
     file = tmp_path / "flat.bin"
     assert token_output.export_file(spark.read.parquet(str(tmp_path / "shards")), str(file)) == file.stat().st_size == n * 128
     assert token_output.shards(empty, PATH, RANKS, P.PATTERN).count() == 0

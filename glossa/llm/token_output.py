@@ -65,7 +65,7 @@ def sequences(df: DataFrame, path: str, ranks: str, source: str, length: int = L
         for batch in slices(batches, "text"):
             if not batch.num_rows:
                 continue
-            ids, _, _ = coder.shard(batch.column("text"))
+            ids, *_ = coder.shard(batch.column("text"))
             doc, piece, data = [], [], []
             for d, x in enumerate(ids):
                 x = np.append(x, end)
@@ -111,8 +111,8 @@ def _shards(length: int, per_shard: int, kind: pa.DataType):
             out.reshape(-1)[at] = np.frombuffer(b"".join(rows[4]), "<u2")
             payload = out.tobytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([first // per_shard]), pa.array([first]), pa.array([n]), pa.array([2 * length]), pa.array([rows[1]], pa.list_(kind)), pa.array([rows[2]], pa.list_(pa.int64())), pa.array([rows[3]], pa.list_(pa.int64())), pa.array([zlib.crc32(payload)], pa.int64()), pa.array([payload], pa.binary())],
-                ["shard_id", "first_slot", "n_sequences", "stride", "doc_ids", "pieces", "n_tokens", "crc32", "payload"],
+                [pa.array([first // per_shard]), pa.array([first]), pa.array([n]), pa.array([2 * length]), pa.array([per_shard]), pa.array([rows[1]], pa.list_(kind)), pa.array([rows[2]], pa.list_(pa.int64())), pa.array([rows[3]], pa.list_(pa.int64())), pa.array([zlib.crc32(payload)], pa.int64()), pa.array([payload], pa.binary())],
+                ["shard_id", "first_slot", "n_sequences", "stride", "per_shard", "doc_ids", "pieces", "n_tokens", "crc32", "payload"],
             )
 
         for batch in batches:
@@ -132,7 +132,7 @@ def _shards(length: int, per_shard: int, kind: pa.DataType):
 
 
 def shards(df: DataFrame, path: str, ranks: str, source: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """One row a shard, in slot order within range partitions: shard_id, first_slot, n_sequences, stride, doc_ids, pieces, n_tokens, crc32, payload."""
+    """One row a shard, in slot order within range partitions: shard_id, first_slot, n_sequences, stride, per_shard, doc_ids, pieces, n_tokens, crc32, payload."""
     made = written(sequences(df, path, ranks, source, length))
     counts = made.groupBy("task").agg(F.count("*").alias("n"))  # one row a task of the scan
     before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
@@ -141,9 +141,11 @@ def shards(df: DataFrame, path: str, ranks: str, source: str, length: int = LENG
     # one row a scan task, 16 bytes each: far below any input, so it is sent to all tasks rather than all sequences dealt by task
     placed = made.join(F.broadcast(before), "task").mapInArrow(trimmed(_slots(n, key)), f"slot long, doc_id {kind}, piece long, n_tokens long, ids binary")
     parts = spread(made, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = placed.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(parts, "shard").sortWithinPartitions("slot").drop("shard")
+    # slots are 0 .. n - 1, so even ranges of shards are known beforehand and nothing need be sampled
+    ranges = F.floor(F.floor(F.col("slot") / per_shard) * parts / max(1, -(-n // per_shard))).cast("int")
+    ranged = placed.withColumn("range", ranges).repartitionById(parts, "range").sortWithinPartitions("slot").drop("range")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return ranged.mapInArrow(trimmed(_shards(length, per_shard, arrow)), f"shard_id long, first_slot long, n_sequences long, stride long, doc_ids array<{kind}>, pieces array<long>, n_tokens array<long>, crc32 long, payload binary")
+    return ranged.mapInArrow(trimmed(_shards(length, per_shard, arrow)), f"shard_id long, first_slot long, n_sequences long, stride long, per_shard long, doc_ids array<{kind}>, pieces array<long>, n_tokens array<long>, crc32 long, payload binary")
 
 
 def write(df: DataFrame, folder: str) -> None:
@@ -170,9 +172,11 @@ def unpack(df: DataFrame) -> DataFrame:
     return df.mapInArrow(trimmed(run), f"slot long, shard_id long, offset long, doc_id {kind}, piece long, n_tokens long, ids binary")
 
 
-def read(spark: SparkSession, folder: str, start: int = 0, stop: int | None = None, per_shard: int = PER_SHARD) -> DataFrame:
-    """Sequences of slots start <= slot < stop; only shards that hold them are read."""
-    table = spark.read.parquet(folder).where(F.col("first_slot") > start - per_shard)
+def read(spark: SparkSession, folder: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Sequences of slots start <= slot < stop; only shards that hold them are read.  The table itself says how many slots a shard has."""
+    table = spark.read.parquet(folder)
+    one = table.select("per_shard").first()
+    table = table.where(F.col("first_slot") > start - (one[0] if one else 1))
     rows = unpack(table if stop is None else table.where(F.col("first_slot") < stop)).where(F.col("slot") >= start)
     return rows if stop is None else rows.where(F.col("slot") < stop)
 

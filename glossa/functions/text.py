@@ -61,62 +61,141 @@ def normalise_token(token: Column, *options: str) -> Column:
 
 # --- shapes ---------------------------------------------------------------------------------------------------------------
 
+#: Names of Greek letters that shapes know.
+GREEK = "alpha beta gamma delta epsilon zeta theta iota kappa lambda omicron rho sigma tau upsilon omega".split()
+#: Numerals of ideographs that count as digits, less the first, and those of dates.
+IDEOGRAPH_NUMBERS, IDEOGRAPH_DATES = "二三四五六七八九十零〇百千万亿兩○◯", "年月日"
+
 
 def shape_dan1(w: Column) -> Column:
-    """One class for the whole word."""
-    letter = w.rlike(r"^\p{L}+$")
+    """One of five classes for the whole word; an empty word has nothing but digits."""
     return (
-        F.when(w.rlike(r"^[0-9]+$"), F.lit("ALL-DIGITS"))
-        .when(letter & w.rlike(r"^\p{Lu}+$"), F.lit("ALL-UPPER"))
-        .when(letter & w.rlike(r"^\p{Ll}+$"), F.lit("ALL-LOWER"))
-        .when(letter & w.rlike(r"^\p{Lu}\p{Ll}*$"), F.lit("INITIAL-UPPER"))
-        .when(letter, F.lit("MIXED-CASE"))
-        .when(w.rlike(r"[0-9]") & w.rlike(r"\p{L}"), F.lit("ALPHANUM"))
-        .when(w.rlike(r"[0-9]"), F.lit("HAS-DIGIT"))
-        .otherwise(F.lit("SYMBOL"))
+        F.when(w.rlike(r"^\p{Nd}*$"), "ALL-DIGITS")
+        .when(w.rlike(r"^\p{IsUppercase}+$"), "ALL-UPPER")
+        .when(w.rlike(r"^\p{IsLowercase}+$"), "ALL-LOWER")
+        .when(w.rlike(r"^\p{IsUppercase}\p{IsLowercase}+$"), "MIXED-CASE")
+        .otherwise("OTHER")
     )
 
 
-def shape_dan2(w: Column) -> Column:
-    """Runs of capitals, small letters and digits as X, x and d; other characters stay."""
-    out = F.regexp_replace(w, r"\p{Lu}+", "X")
-    out = F.regexp_replace(out, r"[\p{Ll}_]+", "x")
-    return F.regexp_replace(out, r"[0-9]+", "d")
+def _cased(w: Column, upper: str = r"\p{IsUppercase}", lower: str = r"\p{IsLowercase}") -> Column:
+    """Capitals, small letters and digits as X, x and d, character by character; others stay."""
+    for pattern, to in ((upper, "X"), (lower, "x"), (r"\p{Nd}", "d")):
+        w = F.regexp_replace(w, pattern, to)
+    return w
+
+
+def _greek_marked(w: Column) -> Column:
+    """Names of Greek letters as \u0001 and as many \u0002 as fill their place, the leftmost first."""
+    out = F.regexp_replace(w, f"({'|'.join(GREEK)})", "\u0001$1")
+    for n in sorted({len(g) for g in GREEK}):
+        out = F.regexp_replace(out, f"\u0001(?:{'|'.join(g for g in GREEK if len(g) == n)})", "\u0001" + "\u0002" * (n - 1))
+    return out
+
+
+def _runs(body: Column) -> Column:
+    """Each run of one class once; a tilde at the start is taken for a repeated one."""
+    return F.regexp_replace(F.regexp_replace(body, r"(?s)(.)\1+", "$1"), "^~", "")
+
+
+def _known(body: Column, known: Column | None) -> Column:
+    return F.lit("") if known is None else F.when(body.rlike("^[xX]*$") & known, "k").otherwise("")
+
+
+def _short(w: Column) -> Column:
+    return F.when(F.length(w) <= 3, F.concat(F.lit(":"), F.length(w).cast("string"))).otherwise("")
+
+
+def shape_dan2(w: Column, known: Column | None = None) -> Column:
+    """`WT-` and the classes with each run once, `:n` for words of up to three characters, `k` if the word is known in small letters."""
+    body = _cased(w, lower=r"[\p{IsLowercase}_]")
+    return F.concat(F.lit("WT-"), _runs(body), _short(w), _known(body, known))
+
+
+def shape_bio(w: Column, known: Column | None = None) -> Column:
+    """dan2, and `-GREEK` if the name of a Greek letter is in the word, in any case."""
+    return F.concat(shape_dan2(w, known), F.when(F.lower(w).rlike("|".join(GREEK)), "-GREEK").otherwise(""))
+
+
+def shape_jenny(w: Column, known: Column | None = None) -> Column:
+    """As dan2, with names of Greek letters as g and underscores as they are."""
+    body = F.translate(_cased(_greek_marked(w)), "\u0001\u0002", "g")
+    return F.concat(F.lit("WT-"), _runs(body), _short(w), _known(body, known))
+
+
+def shape_chris1(w: Column) -> Column:
+    """One of 24 classes after number, acronym, capitals, digits and dashes."""
+    low, up, digit, dash, period = r"[\p{L}&&[^\p{IsUppercase}]]", r"[\p{IsUppercase}\p{Lt}]", r"\p{Nd}", "-", r"\."
+    has = {k: w.rlike(v) for k, v in (("low", low), ("up", up), ("digit", digit), ("dash", dash), ("period", period))}
+    initial = w.rlike(rf"(?s)^{up}")
+    caps, small = has["up"] & ~has["low"], has["low"] & ~has["up"]
+    tail = lambda name, condition, dashed: [(f"{name}-DIGIT-DASH", condition & has["digit"] & has["dash"]), (f"{name}-DIGIT", condition & has["digit"]), (dashed, condition & has["dash"]), (name, condition)]
+    rules = [
+        ("CARDINAL13", w.rlike(rf"^{digit}{{1,3}}$")),
+        ("CARDINAL4", w.rlike(rf"^{digit}{{4}}$")),
+        ("CARDINAL5PLUS", w.rlike(rf"^{digit}{{5,}}$")),
+        ("NUMBER", w.rlike(rf"^[-+]?[\p{{Nd}}.,]+$") & has["digit"]),
+        ("ACRONYM1", (F.length(w) == 2) & initial & has["period"]),
+        ("ACRONYM", caps & ~has["digit"] & has["period"]),
+        ("DIGIT-DASH", has["digit"] & has["dash"] & ~has["up"] & ~has["low"]),
+        *tail("CAPITALIZED", initial & has["low"], "CAPITALIZED-DASH"),
+        *tail("ALLCAPS", caps, "ALLCAPS"),
+        *tail("LOWERCASE", small, "LOWERCASE-DASH"),
+        ("MIXEDCASE-DIGIT", has["low"] & has["digit"]),
+        ("MIXEDCASE", has["low"]),
+        ("SYMBOL-DIGIT", has["digit"]),
+    ]
+    out = F.when(rules[0][1], rules[0][0])
+    for name, condition in rules[1:]:
+        out = out.when(condition, name)
+    return out.otherwise("SYMBOL")
+
+
+def _edges(w: Column, classes: Column, known: Column | None, omit: bool) -> Column:
+    """Classes of the first and last two characters in order, and between them those of the others, sorted, each once (if `omit`, only those the edges lack).
+
+    `classes` has one entry a character; \u0002 is the rest of a name that the character before it began.
+    """
+    n = F.size(classes)
+    real = lambda a: F.filter(a, lambda c: c != "\u0002")
+    begin, end = real(F.slice(classes, 1, 2)), real(F.slice(classes, F.greatest(n - 1, F.lit(1)), 2))
+    between = F.array_sort(F.array_distinct(real(F.slice(classes, 3, F.greatest(n - 4, F.lit(0))))))
+    if omit:
+        between = F.array_except(between, F.concat(begin, end))
+    body = F.array_join(real(classes), "")
+    return F.concat(F.when(n <= 4, body).otherwise(F.array_join(F.concat(begin, between, end), "")), _known(body, known))
 
 
-def shape_dan2_tagged(w: Column, known_lower: Column | None = None) -> Column:
-    """`WT-` and the shape, `:n` for words of up to three characters, `k` if a known lower-case word."""
-    out = F.concat(F.lit("WT-"), shape_dan2(w), F.when(F.length(w) <= 3, F.concat(F.lit(":"), F.length(w).cast("string"))).otherwise(""))
-    if known_lower is None:
-        return out
-    return F.concat(out, F.when(w.rlike(r"^\p{L}+$") & known_lower, "k").otherwise(""))
+def shape_chris2(w: Column, known: Column | None = None, omit: bool = False) -> Column:
+    """Edges and sorted middle of X, x, d, g (names of Greek letters) and other characters."""
+    return _edges(w, _characters(F.translate(_cased(_greek_marked(w), upper=r"[\p{IsUppercase}\p{Lt}]"), "\u0001", "g")), known, omit)
 
 
-def shape_chris(w: Column, edge: int = 2) -> Column:
-    """The first and last `edge` characters in order, the classes between as a sorted set; Greek letter names are `g`."""
-    s = F.regexp_replace(w, r"(?i)alpha|beta|gamma|delta|epsilon|zeta|theta|kappa|lambda|sigma|omega", "g")
-    each = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.when(c.rlike(r"\p{Lu}"), "X").when(c == "g", "g").when(c.rlike(r"\p{Ll}"), "x").when(c.rlike(r"[0-9]"), "d").otherwise(c))
-    n = F.size(each)
-    whole = F.array_join(each, "")
-    mid = F.array_join(F.array_sort(F.array_distinct(F.slice(each, edge + 1, F.greatest(n - 2 * edge, F.lit(0))))), "")
-    return F.when(n <= 2 * edge, whole).otherwise(F.concat(F.array_join(F.slice(each, 1, edge), ""), mid, F.array_join(F.slice(each, n - edge + 1, edge), "")))
+def _characters(w: Column) -> Column:
+    return F.filter(F.split(w, ""), lambda c: c != "")
 
 
-def shape_jenny(w: Column) -> Column:
-    """dan2 with the runs of a long word closed by its length class."""
-    return F.concat(shape_dan2(w), F.lit(":"), F.when(F.length(w) < 4, F.length(w).cast("string")).otherwise("4+"))
+def shape_chris4(w: Column, known: Column | None = None) -> Column:
+    """As chris2, over more classes: numbers of all kinds, dates, scripts without case, space, money, marks by kind."""
+    classes = [
+        ("\u0002", "\u0002"), ("g", "\u0001"), ("d", rf"[\p{{Nd}}\p{{Nl}}\p{{No}}{IDEOGRAPH_NUMBERS}]"), ("o", "第"), ("D", f"[{IDEOGRAPH_DATES}]"), ("x", r"\p{IsLowercase}"), ("X", r"[\p{IsUppercase}\p{Lt}]"),
+        ("s", r"[\t-\r\x1c-\x1f\p{Z}]"), ("c", r"\p{Lo}"), ("$", r"\p{Sc}"), ("+", r"\p{Sm}"), ("|", r"\p{So}"), ("(", r"\p{Ps}"), (")", r"\p{Pe}"), ("`", r"\p{Pi}"), ("'", r"[\p{Pf}']"), ("%", "%"), (".", r"\p{Po}"), ("_", r"\p{Pc}"), ("-", r"\p{Pd}"),
+    ]
 
+    def of(c: Column) -> Column:
+        out = F.when(c.rlike(classes[0][1]), classes[0][0])
+        for name, pattern in classes[1:]:
+            out = out.when(c.rlike(pattern), name)
+        return out.otherwise("q")
 
-def shape_bio(w: Column) -> Column:
-    """dan2 with Greek letter names and Roman numerals marked."""
-    return F.when(w.rlike(r"^[IVXLC]+$"), "ROMAN").when(F.lower(w).rlike(r"^(alpha|beta|gamma|delta|epsilon|kappa|sigma|omega)$"), "GREEK").otherwise(shape_dan2(w))
+    return _edges(w, F.transform(_characters(_greek_marked(w)), of), known, False)
 
 
 def shape_digits(w: Column) -> Column:
-    return F.regexp_replace(w, r"[0-9]", "9")
+    return F.regexp_replace(w, r"\p{Nd}", "9")
 
 
-SHAPES = {"dan1": shape_dan1, "dan2": shape_dan2, "dan2lc": shape_dan2_tagged, "dan2bio": shape_bio, "jenny1": shape_jenny, "chris1": lambda w: shape_chris(w, 1), "chris2": shape_chris, "chris3": lambda w: shape_chris(w, 3), "chris4": lambda w: shape_chris(w, 4), "digits": shape_digits}
+SHAPES = {"dan1": shape_dan1, "dan2": shape_dan2, "dan2bio": shape_bio, "jenny1": shape_jenny, "chris1": shape_chris1, "chris2": shape_chris2, "chris3": lambda w: shape_chris2(w, omit=True), "chris4": shape_chris4, "digits": shape_digits}
 
 # --- predicates -----------------------------------------------------------------------------------------------------------
 

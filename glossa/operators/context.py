@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions import text as T
 from glossa.functions.text import TOKEN, tokens as token_array
 
 SENTENCE = ("doc_id", "sent_id")
@@ -15,12 +16,16 @@ def tokenise(docs: DataFrame, text: str = "text", pattern: str = TOKEN) -> DataF
     return docs.select("doc_id", F.posexplode(token_array(text, pattern)).alias("pos", "tok"))
 
 
-def tokenise_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, sent_id, pos, tok): sentences end at `.`, `!` or `?`; closing marks stay with them.  Within a row, so nothing is shuffled."""
+def sentence_arrays(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, sent_id, toks): one row a sentence; sentences end at `.`, `!` or `?`, closing marks stay with them.  Within a row, so nothing is shuffled."""
     marked = F.regexp_replace(F.col(text), r"([.!?]+[)\]\"']*)(\s+|$)", "$1\u0001")
     parts = F.filter(F.split(marked, "\u0001"), lambda s: s.rlike(r"\S"))
-    s = docs.select("doc_id", F.posexplode(parts).alias("sent_id", "sentence"))
-    return s.select("doc_id", "sent_id", F.posexplode(token_array("sentence")).alias("pos", "tok"))
+    return docs.select("doc_id", F.posexplode(parts).alias("sent_id", "sentence")).select("doc_id", "sent_id", token_array("sentence").alias("toks"))
+
+
+def tokenise_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, sent_id, pos, tok): the tokens of `sentence_arrays`, one row each."""
+    return sentence_arrays(docs, text).select("doc_id", "sent_id", F.posexplode("toks").alias("pos", "tok"))
 
 
 def with_offsets(docs: DataFrame, text: str = "text", pattern: str = TOKEN) -> DataFrame:
@@ -67,17 +72,30 @@ def disjunction_features(df: DataFrame, column: str = "tok", width: int = 4, wid
 
 
 def occurrence_patterns(df: DataFrame, low: int = 3, high: int = 149) -> DataFrame:
-    """A capitalised word before a small one, met again within `low`..`high` tokens: XY if the follower is met with it, else X; Y for the follower alone.
+    """(doc_id, pos, tok, pattern): where else a name-case word before a small one stands, `low`..`high` tokens away in either direction.
+
+    After another name-case word (X Y): XY-NEXT-OCCURRENCE-XY or XY-PREV-OCCURRENCE-XY if the word before is met with it, -Y if the word alone is.  Otherwise
+    X-NEXT-OCCURRENCE- and YX, XY or X: a name-case word stands before it there, after it, or neither; looking back the two sides are tried the other way round.
+    A token that is no such word, or has no lettered neighbours, gets NO-OCCURRENCE-PATTERN; one that is not met again gets no row.
 
     An equi-join on document, word and a distance bucket, so a frequent word is compared with its own surroundings only.
     """
     w = Window.partitionBy("doc_id").orderBy("pos")
-    two = df.select("doc_id", "pos", "tok", F.lead("tok").over(w).alias("next"))
-    heads = two.where(F.col("tok").rlike(r"^\p{Lu}") & F.col("next").rlike(r"^\p{Ll}")).withColumn("near", F.explode(F.array(*((F.floor(F.col("pos") / 150) + k) for k in (-1, 0, 1)))))
-    again = two.select("doc_id", F.col("pos").alias("at"), F.col("tok").alias("w"), F.col("next").alias("after"), F.floor(F.col("pos") / 150).alias("near"))
-    d = F.abs(F.col("at") - F.col("pos"))
-    met = heads.join(again, (heads.doc_id == again.doc_id) & (heads.near == again.near) & (heads.tok == again.w)).where((d >= low) & (d <= high))
-    return met.groupBy(heads.doc_id, heads.pos, heads.tok).agg(F.max((F.col("after") == F.col("next")).cast("int")).alias("xy")).select("doc_id", "pos", "tok", F.when(F.col("xy") == 1, "XY").otherwise("X").alias("pattern"))
+    around = df.select("doc_id", "pos", "tok", F.lag("tok", 1, "").over(w).alias("prev"), F.lead("tok", 1, "").over(w).alias("next"))
+    named = T.is_name_case
+    right = named(F.col("tok")) & T.no_upper_case(F.col("next")) & T.has_letter(F.col("next")) & T.has_letter(F.col("prev"))
+    bucket = F.floor(F.col("pos") / (high + 1))
+    heads = around.where(right).withColumn("near", F.explode(F.array(bucket - 1, bucket, bucket + 1))).drop("next")
+    again = around.where(named(F.col("tok"))).select("doc_id", F.col("pos").alias("at"), "tok", F.col("prev").alias("before"), F.col("next").alias("after"), bucket.alias("near"))
+    gap = F.col("at") - F.col("pos")
+    met = heads.join(again, ["doc_id", "near", "tok"]).where(F.abs(gap).between(low, high))
+    pair = F.when(F.col("before") == F.col("prev"), "XY").otherwise("Y")
+    left, other = named(F.col("before")), named(F.col("after"))
+    forward, back = F.when(left, "YX").when(other, "XY").otherwise("X"), F.when(other, "YX").when(left, "XY").otherwise("X")
+    side = F.when(gap > 0, "NEXT").otherwise("PREV")
+    pattern = F.when(named(F.col("prev")), F.concat(F.lit("XY-"), side, F.lit("-OCCURRENCE-"), pair)).otherwise(F.concat(F.lit("X-"), side, F.lit("-OCCURRENCE-"), F.when(gap > 0, forward).otherwise(back)))
+    found = met.select("doc_id", "pos", "tok", pattern.alias("pattern")).distinct()
+    return found.union(around.where(~right).select("doc_id", "pos", "tok", F.lit("NO-OCCURRENCE-PATTERN")))
 
 
 def nearest(df: DataFrame, column: str, condition: Column, before: bool = True, fill: str = "X") -> Column:

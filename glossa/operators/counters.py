@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.sets import indexed
+
 
 def _keys(c: DataFrame) -> list[str]:
     return [x for x in c.columns if x != "n"]
@@ -186,8 +188,8 @@ def h_index(c: DataFrame) -> DataFrame:
 
 
 def ranked(c: DataFrame, by: Column | None = None) -> DataFrame:
-    """0-based rank by falling value, ties by key."""
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n") if by is None else by, *_keys(c))) - 1)
+    """0-based rank by falling value (or rising `by`), ties by key."""
+    return indexed(c, -F.col("n") if by is None else by, *_keys(c), name="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def retain_top(c: DataFrame, k: int, smallest: bool = False) -> DataFrame:

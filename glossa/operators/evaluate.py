@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.sets import indexed
+
 from glossa.operators.spans import chunks
 
 
@@ -80,9 +82,8 @@ def attribute_errors(df: DataFrame) -> DataFrame:
 def pr_curve(df: DataFrame, score: str = "score", gold: str = "gold") -> DataFrame:
     """One row a distinct score, falling: tp, fp, precision, recall, f1 for all at or above it."""
     g = df.groupBy(score).agg(F.sum(gold).alias("p"), F.count("*").alias("m"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     total = g.agg(F.sum("p").alias("total"))
-    c = g.select(score, F.sum("p").over(w).alias("tp"), F.sum("m").over(w).alias("seen")).crossJoin(F.broadcast(total))
+    c = indexed(g, -F.col(score), sums={"tp": F.col("p"), "seen": F.col("m")}).select(score, "tp", "seen").crossJoin(F.broadcast(total))
     p, r = F.col("tp") / F.col("seen"), F.col("tp") / F.col("total")
     return c.select(score, "tp", (F.col("seen") - F.col("tp")).alias("fp"), p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
@@ -93,8 +94,7 @@ def best_f1(curve: DataFrame, score: str = "score") -> DataFrame:
 
 def confidence_weighted_accuracy(df: DataFrame, confidence: str = "score", right: str = "right") -> DataFrame:
     """Mean over ranks of accuracy among the more confident; ties by doc_id."""
-    w = Window.orderBy(F.desc(confidence), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = df.select((F.sum(right).over(w) / F.count("*").over(w)).alias("a"))
+    r = indexed(df, -F.col(confidence), "doc_id", sums={"ok": F.col(right)}).select((F.col("ok") / (F.col("ix") + 1)).alias("a"))
     return r.agg(F.avg("a").alias("cwa"), F.count("*").alias("n"))
 
 

@@ -8,13 +8,34 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
+from glossa.operators.sets import indexed
+from glossa.shared import written
+
+
+#: Labels up to which a feature's weights travel as one row.
+_WIDE = 64
 
 
 def scores(features: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("doc_id", "pos"), bias: dict[str, float] | None = None) -> DataFrame:
-    """(keys, label, score): unseen features count nothing; `bias` adds a constant to labels."""
-    s = features.join(weights, "feature").groupBy(*keys, "label").agg(F.sum("w").alias("score"))
+    """(keys, label, score): unseen features count nothing; `bias` adds a constant to labels.
+
+    A model of few labels is joined as one row a feature with a column a label: features are not multiplied by labels, and all of a key's
+    scores come from one aggregation, so what is done by key next needs no shuffle.
+    """
+    known = [r[0] for r in weights.select("label").distinct().limit(_WIDE + 1).collect()]  # labels of a model, few by nature
+    if len(known) <= _WIDE and None not in known:
+        columns = {f"_w{i}": y for i, y in enumerate(sorted(known))}
+        wide = weights.groupBy("feature").agg(*(F.sum(F.when(F.col("label") == y, F.col("w"))).alias(c) for c, y in columns.items()))
+        summed = features.join(wide, "feature").groupBy(*keys).agg(*(F.sum(c).alias(c) for c in columns))
+        each = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(y).alias("label"), F.col(c).alias("score"))) for c, y in columns.items()))
+        s = summed.select(*keys, F.inline(F.array_compact(each))) if columns else features.join(weights, "feature").select(*keys, "label", F.col("w").alias("score"))
+    else:
+        s = features.join(weights, "feature").groupBy(*keys, "label").agg(F.sum("w").alias("score"))
     if bias:
         table = F.create_map(*(F.lit(x) for kv in bias.items() for x in kv))
         s = s.withColumn("score", F.col("score") + F.coalesce(table[F.col("label")], F.lit(0.0)))
@@ -28,13 +49,14 @@ def log_probabilities(s: DataFrame, keys: tuple[str, ...] = ("doc_id", "pos")) -
 
 
 def classify(s: DataFrame, keys: tuple[str, ...] = ("doc_id", "pos"), threshold: float | None = None, background: str = "O") -> DataFrame:
-    """Best label of each key; ties go to the smaller label; below the threshold probability the background."""
-    p = log_probabilities(s, keys)
-    best = p.groupBy(*keys).agg(F.max("logp").alias("m"))
-    tied = p.join(best.select(*keys, "m"), list(keys)).where("logp = m").groupBy(*keys).agg(F.min("label").alias("label"), F.max("m").alias("logp"))
+    """(keys, label, logp): best label of each key; ties go to the smaller label; below the threshold probability the background."""
+    top = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("r"), "label"))).alias("_s"))  # as many as labels
+    best = F.col("_s")[0]
+    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(best["r"] - x["r"]))
+    out = top.select(*keys, best["label"].alias("label"), (-F.log(total)).alias("logp"))
     if threshold is None:
-        return tied
-    return tied.withColumn("label", F.when(F.exp("logp") >= threshold, F.col("label")).otherwise(background))
+        return out
+    return out.withColumn("label", F.when(F.exp("logp") >= threshold, F.col("label")).otherwise(background))
 
 
 def justification(features: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
@@ -61,10 +83,9 @@ def combine(a: DataFrame, wa: float, b: DataFrame, wb: float) -> DataFrame:
 
 
 def index_of(values: DataFrame, column: str, first: str | None = None) -> DataFrame:
-    """0-based ids of distinct values in order, `first` before all.  One task numbers each value's block: a range sort, not one partition."""
+    """0-based ids of distinct values in order, `first` before all; numbered by range partitions."""
     order = [F.col(column) != first, F.col(column)] if first else [F.col(column)]
-    d = values.select(column).distinct()
-    return d.select(column, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("id"))
+    return indexed(values.select(column).distinct(), *order, name="id").select(column, F.col("id").cast("long").alias("id"))
 
 
 def data_log_likelihood(s: DataFrame, gold: DataFrame, weights: DataFrame | None = None, sigma: float | None = None, keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
@@ -76,16 +97,26 @@ def data_log_likelihood(s: DataFrame, gold: DataFrame, weights: DataFrame | None
     return ll.crossJoin(F.broadcast(pen)).select((F.col("ll") - F.col("pen")).alias("ll"))
 
 
-def naive_bayes(features: DataFrame, labels: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """(feature, label, w): log (n(f, c) + s) / (n(c) + 2 s) of binary features, and the prior as feature `*`."""
-    n = labels.agg(F.count("*").cast("double").alias("total"))
-    by = labels.groupBy("label").agg(F.count("*").cast("double").alias("nc"))
-    seen = features.select("example_id", "feature").distinct()
-    fc = seen.join(labels, "example_id").groupBy("feature", "label").agg(F.count("*").cast("double").alias("nfc"))
-    grid = seen.select("feature").distinct().crossJoin(F.broadcast(by)).join(fc, ["feature", "label"], "left").na.fill(0, ["nfc"])
-    w = grid.select("feature", "label", F.log((F.col("nfc") + sigma) / (F.col("nc") + 2 * sigma)).alias("w"))
-    prior = by.crossJoin(F.broadcast(n)).select(F.lit("*").alias("feature"), "label", F.log(F.col("nc") / F.col("total")).alias("w"))
-    return w.union(prior)
+def naive_bayes(features: DataFrame, labels: DataFrame, sigma: float = 1.0, always_on_is_prior: bool = True) -> DataFrame:
+    """(feature, label, w) of binary features: log of P(c | f) over P(c).
+
+    P(c | f) = (n(f, c) + s) / (n(f) + s C) with C labels; P(c) is the share of the active features that examples of c hold.  A feature that every example
+    has is a prior instead: the log of its label's share of examples.
+    """
+    examples = labels.agg(F.count("*").cast("double").alias("examples"))
+    share = labels.groupBy("label").agg(F.count("*").cast("double").alias("numc"))
+    data = features.select("example_id", "feature").distinct().join(labels, "example_id")
+    fc = data.groupBy("feature", "label").agg(F.count("*").cast("double").alias("nfc"))
+    per_label = share.join(fc.groupBy("label").agg(F.sum("nfc").alias("nc")), "label", "left").na.fill(0, ["nc"])  # as many rows as labels
+    totals = per_label.agg(F.sum("nc").alias("n"), F.count("*").alias("labels"))
+    by = per_label.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(examples))
+    grid = fc.groupBy("feature").agg(F.sum("nfc").alias("nf")).crossJoin(F.broadcast(by)).join(fc, ["feature", "label"], "left").na.fill(0, ["nfc"])
+    tiny = 1e-30  # keeps a label without features from dividing by nothing
+    given, base = (F.col("nfc") + sigma) / (F.col("nf") + sigma * F.col("labels")), (F.col("nc") + tiny) / (F.col("n") + F.col("labels") * tiny)
+    w = F.log(given / base)
+    if always_on_is_prior:
+        w = F.when(F.col("nf") == F.col("examples"), F.log(F.col("numc") / F.col("examples"))).otherwise(w)
+    return grid.select("feature", "label", w.alias("w"))
 
 
 # --- dynamic programs -------------------------------------------------------------------------------------------------------
@@ -193,21 +224,72 @@ def consistency_penalty(words: list[str], path: np.ndarray, weight: float) -> fl
 METHODS = {"viterbi": viterbi_path, "beam": beam_path, "gibbs": gibbs_path}
 
 
-def decode(s: DataFrame, labels: list[str], move: np.ndarray, keys: tuple[str, ...] = ("doc_id", "sent_id"), method: str = "viterbi") -> DataFrame:
-    """(keys, pos, label, path_score): s holds keys, pos, label, score; label pairs that `move` sets to -inf are never used."""
-    order = {y: i for i, y in enumerate(labels)}
-    run = METHODS[method]
+def viterbi_batch(emit: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best paths of many sequences at once: emissions padded to (sequences, longest, labels), longest first.  The earliest predecessor wins a tie."""
+    m, longest, k = emit.shape
+    best, back = emit[:, 0].copy(), np.zeros((m, longest, k), np.int16)
+    for t in range(1, longest):
+        live = int(np.searchsorted(-length, -t))  # sequences longer than t
+        s = best[:live, :, None] + move
+        back[:live, t] = s.argmax(1)
+        best[:live] = s.max(1) + emit[:live, t]
+    path = np.zeros((m, longest), np.int64)
+    now = best.argmax(1)
+    for t in range(longest - 1, -1, -1):
+        live = int(np.searchsorted(-length, -t))
+        path[:live, t] = now[:live]
+        if t:
+            now[:live] = back[np.arange(live), t, now[:live]]
+    return path, best.max(1)
+
+
+def decode_arrays(df: DataFrame, labels: list[str], move: np.ndarray, method: str = "viterbi", cells: int = 1 << 21) -> DataFrame:
+    """df with its column `emit` (array<array<double>>: a sequence's scores by position and label) replaced by `path` (array<string>) and `path_score`.
+
+    Sequences are decoded where they stand, nothing is shuffled; Viterbi takes sequences of a batch together, ordered by length and in groups of bounded size.
+    """
+    names, single, k = np.array(labels, object), METHODS[method], len(labels)
+    rest = [f for f in df.schema.fields if f.name != "emit"]
+    schema = StructType([*rest, StructField("path", ArrayType(StringType())), StructField("path_score", DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column("emit")
+            n = np.diff(np.asarray(raw.offsets)).astype(np.int64)
+            flat = raw.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            begin = np.cumsum(n) - n
+            paths, value = [[] for _ in n], np.zeros(len(n))
+            order, at = np.argsort(-n, kind="stable"), 0
+            order = order[: int((n > 0).sum())]
+            while at < len(order):
+                longest = int(n[order[at]])
+                some = order[at : at + max(1, cells // (longest * k))]
+                at += len(some)
+                if method == "viterbi":
+                    emit = np.zeros((len(some), longest, k))
+                    inside = np.arange(longest) < n[some][:, None]
+                    emit[inside] = flat[np.repeat(begin[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(int(n[some].sum()))]
+                    best, score = viterbi_batch(emit, n[some], move)
+                else:
+                    both = [single(flat[begin[i] : begin[i] + n[i]], move) for i in some.tolist()]
+                    best, score = [p for p, _ in both], [v for _, v in both]
+                value[some] = score
+                for i, p in zip(some.tolist(), best, strict=True):
+                    paths[i] = names[p[: n[i]]].tolist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(paths, pa.list_(pa.string())), pa.array(value)], [f.name for f in schema.fields])
+
+    return df.mapInArrow(run, schema)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = np.sort(pdf["pos"].unique())
-        emit = np.full((len(pos), len(labels)), -1e9)
-        emit[np.searchsorted(pos, pdf["pos"]), pdf["label"].map(order)] = pdf["score"]
-        path, score = run(emit, move)
-        out = {k: [pdf[k].iloc[0]] * len(pos) for k in keys}
-        return pd.DataFrame(out | {"pos": pos, "label": [labels[i] for i in path], "path_score": score})
 
-    kinds = ", ".join(f"{k} {s.schema[k].dataType.simpleString()}" for k in keys)
-    return s.groupBy(*keys).applyInPandas(one, f"{kinds}, pos {s.schema['pos'].dataType.simpleString()}, label string, path_score double")
+def decode(s: DataFrame, labels: list[str], move: np.ndarray, keys: tuple[str, ...] = ("doc_id", "sent_id"), method: str = "viterbi") -> DataFrame:
+    """(keys, pos, label, path_score): s holds keys, pos, label, score; label pairs that `move` sets to -inf are never used; a label without a score is as good as never."""
+    order = F.create_map(*(F.lit(x) for i, y in enumerate(labels) for x in (y, i)))
+    none = F.array(*[F.lit(-1e9)] * len(labels))
+    cell = s.groupBy(*keys, "pos").agg(F.map_from_entries(F.collect_list(F.struct(order[F.col("label")].alias("k"), F.col("score").cast("double").alias("v")))).alias("_m"))
+    emit = F.transform(none, lambda x, i: F.coalesce(F.col("_m")[i], x))
+    rows = cell.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", emit.alias("e")))).alias("_r"))
+    out = decode_arrays(rows.select(*keys, F.col("_r.pos").alias("_pos"), F.col("_r.e").alias("emit")), labels, move, method)
+    return out.select(*keys, F.inline(F.arrays_zip(F.col("_pos").alias("pos"), F.col("path").alias("label"))), "path_score").select(*keys, "pos", "label", "path_score")
 
 
 def posterior(s: DataFrame, labels: list[str], move: np.ndarray, keys: tuple[str, ...] = ("doc_id", "sent_id")) -> DataFrame:
@@ -240,7 +322,7 @@ PRIORS = {
 def train_maxent(features: DataFrame, labels: DataFrame, rounds: int = 30, sigma: float = 1.0, prior: str = "quadratic", rate: float = 1.0) -> DataFrame:
     """(feature, label, w) by full-batch gradient steps on tables: scores are a join, gradients a group sum, weights stay distributed.
 
-    The step for a feature is divided by its count, which bounds the curvature of its column; lineage is cut every few rounds.
+    The step for a feature is divided by its count, which bounds the curvature of its column; weights are written every few rounds, which cuts their lineage.
     """
     penalty = {"quadratic": lambda w: w / (sigma * sigma), "null": lambda w: F.lit(0.0), "huber": lambda w: F.greatest(F.least(w, F.lit(1.0)), F.lit(-1.0)) / (sigma * sigma), "quartic": lambda w: w * w * w / sigma**4, "cosh": lambda w: F.tanh(w / sigma) / sigma}[prior]
     classes = labels.select("label").distinct()
@@ -255,17 +337,10 @@ def train_maxent(features: DataFrame, labels: DataFrame, rounds: int = 30, sigma
         grad = weights.join(expected, ["feature", "label"], "left").join(gold, ["feature", "label"], "left").na.fill(0, ["expected", "observed"])
         weights = grad.select("feature", "nf", "label", (F.col("w") + rate * (F.col("observed") - F.col("expected") - penalty(F.col("w"))) / F.col("nf")).alias("w"))
         if k % 5 == 4:
-            weights = _cut(weights)
+            weights = written(weights)
     return weights.select("feature", "label", "w")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def crf_gradient(emit: np.ndarray, move: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood of a sequence and its gradients by emissions and moves."""
     n, k = emit.shape

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.shared import written
+
 
 def lookup(df: DataFrame, table: DataFrame, on: str | list[str], default: dict | None = None) -> DataFrame:
     out = df.join(table, on, "left")
@@ -113,6 +115,19 @@ def multimap(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))
 
 
+def one_edit_pairs(words: DataFrame, column: str) -> DataFrame:
+    """(x, y, distance): pairs of distinct words at most one insertion, deletion or change apart, x before y.
+
+    Two such words share a word with one character left out (or one is it), and that key with the place of the gap tells how: an equi-join, no all pairs.
+    """
+    words, w = words.select(F.col(column).alias("_word")), F.col("_word")
+    gaps = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    keyed = words.select("_word", F.explode(F.array_distinct(F.concat(F.array(w), gaps))).alias("_key"))
+    # of words of equal length both have lost a character, at the same place if one change parts them; a shorter word is the key itself
+    pairs = keyed.toDF("x", "_key").join(keyed.toDF("y", "_key"), "_key").where("x < y").select("x", "y").distinct()
+    return pairs.withColumn("distance", F.levenshtein("x", "y", 1)).where("distance between 0 and 1")
+
+
 def beam(df: DataFrame, by: list[str], score: str, k: int) -> DataFrame:
     """At most k best rows a group; ties by all columns, so the result does not hang on partitioning."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), *[c for c in df.columns if c not in by and c != score])
@@ -132,21 +147,32 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
-def indexed(df: DataFrame, order: str) -> DataFrame:
-    """0-based running number in order: counts per range partition and a running sum of them, so no task sees all rows."""
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    return parts.join(F.broadcast(before), "_p").withColumn("ix", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+def indexed(df: DataFrame, *order: str | Column, name: str = "ix", sums: dict[str, Column] | None = None) -> DataFrame:
+    """0-based running number in rising order, and running sums: per range partition, plus what the partitions before hold, so no task sees all rows.
+
+    The sorted ranges are written once and numbered from there, so totals and rows come from the same partitioning.
+    """
+    keys = {f"__o{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(order)}
+    values = {f"__s{i}": c for i, c in enumerate((sums or {}).values())}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = df.select("*", *(c.alias(k) for k, c in (keys | values).items()))
+    ranges = wide.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop(*keys)
+    placed = written(ranges.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    totals = placed.groupBy("__p").agg(F.count("*").alias("__n"), *(F.sum(k).alias(f"{k}n") for k in values))
+    over = Window.orderBy("__p")  # one row a partition
+    before = totals.select("__p", (F.sum("__n").over(over) - F.col("__n")).alias("__b"), *((F.sum(f"{k}n").over(over) - F.col(f"{k}n")).alias(f"{k}b") for k in values))
+    out = placed.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__i"))
+    here = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    for target, k in zip(sums or {}, values, strict=True):
+        out = out.withColumn(target, F.col(f"{k}b") + F.sum(k).over(here))
+    return out.drop("__p", "__i", "__b", *values, *(f"{k}b" for k in values))
 
 
 def folds(df: DataFrame, order: str, k: int) -> DataFrame:
     """Contiguous folds; the first N mod k have one row more."""
     n = df.agg(F.count("*").alias("_n"))
-    w = Window.orderBy(order)
     size, extra = F.floor(F.col("_n") / k), F.col("_n") % k
-    i = F.row_number().over(w) - 1
-    out = df.withColumn("_i", i).crossJoin(F.broadcast(n))
+    out = indexed(df, order, name="_i").crossJoin(F.broadcast(n))
     first = extra * (size + 1)
     return out.withColumn("fold", F.when(F.col("_i") < first, F.floor(F.col("_i") / (size + 1))).otherwise(extra + F.floor((F.col("_i") - first) / F.greatest(size, F.lit(1)))).cast("long")).drop("_i", "_n")
 
@@ -154,10 +180,9 @@ def folds(df: DataFrame, order: str, k: int) -> DataFrame:
 def cross_validation(df: DataFrame, order: str, k: int) -> DataFrame:
     """Fold i holds rows N*i/k up to N*(i+1)/k."""
     n = df.agg(F.count("*").alias("_n"))
-    i = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("_i", i).crossJoin(F.broadcast(n)).withColumn("fold", F.floor(((F.col("_i") + 1) * k - 1) / F.col("_n")).cast("long")).drop("_i", "_n")
+    return indexed(df, order, name="_i").crossJoin(F.broadcast(n)).withColumn("fold", F.floor(((F.col("_i") + 1) * k - 1) / F.col("_n")).cast("long")).drop("_i", "_n")
 
 
 def train_dev(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
-    i = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("part", F.when((i >= start) & (i < end), "dev").otherwise("train"))
+    """Rows start <= i < end in order are dev, the others train."""
+    return indexed(df, order, name="_i").withColumn("part", F.when((F.col("_i") >= start) & (F.col("_i") < end), "dev").otherwise("train")).drop("_i")

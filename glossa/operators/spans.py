@@ -123,11 +123,29 @@ def related(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "doc_id").withColumn("relation", relation(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")))
 
 
-def overlapping(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
-    """Pairs of overlapping spans by position buckets: no product of a document's spans."""
+def relation_counts(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
+    """(relation, n) over all pairs of a document's intervals in two tables, without making the pairs that are apart.
+
+    Pairs that overlap or meet come from position buckets; those with b behind or before a are counted by running sums over the document's borders.
+    """
+    near = overlapping(a, b, width, meet=True).withColumn("relation", relation(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))).groupBy("relation").agg(F.count("*").alias("n"))
+
+    def apart(name: str, x: DataFrame, end: str, y: DataFrame, start: str) -> DataFrame:
+        """Pairs of an x whose `end` comes before a y's `start`: at each start, the ends seen so far."""
+        ends, starts = x.select("doc_id", F.col(end).alias("at"), F.lit(1).alias("e"), F.lit(0).alias("s")), y.select("doc_id", F.col(start).alias("at"), F.lit(0).alias("e"), F.lit(1).alias("s"))
+        c = ends.union(starts).groupBy("doc_id", "at").agg(F.sum("e").alias("e"), F.sum("s").alias("s"))
+        seen = F.sum("e").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+        return c.select((F.col("s") * F.coalesce(seen, F.lit(0))).alias("k")).agg(F.sum("k").alias("n")).where("n > 0").select(F.lit(name).alias("relation"), "n")
+
+    return near.union(apart("BEFORE", a, "end_pos", b, "begin_pos")).union(apart("AFTER", b, "end_pos", a, "begin_pos"))
+
+
+def overlapping(a: DataFrame, b: DataFrame, width: int = 64, meet: bool = False) -> DataFrame:
+    """Pairs of overlapping spans by position buckets (`meet`: and of those where one begins as the other ends): no product of a document's spans."""
     def bucketed(df, p):
-        lo, hi = F.floor(F.col("begin_pos") / width), F.floor((F.col("end_pos") - 1) / width)
+        lo, hi = F.floor(F.col("begin_pos") / width), F.floor((F.col("end_pos") - F.lit(0 if meet else 1)) / width)
         return df.select("doc_id", F.col("type").alias(f"{p}_type"), F.col("begin_pos").alias(f"{p}0"), F.col("end_pos").alias(f"{p}1"), F.explode(F.sequence(lo, hi)).alias("bucket"))
 
-    j = bucketed(a, "a").join(bucketed(b, "b"), ["doc_id", "bucket"]).where("a0 < b1 and b0 < a1")
-    return j.drop("bucket").distinct()
+    j = bucketed(a, "a").join(bucketed(b, "b"), ["doc_id", "bucket"]).where("a0 <= b1 and b0 <= a1" if meet else "a0 < b1 and b0 < a1")
+    # a pair that shares several buckets is kept in the first of them
+    return j.where(F.col("bucket") == F.floor(F.greatest("a0", "b0") / width)).drop("bucket")

@@ -212,16 +212,32 @@ def sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("tree_id").agg(F.count("*").alias("size"), F.max("depth").cast("long").alias("depth"))
 
 
+def _deepest(nodes: DataFrame) -> int:
+    return nodes.agg(F.max("depth")).first()[0] or 0
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node, ancestor, depth of the ancestor), self included: a range join on the tree."""
-    a, d = nodes.alias("a"), nodes.alias("d")
-    return a.join(d, (F.col("a.tree_id") == F.col("d.tree_id")) & (F.col("a.pre") <= F.col("d.pre")) & (F.col("a.post") >= F.col("d.post"))).select(F.col("d.tree_id").alias("tree_id"), F.col("d.node_id").alias("node"), F.col("a.node_id").alias("ancestor"), F.col("a.depth").alias("depth"))
+    """(tree_id, node, ancestor, depth of the ancestor), self included: one equi-join with the parents a level, and as many rows as come out."""
+    up = nodes.select("tree_id", F.col("node_id").alias("ancestor"), "parent_id", F.col("depth").alias("_d"))
+    now = nodes.select("tree_id", F.col("node_id").alias("node"), F.col("node_id").alias("ancestor"), "parent_id", "depth")
+    out = now
+    for _ in range(_deepest(nodes)):
+        above = now.where("parent_id is not null").select("tree_id", "node", F.col("parent_id").alias("ancestor"))
+        now = above.join(up, ["tree_id", "ancestor"]).select("tree_id", "node", "ancestor", "parent_id", F.col("_d").alias("depth"))
+        out = out.union(now)
+    return out.drop("parent_id")
 
 
 def domination_path(nodes: DataFrame) -> DataFrame:
-    """Labels from the root to each node."""
-    p = ancestors(nodes).join(nodes.select("tree_id", F.col("node_id").alias("ancestor"), "label"), ["tree_id", "ancestor"])
-    return p.groupBy("tree_id", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "label"))), lambda x: x["label"]), "/").alias("path"))
+    """(tree_id, node, path): labels from the root to each node, level by level."""
+    n = nodes.select("tree_id", F.col("node_id").alias("node"), "parent_id", "label", "depth")
+    now = n.where("parent_id is null").select("tree_id", "node", F.col("label").alias("path"))
+    out = now
+    for d in range(1, _deepest(nodes) + 1):
+        above = now.select("tree_id", F.col("node").alias("parent_id"), F.col("path").alias("_p"))
+        now = n.where(F.col("depth") == d).join(above, ["tree_id", "parent_id"]).select("tree_id", "node", F.concat_ws("/", "_p", "label").alias("path"))
+        out = out.union(now)
+    return out
 
 
 def lowest_common(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

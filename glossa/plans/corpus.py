@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossa.functions import text as T
 from glossa.operators import context, sets
 from glossa.plans.catalogue import query, read, rounded
-from glossa.plans.sqltext import SEN, STOK, TOK
+from glossa.plans.sqltext import SEN, STOK, TOK, dan2
 
 
 def tokens(spark, sf_dir):
@@ -34,14 +34,14 @@ def sentence_stats(spark, sf_dir):
     return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
-@query(rf"WITH {TOK} SELECT regexp_replace(regexp_replace(regexp_replace(tok, '\p{{Lu}}+', 'X', 'g'), '[\p{{Ll}}_]+', 'x', 'g'), '[0-9]+', 'd', 'g') AS shape, count(*)::BIGINT AS n FROM tok GROUP BY 1")
+@query(f"WITH {TOK}, ty AS (SELECT tok, count(*)::BIGINT AS k FROM tok GROUP BY tok) SELECT {dan2('tok')} AS shape, sum(k)::BIGINT AS n FROM ty GROUP BY 1")
 def word_shape_hist(spark, sf_dir):
     types = tokens(spark, sf_dir).groupBy("tok").agg(F.count("*").alias("k"))  # shapes once a type, not once a token
     return types.groupBy(T.shape_dan2(F.col("tok")).alias("shape")).agg(F.sum("k").alias("n"))
 
 
-@query(rf"""WITH {TOK} SELECT CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN 'ALL-DIGITS' WHEN regexp_matches(tok, '^\p{{Lu}}+$') THEN 'ALL-UPPER' WHEN regexp_matches(tok, '^\p{{Ll}}+$') THEN 'ALL-LOWER'
-  WHEN regexp_matches(tok, '^\p{{Lu}}\p{{Ll}}*$') THEN 'INITIAL-UPPER' WHEN regexp_matches(tok, '^\p{{L}}+$') THEN 'MIXED-CASE' WHEN regexp_matches(tok, '[0-9]') THEN 'HAS-DIGIT' ELSE 'SYMBOL' END AS shape, count(*)::BIGINT AS n FROM tok GROUP BY 1""")
+@query(rf"""WITH {TOK} SELECT CASE WHEN regexp_matches(tok, '^[0-9]*$') THEN 'ALL-DIGITS' WHEN regexp_matches(tok, '^\p{{Lu}}+$') THEN 'ALL-UPPER' WHEN regexp_matches(tok, '^\p{{Ll}}+$') THEN 'ALL-LOWER'
+  WHEN regexp_matches(tok, '^\p{{Lu}}\p{{Ll}}+$') THEN 'MIXED-CASE' ELSE 'OTHER' END AS shape, count(*)::BIGINT AS n FROM tok GROUP BY 1""")
 def word_shape_dan1(spark, sf_dir):
     types = tokens(spark, sf_dir).groupBy("tok").agg(F.count("*").alias("k"))
     return types.groupBy(T.shape_dan1(F.col("tok")).alias("shape")).agg(F.sum("k").alias("n"))
@@ -68,10 +68,16 @@ def disjunctive_context(spark, sf_dir):
     return rows.groupBy("tok", "feature").agg(F.count("*").alias("n")).where("n > 2")
 
 
-@query(rf"""WITH {TOK}, t AS (SELECT doc_id, pos, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tok),
-  m AS (SELECT h.doc_id, h.pos, h.tok, max((a.nx = h.nx)::INT) AS xy FROM t h JOIN t a ON a.doc_id = h.doc_id AND a.tok = h.tok AND abs(a.pos - h.pos) BETWEEN 3 AND 149
-    WHERE regexp_matches(h.tok, '^\p{{Lu}}') AND regexp_matches(h.nx, '^\p{{Ll}}') GROUP BY ALL)
-  SELECT doc_id, pos, tok, CASE WHEN xy = 1 THEN 'XY' ELSE 'X' END AS pattern FROM m""")
+_NAMED = r"regexp_matches({0}, '^\p{{Lu}}[^\p{{Lu}}]+$')"
+
+
+@query(rf"""WITH {TOK}, t AS (SELECT doc_id, pos, tok, lag(tok, 1, '') OVER w AS prev, lead(tok, 1, '') OVER w AS next FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  r AS (SELECT *, {_NAMED.format("tok")} AND NOT regexp_matches(next, '\p{{Lu}}') AND regexp_matches(next, '\p{{L}}') AND regexp_matches(prev, '\p{{L}}') AS ok FROM t),
+  m AS (SELECT h.doc_id, h.pos, h.tok, h.prev, a.pos > h.pos AS forward, a.prev = h.prev AS pair, {_NAMED.format("a.prev")} AS l, {_NAMED.format("a.next")} AS o
+    FROM r h JOIN r a ON a.doc_id = h.doc_id AND a.tok = h.tok AND abs(a.pos - h.pos) BETWEEN 3 AND 149 WHERE h.ok)
+  SELECT DISTINCT doc_id, pos, tok, CASE WHEN {_NAMED.format("prev")} THEN 'XY-' || CASE WHEN forward THEN 'NEXT' ELSE 'PREV' END || '-OCCURRENCE-' || CASE WHEN pair THEN 'XY' ELSE 'Y' END
+    WHEN forward THEN 'X-NEXT-OCCURRENCE-' || CASE WHEN l THEN 'YX' WHEN o THEN 'XY' ELSE 'X' END ELSE 'X-PREV-OCCURRENCE-' || CASE WHEN o THEN 'YX' WHEN l THEN 'XY' ELSE 'X' END END AS pattern FROM m
+  UNION ALL SELECT doc_id, pos, tok, 'NO-OCCURRENCE-PATTERN' FROM r WHERE NOT ok""")
 def occurrence_patterns(spark, sf_dir):
     return context.occurrence_patterns(tokens(spark, sf_dir))
 
@@ -96,29 +102,24 @@ def token_offsets(spark, sf_dir):
 
 
 _STRINGS = r"""SELECT doc_id, upper(left(source, 1)) || substr(source, 2) AS capital, rpad(source, greatest(8, length(source))::INTEGER, '.') AS padded, lpad(source, greatest(8, length(source))::INTEGER, '.') AS padded_left,
-  levenshtein(lang, source)::INTEGER AS distance, translate(left(text, 40), 'éèêçñóíäöü', 'eeecnoiaou') AS ascii, regexp_replace(left(text, 40), '[^\p{L}\p{N}]', '', 'g') AS alnum, regexp_matches(text, '^\p{Lu}') AS capitalised,
-  replace(left(text, 40), 'e', 'E') AS replaced, list_distinct(string_split(lang || ',' || source || ',' || lang, ',')) IS NOT NULL AS is_set FROM documents"""
+  levenshtein(lang, source)::INTEGER AS distance, translate(text, 'éèêçñóíäöü', 'eeecnoiaou') AS ascii, regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') AS alnum, regexp_matches(text, '^\p{Lu}') AS capitalised,
+  replace(text, 'e', 'E') AS replaced, list_distinct(string_split(lang || ',' || source || ',' || lang, ',')) IS NOT NULL AS is_set FROM documents"""
 
 
 @query(_STRINGS)
 def string_functions(spark, sf_dir):
-    head = F.left("text", F.lit(40))
     return read(spark, sf_dir, "documents").select(
         "doc_id", T.capitalise(F.col("source")).alias("capital"), T.pad(F.col("source"), 8, ".").alias("padded"), T.pad_left(F.col("source"), 8, ".").alias("padded_left"),
-        F.levenshtein("lang", "source").alias("distance"), F.translate(head, "éèêçñóíäöü", "eeecnoiaou").alias("ascii"), T.strip_non_alnum(head).alias("alnum"), T.is_capitalised(F.col("text")).alias("capitalised"),
-        F.replace(head, F.lit("e"), F.lit("E")).alias("replaced"), F.array_distinct(F.split(F.concat_ws(",", "lang", "source", "lang"), ",")).isNotNull().alias("is_set"),
+        F.levenshtein("lang", "source").alias("distance"), F.translate("text", "éèêçñóíäöü", "eeecnoiaou").alias("ascii"), T.strip_non_alnum(F.col("text")).alias("alnum"), T.is_capitalised(F.col("text")).alias("capitalised"),
+        F.replace("text", F.lit("e"), F.lit("E")).alias("replaced"), F.array_distinct(F.split(F.concat_ws(",", "lang", "source", "lang"), ",")).isNotNull().alias("is_set"),
     )
 
 
-@query(rf"""WITH {TOK}, ty AS (SELECT lower(tok) AS w, count(*) AS n FROM tok WHERE regexp_matches(tok, '^[A-Za-z]+$') GROUP BY 1), top AS (SELECT w FROM ty ORDER BY n DESC, w LIMIT 300)
-  SELECT a.w AS x, b.w AS y, levenshtein(a.w, b.w)::INTEGER AS distance FROM top a JOIN top b ON a.w < b.w WHERE levenshtein(a.w, b.w) <= 1""")
+@query()
 def edit_distance_near_tokens(spark, sf_dir):
-    top = tokens(spark, sf_dir).where(F.col("tok").rlike(r"^[A-Za-z]+$")).groupBy(F.lower("tok").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(300).select("w")
-    # words one edit apart share a word with one character left out (or are that word): an equi-join instead of all pairs
-    cut = F.array_union(F.array("w"), F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.lit(1000)))))
-    keyed = top.select("w", F.explode(F.array_distinct(cut)).alias("k"))
-    pairs = keyed.toDF("x", "k").join(keyed.toDF("y", "k"), "k").where("x < y").select("x", "y").distinct()
-    return pairs.withColumn("distance", F.levenshtein("x", "y")).where("distance <= 1")
+    """All pairs of distinct lettered words one edit apart."""
+    words = tokens(spark, sf_dir).where(F.col("tok").rlike(r"^\p{L}+$")).select(F.lower("tok").alias("w")).distinct()
+    return sets.one_edit_pairs(words, "w")
 
 
 @query(rf"WITH {TOK} SELECT tok, regexp_matches(tok, '^\p{{Lu}}[^\p{{Lu}}]+$') AS name_case, NOT regexp_matches(tok, '\p{{Lu}}') AS no_upper, regexp_matches(tok, '\p{{L}}') AS letter, regexp_matches(lower(tok), '^([0-9]+(st|nd|rd|th)|([a-z]+-)?(first|second|third))$') AS ordinal, regexp_matches(tok, '^(Mr|Ms|Mrs|Dr|Miss|Sen|Judge|Sir)\.?$') AS title FROM tok GROUP BY tok")
@@ -161,19 +162,19 @@ def beam_topk(spark, sf_dir):
     return sets.beam(tokens(spark, sf_dir).groupBy("doc_id", "tok").agg(F.count("*").alias("n")), ["doc_id"], "n", 3)
 
 
-@query("SELECT doc_id, list_transform(range(1, len(xs) + 1), lambda i: xs[i] - coalesce(xs[i - 1], 0)) AS gaps FROM (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(left(text, 200), '[\\p{L}]+'), lambda w: length(w)::BIGINT))) AS xs FROM documents)")
+@query("SELECT doc_id, list_transform(range(1, len(xs) + 1), lambda i: xs[i] - coalesce(xs[i - 1], 0)) AS gaps FROM (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\\p{L}]+'), lambda w: length(w)::BIGINT))) AS xs FROM documents)")
 def gap_codes(spark, sf_dir):
-    words = F.regexp_extract_all(F.left("text", F.lit(200)), F.lit(r"[\p{L}]+"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))
     d = read(spark, sf_dir, "documents").select("doc_id", F.sort_array(F.array_distinct(F.transform(words, lambda w: F.length(w).cast("long")))).alias("xs"))
     return d.select("doc_id", T.gap_encode(F.col("xs")).alias("gaps"))
 
 
-@query(rf"WITH {TOK}, lows AS (SELECT DISTINCT tok AS w FROM tok WHERE regexp_matches(tok, '^\p{{Ll}}+$')) SELECT t.tok, 'WT-' || regexp_replace(regexp_replace(regexp_replace(t.tok, '\p{{Lu}}+', 'X', 'g'), '[\p{{Ll}}_]+', 'x', 'g'), '[0-9]+', 'd', 'g') || CASE WHEN length(t.tok) <= 3 THEN ':' || length(t.tok) ELSE '' END || CASE WHEN regexp_matches(t.tok, '^\p{{L}}+$') AND l.w IS NOT NULL THEN 'k' ELSE '' END AS shape, count(*)::BIGINT AS n FROM tok t LEFT JOIN lows l ON lower(t.tok) = l.w GROUP BY ALL")
+@query(rf"WITH {TOK}, lows AS (SELECT DISTINCT tok AS w FROM tok WHERE regexp_matches(tok, '^\p{{Ll}}+$')), ty AS (SELECT tok, count(*)::BIGINT AS n FROM tok GROUP BY tok) SELECT t.tok, {dan2('t.tok')} || CASE WHEN regexp_matches(t.tok, '^[\p{{Lu}}\p{{Ll}}_]+$') AND l.w IS NOT NULL THEN 'k' ELSE '' END AS shape, n FROM ty t LEFT JOIN lows l ON lower(t.tok) = l.w")
 def word_shape_known(spark, sf_dir):
     types = tokens(spark, sf_dir).groupBy("tok").agg(F.count("*").alias("n"))
     low = types.where(F.col("tok").rlike(r"^\p{Ll}+$")).select(F.col("tok").alias("w"))
     j = types.join(low, F.lower("tok") == F.col("w"), "left")
-    return j.select("tok", T.shape_dan2_tagged(F.col("tok"), F.col("w").isNotNull()).alias("shape"), "n")
+    return j.select("tok", T.shape_dan2(F.col("tok"), F.col("w").isNotNull()).alias("shape"), "n")
 
 
 @query()

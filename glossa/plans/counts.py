@@ -128,16 +128,17 @@ def counter_retained(spark, sf_dir):
     return counters.retain(counters.transform_keys(counter(spark, sf_dir), F.lower), (F.col("n") >= 10) & F.col("tok").rlike("^th"))
 
 
-@query(f"WITH {TOK}, c AS (SELECT lang, source, lower(tok) AS w FROM tok WHERE length(tok) = 3) SELECT lang, source, w, count(*)::BIGINT AS n, (grouping(lang) * 4 + grouping(source) * 2 + grouping(w))::BIGINT AS level FROM c GROUP BY ROLLUP (lang, source, w)")
+@query(f"WITH {TOK}, c AS (SELECT lang, source, lower(tok) AS w FROM tok) SELECT lang, source, w, count(*)::BIGINT AS n, (grouping(lang) * 4 + grouping(source) * 2 + grouping(w))::BIGINT AS level FROM c GROUP BY ROLLUP (lang, source, w)")
 def rollup_counts(spark, sf_dir):
-    t = tokens_with(spark, sf_dir, "lang", "source").where(F.length("tok") == 3)
+    t = tokens_with(spark, sf_dir, "lang", "source")
     return counters.level_totals(counters.of(t.select("lang", "source", F.lower("tok").alias("w")), "lang", "source", "w"))
 
 
-@query("SELECT lang, coalesce(sum(CASE WHEN source = 'src0' THEN 1 END), 0)::BIGINT AS src0, coalesce(sum(CASE WHEN source = 'src1' THEN 1 END), 0)::BIGINT AS src1, coalesce(sum(CASE WHEN source = 'src2' THEN 1 END), 0)::BIGINT AS src2 FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY lang")
+@query("PIVOT (SELECT lang, source FROM documents) ON source USING count(*)::BIGINT GROUP BY lang")
 def counter_matrix(spark, sf_dir):
-    names = ["src0", "src1", "src2"]
-    return counters.matrix(counters.of(read(spark, sf_dir, "documents").where(F.col("source").isin(*names)), "lang", "source"), "lang", "source", names)
+    """Documents by language and source; a column a source, of which there are few."""
+    d = read(spark, sf_dir, "documents")
+    return counters.matrix(counters.of(d, "lang", "source"), "lang", "source", sorted(r[0] for r in d.select("source").distinct().collect()))
 
 
 @query(f"{_EN} SELECT count(*)::BIGINT AS differing FROM j WHERE x <> y")
@@ -223,9 +224,9 @@ def info_gain_labels(spark, sf_dir):
     return rounded(aggregates.information_gain(frequent, labels).join(every, "feature", "left_anti"), "ig")
 
 
-@query(f"WITH {TOK}, f AS (SELECT doc_id AS example_id, tok AS feature FROM tok WHERE length(tok) >= 6), k AS (SELECT feature FROM f GROUP BY feature HAVING count(*) >= 3 AND count(*) <= 200) SELECT count(*)::BIGINT AS rows, count(DISTINCT feature)::BIGINT AS features FROM f WHERE feature IN (SELECT feature FROM k)")
+@query(f"WITH {TOK}, f AS (SELECT doc_id AS example_id, tok AS feature FROM tok), k AS (SELECT feature FROM f GROUP BY feature HAVING count(*) >= 3 AND count(*) <= 200) SELECT count(*)::BIGINT AS rows, count(DISTINCT feature)::BIGINT AS features FROM f WHERE feature IN (SELECT feature FROM k)")
 def feature_cutoff(spark, sf_dir):
-    f = tokens(spark, sf_dir).where(F.length("tok") >= 6).select(F.col("doc_id").alias("example_id"), F.col("tok").alias("feature"))
+    f = tokens(spark, sf_dir).select(F.col("doc_id").alias("example_id"), F.col("tok").alias("feature"))
     return aggregates.totals(aggregates.cutoff(f, 3, 200)).select(F.col("tokens").alias("rows"), F.col("types").alias("features"))
 
 

@@ -85,14 +85,13 @@ def border_errors(spark, sf_dir):
     return evaluate.border_errors(g, h, spans.overlapping(g, h)).select("doc_id", F.col("a_type").alias("type"), "a0", "a1", "b0", "b1")
 
 
-@query(f"""WITH {LAB}, {_G}, {_H}, j AS (SELECT g.begin_pos AS a0, g.end_pos AS a1, h.begin_pos AS b0, h.end_pos AS b1 FROM g JOIN h ON g.doc_id = h.doc_id AND g.begin_pos < 60 AND h.begin_pos < 60)
+@query(f"""WITH {LAB}, {_G}, {_H}, j AS (SELECT g.begin_pos AS a0, g.end_pos AS a1, h.begin_pos AS b0, h.end_pos AS b1 FROM g JOIN h ON g.doc_id = h.doc_id)
   SELECT CASE WHEN a0 = b0 AND a1 = b1 THEN 'EQUAL' WHEN a1 = b0 THEN 'END_MEET_BEGIN' WHEN a0 = b1 THEN 'BEGIN_MEET_END' WHEN a1 < b0 THEN 'BEFORE' WHEN a0 > b1 THEN 'AFTER'
     WHEN a0 <= b0 AND a1 >= b1 THEN 'CONTAIN' WHEN a0 >= b0 AND a1 <= b1 THEN 'INSIDE' WHEN a0 < b1 AND b0 < a1 THEN 'OVERLAP' ELSE 'UNKNOWN' END AS relation, count(*)::BIGINT AS n FROM j GROUP BY 1""")
 def interval_relations(spark, sf_dir):
-    """Relations among spans that start in a document's first 60 tokens (an analysis of openings)."""
+    """Relations among all spans of two labellings of a document."""
     lab = labelled(spark, sf_dir)
-    g, h = spans.chunks(lab, "gold").where("begin_pos < 60"), spans.chunks(lab, "guess").where("begin_pos < 60")
-    return spans.related(g, h).groupBy("relation").agg(F.count("*").alias("n"))
+    return spans.relation_counts(spans.chunks(lab, "gold"), spans.chunks(lab, "guess"))
 
 
 @query(f"WITH {LAB}, {_G}, x AS (SELECT type, CASE WHEN n_tok = 1 THEN 'single' WHEN n_tok = 2 THEN 'pair' ELSE 'longer' END AS kind FROM g) SELECT kind, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM x), 6) AS impact FROM x GROUP BY kind")
@@ -191,11 +190,11 @@ def blacklist_anti_join(spark, sf_dir):
 
 # --- entities -------------------------------------------------------------------------------------------------------------------
 
-_M = f"WITH {LAB}, {_G}, mentions AS (SELECT doc_id, type AS tag, lower(text) AS norm, text AS form FROM g WHERE n_tok <= 3)"
+_M = f"WITH {LAB}, {_G}, mentions AS (SELECT doc_id, type AS tag, lower(text) AS norm, text AS form FROM g)"
 
 
 def mentions(spark, sf_dir):
-    s = gold_spans(spark, sf_dir).where("n_tok <= 3")
+    s = gold_spans(spark, sf_dir)
     return s.select("doc_id", F.col("type").alias("tag"), F.lower("text").alias("norm"), F.col("text").alias("form"))
 
 
@@ -204,7 +203,7 @@ def entity_counts_per_doc(spark, sf_dir):
     return aggregates.entity_counts(mentions(spark, sf_dir), True)
 
 
-@query(f"{_M}, f AS (SELECT tag, norm, form, count(*) AS k FROM mentions GROUP BY ALL), o AS (SELECT tag, norm, sum(k)::BIGINT AS n, list(form ORDER BY k DESC, form) AS fs FROM f GROUP BY ALL) SELECT tag, norm, n, (SELECT count(DISTINCT doc_id) FROM mentions m WHERE m.tag = o.tag AND m.norm = o.norm)::BIGINT AS n_docs, fs[1] AS popular, CASE WHEN len(fs) > 1 THEN array_to_string(fs, '|') END AS alternatives FROM o")
+@query(f"{_M}, f AS (SELECT tag, norm, form, count(*) AS k FROM mentions GROUP BY ALL), o AS (SELECT tag, norm, sum(k)::BIGINT AS n, list(form ORDER BY k DESC, form) AS fs FROM f GROUP BY ALL) SELECT tag, norm, n, n_docs, fs[1] AS popular, CASE WHEN len(fs) > 1 THEN array_to_string(fs, '|') END AS alternatives FROM o JOIN (SELECT tag, norm, count(DISTINCT doc_id)::BIGINT AS n_docs FROM mentions GROUP BY ALL) USING (tag, norm)")
 def popular_form(spark, sf_dir):
     return aggregates.entities(mentions(spark, sf_dir))
 

@@ -10,12 +10,9 @@ from glossa.plans.catalogue import query, read, rounded
 from glossa.plans.counts import labelled_features
 from glossa.plans.corpus import tokens
 from glossa.plans.labels import labelled
-from glossa.plans.sqltext import LAB, STOK, TOK
+from glossa.plans.sqltext import LAB, STOK, TOK, dan2
 
-_SH = r"regexp_replace(regexp_replace(regexp_replace({0}, '\p{{Lu}}+', 'X', 'g'), '[\p{{Ll}}_]+', 'x', 'g'), '[0-9]+', 'd', 'g')"
-
-
-@query(rf"""WITH {STOK}, s AS (SELECT *, {_SH.format('tok')} AS shape FROM stok), w AS (SELECT *, lag(tok) OVER o AS p, lead(tok) OVER o AS n, lag(shape) OVER o AS ps, lead(shape) OVER o AS ns FROM s WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
+@query(rf"""WITH {STOK}, ty AS (SELECT DISTINCT tok FROM stok), sh AS (SELECT tok, {dan2('tok')} AS shape FROM ty), s AS (SELECT stok.*, shape FROM stok JOIN sh USING (tok)), w AS (SELECT *, lag(tok) OVER o AS p, lead(tok) OVER o AS n, lag(shape) OVER o AS ps, lead(shape) OVER o AS ns FROM s WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
   f AS (SELECT unnest([tok || '-WORD|C', p || '-PW|C', n || '-NW|C', tok || '-' || p || '-W-PW|C', shape || '-TYPE|C', ps || '-PTYPE|C', ns || '-NTYPE|C', ps || '-' || shape || '-TYPES|CpC']) AS feature FROM w)
   SELECT feature, count(*)::BIGINT AS n FROM f WHERE feature IS NOT NULL GROUP BY feature HAVING count(*) >= 5""")
 def feature_templates(spark, sf_dir):
@@ -103,14 +100,17 @@ def model_log_likelihood(spark, sf_dir):
 _NB = f"WITH {TOK}, f AS (SELECT DISTINCT t.doc_id, lower(tok) AS feature FROM tok t JOIN labels l ON l.doc_id = t.doc_id WHERE regexp_matches(tok, '^\\p{{L}}+$')), lab AS (SELECT doc_id, quality AS label FROM labels WHERE doc_id IN (SELECT doc_id FROM f))"
 
 
-@query(f"""{_NB}, nc AS (SELECT label, count(*)::DOUBLE AS nc FROM lab GROUP BY label), fc AS (SELECT feature, label, count(*)::DOUBLE AS k FROM f JOIN lab USING (doc_id) GROUP BY ALL),
-  w AS (SELECT v.feature, nc.label, ln((coalesce(k, 0) + 1) / (nc + 2)) AS w FROM (SELECT DISTINCT feature FROM f) v CROSS JOIN nc LEFT JOIN fc ON fc.feature = v.feature AND fc.label = nc.label),
-  s AS (SELECT doc_id, label, sum(w) + any_value(p) AS score FROM f JOIN w USING (feature) JOIN (SELECT label, ln(nc / sum(nc) OVER ()) AS p FROM nc) USING (label) GROUP BY ALL)
+@query(f"""{_NB}, g AS (SELECT doc_id, feature FROM f UNION ALL SELECT doc_id, '*' FROM lab), e AS (SELECT label, count(*)::DOUBLE AS numc FROM lab GROUP BY label),
+  fc AS (SELECT feature, label, count(*)::DOUBLE AS nfc FROM g JOIN lab USING (doc_id) GROUP BY ALL), nc AS (SELECT label, sum(nfc) AS nc FROM fc GROUP BY label), nf AS (SELECT feature, sum(nfc) AS nf FROM fc GROUP BY feature),
+  k AS (SELECT count(*)::DOUBLE AS k, sum(nc) AS n, (SELECT sum(numc) FROM e) AS d FROM nc),
+  w AS (SELECT nf.feature, nc.label, CASE WHEN nf = d THEN ln(numc / d) ELSE ln(((coalesce(nfc, 0) + 1) / (nf + k)) / (nc / n)) END AS w FROM nf CROSS JOIN nc CROSS JOIN k JOIN e USING (label) LEFT JOIN fc ON fc.feature = nf.feature AND fc.label = nc.label),
+  s AS (SELECT doc_id, label, sum(w) AS score FROM g JOIN w USING (feature) GROUP BY ALL)
   SELECT doc_id AS example_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM s) WHERE r = 1""")
 def nb_classify(spark, sf_dir):
+    """Words and a feature that all examples have, which is the prior."""
     f, labels = labelled_features(spark, sf_dir)
-    w = models.naive_bayes(f, labels)
     every = f.union(labels.select("example_id", F.lit("*").alias("feature")))
+    w = models.naive_bayes(every, labels)
     return models.classify(models.scores(every, w, ("example_id",)), ("example_id",)).select("example_id", "label")
 
 
@@ -120,15 +120,16 @@ MOVE = np.array([[0.5, -1.0, 0.0], [-1.0, 0.25, 0.0], [0.0, 0.0, 0.25]])
 
 
 def _emissions(spark, sf_dir):
-    s = context.tokenise_sentences(read(spark, sf_dir, "documents"))
-    t = F.col("tok")
-    rows = s.select("doc_id", "sent_id", "pos", F.explode(F.array(*(F.struct(F.lit(y).alias("label"), v.alias("score")) for y, v in (("NAME", F.when(t.rlike(r"^\p{Lu}"), 1.0).otherwise(-0.5)), ("NUM", F.when(t.rlike("^[0-9]"), 2.0).otherwise(-1.0)), ("O", F.lit(0.25)))))).alias("e"))
-    return rows.select("doc_id", "sent_id", "pos", "e.*")
+    """A row a sentence with its scores by position and label."""
+    t = context.sentence_arrays(read(spark, sf_dir, "documents"))
+    score = lambda w: F.array(F.when(w.rlike(r"^\p{Lu}"), 1.0).otherwise(-0.5), F.when(w.rlike("^[0-9]"), 2.0).otherwise(-1.0), F.lit(0.25))
+    return t.where(F.size("toks") > 0).select("doc_id", "sent_id", F.transform("toks", score).alias("emit"))
 
 
 @query()
 def viterbi_path(spark, sf_dir):
-    return models.decode(_emissions(spark, sf_dir), ORDER, MOVE).groupBy("label").agg(F.count("*").alias("n"))
+    d = models.decode_arrays(_emissions(spark, sf_dir), ORDER, MOVE)
+    return d.select(F.explode("path").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH RECURSIVE {STOK}, e AS (SELECT doc_id, sent_id, pos, CASE WHEN regexp_matches(tok, '^\p{{Lu}}') THEN 1.0 ELSE -0.5 END::DOUBLE AS a, CASE WHEN regexp_matches(tok, '^[0-9]') THEN 2.0 ELSE -1.0 END::DOUBLE AS b, 0.25::DOUBLE AS c FROM stok),
@@ -136,8 +137,7 @@ def viterbi_path(spark, sf_dir):
     SELECT e.doc_id, e.sent_id, e.pos, greatest(v.a + 0.5, v.b - 1.0, v.c) + e.a, greatest(v.a - 1.0, v.b + 0.25, v.c) + e.b, greatest(v.a, v.b, v.c + 0.25) + e.c FROM v JOIN e ON e.doc_id = v.doc_id AND e.sent_id = v.sent_id AND e.pos = v.pos + 1)
   SELECT doc_id, sent_id, round(max_by(greatest(a, b, c), pos), 6) AS path_score FROM v GROUP BY ALL""")
 def viterbi_score(spark, sf_dir):
-    d = models.decode(_emissions(spark, sf_dir), ORDER, MOVE)
-    return d.groupBy("doc_id", "sent_id").agg(F.round(F.max("path_score"), 6).alias("path_score"))
+    return models.decode_arrays(_emissions(spark, sf_dir), ORDER, MOVE).select("doc_id", "sent_id", F.round("path_score", 6).alias("path_score"))
 
 
 @query(f"WITH {LAB} SELECT gold AS label, row_number() OVER (ORDER BY gold <> 'O', gold) - 1 AS id FROM (SELECT DISTINCT gold FROM lab)")

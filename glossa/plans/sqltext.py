@@ -21,3 +21,10 @@ def spans(column: str, name: str) -> str:
     FROM (SELECT doc_id, pos, tok, {column}, lag({column}) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM lab)),
   {name} AS (SELECT doc_id, min({column}) AS type, min(pos) AS begin_pos, max(pos) + 1 AS end_pos, count(*) AS n_tok, string_agg(tok, ' ' ORDER BY pos) AS text
     FROM {name}_r WHERE {column} <> 'O' GROUP BY doc_id, run)"""
+
+
+def dan2(w: str) -> str:
+    """The dan2 shape of a word in SQL, without the mark of known words: classes, each run once."""
+    cased = rf"regexp_replace(regexp_replace(regexp_replace({w}, '\p{{Lu}}', 'X', 'g'), '[\p{{Ll}}_]', 'x', 'g'), '[0-9]', 'd', 'g')"
+    runs = f"regexp_replace(list_reduce(string_split({cased}, ''), lambda a, c: CASE WHEN right(a, 1) = c THEN a ELSE a || c END), '^~', '')"
+    return f"('WT-' || {runs} || CASE WHEN length({w}) <= 3 THEN ':' || length({w}) ELSE '' END)"

@@ -10,15 +10,15 @@ from glossa.plans.corpus import tokens
 from glossa.plans.sqltext import TOK
 from glossa.streaming import streams
 
-#: A document as a tree: the document, its lines, and each line's first words.
+#: A document as a tree: the document, its lines, and each line's words.
 _N = r"""WITH l AS (SELECT doc_id AS tree_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-  w AS (SELECT tree_id, i, generate_subscripts(ws, 1) AS j, unnest(ws) AS word FROM (SELECT tree_id, i, regexp_extract_all(line, '[\p{L}]+')[1:3] AS ws FROM l)),"""
+  w AS (SELECT tree_id, i, generate_subscripts(ws, 1) AS j, unnest(ws) AS word FROM (SELECT tree_id, i, regexp_extract_all(line, '[\p{L}]+') AS ws FROM l)),"""
 
 
 def document_trees(spark, sf_dir):
-    """Bracketed trees (DOC (LINE w w w) ...) of documents; a line shows its first three words."""
+    """Bracketed trees (DOC (LINE w w w) ...) of documents."""
     lines = F.split("text", "\n")
-    words = F.transform(lines, lambda x: F.array_join(F.slice(F.regexp_extract_all(x, F.lit(r"[\p{L}]+"), F.lit(0)), 1, 3), " "))
+    words = F.transform(lines, lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"[\p{L}]+"), F.lit(0)), " "))
     kept = F.filter(words, lambda x: x != "")
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("tree_id"), kept.alias("k")).where(F.size("k") > 0)
     return d.select("tree_id", F.concat(F.lit("(DOC "), F.array_join(F.transform("k", lambda x: F.concat(F.lit("(LINE "), x, F.lit(")"))), " "), F.lit(")")).alias("tree"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.shared import shared_dir
+
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table's files as a stream; its schema is read from the files."""
@@ -26,8 +27,7 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """All that the stream gives for what is there now, as a table in the shared folder (append) or of the last state (complete, update)."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = shared_dir(spark)
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
         q.awaitTermination()

@@ -16,7 +16,6 @@ def one(spark, expression, *columns):
 @pytest.mark.parametrize(
     ("function", "value", "want"),
     [
-        (T.shape_dan2, "McDonald's-42", "XxXx'x-d"),
         (T.capitalise_pieces, "jānis o'neil", "Jānis O'Neil"),
         (T.americanise, "colour", "color"),
         (T.americanise, "organisation", "organization"),
@@ -30,6 +29,111 @@ def test_string_functions(spark, function, value, want):
     assert one(spark, function(F.col("c0")), value) == want
 
 
+#: Shapes worked out by hand from the rules, character by character.
+SHAPES = [
+    ("dan1", "123", "ALL-DIGITS"), ("dan1", "ABC", "ALL-UPPER"), ("dan1", "A", "ALL-UPPER"), ("dan1", "abc", "ALL-LOWER"), ("dan1", "Abc", "MIXED-CASE"), ("dan1", "aB", "OTHER"), ("dan1", "A1", "OTHER"), ("dan1", "", "ALL-DIGITS"), ("dan1", "...", "OTHER"),
+    ("dan2", "McDonald's-42", "WT-XxXx'x-d"), ("dan2", "...", "WT-.:3"), ("dan2", "a_b", "WT-x:3"), ("dan2", "~~a", "WT-x:3"), ("dan2", "IBM5000", "WT-Xd"), ("dan2", "٣٤٥٦", "WT-d"),
+    ("dan2bio", "TNFalpha", "WT-Xx-GREEK"), ("dan2bio", "Beta", "WT-Xx-GREEK"), ("dan2bio", "Best", "WT-Xx"),
+    ("jenny1", "TNFalphaB", "WT-XgX"), ("jenny1", "rho", "WT-g:3"), ("jenny1", "a_b", "WT-x_x:3"), ("jenny1", "betau", "WT-gx"), ("jenny1", "Alpha", "WT-Xx"),
+    ("chris1", "12", "CARDINAL13"), ("chris1", "1999", "CARDINAL4"), ("chris1", "19999", "CARDINAL5PLUS"), ("chris1", "-1,200.5", "NUMBER"), ("chris1", "A.", "ACRONYM1"), ("chris1", "U.S.", "ACRONYM"), ("chris1", "12-34", "DIGIT-DASH"),
+    ("chris1", "Mid-90s", "CAPITALIZED-DIGIT-DASH"), ("chris1", "Win95", "CAPITALIZED-DIGIT"), ("chris1", "Jean-Luc", "CAPITALIZED-DASH"), ("chris1", "Hello", "CAPITALIZED"), ("chris1", "F-16", "ALLCAPS-DIGIT-DASH"), ("chris1", "B2", "ALLCAPS-DIGIT"), ("chris1", "X-Y", "ALLCAPS"), ("chris1", "IBM", "ALLCAPS"),
+    ("chris1", "mid-90", "LOWERCASE-DIGIT-DASH"), ("chris1", "a1", "LOWERCASE-DIGIT"), ("chris1", "x-ray", "LOWERCASE-DASH"), ("chris1", "ray", "LOWERCASE"), ("chris1", "iPad2", "MIXEDCASE-DIGIT"), ("chris1", "iPhone", "MIXEDCASE"), ("chris1", "$5", "SYMBOL-DIGIT"), ("chris1", "...", "SYMBOL"), ("chris1", "", "SYMBOL"),
+    ("chris2", "Abc", "Xxx"), ("chris2", "Abcdef", "Xxxxx"), ("chris2", "A1b2cd", "Xddxxx"), ("chris2", "xalphay", "xgx"), ("chris2", "a-b.c-d", "x-.x-x"),
+    ("chris3", "Abcdef", "Xxxx"), ("chris3", "A1b2cd", "Xdxx"), ("chris3", "a-b.c-d", "x-.-x"),
+    ("chris4", "Ab1", "Xxd"), ("chris4", "a%b€c!d", "x%$x.x"), ("chris4", "|", "+"), ("chris4", "日本", "Dc"), ("chris4", "«a»", "`x'"), ("chris4", "二一", "dc"),
+    ("digits", "a12", "a99"),
+]
+
+
+def test_shapes(spark):
+    for name, f in T.SHAPES.items():
+        cases = [(w, want) for n, w, want in SHAPES if n == name]
+        got = spark.createDataFrame([(i, w) for i, (w, _) in enumerate(cases)], "i int, w string").select("i", f(F.col("w"))).collect()
+        assert cases and [r[1] for r in sorted(got)] == [want for _, want in cases], name
+
+
+def test_known_words_are_marked(spark):
+    assert one(spark, T.shape_dan2(F.col("c0"), F.lit(True)), "Word") == "WT-Xxk"
+    assert one(spark, T.shape_dan2(F.col("c0"), F.lit(True)), "Wo1") == "WT-Xxd:3"
+    assert one(spark, T.shape_chris2(F.col("c0"), F.lit(True)), "Wo") == "Xxk"
+
+
+def test_occurrence_patterns(spark):
+    text = "then Smith said that so and John Smith came . Mr Smith , Smith Jones left . The Smith was".split()
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "doc_id long, pos int, tok string")
+    got = {}
+    for r in context.occurrence_patterns(df).collect():
+        got.setdefault(r["pos"], set()).add(r["pattern"])
+    none = {"NO-OCCURRENCE-PATTERN"}
+    # 1: after a small word; then met after John (YX), after Mr (YX), before Jones (XY), after The (YX)
+    assert got[1] == {"X-NEXT-OCCURRENCE-YX", "X-NEXT-OCCURRENCE-XY"}
+    # 7: John Smith; ahead at 11 (Mr), 13 (","), 18 (The): the word alone; behind at 1: alone
+    assert got[7] == {"XY-NEXT-OCCURRENCE-Y", "XY-PREV-OCCURRENCE-Y"}
+    assert got[18] == {"XY-PREV-OCCURRENCE-Y"}
+    assert got[11] == got[13] == got[0] == got[19] == none and 14 not in got  # Jones: nothing else to meet
+    assert got[6] == none  # John stands before a capital
+
+
+def test_occurrences_met_as_a_pair(spark):
+    text = "see Ann Lee now or a x b Ann Lee again".split()
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "doc_id long, pos int, tok string")
+    got = {(r["pos"], r["pattern"]) for r in context.occurrence_patterns(df).collect() if not r["pattern"].startswith("NO")}
+    assert got == {(2, "XY-NEXT-OCCURRENCE-XY"), (9, "XY-PREV-OCCURRENCE-XY")}
+
+
+def test_naive_bayes_by_hand(spark):
+    f = spark.createDataFrame([(1, "a"), (1, "*"), (2, "a"), (2, "b"), (2, "*"), (3, "b"), (3, "*")], "example_id long, feature string")
+    y = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "example_id long, label string")
+    got = {(r["feature"], r["label"]): r["w"] for r in models.naive_bayes(f, y).collect()}
+    # 7 active features, 5 with x; a: 2 of 2 with x; b: 1 of 2 each; * is always on
+    want = {("a", "x"): np.log(3 / 4 / (5 / 7)), ("a", "y"): np.log(1 / 4 / (2 / 7)), ("b", "x"): np.log(2 / 4 / (5 / 7)), ("b", "y"): np.log(2 / 4 / (2 / 7)), ("*", "x"): np.log(2 / 3), ("*", "y"): np.log(1 / 3)}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    plain = {(r["feature"], r["label"]): r["w"] for r in models.naive_bayes(f, y, always_on_is_prior=False).collect()}
+    assert abs(plain["*", "x"] - np.log(3 / 5 / (5 / 7))) < 1e-12
+
+
+def test_words_one_edit_apart(spark):
+    words = ["cat", "cut", "cats", "at", "dog", "act", "coat", "é", "ê", "ab", "ba", "", "x"]
+    got = {(r["x"], r["y"]): r["distance"] for r in sets.one_edit_pairs(spark.createDataFrame([(w,) for w in words], "w string").where("w <> ''"), "w").collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, z in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != z))
+        return row[-1]
+
+    words = [w for w in words if w]
+    assert got == {(a, b): 1 for a in words for b in words if a < b and distance(a, b) == 1}
+
+
+def test_batched_viterbi_as_one_by_one(spark):
+    rng = np.random.default_rng(1)
+    move = np.round(rng.normal(size=(3, 3)), 1)
+    rows = [(i, np.round(rng.normal(size=(n, 3)), 1).tolist()) for i, n in enumerate([1, 7, 3, 0, 7, 20, 2, 1])]
+    df = spark.createDataFrame(rows, "i long, emit array<array<double>>").repartition(2)
+    got = {r["i"]: (r["path"], r["path_score"]) for r in models.decode_arrays(df, ["a", "b", "c"], move, cells=30).collect()}
+    for i, emit in rows:
+        path, score = models.viterbi_path(np.array(emit), move) if emit else (np.array([], int), 0.0)
+        assert got[i][0] == ["abc"[k] for k in path] and abs(got[i][1] - score) < 1e-9
+
+
+def test_running_numbers_and_sums(spark):
+    df = spark.createDataFrame([(k * 7 % 100, k % 3) for k in range(100)], "k long, v long").repartition(5)
+    got = sorted(map(tuple, sets.indexed(df, "k", sums={"s": F.col("v")}).select("k", "v", "ix", "s").collect()))
+    assert [r[2] for r in got] == list(range(100)) and [r[3] for r in got] == np.cumsum([r[1] for r in got]).tolist()
+    assert sets.indexed(df.where("false"), "k").count() == 0
+
+
+def test_relations_without_pairs(spark):
+    rng = np.random.default_rng(2)
+    make = lambda n: [(int(d), "T", int(b), int(b + w)) for d, b, w in zip(rng.integers(0, 3, n), rng.integers(0, 300, n), rng.integers(1, 90, n), strict=True)]
+    a, b = (spark.createDataFrame(make(60), "doc_id long, type string, begin_pos long, end_pos long") for _ in range(2))
+    want = {r["relation"]: r["n"] for r in spans.related(a, b).groupBy("relation").agg(F.count("*").alias("n")).collect()}
+    assert {r["relation"]: r["n"] for r in spans.relation_counts(a, b).collect()} == want and {"BEFORE", "AFTER", "OVERLAP"} <= set(want)
+
+
 def test_split_quoted_and_values(spark):
     assert one(spark, T.split_quoted(F.col("c0")), 'a,"b,c",d') == ["a", "b,c", "d"]
     assert one(spark, T.value_split(F.col("c0"), "[0-9]+", ";"), "1;22;3") == ["1", "22", "3"]

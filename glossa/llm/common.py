@@ -8,13 +8,14 @@ power of two has texts of two letters that collide for every base, Thue and Mors
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
 import inspect
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,13 +190,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/glossa-{uuid.uuid4().hex}"
 
 
+#: Folders of tables that this process wrote and has not deleted yet.
+_written: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and outlives executors."""
+    """df as a table in the shared folder: cuts lineage and outlives executors.  It is deleted by `finished`, or when the process ends."""
     path = shared_dir(df.sparkSession)
+    if not _written:
+        atexit.register(_sweep, df.sparkSession)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of `make`, written once; tables written on the way are deleted."""
+    before = len(_written)
+    out = written(make())
+    for path in _written[before:-1]:
+        _delete(spark, path)
+    del _written[before:-1]
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _sweep(spark: SparkSession) -> None:
+    """At the end of the process: what is left; a session that is gone already leaves its folders to whoever owns the shared one."""
+    with contextlib.suppress(Exception):
+        for path in _written:
+            _delete(spark, path)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """df if it is files under projections and filters alone, so that every pass has the same rows in the same order; else df written once."""
     plan = df._jdf.queryExecution().optimizedPlan()

@@ -725,3 +725,29 @@ def test_pipeline_stages(spark, tmp_path):
     got = docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert {r["doc_id"] for r in got} == {d for d, _ in rows} and all(r["n"] == r["t"] for r in got)
     assert C.run(spark, sf).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "minhash_near_dedup", "substring_dedup", "packing"])
+def test_pipeline_stages_take_any_rows(odd, empty, name):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, no rows."""
+    import corpus_pipeline as C
+
+    spark, stage = odd.sparkSession, dict(C.STAGES)[name]
+    rows = odd.union(odd.sparkSession.createDataFrame([(None, prose(7, 90), None, None, None, None), (None, None, None, None, None, None)], odd.schema)).withColumn("n_chars", F.length("text").cast("long"))
+    out = stage(spark, rows, "")
+    if name == "packing":
+        assert out.agg(F.sum("length")).first()[0] == sum(len(ids_by_library(t)) for t in [*(t for _, t in ODD), "one", prose(7, 90), None])
+    else:
+        assert out.columns == rows.columns and {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in rows.collect()}
+        assert name == "quality_rules" or None in {r["doc_id"] for r in out.collect()}
+    assert stage(spark, rows.where("false"), "").count() == 0
+
+
+def test_pipeline_scans_documents_once_a_pass(spark):
+    """Stages are written between each other: the quality rules stand in the plan of their own table alone."""
+    import corpus_pipeline as C
+
+    before = list(common._written)
+    out = C.run(spark, "/root/testdata/sf0.001")
+    assert "_keys" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() > 0
+    assert len(common._written) == len(before) + len(C.STAGES)

@@ -1,6 +1,10 @@
 """Corpus pipeline: quality rules, MinHash near-dedup, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of documents.
+
+Defined results: rows with a null doc_id pass every stage as documents of their own (near-dedup keeps them, linked with nothing); null, empty and very
+short texts fail the quality rules; rows equal in all columns stay or go together until near-dedup, which keeps rows of one doc_id
+together; an empty table passes as such; further columns are carried along, whatever their names, and left out by packing alone.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from glossa.llm import minhash_dedup, packing, quality_rules, substring_dedup
+from glossa.llm.common import finished
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +43,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  Each stage is written once, in the shared folder, and read by the next; what a stage wrote on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = finished(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs

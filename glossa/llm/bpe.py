@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import U64, blocks, need, plan_bytes, planes, slices, squeezed, stable, string_hashes, trimmed, trimmed_group, unplaned, unsqueezed
+from glossa.llm.common import U64, blocks, mix, need, plan_bytes, planes, powers, slices, squeezed, stable, trimmed, trimmed_group, unplaned, unsqueezed
 
 #: White space as the vocabularies' pattern means it (Unicode White_Space), in place of a library's own \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -63,60 +63,102 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Texts cut at single spaces: chunk numbers in order, the distinct chunks, and the chunk offsets of texts."""
+    split = pc.split_pattern(texts.fill_null("").cast(pa.large_string()), " ")
+    offsets = np.asarray(split.offsets)
+    coded = split.flatten().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, offsets - offsets[0]
+
+
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of strings, and the places where they begin and the last ends."""
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    data = strings.buffers()[2] if len(strings) else None
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8), at - at[0]
+
+
+def term_hashes(terms: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each term, by array arithmetic; good for counting and dealing, not for telling terms apart."""
+    data, at = bytes_of(terms)
+    size = np.diff(at)
+    weighted = mix(data.astype(U64) + U64(1)) * powers(np.arange(len(data)) - np.repeat(at[:-1], size))
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(weighted)])
+    return mix(total[at[1:]] - total[at[:-1]] + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def edges(chunks: pa.Array) -> np.ndarray:
+    """Chunks that are empty, or start or end with white space."""
+    data, at = bytes_of(chunks)
+    edge = np.diff(at) == 0
+    some = np.flatnonzero(~edge)
+    first, last = data[at[:-1][some]], data[at[1:][some] - 1]
+    # plain marks, digits and letters are no white space; the rest is looked at one by one
+    for i in some[(first < 0x21) | (first > 0x7E) | (last < 0x21) | (last > 0x7E)].tolist():
+        v = chunks[i].as_py()
+        edge[i] = v[0].isspace() or v[-1].isspace()
+    return edge
+
+
+def joined(chunks: pa.Array) -> str:
+    """Chunks in a row, each with a space before it."""
+    return " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), pa.scalar(" ", pa.large_string()))[0].as_py()
+
+
+def per_chunk(chunks: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """How many of the pieces of `joined` chunks, whose bytes are `sizes`, make up each chunk."""
+    end, border = np.cumsum(sizes), np.cumsum(np.diff(bytes_of(chunks)[1]) + 1)
+    stop = np.searchsorted(end, border)
+    if (end[stop] != border).any():
+        raise RuntimeError("a piece runs over a space between chunks: the pattern does not cut there")
+    return np.diff(stop + 1, prepend=0)
+
+
 class Block:
-    """Distinct words of a batch and each document's words as local numbers."""
+    """Distinct words of a batch (`words`) and each document's words as numbers among them (`docs`).
+
+    A chunk between two single spaces stands alone if it neither starts nor ends with white space, so distinct chunks are cut once, all in one text.
+    A text's first chunk has no space before it and is cut by itself; a text with other white space is cut as a whole.
+    """
 
     def __init__(self, texts: pa.Array, pat: regex.Pattern):
-        texts = texts.fill_null("").cast(pa.large_string())
-        split = pc.split_pattern(texts, " ")
-        offsets = np.asarray(split.offsets)
-        offsets = offsets - offsets[0]
-        flat = split.flatten()
-        coded = flat.dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        chunk = coded.indices.to_numpy(zero_copy_only=False)
-        values = coded.dictionary.to_pylist()
-        self.words: dict[str, int] = {}
-        number, find = self.words, pat.findall
-
-        def numbers(text: str) -> list[int]:
-            return [number.setdefault(w, len(number)) for w in find(text)]
-
-        # a chunk between two single spaces stands alone if it neither starts nor ends with white space
-        edge = np.array([not v or v[0].isspace() or v[-1].isspace() for v in values], bool)
-        spaced = [() if e else numbers(" " + v) for v, e in zip(values, edge.tolist(), strict=True)]
-        plain: dict[int, list[int]] = {}
-        count = np.array([len(x) for x in spaced], np.int64)
-        flatten = np.fromiter((w for x in spaced for w in x), np.int64, int(count.sum()))
+        find = pat.findall
+        chunk, values, offsets = chunks_of(texts)
+        edge = edges(values)
+        good = values.filter(pa.array(~edge))
+        pieces = find(joined(good)) if len(good) else []
+        count = np.zeros(len(values), np.int64)
+        if pieces:
+            count[~edge] = per_chunk(good, np.diff(bytes_of(pa.array(pieces, pa.large_string()))[1]))
         begin = np.cumsum(count) - count
-        first = np.zeros(len(chunk), bool)
-        first[offsets[:-1]] = True
-        odd = np.add.reduceat(edge[chunk] & ~(first & (offsets[1:].repeat(np.diff(offsets)) - offsets[:-1].repeat(np.diff(offsets)) == 1)), offsets[:-1]) > 0 if len(chunk) else np.zeros(0, bool)
-        whole = texts.to_pylist() if odd.any() else None
-        self.docs: list[np.ndarray] = []
-        for i in range(len(texts)):
-            a, b = offsets[i], offsets[i + 1]
-            if odd[i]:
-                self.docs.append(np.array(numbers(whole[i]), np.int64))
-                continue
-            c = int(chunk[a])
-            if c not in plain:
-                plain[c] = numbers(values[c])
-            rest = chunk[a + 1 : b]
-            n = count[rest]
-            total = int(n.sum())
-            at = np.repeat(begin[rest] - (np.cumsum(n) - n), n) + np.arange(total)
-            self.docs.append(np.concatenate([np.array(plain[c], np.int64), flatten[at]]))
-
-
-def _ordered(words: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        odd_at = edge[chunk]
+        odd = np.concatenate([[0], np.cumsum(odd_at)])
+        n = count[chunk]
+        n[offsets[:-1]] = 0
+        at = np.repeat(begin[chunk] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        place = np.concatenate([[0], np.cumsum(n)])
+        own, parts = len(pieces), []
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            whole = odd[b] > odd[a] and b - a > 1
+            more = find((texts[i].as_py() or "") if whole else values[int(chunk[a])].as_py())
+            pieces += more
+            head = np.arange(own, own + len(more))
+            own += len(more)
+            parts.append(head if whole else np.concatenate([head, at[place[a] : place[b]]]))
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words: pa.Array = coded.dictionary
+        self.docs = [number[p] for p in parts]
+
+
+def _ordered(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A block's words by hash, their hashes, and each word's rank in that order; both passes find the same."""
-    column = pa.array(words, pa.large_string())
-    hashes = string_hashes(column)
+    hashes = term_hashes(words)
     order = np.argsort(hashes, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return column.take(pa.array(order)), hashes[order], rank
+    return words.take(pa.array(order)), hashes[order], rank
 
 
 def _words(source: str, bits: int):
@@ -125,7 +167,7 @@ def _words(source: str, bits: int):
     def run(batches):
         pat = pattern(source)
         for name, table in blocks(batches):
-            words, hashes, _ = _ordered(list(Block(table.column("text").chunk(0), pat).words))
+            words, hashes, _ = _ordered(Block(table.column("text").chunk(0), pat).words)
             offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
             data = words.buffers()[2].to_pybytes() if len(words) else b""
             bucket = (hashes >> U64(64 - bits)).astype(np.int64)
@@ -144,7 +186,7 @@ def _positions(source: str):
         pat = pattern(source)
         for name, table in blocks(batches):
             block = Block(table.column("text").chunk(0), pat)
-            rank = _ordered(list(block.words))[2]
+            rank = _ordered(block.words)[2]
             seq = [planes(rank[d].astype("<u4")) for d in block.docs]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seq), name)), table.column("doc_id").chunk(0), pa.array(seq, pa.binary())], ["block", "doc_id", "seq"])
 

@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from glossa.llm.bpe import encoder, token_bytes
-from glossa.llm.common import U64, mix, need, planes, powers, slices, spread, stable, trimmed, trimmed_group, unplaned
+from glossa.llm.bpe import chunks_of, edges, encoder, joined, per_chunk, term_hashes, token_bytes
+from glossa.llm.common import U64, mix, need, planes, slices, spread, stable, trimmed, trimmed_group, unplaned
 
 SHARD_BYTES = 4 << 20
 LENGTH = 1024
@@ -63,31 +63,6 @@ def special_tokens(path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
-def _chunks(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Texts cut at single spaces: chunk numbers in order, the distinct chunks, and the chunk offsets of texts."""
-    split = pc.split_pattern(texts.fill_null("").cast(pa.large_string()), " ")
-    offsets = np.asarray(split.offsets)
-    coded = split.flatten().dictionary_encode()
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, offsets - offsets[0]
-
-
-def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of strings, and the places where they begin and the last ends."""
-    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
-    data = strings.buffers()[2] if len(strings) else None
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8), at - at[0]
-
-
-def term_hashes(terms: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each term, by array arithmetic; good for counting and dealing, not for telling terms apart."""
-    data, at = _bytes_of(terms)
-    size = np.diff(at)
-    weighted = mix(data.astype(U64) + U64(1)) * powers(np.arange(len(data)) - np.repeat(at[:-1], size))
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(weighted)])
-    return mix(total[at[1:]] - total[at[:-1]] + size.astype(U64) * U64(0x9E3779B97F4A7C15))
-
-
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
@@ -105,36 +80,19 @@ class Coder:
             return np.array(library(self.path).encode(text, add_special_tokens=False).ids, np.int32)
         return np.array(self.one(text), np.int32)
 
-    def _edges(self, chunks: pa.Array) -> np.ndarray:
-        """Chunks that are empty, start or end with white space, or hold a special token's string."""
-        data, at = _bytes_of(chunks)
-        edge = np.diff(at) == 0
-        some = np.flatnonzero(~edge)
-        first, last = data[at[:-1][some]], data[at[1:][some] - 1]
-        # plain marks, digits and letters are no white space; the rest is looked at one by one
-        for i in some[(first < 0x21) | (first > 0x7E) | (last < 0x21) | (last > 0x7E)].tolist():
-            v = chunks[i].as_py()
-            edge[i] = v[0].isspace() or v[-1].isspace()
-        for s in self.special:
-            edge |= pc.match_substring(chunks, s).to_numpy(zero_copy_only=False)
-        return edge
-
     def _each(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of " " + chunk for chunks that stand alone, all in one text: flat ids and their number for each chunk."""
         if not len(chunks):
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), pa.scalar(" ", pa.large_string()))[0].as_py()
-        flat = np.array(self.one(" " + joined), np.int32)
-        end, border = np.cumsum(self.width[flat]), np.cumsum(np.diff(_bytes_of(chunks)[1]) + 1)
-        stop = np.searchsorted(end, border)
-        if (end[stop] != border).any():
-            raise RuntimeError("a token runs over a space between chunks: the pattern does not cut there")
-        return flat, np.diff(stop + 1, prepend=0)
+        flat = np.array(self.one(joined(chunks)), np.int32)
+        return flat, per_chunk(chunks, self.width[flat])
 
     def shard(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, pa.Array]:
         """Each text's ids; chunk numbers in order; the chunk offsets of texts; the distinct chunks."""
-        chunk, values, offsets = _chunks(texts)
-        edge = self._edges(values)
+        chunk, values, offsets = chunks_of(texts)
+        edge = edges(values)
+        for special in self.special:
+            edge |= pc.match_substring(values, special).to_numpy(zero_copy_only=False)
         flat, some = self._each(values.filter(pa.array(~edge)))
         count = np.zeros(len(values), np.int64)
         count[~edge] = some
@@ -178,7 +136,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells, documents, terms, size, task = np.zeros(CELLS, "<u8"), 0, 0, 0, TaskContext.get().partitionId()
     for batch in slices(batches, "text"):
         texts = batch.column("text")
-        chunk, values, offsets = _chunks(texts)
+        chunk, values, offsets = chunks_of(texts)
         width = max(1, len(values))
         pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets)) * width + chunk) % width
         cells += np.bincount(_cell(term_hashes(values))[pairs], minlength=CELLS).astype("<u8")
@@ -213,7 +171,7 @@ def corpus(df: DataFrame) -> Corpus:
 
 def topics(texts: pa.Array, about: Corpus, fit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's topic, the next one, and the documents that hold the first: terms whose frequency is nearest to `fit`, ties to the smaller hash."""
-    chunk, values, offsets = _chunks(texts)
+    chunk, values, offsets = chunks_of(texts)
     hashes = term_hashes(values)
     often = np.maximum(about.frequency(hashes), 1)
     far = np.minimum(np.abs(np.log2(often / fit)) * 1024, 65_535).astype(U64)

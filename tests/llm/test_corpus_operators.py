@@ -297,7 +297,7 @@ def test_packing_covers_every_id_once(odd, empty):
 def shard_of(texts):
     """A shard's index with the counts of a corpus, and its texts' chunks."""
     chunk, offsets, terms = packing.Coder(PATH, RANKS, P.PATTERN).shard(pa.array(texts))[1:]
-    return chunk, offsets, packing.term_hashes(terms)
+    return chunk, offsets, bpe.term_hashes(terms)
 
 
 def test_packing_puts_neighbours_together():
@@ -332,7 +332,7 @@ def test_packing_ranks_by_the_whole_corpus():
     chunk, offsets, hashes = shard_of(list(map(" ".join, shard)))
     cells = np.zeros(packing.CELLS, np.int64)
     for ws in every:
-        np.add.at(cells, packing._cell(packing.term_hashes(pa.array(sorted(set(ws)), pa.large_string()))), 1)
+        np.add.at(cells, packing._cell(bpe.term_hashes(pa.array(sorted(set(ws)), pa.large_string()))), 1)
     about = packing.Corpus(len(every), sum(map(len, every)), 1, cells)
     index = packing.Index(chunk, offsets, about, about.frequency(hashes))
     for seed in (0, 7, 25):
@@ -383,7 +383,7 @@ def test_packing_counts_all_documents(odd):
     df = Counter(w for ws in words for w in set(ws))
     assert about.documents == len(words) and about.mean == np.mean(list(map(len, words)))
     some = pa.array(sorted(df), pa.large_string())
-    assert (about.frequency(packing.term_hashes(some)) >= [df[w] for w in sorted(df)]).all() and about.frequency(packing.term_hashes(pa.array(["one"], pa.large_string())))[0] == df["one"]
+    assert (about.frequency(bpe.term_hashes(some)) >= [df[w] for w in sorted(df)]).all() and about.frequency(bpe.term_hashes(pa.array(["one"], pa.large_string())))[0] == df["one"]
 
 
 def test_packing_finds_neighbours_in_other_partitions(spark):

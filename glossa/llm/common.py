@@ -258,9 +258,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[tuple[int, pa.Table]]:
-    """A task's rows in runs of about `most` bytes, each with a name made from its contents.
+    """A task's rows in runs of about `most` bytes of `column`, each with a name made from its ids and texts.
 
-    A second pass over a stable input forms the same blocks under the same names, in whatever order tasks run or are run again.
+    Where a run ends hangs on its texts alone, not on Arrow's batches or on other columns, so a second pass over a stable input forms the same
+    blocks under the same names, whatever columns it reads and in whatever order tasks run or are run again.
     """
     held, size = [], 0
 
@@ -278,12 +279,18 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 h.update(b or b"")
         return int(np.uint64(h.intdigest()).astype(np.int64)), table
 
-    for batch in slices(batches, column, 1 << 20):
-        held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema))
-        size += batch.nbytes
-        if size >= most:
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+        total, begin = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while begin < len(sizes):
+            stop = int(np.searchsorted(total, total[begin] + most - size))  # rows before it fill the block
+            part = batch.slice(begin, min(stop, len(sizes)) - begin)
+            held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=batch.schema))
+            if stop > len(sizes):
+                size += int(total[-1] - total[begin])
+                break
             yield close()
-            held, size = [], 0
+            held, size, begin = [], 0, stop
     if held:
         yield close()
 

@@ -180,6 +180,35 @@ def test_substrings_keep_the_kind_of_ids(spark):
     assert {(r["doc_id"], r["n_removed"]) for r in substring_dedup.digest(df).collect()} == {("a", 80), (None, 80), ("b", 0)}
 
 
+def test_blocks_hang_on_texts_alone():
+    """The same blocks from any batches and with any further columns, and none much larger than asked."""
+    texts = [prose(k, 5 + k % 40) if k % 7 else None for k in range(200)] + ["x" * 5000]
+    ids = pa.array(range(201))
+    def made(step, extra):
+        columns = {"doc_id": ids, "text": pa.array(texts)} | ({"more": pa.array([{"a": i, "b": "y" * 300} for i in range(201)])} if extra else {})
+        t = pa.table(columns).combine_chunks()
+        return [(n, b.column("doc_id").to_pylist()) for n, b in common.blocks(iter(t.to_batches(max_chunksize=step)), most=2000)]
+
+    want = made(201, False)
+    assert all(made(s, e) == want for s in (1, 7, 64, 201) for e in (False, True)) and len(want) > 10
+    assert [i for _, b in want for i in b] == list(range(201))
+
+
+def test_substrings_of_many_blocks_keep_columns(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_BLOCK_BYTES", 2000)
+    shared = prose(99, 50)
+    rows = [(k, prose(k, 30 + k % 50) + (" " + shared if k % 3 == 0 else ""), "s" * (k % 9), k) for k in range(120)]
+    df = common.written(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {r["doc_id"]: r for r in substring_dedup.apply(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = removed_by_hand([words_of(t) for _, t, _, _ in rows], 35)
+    for (k, _, source, _), (_, n, sha) in zip(rows, want, strict=True):
+        assert hashlib.sha256(b" ".join(words_of(got[k]["text"]))).hexdigest() == sha and got[k]["source"] == source and (n > 0) == (k % 3 == 0)
+
+
 def test_substrings_same_rows_as_sql(spark, sf):
     same(spark, sf, queries.QUERIES["op5_substring_dedup"], queries.ORACLE["op5_substring_dedup"])
 

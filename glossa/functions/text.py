@@ -9,12 +9,46 @@ from pyspark.sql import functions as F
 
 #: Letters, numbers with inner separators, or single marks; the form both Java and RE2 read alike.
 TOKEN = r"[\p{L}]+|[0-9]+(?:[.,][0-9]+)*|[^\s\p{L}0-9]"
-#: Classes of a rule tokenizer, longest first: markup, addresses, handles, dates, numbers, abbreviations, words, marks.
-RICH_TOKEN = (
-    r"<[/!?]?[A-Za-z][^>]*>|https?://[^\s<>\"]+|www\.[^\s<>\"]+|[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|[@#][A-Za-z_][A-Za-z0-9_]*"
-    r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]+/[0-9]+|[$€£¥]?[0-9]+(?:[.,:][0-9]+)*%?|(?:[A-Z]\.){2,}|(?:Mr|Mrs|Ms|Dr|St|Jr|Sr|vs|etc)\."
-    r"|[\p{L}]+(?:['’-][\p{L}]+)*|\.\.\.|--|[:;][-']?[()DP]|``|''|[^\s\p{L}0-9]"
-)
+#: Classes of the rule tokenizer in order of trial, each with its pattern.
+_WORD_PART = r"[\p{L}\p{M}\p{Nd}]"
+_URL_END = r"[^\s<>\"|.,;:!?')\]}]"
+TOKEN_CLASSES = [
+    ("SGML", r"<!--(?s:.*?)-->|<[/!?]?[A-Za-z][^<>]*>"),
+    ("ENTITY", r"&(?:[A-Za-z]+|#[0-9]+|#x[0-9A-Fa-f]+);"),
+    ("URL", rf"(?:https?|ftp)://[^\s<>\"|]*{_URL_END}|www\.[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?:/[^\s<>\"|]*{_URL_END})?"),
+    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("DOMAIN", rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|net|org|edu|gov|mil|info)(?![A-Za-z0-9])(?:/[^\s<>\"|]*{_URL_END})?"),
+    ("HANDLE", r"[@#][A-Za-z_][A-Za-z0-9_]*"),
+    ("EMOTICON", r"[<>]?[:;=][-o*']?[()\[\]DPp](?![A-Za-z0-9])|<3(?![0-9])|\^_+\^"),
+    ("DATE", r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}(?![0-9])|[0-9]{1,2}-[0-9]{1,2}-[0-9]{2,4}(?![0-9])"),
+    ("PHONE", r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-.][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[- ][0-9]{2,4}){2,4}(?![0-9])"),
+    ("FRACTION", r"(?:[0-9]+[- ])?[0-9]+/[0-9]+(?![0-9])|[½¼¾⅓⅔]"),
+    ("ORDINAL", r"[0-9]+(?:st|nd|rd|th)(?!\p{L})"),
+    ("NUMBER", r"(?<![\p{L}\p{Nd}])[-+]?[0-9]+(?:[.,:][0-9]+)*|[0-9]+(?:[.,:][0-9]+)*"),
+    ("CURRENCY", r"(?:US|HK|A|C|NZ|R)?\$|[£€¥¢₤]"),
+    ("ACRONYM", r"(?:[A-Za-z]\.){2,}|[A-Z]&[A-Z](?!\p{L})"),
+    ("ABBREVIATION", r"(?:Mr|Mrs|Ms|Dr|Prof|Rev|Gen|Sen|Rep|Gov|Lt|Col|Capt|Sgt|St|Jr|Sr|Inc|Corp|Co|Ltd|Bros|Mt|Ft|Ave|Blvd|Rd|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec|Mon|Tues?|Wed|Thurs?|Fri|vs|etc|al|No|Fig|ca|cf|approx|dept|est)\.(?=\s|[,;:)]|$)"),
+    ("SPLIT_WORD", r"(?i:can(?=not(?!\p{L}))|gon(?=na(?!\p{L}))|got(?=ta(?!\p{L}))|wan(?=na(?!\p{L}))|gim(?=me(?!\p{L}))|lem(?=me(?!\p{L})))"),
+    ("BEFORE_NOT", rf"{_WORD_PART}+?(?=n['’]t(?!\p{{L}}))"),
+    ("NOT", r"n['’]t(?!\p{L})"),
+    ("CLITIC", r"['’](?:s|S|re|RE|ve|VE|ll|LL|d|D|m|M)(?!\p{L})"),
+    ("WORD", rf"\p{{L}}{_WORD_PART}*(?:(?:-|_|['’](?!(?:s|S|re|RE|ve|VE|ll|LL|d|D|m|M)(?!\p{{L}}))(?=\p{{L}})){_WORD_PART}+)*"),
+    ("ELLIPSIS", r"\.{2,}|…|\. \. \."),
+    ("DASH", r"-{2,}|[–—]+"),
+    ("QUOTE", r"``|''|[\"“”„«»‘’'`]"),
+    ("STOP", r"[!?]+|\."),
+    ("MARK", r"[^\s]"),
+]
+RICH_TOKEN = "|".join(p for _, p in TOKEN_CLASSES)
+
+
+def token_class(w: Column) -> Column:
+    """The first class whose pattern a token fills, to be asked once a distinct token; none for the empty string."""
+    out = F.when(w.rlike(f"^(?:{TOKEN_CLASSES[0][1]})$"), TOKEN_CLASSES[0][0])
+    for name, pattern in TOKEN_CLASSES[1:]:
+        plain = pattern if name not in ("SPLIT_WORD", "BEFORE_NOT", "ABBREVIATION") else {"SPLIT_WORD": "(?!)", "BEFORE_NOT": "(?!)", "ABBREVIATION": pattern.replace(r"(?=\s|[,;:)]|$)", "")}[name]
+        out = out.when(w.rlike(f"^(?:{plain})$"), name)
+    return out
 
 
 def tokens(text, pattern: str = TOKEN) -> Column:
@@ -34,6 +68,12 @@ def detokenise(words: Column) -> Column:
     return out
 
 
+def rejoin(before: Column, words: Column, after: Column | None = None) -> Column:
+    """The original text from each token's white space before it, and what follows the last one."""
+    out = F.array_join(F.zip_with(before, words, lambda b, w: F.concat(b, w)), "")
+    return out if after is None else F.concat(out, after)
+
+
 OPTIONS = {
     "ptb3_parentheses": [("(", "-LRB-"), (")", "-RRB-")],
     "ptb3_brackets": [("[", "-LSB-"), ("]", "-RSB-"), ("{", "-LCB-"), ("}", "-RCB-")],
@@ -327,15 +367,34 @@ def wordnet_pos(tag: Column) -> Column:
     return F.when(tag.rlike("^NN"), "noun").when(tag.rlike("^(VB|MD)"), "verb").when(tag.rlike("^(JJ|CD)"), "adjective").when(tag.rlike("^(RB|RP|WRB)"), "adverb")
 
 
-AMERICAN = {"colour": "color", "favour": "favor", "honour": "honor", "labour": "labor", "neighbour": "neighbor", "centre": "center", "theatre": "theater", "metre": "meter", "defence": "defense", "offence": "offense", "licence": "license", "grey": "gray", "tyre": "tire", "cheque": "check", "programme": "program", "catalogue": "catalog", "dialogue": "dialog", "travelled": "traveled", "cancelled": "canceled"}
-
-
-def americanise(w: Column) -> Column:
-    """British spellings to American by list, then by endings."""
-    table = F.create_map(*(F.lit(x) for kv in AMERICAN.items() for x in kv))
-    low = F.lower(w)
-    by_rule = F.regexp_replace(F.regexp_replace(w, r"^(\p{L}{3,})isation(s?)$", "$1ization$2"), r"^(\p{L}{3,})ise(d|s)?$", "$1ize$2")
-    return F.coalesce(F.element_at(table, low), by_rule)
+#: Spellings by word.
+AMERICAN = dict(
+    p.split(":")
+    for p in """
+anaesthetic:anesthetic analogue:analog analogues:analogs analyse:analyze analysed:analyzed analysing:analyzing armoured:armored cancelled:canceled cancelling:canceling candour:candor capitalise:capitalize capitalised:capitalized capitalisation:capitalization centre:center chimaeric:chimeric clamour:clamor coloured:colored colouring:coloring colourful:colorful defence:defense Defence:Defense discolour:discolor discolours:discolors discoloured:discolored discolouring:discoloring encyclopaedia:encyclopedia endeavour:endeavor endeavours:endeavors endeavoured:endeavored endeavouring:endeavoring fervour:fervor favour:favor favours:favors favoured:favored favouring:favoring favourite:favorite favourites:favorites fibre:fiber fibres:fibers finalise:finalize finalised:finalized finalising:finalizing flavour:flavor flavours:flavors flavoured:flavored flavouring:flavoring glamour:glamor grey:gray harbour:harbor harbours:harbors homologue:homolog homologues:homologs honour:honor honours:honors honoured:honored honouring:honoring honourable:honorable humour:humor humours:humors humoured:humored humouring:humoring kerb:curb labelled:labeled labelling:labeling labour:labor Labour:Labor labours:labors laboured:labored labouring:laboring leant:leaned learnt:learned localise:localize localised:localized manoeuvre:maneuver manoeuvres:maneuvers maximise:maximize maximised:maximized maximising:maximizing meagre:meager minimise:minimize minimised:minimized minimising:minimizing modernise:modernize modernised:modernized modernising:modernizing misdemeanour:misdemeanor misdemeanours:misdemeanors neighbour:neighbor neighbours:neighbors neighbourhood:neighborhood neighbourhoods:neighborhoods oestrogen:estrogen oestrogens:estrogens organisation:organization organisations:organizations penalise:penalize penalised:penalized popularise:popularize popularised:popularized popularises:popularizes popularising:popularizing practise:practice practised:practiced pressurise:pressurize pressurised:pressurized pressurises:pressurizes pressurising:pressurizing realise:realize realised:realized realising:realizing realises:realizes recognise:recognize recognised:recognized recognising:recognizing recognises:recognizes rumoured:rumored rumouring:rumoring savour:savor savours:savors savoured:savored savouring:savoring splendour:splendor splendours:splendors theatre:theater theatres:theaters titre:titer titres:titers travelled:traveled travelling:traveling
+""".split()
+)
+#: Patterns tried in order, what they become, and what keeps a word as it is.
+AMERICAN_PATTERNS = [
+    ("haem(at)?o", "hem$1o", None),
+    ("aemia$", "emia", None),
+    ("([lL]euk)aem", "$1em", None),
+    ("programme(s?)$", "program$1", None),
+    ("^([a-z]{3,})our(s?)$", "$1or$2", "abatjour|beflour|bonjour|calambour|carrefour|cornflour|contour|de[tv]our|dortour|dyvour|downpour|giaour|glamour|holour|inpour|outpour|pandour|paramour|pompadour|recontour|repour|ryeflour|sompnour|tambour|troubadour|tregetour|velour"),
+]
+#: Days and months that are written with a capital.
+TIMES = "january february april june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split()
+
+
+def americanise(w: Column, capital_times: bool = False) -> Column:
+    """American spelling by word, else by the first pattern that is in the word; with `capital_times` days and months get capitals."""
+    table = dict(AMERICAN) | ({t: t.capitalize() for t in TIMES} if capital_times else {})
+    known = F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), w)
+    out = F.when(known.isNotNull(), known)
+    for pattern, to, keep in AMERICAN_PATTERNS:
+        fits = w.rlike(pattern) & (~w.rlike(keep) if keep else F.lit(True))
+        out = out.when(fits, F.regexp_replace(w, pattern, to))
+    return out.otherwise(w)
 
 
 def split_hyphen_pair(s: Column, category: Column) -> Column:
@@ -344,9 +403,19 @@ def split_hyphen_pair(s: Column, category: Column) -> Column:
     return F.when(pair, F.replace(s, F.lit("-"), F.lit(" - "))).otherwise(s)
 
 
-def char_ngrams(w: Column, low: int = 2, high: int = 6, middle: bool = True, lower: bool = True, dehyphen: bool = False) -> Column:
-    """Distinct `#sub#` of `<word>`; without `middle` only those at an end."""
-    s = F.concat(F.lit("<"), F.lower(w) if lower else w, F.lit(">"))
+#: Names of Greek letters that n-grams know.
+GREEK_IN_NGRAMS = "alpha beta gamma delta epsilon zeta kappa lambda rho sigma tau upsilon omega".split()
+
+
+def greekified(w: Column) -> Column:
+    """Names of Greek letters as `~`."""
+    return F.regexp_replace(w, "|".join(GREEK_IN_NGRAMS), "~")
+
+
+def char_ngrams(w: Column, low: int = 2, high: int = 6, middle: bool = True, lower: bool = True, dehyphen: bool = False, greek: bool = False) -> Column:
+    """Distinct `#sub#` of `<word>`; without `middle` only those at an end; with `greek` names of Greek letters are one character."""
+    w = F.lower(w) if lower else w
+    s = F.concat(F.lit("<"), greekified(w) if greek else w, F.lit(">"))
     if dehyphen:
         s = F.replace(s, F.lit("-"), F.lit(""))
     out = F.flatten(
@@ -473,6 +542,37 @@ def acronym_of(phrase: Column) -> Column:
     return F.array_join(F.transform(F.split(phrase, r"\s+"), lambda w: F.upper(F.left(w, F.lit(1)))), "")
 
 
+def naive_acronym(acronym: Column, phrase: Column) -> Column:
+    """1 if the acronym's letters are found in order among the first letters of the phrase's words, else 0; a letter may serve several times in a row."""
+    letters = F.regexp_replace(F.regexp_replace(acronym, r"[^\p{L}]", ""), r"(.)\1+", "$1")
+    firsts = F.array_join(F.transform(F.filter(F.split(phrase, r"\s+"), lambda w: w.rlike(r"^\p{L}")), lambda w: F.left(w, F.lit(1))), "")
+    pattern = F.concat(F.lit(".*"), F.array_join(F.filter(F.split(letters, ""), lambda c: c != ""), ".*"))
+    return F.when(F.call_function("rlike", firsts, pattern), 1.0).otherwise(0.0)
+
+
+def _hearst(name: str, acronym: str) -> float:
+    name, acronym = name.lower(), acronym.lower()
+    at = len(name) - 1
+    for k in range(len(acronym) - 1, -1, -1):
+        if not acronym[k].isalpha():
+            continue
+        while at >= 0 and (name[at] != acronym[k] or k == 0 and at > 0 and name[at - 1].isalnum()):
+            at -= 1
+        if at < 0:
+            return 0.0
+        at -= 1
+    return 1.0
+
+
+def hearst_acronym_udf():
+    """(phrase, acronym): 1 if the acronym's letters are found from the end of the phrase back, its first letter at a word's start; else 0."""
+    @F.pandas_udf("double")
+    def run(phrase: pd.Series, acronym: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or a is None else _hearst(p, a) for p, a in zip(phrase, acronym, strict=True)], dtype="float64")
+
+    return run
+
+
 def acronym_similarity(acronym: Column, phrase: Column) -> Column:
     """1 if the initials spell it; else the share of its letters found in order among the phrase's letters."""
     target = F.upper(F.regexp_replace(acronym, r"[^\p{L}]", ""))
@@ -482,11 +582,96 @@ def acronym_similarity(acronym: Column, phrase: Column) -> Column:
     return F.when(target == acronym_of(phrase), F.lit(1.0)).otherwise(left["n"] / F.greatest(F.size(letters), F.lit(1)) * 0.9)
 
 
+#: Irregular forms and their lemmas.
+IRREGULAR = dict(
+    p.split(":")
+    for p in """
+is:be are:be was:be were:be been:be being:be am:be has:have had:have having:have does:do did:do done:do goes:go went:go gone:go said:say made:make took:take taken:take came:come saw:see seen:see got:get gotten:get gave:give given:give knew:know known:know thought:think told:tell found:find became:become left:leave felt:feel brought:bring began:begin begun:begin kept:keep held:hold wrote:write written:write stood:stand heard:hear meant:mean met:meet ran:run paid:pay sat:sit spoke:speak spoken:speak led:lead grew:grow grown:grow lost:lose fell:fall fallen:fall sent:send built:build understood:understand drew:draw drawn:draw broke:break broken:break spent:spend rose:rise risen:rise drove:drive driven:drive bought:buy wore:wear worn:wear chose:choose chosen:choose ate:eat eaten:eat
+men:man women:woman children:child people:person feet:foot teeth:tooth mice:mouse geese:goose lives:life wives:wife knives:knife leaves:leaf halves:half shelves:shelf wolves:wolf selves:self better:good best:good worse:bad worst:bad
+""".split()
+)
+
+
 def english_stem(w: Column, tag: Column) -> Column:
-    """Lemma of a regular English form by its tag."""
+    """Lemma of an English form by its tag: irregular forms by list, then endings, with doubled letters and a lost e put right."""
     s = F.lower(w)
-    noun = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"ies$", "y"), r"(s|x|z|ch|sh)es$", "$1"), r"([^su])s$", "$1")
-    verb_s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"ies$", "y"), r"(s|x|z|ch|sh|o)es$", "$1"), r"([^su])s$", "$1")
-    past = F.regexp_replace(F.regexp_replace(s, r"ied$", "y"), r"ed$", "")
-    ing = F.regexp_replace(s, r"ing$", "")
-    return F.when(tag == "NNS", noun).when(tag == "VBZ", verb_s).when(tag.isin("VBD", "VBN"), past).when(tag == "VBG", ing).otherwise(F.when(tag.rlike("^NNP"), w).otherwise(s))
+    known = F.element_at(F.create_map(*(F.lit(x) for kv in IRREGULAR.items() for x in kv)), s)
+
+    def shorter(x: Column, ending: str) -> Column:
+        """Without ed or ing: running, run; making, make; agreed, agree; walked, walk."""
+        base = F.regexp_replace(x, f"{ending}$", "")
+        return (
+            F.when(base.endswith("e") & F.lit(ending == "ed"), F.concat(base, F.lit("e")))
+            .when(base.rlike(r"([bdfgmnprt])\1$"), F.regexp_replace(base, r"(.)$", ""))
+            .when(base.rlike(r"(at|iz|[^aeiou]l|[aeiou]v|[^aeiouw]u|[aeiourln]c|[rdn]g|[aeiourn]s|ee)$") | base.rlike(r"^[^aeiou]*[aeiou][^aeiouwxy]$"), F.concat(base, F.lit("e")))
+            .otherwise(base)
+        )
+
+    plural = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"([^aeiou])ies$", "$1y"), r"(s|x|z|ch|sh)es$", "$1"), r"([^su])s$", "$1")
+    third = F.regexp_replace(plural, r"([^aeiou]o)e$", "$1")
+    past = F.when(s.rlike("[^aeiou]ied$"), F.regexp_replace(s, "ied$", "y")).when(s.rlike("[aeiouy].*ed$"), shorter(s, "ed")).otherwise(s)
+    going = F.when(s.rlike("[aeiouy].*ing$"), shorter(s, "ing")).otherwise(s)
+    regular = F.when(tag.isin("NNS", "NNPS"), plural).when(tag == "VBZ", third).when(tag.isin("VBD", "VBN"), past).when(tag == "VBG", going).otherwise(s)
+    return F.when(tag == "NNP", w).when(tag.rlike("^(VB|NNS|JJ|RB)") & known.isNotNull(), known).otherwise(regular)
+
+
+# --- syllables ------------------------------------------------------------------------------------------------------------------
+
+
+def hyphenation_patterns(lines: list[str]) -> dict[str, list[int]]:
+    """TeX patterns (`.ach4`, `1b2l`) as letters and the weights between them."""
+    out = {}
+    for line in lines:
+        letters, weights = "", [0]
+        for c in line.strip():
+            if c.isdigit():
+                weights[-1] = int(c)
+            else:
+                letters += c
+                weights.append(0)
+        out[letters] = weights
+    return out
+
+
+def hyphenate(word: str, patterns: dict[str, list[int]], exceptions: dict[str, list[int]] | None = None, left: int = 2, right: int = 3) -> list[int]:
+    """Places where a word may be broken, as numbers of letters before the break: odd weights among all patterns found in the word."""
+    low = word.lower()
+    if exceptions and low in exceptions:
+        return exceptions[low]
+    marked = f".{low}."
+    weight = [0] * (len(marked) + 1)
+    for i in range(len(marked)):
+        for j in range(i + 1, len(marked) + 1):
+            for k, v in enumerate(patterns.get(marked[i:j], ())):
+                weight[i + k] = max(weight[i + k], v)
+    return [k for k in range(left, len(low) - right + 1) if weight[k + 1] % 2]
+
+
+def hyphenate_udf(patterns: list[str], exceptions: list[str] = (), left: int = 2, right: int = 3):
+    """Words with soft breaks (`-`) by TeX patterns, which are a parameter; exceptions are words with their breaks."""
+    ready = hyphenation_patterns(list(patterns))
+    special = {e.replace("-", ""): [len(e[:i].replace("-", "")) for i, c in enumerate(e) if c == "-"] for e in exceptions}
+
+    def broken(w):
+        cuts = [0, *hyphenate(w, ready, special, left, right), len(w)]
+        return "-".join(w[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: None if w is None else broken(w))
+
+    return run
+
+
+# --- records --------------------------------------------------------------------------------------------------------------------
+
+
+def to_columns(s: Column, names: list[str], separator: str = "\t") -> Column:
+    """A delimited line as a struct of strings; fields that are missing are null."""
+    parts = F.split(s, f"\\Q{separator}\\E", -1)
+    return F.struct(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+def from_columns(row: Column, names: list[str], separator: str = "\t") -> Column:
+    """Fields of a struct as one delimited line; null fields are empty."""
+    return F.concat_ws(separator, *(F.coalesce(row[n].cast("string"), F.lit("")) for n in names))

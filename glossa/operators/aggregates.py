@@ -172,3 +172,19 @@ def observed_features_once_on_background(f: DataFrame, background: str = "O") ->
     """Features whose only occurrence is on a background token; f: feature, label."""
     c = f.groupBy("feature").agg(F.count("*").alias("n"), F.min("label").alias("label"))
     return c.where((F.col("n") == 1) & (F.col("label") == background)).select("feature")
+
+
+# --- templates: one struct of fields a clique or document ---------------------------------------------------------------------------
+
+
+def merge_templates(df: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """(by, fields): templates of a group filled together; groups whose templates have different values for a field do not merge and are left out."""
+    agree = [F.count_distinct(f) <= 1 for f in fields]
+    merged = df.groupBy(*by).agg(*(F.max(f).alias(f) for f in fields), *(a.alias(f"_{f}") for a, f in zip(agree, fields, strict=True)))
+    return merged.where(" and ".join(f"`_{f}`" for f in fields)).select(*by, *fields)
+
+
+def field_values(df: DataFrame, fields: list[str], score: str = "score") -> DataFrame:
+    """(field, value, n): the score of all templates that give a field a value."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("_f")
+    return df.select(score, each).where("_f.value is not null").groupBy("_f.field", "_f.value").agg(F.sum(score).alias("n"))

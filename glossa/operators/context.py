@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +29,70 @@ def tokenise_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     return sentence_arrays(docs, text).select("doc_id", "sent_id", F.posexplode("toks").alias("pos", "tok"))
 
 
-def with_offsets(docs: DataFrame, text: str = "text", pattern: str = TOKEN) -> DataFrame:
-    """Tokens with their character borders and the white space before them: gaps and tokens alternate in one match list."""
-    piece = F.regexp_extract_all(F.col(text), F.lit(rf"(\s*)({pattern})"), F.lit(0))
-    out = docs.select("doc_id", F.posexplode(piece).alias("pos", "piece"))
-    tok = F.regexp_replace("piece", r"^\s+", "")
+def with_offsets(docs: DataFrame, text: str = "text", pattern: str = TOKEN, space: str = r"\s*", after: bool = False) -> DataFrame:
+    """Tokens with their character borders and what stands before them (white space, or what `space` matches); with `after` also what follows, so that texts can be rebuilt."""
+    piece = F.regexp_extract_all(F.col(text), F.lit(rf"({space})({pattern})"), F.lit(0))
+    keep = [F.regexp_extract(text, rf"({space})$", 1).alias("_tail")] if after else []
+    out = docs.select("doc_id", *keep, F.posexplode(piece).alias("pos", "piece"))
+    tok = F.regexp_replace("piece", rf"^{space}", "")
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("piece")).over(w).cast("long")
-    return out.select("doc_id", "pos", tok.alias("tok"), F.substring("piece", F.lit(1), F.length("piece") - F.length(tok)).alias("before"), (end - F.length(tok)).alias("begin"), end.alias("end"))
+    rows = out.select("doc_id", "pos", *(["_tail"] if after else []), tok.alias("tok"), F.substring("piece", F.lit(1), F.length("piece") - F.length(tok)).alias("before"), (end - F.length(tok)).alias("begin"), end.alias("end"))
+    if not after:
+        return rows
+    return rows.withColumn("after", F.coalesce(F.lead("before").over(Window.partitionBy("doc_id").orderBy("pos")), "_tail")).drop("_tail")
+
+
+#: Tokens that end a sentence, and those that may follow its end and still belong to it.
+SENTENCE_END, FOLLOWERS = r"^(?:\.|[!?]+)$", [")", "]", '"', "'", "''", "-RRB-", "-RSB-", "-RCB-"]
+
+
+def split_sentences(df: DataFrame, ends: str = SENTENCE_END, followers: list[str] = FOLLOWERS, discard: list[str] = ("\n",), forced: list[str] = (), region: tuple[str, str] | None = None) -> DataFrame:
+    """Tokens (doc_id, pos, tok, ...) with sent_id, and pos counted within sentences.
+
+    A sentence ends with a token that `ends` matches and the followers right after it; tokens to discard go, those in `forced` go too and end a sentence.
+    With a region (two regexes) only tokens between a begin and an end mark are kept, the marks not.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = df
+    if region:
+        mark = F.when(F.col("tok").rlike(f"^(?:{region[0]})$"), 1).when(F.col("tok").rlike(f"^(?:{region[1]})$"), 0)
+        out = out.withColumn("_in", mark).withColumn("_open", F.coalesce(F.last("_in", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).where("_in is null and _open = 1").drop("_in", "_open")
+    cut = F.col("tok").isin(*forced) if forced else F.lit(False)
+    out = out.withColumn("_cut", F.sum(cut.cast("int")).over(w))
+    out = out.where(~cut & (~F.col("tok").isin(*discard) if discard else F.lit(True)))
+    follows = F.col("tok").isin(*followers) if followers else F.lit(False)
+    # a token closes if it ends a sentence, or follows a token that does through followers alone
+    closed = F.last(F.when(~follows, F.col("tok").rlike(ends)), True).over(before)
+    starts = F.lag("_cut").over(w).isNull() | (F.lag("_cut").over(w) != F.col("_cut")) | F.coalesce(closed, F.lit(False)) & ~follows
+    out = out.withColumn("_s", starts.cast("int")).withColumn("sent_id", (F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    inner = F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy("pos")) - 1
+    rest = [x for x in df.columns if x not in ("doc_id", "pos")]
+    return out.withColumn("_pos", inner).select("doc_id", "sent_id", F.col("_pos").alias("pos"), *rest)
+
+
+def cap_documents(sizes: DataFrame, most: int) -> DataFrame:
+    """(doc_id, sent_id, part): documents (doc_id, sent_id, n tokens) parted at sentence ends into pieces of at most `most` tokens; a longer sentence is a piece alone.
+
+    A document's sentence sizes are one array, filled from the left in one pass.
+    """
+
+    @F.pandas_udf("array<int>")
+    def parts(ns: pd.Series) -> pd.Series:
+        def one(xs):
+            out, part, held = [], 0, 0
+            for x in xs:
+                if held and held + x > most:
+                    part, held = part + 1, 0
+                held += x
+                out.append(part)
+            return out
+
+        return ns.map(one)
+
+    g = sizes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "n"))).alias("_s"))
+    return g.select("doc_id", F.inline(F.arrays_zip(F.col("_s.sent_id").alias("sent_id"), parts(F.col("_s.n")).alias("part"))))
 
 
 def cap_sentences(df: DataFrame, cap: int = 250) -> DataFrame:

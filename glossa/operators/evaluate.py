@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.sets import indexed
-
 from glossa.operators.spans import chunks
 
 
@@ -117,3 +119,38 @@ def constituent_scores(gold: DataFrame, guess: DataFrame) -> DataFrame:
     s = m.groupBy("tree_id").agg(F.sum(F.least("x", "y")).alias("tp"), F.sum("y").alias("guessed"), F.sum("x").alias("gold"))
     p, r = F.when(F.col("guessed") > 0, F.col("tp") / F.col("guessed")).otherwise(0.0), F.when(F.col("gold") > 0, F.col("tp") / F.col("gold")).otherwise(0.0)
     return s.select("tree_id", "tp", "guessed", "gold", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), ((F.col("tp") == F.col("gold")) & (F.col("tp") == F.col("guessed"))).alias("exact"))
+
+
+def constituent_summary(by_tree: DataFrame) -> DataFrame:
+    """One row of `constituent_scores`: f1 over all brackets, its mean over trees, and the share of trees without an error."""
+    total = by_tree.agg(*(F.sum(c).alias(c) for c in ("tp", "guessed", "gold")), F.avg("f1").alias("mean_f1"), F.avg(F.col("exact").cast("double")).alias("exact"), F.count("*").alias("trees"))
+    p, r = F.col("tp") / F.col("guessed"), F.col("tp") / F.col("gold")
+    return total.select("trees", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), "mean_f1", "exact")
+
+
+def rule_errors(gold: DataFrame, guess: DataFrame) -> DataFrame:
+    """(rule, missing, extra): local trees (tree_id, label, children) that one side has more often than the other, summed over trees."""
+    count = lambda d, n: d.groupBy("tree_id", F.concat_ws(" -> ", "label", "children").alias("rule")).agg(F.count("*").alias(n))
+    m = count(gold, "x").join(count(guess, "y"), ["tree_id", "rule"], "full").na.fill(0, ["x", "y"])
+    out = m.groupBy("rule").agg(F.sum(F.greatest(F.col("x") - F.col("y"), F.lit(0))).alias("missing"), F.sum(F.greatest(F.col("y") - F.col("x"), F.lit(0))).alias("extra"))
+    return out.where("missing + extra > 0")
+
+
+def conll_report(df: DataFrame, gold: str = "gold", guess: str = "guess") -> DataFrame:
+    """(line): the usual report of chunk scores: tokens, phrases and accuracy, then precision, recall and f1 over all and by type, in per cent."""
+    s = entity_scores(df, gold, guess)
+    acc = token_accuracy(df, gold, guess)
+    pc = lambda c: F.format_string("%.2f%%", 100 * F.col(c))
+    f1 = F.format_string("%.2f", 100 * F.col("f1"))
+    t = s.where("type = 'Totals'").crossJoin(F.broadcast(acc))
+    first = t.select(F.lit(0).alias("k"), F.lit("").alias("type"), F.format_string("processed %d tokens with %d phrases; found: %d phrases; correct: %d.", "n", F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp"), "tp").alias("line"))
+    second = t.select(F.lit(1), F.lit(""), F.concat(F.lit("accuracy: "), pc("accuracy"), F.lit("; precision: "), pc("precision"), F.lit("; recall: "), pc("recall"), F.lit("; FB1: "), f1))
+    rest = s.where("type <> 'Totals'").select(F.lit(2), "type", F.concat(F.col("type"), F.lit(": precision: "), pc("precision"), F.lit("; recall: "), pc("recall"), F.lit("; FB1: "), f1, F.lit(" "), (F.col("tp") + F.col("fp")).cast("string")))
+    return first.union(second).union(rest).orderBy("k", "type").select("line")
+
+
+def words_per_second(make: Callable[[], DataFrame], column: str = "tok") -> tuple[int, float]:
+    """Number of words that a table holds, and how many of them a second it took to make them; nothing is kept."""
+    begin = time.perf_counter()
+    n = make().where(F.col(column).isNotNull()).count()
+    return n, n / max(time.perf_counter() - begin, 1e-9)

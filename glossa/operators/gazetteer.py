@@ -1,7 +1,7 @@
 """Gazetteer, list and pattern matching as joins on token n-grams; gazetteers are tables (type, phrase, ...) of any size.
 
-A match never walks a trie in Python: token windows of each phrase length that occurs are joined on their text, so both sides are
-hashed on the phrase, and Spark broadcasts the gazetteer only where it is small.
+A match never walks a trie in Python: token windows that begin with an entry's first word, of each phrase length that occurs, are joined on their
+text, so both sides are hashed on the phrase, and Spark broadcasts the gazetteer only where it is small.
 """
 
 from __future__ import annotations
@@ -18,13 +18,17 @@ def entries(gaz: DataFrame, lower: bool = False) -> DataFrame:
     return gaz.withColumn("key", key).withColumn("n_tok", F.size(F.split("phrase", " ")))
 
 
-def windows(tokens: DataFrame, lengths: list[int], key: str = "tok", by=BY) -> DataFrame:
-    """(by, pos, n, key): the text of n tokens from pos on, for the given lengths; one sort a document."""
+def windows(tokens: DataFrame, lengths: list[int], key: str = "tok", by=BY, firsts: DataFrame | None = None) -> DataFrame:
+    """(by, pos, n, key): the text of n tokens from pos on, for the given lengths; one sort a document.
+
+    With `firsts` (one column, the words that entries begin with) only windows that begin with one of them are made.
+    """
     w = Window.partitionBy(*by).orderBy("pos")
-    most = max(lengths)
-    wide = tokens.select(*by, "pos", F.collect_list(key).over(w.rowsBetween(0, most - 1)).alias("_w"))
-    rows = wide.select(*by, "pos", "_w", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.size("_w") >= F.col("n"))
-    return rows.select(*by, "pos", "n", F.array_join(F.slice("_w", F.lit(1), F.col("n")), " ").alias("key"))
+    wide = tokens.select(*by, "pos", F.col(key).alias("_k0"), *(F.lead(key, i).over(w).alias(f"_k{i}") for i in range(1, max(lengths))))
+    if firsts is not None:
+        wide = wide.join(firsts.select(F.col(firsts.columns[0]).alias("_k0")).distinct(), "_k0", "left_semi")
+    each = [F.when(F.col(f"_k{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *(f"_k{i}" for i in range(n))).alias("key"))) for n in lengths]
+    return wide.select(*by, "pos", F.inline(F.array_compact(F.array(*each))))
 
 
 def cased_key(token: Column, lemma: Column) -> Column:
@@ -35,8 +39,8 @@ def cased_key(token: Column, lemma: Column) -> Column:
 def phrase_matches(tokens: DataFrame, gaz: DataFrame, lengths: list[int], lower: bool = False, key: str = "tok", by=BY) -> DataFrame:
     """(by, pos, n, type, phrase, priority): every place where all tokens of an entry stand in a row."""
     t = tokens.withColumn("_k", F.lower(key)) if lower else tokens.withColumn("_k", F.col(key))
-    win = windows(t, lengths, "_k", by)
     g = entries(gaz, lower)
+    win = windows(t, lengths, "_k", by, g.select(F.split("key", " ")[0]))
     extra = [c for c in ("priority", "overwritable") if c in gaz.columns]
     return win.join(g.select("key", "type", "phrase", "n_tok", *extra), (win.key == g.key) & (win.n == g.n_tok)).select(*(win[c] for c in by), "pos", "n", "type", "phrase", *extra)
 
@@ -74,9 +78,12 @@ def list_labels(tokens: DataFrame, gaz: DataFrame, lengths: list[int], lower: bo
     return tokens.join(best, [*by, "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
 
 
-def regex_labels(tokens: DataFrame, patterns: DataFrame, key: str = "lemma", by=BY) -> DataFrame:
+def regex_labels(tokens: DataFrame, patterns: DataFrame, key: str = "lemma", by=BY, current: str | None = None) -> DataFrame:
     """(tokens..., label): each token of an entry (order, type, pattern: regexes parted by spaces) must match in full; the last entry in `order` wins.
 
+    With `current`, a column of labels, an entry counts only where all its tokens are background, of a type of the patterns, or of one of the entry's
+    `overwritable` types; other tokens keep their labels.
+
     Patterns are matched against distinct words once, then their places are joined; entries are few, words are not.
     """
     p = patterns.select("order", "type", F.posexplode(F.split("pattern", r"\s+")).alias("i", "rx"), F.size(F.split("pattern", r"\s+")).alias("n"))
@@ -84,10 +91,17 @@ def regex_labels(tokens: DataFrame, patterns: DataFrame, key: str = "lemma", by=
     # rules are a hand-written list; the join's other side is one row a distinct word
     hit = words.join(F.broadcast(p), F.expr("_w rlike concat('^(?:', rx, ')$')")).select("_w", "order", "type", "i", "n")
     at = tokens.join(hit, tokens[key] == hit["_w"]).select(*by, (F.col("pos") - F.col("i")).alias("start"), "order", "type", "i", "n")
+    if current:
+        rules = patterns.select("order", (F.coalesce("overwritable", F.array().cast("array<string>")) if "overwritable" in patterns.columns else F.array().cast("array<string>")).alias("_ok"))
+        ours = patterns.select(F.col("type").alias("_own")).distinct()
+        labels = tokens.select(*by, F.col("pos").alias("_pos"), F.col(current).alias("_now"))
+        at = at.withColumn("_pos", F.col("start") + F.col("i")).join(labels, [*by, "_pos"]).join(F.broadcast(rules), "order").join(F.broadcast(ours), F.col("_now") == F.col("_own"), "left")
+        at = at.where((F.col("_now") == "O") | F.col("_own").isNotNull() | F.array_contains("_ok", F.col("_now"))).select(*by, "start", "order", "type", "i", "n")
     whole = at.groupBy(*by, "start", "order", "type", "n").agg(F.count_distinct("i").alias("k")).where("k = n")
     cover = whole.select(*by, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"), "type", "order", "start")
     best = cover.groupBy(*by, "pos").agg(F.max_by("type", F.struct("order", "start")).alias("label"))
-    return tokens.join(best, [*by, "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    best = best.withColumnRenamed("label", "_label")
+    return tokens.join(best, [*by, "pos"], "left").withColumn("label", F.coalesce("_label", F.col(current) if current else F.lit("O"))).drop("_label")
 
 
 def dist_sim(tokens: DataFrame, lexicon: DataFrame, key: str = "tok") -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.operators.gazetteer import cased_key, list_labels, regex_labels
 from glossa.operators.spans import chunks, overlapping
 
 
@@ -78,6 +79,15 @@ def pipe(tokens: DataFrame, steps: list, by: str = "doc_id") -> DataFrame:
     return merge_longest(out, [f"l{k}" for k in range(len(steps))], by)
 
 
+def entity_steps(cased_lemmas: DataFrame, uncased_words: DataFrame, cased_words: DataFrame, lengths: list[int], crf, patterns: DataFrame) -> list:
+    """Steps in the pipe's order: list of lemmas by case, list of words in any case, list of words by case, CRF tagger, regexes over lemmas.
+
+    Tokens carry tok and lemma; `crf` is a step, as `tagger.step` makes one.
+    """
+    lemma = lambda t: list_labels(t.withColumn("_cased", cased_key(F.col("tok"), F.col("lemma"))), cased_lemmas, lengths, key="_cased")
+    return [lemma, lambda t: list_labels(t, uncased_words, lengths, lower=True), lambda t: list_labels(t, cased_words, lengths), crf, lambda t: regex_labels(t, patterns)]
+
+
 def compare(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("answers", F.array(*columns))
 

@@ -363,42 +363,6 @@ def crf_gradient(emit: np.ndarray, move: np.ndarray, gold: np.ndarray) -> tuple[
     return float(score - z), g_emit, g_move
 
 
-def train_crf(sequences: DataFrame, labels: list[str], buckets: int = 4096, rounds: int = 20, sigma: float = 1.0, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Linear-chain CRF with hashed features of a fixed number of buckets: each task sums its sequences' gradients, the driver adds the sums.
-
-    sequences: features array<array<string>>, gold array<string>.  The model, and so what reaches the driver, has the fixed size buckets x labels.
-    """
-    import zlib
-
-    order = {y: i for i, y in enumerate(labels)}
-    w, move = np.zeros((buckets, len(labels))), np.zeros((len(labels), len(labels)))
-    n = max(1, sequences.count())
-    for step in range(rounds):
-        def gradient(batches, w=w, move=move):
-            gw, gm, ll = np.zeros_like(w), np.zeros_like(move), 0.0
-            for pdf in batches:
-                for feats, gold in zip(pdf["features"], pdf["gold"], strict=True):
-                    if not len(gold):
-                        continue
-                    ids = [np.array([zlib.crc32(x.encode()) % buckets for x in f]) for f in feats]
-                    emit = np.stack([w[i].sum(0) for i in ids])
-                    value, ge, g2 = crf_gradient(emit, move, np.array([order[y] for y in gold]))
-                    ll += value
-                    gm += g2
-                    for i, g in zip(ids, ge, strict=True):
-                        np.add.at(gw, i, g)
-            yield pd.DataFrame({"ll": [ll], "w": [gw.reshape(-1)], "m": [gm.reshape(-1)]})
-
-        parts = sequences.mapInPandas(gradient, "ll double, w array<double>, m array<double>").toLocalIterator()
-        gw, gm = np.zeros_like(w), np.zeros_like(move)
-        for r in parts:
-            gw += np.array(r["w"]).reshape(w.shape)
-            gm += np.array(r["m"]).reshape(move.shape)
-        w = w + rate * (gw / n - w / (sigma * sigma * n))
-        move = move + rate * (gm / n - move / (sigma * sigma * n))
-    return w, move
-
-
 def golden_section(f, low: float, high: float, rounds: int = 30) -> float:
     """Argument of the least value of a one-dimensional function (for tuning sigma)."""
     g = (5**0.5 - 1) / 2
@@ -445,3 +409,57 @@ def lbfgs(f, x: np.ndarray, rounds: int = 100, memory: int = 10, tolerance: floa
             past = [*past, (s, y)][-memory:]
         x, value, g = new, v, ng
     return x
+
+
+def conjugate_gradient(f, x: np.ndarray, rounds: int = 200, tolerance: float = 1e-6) -> np.ndarray:
+    """Least value of f, which returns value and gradient: Polak and Ribiere's directions, steps halved until they pay."""
+    value, g = f(x)
+    d = -g
+    for _ in range(rounds):
+        if np.linalg.norm(g) < tolerance:
+            break
+        if d @ g >= 0:
+            d = -g
+        step = 1.0
+        while True:
+            new = x + step * d
+            v, ng = f(new)
+            if v <= value + 1e-4 * step * (g @ d) or step < 1e-12:
+                break
+            step /= 2
+        beta = max(0.0, ng @ (ng - g) / max(g @ g, 1e-300))
+        x, value, g, d = new, v, ng, -ng + beta * d
+    return x
+
+
+def sgd(f, n: int, x: np.ndarray, rounds: int = 20, batch: int = 16, rate: float = 0.1, decay: float = 0.01, seed: int = 0, scaled: bool = False) -> np.ndarray:
+    """Stochastic descent over n examples: f(x, rows) gives value and gradient of some of them.  With `scaled` each weight's step shrinks with its own gradients."""
+    rng, seen, t = np.random.default_rng(seed), np.zeros_like(x), 0
+    for _ in range(rounds):
+        order = rng.permutation(n)
+        for k in range(0, n, batch):
+            _, g = f(x, order[k : k + batch])
+            seen += g * g
+            step = rate / np.sqrt(seen + 1e-8) if scaled else rate / (1 + decay * t)
+            x, t = x - step * g, t + 1
+    return x
+
+
+def meta_descent(f, n: int, x: np.ndarray, rounds: int = 20, batch: int = 16, rate: float = 0.05, meta: float = 0.05, seed: int = 0) -> np.ndarray:
+    """Stochastic descent whose gain for each weight grows while its gradients agree and shrinks while they do not."""
+    rng, gain, before = np.random.default_rng(seed), np.full_like(x, rate), np.zeros_like(x)
+    for _ in range(rounds):
+        order = rng.permutation(n)
+        for k in range(0, n, batch):
+            _, g = f(x, order[k : k + batch])
+            gain *= np.clip(1 + meta * np.sign(g * before), 0.5, 2)
+            x, before = x - gain * g, g
+    return x
+
+
+def hybrid(f_some, f_all, n: int, x: np.ndarray, rounds: int = 3, **options) -> np.ndarray:
+    """Some rounds of stochastic descent, then L-BFGS from there."""
+    return lbfgs(f_all, sgd(f_some, n, x, rounds, **options))
+
+
+OPTIMISERS = {"lbfgs": lbfgs, "conjugate_gradient": conjugate_gradient, "sgd": sgd, "meta_descent": meta_descent, "hybrid": hybrid}

@@ -71,10 +71,30 @@ def at_offsets(tokens: DataFrame, label: str = "label") -> DataFrame:
     return b.where(F.col(label) != BACKGROUND).groupBy("doc_id", "run").agg(F.min("type").alias("type"), F.min("begin").alias("begin"), F.max("end").alias("end")).drop("run")
 
 
-def by_characters(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Token borders of character spans: the tokens that overlap them."""
-    j = spans.join(tokens, "doc_id").where((tokens["begin"] < spans["end"]) & (tokens["end"] > spans["begin"]))
-    return j.groupBy("doc_id", "type", spans["begin"], spans["end"]).agg(F.min("pos").alias("begin_pos"), (F.max("pos") + 1).alias("end_pos"))
+def by_characters(spans: DataFrame, tokens: DataFrame, width: int = 256) -> DataFrame:
+    """Token borders of character spans: the tokens that overlap them, found in buckets of characters."""
+    def bucketed(df, begin, end, *rest):
+        lo, hi = F.floor(F.col(begin) / width), F.floor((F.greatest(F.col(end) - 1, F.col(begin))) / width)
+        return df.select("doc_id", *rest, begin, end, F.explode(F.sequence(lo, hi)).alias("_b"))
+
+    t = bucketed(tokens.select("doc_id", "pos", F.col("begin").alias("t0"), F.col("end").alias("t1")), "t0", "t1", "pos")
+    j = bucketed(spans, "begin", "end", "type").join(t, ["doc_id", "_b"]).where("t0 < end and t1 > begin")
+    return j.groupBy("doc_id", "type", "begin", "end").agg(F.min("pos").alias("begin_pos"), (F.max("pos") + 1).alias("end_pos"))
+
+
+def chunk_records(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Character spans (doc_id, type, begin, end) with their token range, tokens and text; neighbours keep the white space between them."""
+    at = by_characters(spans, tokens)
+    one = at.select("doc_id", "type", "begin", "end", "begin_pos", "end_pos", F.explode(F.sequence("begin_pos", F.col("end_pos") - 1)).alias("pos"))
+    t = tokens.select("doc_id", "pos", "tok", "before")
+    rows = one.join(t, ["doc_id", "pos"]).groupBy("doc_id", "type", "begin", "end", "begin_pos", "end_pos").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "before"))).alias("_t"))
+    text = F.array_join(F.transform("_t", lambda x, i: F.when(i == 0, x["tok"]).otherwise(F.concat(x["before"], x["tok"]))), "")
+    return rows.select("doc_id", "type", "begin", "end", "begin_pos", "end_pos", F.col("_t.tok").alias("tokens"), text.alias("text"))
+
+
+def merged_chunks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Spans of two tables as one from the first begin to the last end, for each document and type."""
+    return a.union(b.select(a.columns)).groupBy("doc_id", "type").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
 
 
 def realign(tokens: DataFrame, spans: DataFrame) -> DataFrame:

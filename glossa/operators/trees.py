@@ -6,6 +6,7 @@ equi-join on the tree with a comparison of numbers; a pattern is a chain of such
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -255,19 +256,123 @@ def c_commands(nodes: DataFrame) -> DataFrame:
     return j.where(apart).select(F.col("x.tree_id").alias("tree_id"), F.col("x.node_id").alias("x"), F.col("y.node_id").alias("y"))
 
 
-#: Head rules: category, side the search starts from, preferred children.
-HEAD_RULES = [("S", "left", ["VP", "S", "SBAR"]), ("VP", "left", ["VB", "VBD", "VBZ", "VBP", "VBN", "VBG", "MD", "VP"]), ("NP", "right", ["NN", "NNS", "NNP", "NNPS", "NP", "PRP"]), ("PP", "left", ["IN", "TO"]), ("ADJP", "right", ["JJ", "ADJP"]), ("SBAR", "left", ["IN", "WHNP", "S"])]
+#: Head rules by category.  Each part names a side to search from and categories: `left` and `right` try categories in order, `leftdis` and
+#: `rightdis` take the first child of any of them; `leftexcept` and `rightexcept` take the first that is no punctuation.
+HEAD_RULES = """
+ADJP: left $; rightdis NNS NN JJ QP VBN VBG; left ADJP; rightdis JJP JJR JJS DT RB RBR CD IN VBD; left ADVP NP; rightexcept
+JJP: left NNS NN $ QP JJ VBN VBG ADJP JJP JJR NP JJS DT FW RBR RBS SBAR RB
+ADVP: left ADVP IN; rightdis RB RBR RBS JJ JJR JJS; rightdis RP DT NN CD NP VBN NNP CC FW NNS ADJP NML; rightexcept
+CONJP: right CC RB IN
+FRAG: rightexcept
+INTJ: left
+LST: right LS :
+NAC: left NN NNS NML NNP NNPS NP NAC EX $ CD QP PRP VBG JJ JJS JJR ADJP JJP FW
+NX: right NP NX
+PP: right IN TO VBG VBN RP FW JJ; right PP
+PRN: left VP NP PP SQ S SINV SBAR ADJP JJP ADVP INTJ WHNP NAC VBP JJ NN NNP; leftexcept
+PRT: right RP
+QP: left $ IN NNS NN JJ CD PDT DT RB NCD QP JJR JJS
+RRC: right VP NP ADVP ADJP JJP PP
+S: left TO VP S FRAG SBAR ADJP JJP UCP NP
+SBAR: left WHNP WHPP WHADVP WHADJP IN DT S SQ SINV SBAR FRAG
+SBARQ: left SQ S SINV SBARQ FRAG SBAR; leftexcept
+SINV: left VBZ VBD VBP VB MD VBN VP S SINV ADJP JJP NP
+SQ: left VBZ VBD VBP VB MD AUX AUXG VP SQ
+UCP: rightexcept
+VP: left TO VBD VBN MD VBZ VB VBG VBP VP AUX AUXG ADJP JJP NN NNS JJ NP NNP
+WHADJP: left WRB WHADVP RB JJ ADJP JJP JJR
+WHADVP: right WRB WHADVP
+WHNP: left WDT WP WP$ WHADJP WHPP WHNP
+WHPP: right IN TO FW
+X: right S VP ADJP JJP NP SBAR PP X; rightexcept
+NP: rightdis NN NNP NNPS NNS NML NX POS JJR; left NP PRP; rightdis $ ADJP JJP PRN FW; right CD; rightdis JJ JJS RB QP DT WDT RBR ADVP; rightexcept
+NML: rightdis NN NNP NNPS NNS NX NML POS JJR; left NP PRP; rightdis $ ADJP JJP PRN; right CD; rightdis JJ JJS RB QP DT WDT RBR ADVP; rightexcept
+POSSP: right POS
+ROOT: left S SQ SINV SBAR FRAG
+TYPO: left NN NP NML NNP NNPS TO VBD VBN MD VBZ VB VBG VBP VP ADJP JJP FRAG
+ADV: right RB RBR RBS FW ADVP TO CD JJR JJ IN NP NML JJS NN
+EDITED: left
+VB: left TO VBD VBN MD VBZ VB VBG VBP VP AUX AUXG ADJP JJP NN NNS JJ NP NNP
+META: left
+XS: right IN
+"""
+PUNCTUATION = ("''", "``", "-LRB-", "-RRB-", ".", ":", ",")
+#: Forms of be, have, do and get: with a verb phrase beside them they are auxiliaries.
+_AUXILIARIES = set("be am is are was were been being 's 're 'm have has had having 've 'd do does did doing get gets got".split())
+
+
+@functools.cache
+def head_rules() -> dict[str, list[tuple[str, list[str]]]]:
+    out = {}
+    for line in HEAD_RULES.strip().splitlines():
+        category, _, parts = line.partition(": ")
+        out[category] = [(p.split()[0], p.split()[1:]) for p in parts.split("; ")]
+    return out
+
+
+def category(label: str) -> str:
+    """A label without function tags and indexes."""
+    return re.match(r"-[A-Z]+-|.[^-=|#^~_]*", label)[0] if label else label
+
+
+def _rank(rules: list[tuple[str, list[str]]]) -> list[tuple[str | None, int, int, str]]:
+    """Rules as (child's category or None for any, rank, preference, side): the least (rank, preference, place from the side) is the head."""
+    out = []
+    for i, (way, kids) in enumerate(rules):
+        side = "left" if way.startswith("left") else "right"
+        if way.endswith("except"):
+            out.append((None, i, 0, side))
+        else:
+            out += [(k, i, 0 if way.endswith("dis") else j, side) for j, k in enumerate(kids)]
+    side = "left" if rules[-1][0].startswith("left") else "right"
+    return [*out, (None, len(rules), 0, side), ("*", len(rules) + 1, 0, side)]  # the last resort: no punctuation, then anything
+
+
+def head_child(n, semantic: bool = False):
+    """The child that heads a node by its category's rules; the first child where there are none.
+
+    With `semantic` a verb phrase beside an auxiliary heads the phrase, so that words depend on what they mean.
+    """
+    cats = [category(k.label) for k in n.kids]
+    if semantic and category(n.label) in ("VP", "SQ", "SINV") and "VP" in cats:
+        before = n.kids[: cats.index("VP")]
+        verbs = [k for k in before if category(k.label) in ("MD", "TO") or category(k.label).startswith("VB")]
+        if verbs and all(category(k.label) in ("MD", "TO") or (k.kids and k.kids[0].label.lower() in _AUXILIARIES) for k in verbs):
+            return n.kids[cats.index("VP")]
+    if semantic and category(n.label) == "SBAR" and "S" in cats:
+        return n.kids[cats.index("S")]
+    rules = head_rules().get(category(n.label))
+    if not rules:
+        return n.kids[0]
+    if semantic and "CC" in cats[1:]:  # what is joined depends on its first part
+        before = range(cats.index("CC", 1))
+        plain = head_child(n)
+        same = [i for i in before if cats[i] == category(plain.label)]
+        if same:
+            return n.kids[same[0]]
+    best = None
+    for want, rank, taste, side in _rank(rules):
+        for i, c in enumerate(cats):
+            if want == "*" or c == want or want is None and c not in PUNCTUATION:
+                key = (rank, taste, i if side == "left" else -i)
+                best = min(best or (key, i), (key, i))
+    return n.kids[best[1]]
 
 
 def heads(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, head): the child by the parent's rule, else its first child."""
+    """(tree_id, node_id, head): the child by the parent's rules (see `head_child`), else its first child."""
     spark = nodes.sparkSession
-    rules = spark.createDataFrame([(c, k, t, i) for c, k, ts in HEAD_RULES for i, t in enumerate(ts)], "category string, side string, kid string, rank int")
-    k = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("kid_id"), "child_ix", F.col("label").alias("kid"))
-    p = nodes.select("tree_id", "node_id", F.col("label").alias("category"))
-    m = p.join(k, ["tree_id", "node_id"]).join(F.broadcast(rules), ["category", "kid"], "left")
-    order = F.struct(F.coalesce("rank", F.lit(99)), F.when(F.col("side") == "right", -F.col("child_ix")).otherwise(F.col("child_ix")))
-    return m.groupBy("tree_id", "node_id").agg(F.min_by("kid_id", order).alias("head"))
+    rows = [(c, k, rank, taste, side) for c, rules in head_rules().items() for k, rank, taste, side in _rank(rules)]
+    # some 300 rows, fixed
+    rules = spark.createDataFrame(rows, "category string, want string, rank int, taste int, side string")
+    basic = F.regexp_extract("label", r"^(-[A-Z]+-|.[^-=|#^~_]*)", 1)
+    k = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("kid_id"), "child_ix", basic.alias("kid"))
+    p = nodes.select("tree_id", "node_id", basic.alias("category"))
+    fits = (F.col("want") == F.col("kid")) | (F.col("want") == "*") | F.col("want").isNull() & ~F.col("kid").isin(*PUNCTUATION)
+    pairs = p.join(k, ["tree_id", "node_id"])
+    m = pairs.join(F.broadcast(rules.withColumnRenamed("category", "_c")), (F.col("category") == F.col("_c")) & fits, "left")
+    place = F.when(F.col("side") == "right", -F.col("child_ix")).otherwise(F.col("child_ix"))
+    return m.groupBy("tree_id", "node_id").agg(F.min_by("kid_id", F.struct(F.coalesce("rank", F.lit(99)), F.coalesce("taste", F.lit(0)), place)).alias("head"))
 
 
 # --- edits -------------------------------------------------------------------------------------------------------------------

@@ -35,4 +35,4 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
-from glossa.plans import corpus, counts, formats, labels, models, more, structure  # noqa: E402, F401
+from glossa.plans import corpus, counts, extra, formats, labels, models, more, structure  # noqa: E402, F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from glossa.functions.text import shape_dan2
 from glossa.operators import context, features, models
 from glossa.plans.catalogue import query, read, rounded
 from glossa.plans.counts import labelled_features
@@ -12,26 +13,53 @@ from glossa.plans.corpus import tokens
 from glossa.plans.labels import labelled
 from glossa.plans.sqltext import LAB, STOK, TOK, dan2
 
-@query(rf"""WITH {STOK}, ty AS (SELECT DISTINCT tok FROM stok), sh AS (SELECT tok, {dan2('tok')} AS shape FROM ty), s AS (SELECT stok.*, shape FROM stok JOIN sh USING (tok)), w AS (SELECT *, lag(tok) OVER o AS p, lead(tok) OVER o AS n, lag(shape) OVER o AS ps, lead(shape) OVER o AS ns FROM s WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
-  f AS (SELECT unnest([tok || '-WORD|C', p || '-PW|C', n || '-NW|C', tok || '-' || p || '-W-PW|C', shape || '-TYPE|C', ps || '-PTYPE|C', ns || '-NTYPE|C', ps || '-' || shape || '-TYPES|CpC']) AS feature FROM w)
-  SELECT feature, count(*)::BIGINT AS n FROM f WHERE feature IS NOT NULL GROUP BY feature HAVING count(*) >= 5""")
+@query(rf"""WITH {STOK}, ty AS (SELECT DISTINCT tok FROM stok), sh AS (SELECT tok, {dan2('tok')} AS shape FROM ty), s AS (SELECT stok.*, shape FROM stok JOIN sh USING (tok)),
+  w AS (SELECT tok, shape, lag(tok, 1, '') OVER o AS p, lead(tok, 1, '') OVER o AS n, lag(shape, 1, 'null') OVER o AS ps, lead(shape, 1, 'null') OVER o AS ns, lag(shape, 2, 'null') OVER o AS p2s FROM s WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
+  f AS (SELECT unnest([tok || '-WORD|C', p || '-PW|C', n || '-NW|C', tok || '-' || p || '-W-PW|C', tok || '-' || n || '-W-NW|C', shape || '-TYPE|C', ps || '-PTYPE|C', ns || '-NTYPE|C', p || '...' || shape || '-PW_CTYPE|C', shape || '...' || n || '-NW_CTYPE|C',
+    ps || '...' || shape || '-PCTYPE|C', shape || '...' || ns || '-CNTYPE|C', ps || '...' || shape || '...' || ns || '-PCNTYPE|C', ps || '-' || shape || '-TYPES|CpC', 'PSEQ|CpC', tok || '-PSEQW|CpC', p || '-' || tok || '-PSEQW2|CpC', p || '-PSEQpW|CpC',
+    p2s || '-' || ps || '-' || shape || '-TTPS|CpCp2C', p2s || '-' || ps || '-' || shape || '-TYPETYPES|CpCp2C', 'NSEQ|CnC', tok || '-NSEQW|CnC']) AS feature FROM w)
+  SELECT feature, count(*)::BIGINT AS n FROM f GROUP BY feature""")
 def feature_templates(spark, sf_dir):
-    from glossa.functions.text import shape_dan2
-
+    """Word, neighbour, shape and sequence templates of all tokens, counted."""
     s = context.tokenise_sentences(read(spark, sf_dir, "documents")).withColumn("shape", shape_dan2(F.col("tok")))
-    wide = features.with_neighbours(s, ("tok", "shape"), reach=1)
-    wanted = {("WORD", "C"), ("PW", "C"), ("NW", "C"), ("W-PW", "C"), ("TYPE", "C"), ("PTYPE", "C"), ("NTYPE", "C"), ("TYPES", "CpC")}
-    cols = [F.concat(features._f(n, *c), F.lit(f"|{q}")) for n, q, c in features.WORD + features.SHAPE + features.PAIR if (n, q) in wanted]
-    return wide.select(F.explode(F.array_compact(F.array(*cols))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).where("n >= 5")
+    groups = ("word", "neighbours", "word_pairs", "shape", "shape_neighbours", "shape_pairs", "types2", "sequence", "types_long", "next_sequence")
+    return features.extract(s, groups).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+_CLASS = "CASE WHEN regexp_matches({0}, '^\\p{{Lu}}') THEN 'VB' WHEN regexp_matches({0}, '^[0-9]') THEN 'CD' ELSE 'NN' END"
+
+
+@query(f"""WITH {STOK}, t AS (SELECT *, {_CLASS.format('tok')} AS g FROM stok), w AS (SELECT tok, g, lag(g, 1, 'null') OVER o AS p, lag(g, 2, 'null') OVER o AS p2, lag(g, 3, 'null') OVER o AS p3, lead(g, 1, 'null') OVER o AS n, lag(tok, 1, '') OVER o AS pw FROM t WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
+  f AS (SELECT unnest([g || '-TAG|C', p || '-PTAG|C', n || '-NTAG|C', p || '-' || g || '-' || n || '-PCNTAGS|C', g || '-' || n || '-CNTAGS|C', p || '-' || g || '-PCTAGS|C', tok || '-' || g || '-W-T|C', tok || '-' || p || '-W-PT|C', tok || '-' || n || '-W-NT|C', p || '-' || tok || '-PTAG-CWORD|C',
+    p2 || '-' || p || '-' || g || '-TTS|C', p3 || '-' || p2 || '-' || p || '-' || g || '-TTTS|C', p || '-' || g || '-TS|CpC', p2 || '-' || p || '-' || g || '-TTS|CpCp2C', p3 || '-' || p2 || '-' || p || '-' || g || '-TTTS|CpCp2Cp3C']) AS feature FROM w)
+  SELECT feature, count(*)::BIGINT AS n FROM f GROUP BY feature""")
+def tag_templates(spark, sf_dir):
+    """Tag templates of all tokens (words by class as tags), counted."""
+    t = F.col("tok")
+    s = context.tokenise_sentences(read(spark, sf_dir, "documents")).withColumn("tag", F.when(t.rlike(r"^\p{Lu}"), "VB").when(t.rlike("^[0-9]"), "CD").otherwise("NN"))
+    return features.extract(s, ("tag", "tag_neighbours", "sym_tags", "word_tag", "more_tags", "extra_tags", "taggy", "taggy_long")).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {STOK}, w AS (SELECT *, lag(tok) OVER o AS p, lead(tok) OVER o AS n, lag(tok, 2) OVER o AS p2 FROM stok WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
+  f AS (SELECT unnest([CASE WHEN p IS NULL THEN 'BEGIN-SENT|C' ELSE 'IN-SENT|C' END, CASE WHEN length(tok) < 3 THEN 'Len-1-3|C' WHEN length(tok) < 6 THEN 'Len-3-6|C' WHEN length(tok) < 10 THEN 'Len-6-10|C' ELSE 'Len-10-Inf|C' END,
+    CASE WHEN regexp_matches(tok, '^[0-9]{{1,18}}$') AND tok::BIGINT > 0 THEN 'POSITIVE_INTEGER|C' END, CASE WHEN tok = ')' AND p = '(' OR tok = ']' AND p = '[' THEN 'PAREN-MATCH|CpC' END, CASE WHEN tok = ')' AND p2 = '(' AND p <> ')' OR tok = ']' AND p2 = '[' AND p <> ']' THEN 'PAREN-MATCH|Cp2C' END]) AS feature FROM w)
+  SELECT feature, count(*)::BIGINT AS n FROM f WHERE feature IS NOT NULL GROUP BY feature""")
+def token_marks(spark, sf_dir):
+    """Sentence starts, length bins, numbers and closing brackets."""
+    s = context.tokenise_sentences(read(spark, sf_dir, "documents"))
+    marks = [("C", F.slice(features.begin_features(), 1, 1)), ("C", F.array(features.binned_length())), ("C", features.number_features()), ("CpC", features.paren_match(1)), ("Cp2C", features.paren_match(2))]
+    named = [(q, f"_x{i}") for i, (q, _) in enumerate(marks)]
+    wide = s.withColumn("shape", F.lit("")).select("*", *(c.alias(f"_x{i}") for i, (_, c) in enumerate(marks)))
+    rows = wide.select(F.explode(F.concat(*(features._with(F.col(c), f"|{q}") for q, c in named))).alias("feature"))
+    return rows.groupBy("feature").agg(F.count("*").alias("n"))
 
 
 @query()
 def feature_extraction(spark, sf_dir):
-    """All word and shape templates of every token, counted by clique."""
-    from glossa.functions.text import shape_dan2
-
+    """Templates with ordinals and neighbour prefixes and suffixes, counted by clique."""
     s = context.tokenise_sentences(read(spark, sf_dir, "documents")).withColumn("shape", shape_dan2(F.col("tok")))
-    return features.extract(s, ("word", "shape")).groupBy("clique").agg(F.count("*").alias("n"))
+    s = s.select("*", features.ordinal_features().alias("_o"), features.neighbour_ngrams(4).alias("_n"))
+    return features.extract(s, ("word", "shape"), [("C", F.col("_o")), ("CpC", F.col("_n"))]).groupBy("clique").agg(F.count("*").alias("n"))
 
 
 #: Inline weights over token classes.

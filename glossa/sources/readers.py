@@ -6,13 +6,19 @@ document's array of lines, so a file is never pulled into one Python call.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossa.functions import text as T
+from glossa.operators import context, morphology
+
 
-def lines(spark: SparkSession, *paths: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """(path, value): one row a line."""
-    r = spark.read.option("recursiveFileLookup", recursive)
+def lines(spark: SparkSession, *paths: str, recursive: bool = False, glob: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """(path, value): one row a line of any number of files and folders."""
+    r = spark.read.option("recursiveFileLookup", recursive).option("encoding", encoding)
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -35,6 +41,31 @@ def between_tags(text: Column, tag: str, keep_tags: bool = False, keep_inner: bo
     return out if keep_inner else F.transform(out, lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
 
 
+def nested_tags_udf(tag: str, keep_tags: bool = False, keep_inner: bool = True):
+    """Array of what stands between <tag> and its own </tag>: an element of the same name inside does not end it.  An element that is not closed is left out."""
+    either = re.compile(rf"<(/?){re.escape(tag)}(?:\s[^>]*)?>")
+
+    def pieces(text: str) -> list[str]:
+        out, depth, begin, inner = [], 0, 0, 0
+        for m in either.finditer(text):
+            if not m[1]:
+                if not depth:
+                    begin, inner = m.start(), m.end()
+                depth += 1
+            elif depth:
+                depth -= 1
+                if not depth:
+                    piece = text[begin : m.end()] if keep_tags else text[inner : m.start()]
+                    out.append(piece if keep_inner else re.sub(r"<[^>]*>", "", piece))
+        return out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else pieces(t))
+
+    return run
+
+
 def files_matching(df: DataFrame, pattern: str | None = None, extension: str | None = None, numbers: tuple[int, int] | None = None) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     out = df
@@ -60,8 +91,6 @@ def _split_lines(text: str) -> Column:
 
 def _numbered(df: DataFrame, text: str, is_border) -> DataFrame:
     """(doc_id, line_no, line, sent_id): sentence numbers by counting borders that end a sentence; one sort a document."""
-    from pyspark.sql import Window
-
     rows = df.select("doc_id", F.posexplode(_split_lines(text)).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     border = is_border(F.col("line"))
@@ -71,8 +100,6 @@ def _numbered(df: DataFrame, text: str, is_border) -> DataFrame:
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy("line_no")) - 1)
 
 
@@ -102,8 +129,6 @@ def conll(df: DataFrame, text: str = "text") -> DataFrame:
 
 def conllx(df: DataFrame, text: str = "text", stop_after_blank: int | None = None) -> DataFrame:
     """Tab columns idx, word, lemma, _, full tag, feats[, parent, label, gold]: fewer than 2 part sentences, 2 to 5 raise.  Coarse tag: first letter."""
-    from pyspark.sql import Window
-
     rows = _numbered(df, text, lambda x: F.size(F.split(F.trim(x), "\t")) < 2)
     if stop_after_blank is not None:
         w = Window.partitionBy("doc_id").orderBy("line_no")
@@ -132,8 +157,6 @@ def tagger_lines(df: DataFrame, text: str = "text", keep: bool = False) -> DataF
 
 def vertical(df: DataFrame, text: str = "text") -> DataFrame:
     """One token a line; `</s>` ends a sentence, other `<...>` lines are markup, `<` before a tab is a word; glue marks the token after `<g />`."""
-    from pyspark.sql import Window
-
     rows = df.select("doc_id", F.posexplode(_split_lines(text)).alias("line_no", "line")).where(F.col("line") != "")
     w = Window.partitionBy("doc_id").orderBy("line_no")
     markup = F.col("line").startswith("<") & ~F.col("line").startswith("<\t") & (F.col("line") != "<")
@@ -199,5 +222,61 @@ def slash_tagged(text: Column, sep: str = "/") -> Column:
     return F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: F.struct(F.regexp_extract(x, rf"^(.*){sep}([^{sep}]*)$", 1).alias("tok"), F.regexp_extract(x, rf"^(.*){sep}([^{sep}]*)$", 2).alias("tag")))
 
 
+def morphology_columns(df: DataFrame, lexicon: DataFrame, names: dict[str, int], text: str = "text") -> DataFrame:
+    """Tab columns with `<g />` lines left out, each token with its readings from the lexicon and the best of them."""
+    rows = columns(df.withColumn(text, F.regexp_replace(text, r"(?m)^<g ?/>\r?\n?", "")), names, text, r"\t+")
+    return morphology.best_reading(morphology.readings(rows, lexicon))
+
+
+def markup_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, pos, tok, before, begin, end): tokens of running text; markup and white space stand in `before` of the token they lead, those at the end in no token's."""
+    return context.with_offsets(df, text, space=r"(?:\s|<!--(?s:.*?)-->|<[/!?]?[A-Za-z][^<>]*>)*")
+
+
+def preprocessed(df: DataFrame, element: str | None = None, delimiter: str | None = None, tag_separator: str | None = None, text: str = "text", ends: str = r"^(?:\.|[!?]+)$") -> DataFrame:
+    """(doc_id, sent_id, pos, tok, tag): plain text or the content of an element, parted into sentences by a delimiter (a regex) or by its tokens; words may carry tags."""
+    parts = F.explode(nested_tags_udf(element)(F.col(text))) if element else F.col(text)
+    docs = df.select("doc_id", parts.alias("_part"))
+    if delimiter is not None:
+        docs = docs.select("doc_id", F.explode(F.split("_part", delimiter)).alias("_part")).where(F.col("_part").rlike(r"\S"))
+    docs = docs.groupBy("doc_id").agg(F.collect_list("_part").alias("_p")) if element or delimiter is not None else docs.select("doc_id", F.array("_part").alias("_p"))
+    rows = docs.select("doc_id", F.posexplode("_p").alias("_k", "_part"))
+    pieces = T.whitespace_tokens(F.col("_part")) if tag_separator else T.tokens("_part", T.RICH_TOKEN)
+    t = rows.select("doc_id", "_k", F.posexplode(pieces).alias("_i", "_w"))
+    cut = rf"^(.*){re.escape(tag_separator)}([^{re.escape(tag_separator)}]*)$" if tag_separator else None
+    tok = F.coalesce(F.nullif(F.regexp_extract("_w", cut, 1), F.lit("")), F.col("_w")) if cut else F.col("_w")
+    tag = F.nullif(F.regexp_extract("_w", cut, 2), F.lit("")) if cut else F.lit(None).cast("string")
+    flat = t.select("doc_id", "_k", "_i", tok.alias("tok"), tag.alias("tag"))
+    if delimiter is not None:
+        return flat.select("doc_id", F.col("_k").alias("sent_id"), F.col("_i").alias("pos"), "tok", "tag")
+    w = Window.partitionBy("doc_id").orderBy("_k", "_i")
+    return context.split_sentences(flat.withColumn("pos", F.row_number().over(w) - 1).drop("_k", "_i"), ends)
+
+
+def treebank(df: DataFrame, text: str = "value") -> DataFrame:
+    """(path, ix, tree): all bracketed trees of files, each on one line; a tree may run over lines, text outside brackets is left out.
+
+    Treebanks are put together by `union`, changed by `patterns.transformed`, and kept on disk as any table: all lazily.
+    """
+
+    def cut(s: str) -> list[str]:
+        out, depth, begin = [], 0, 0
+        for m in re.finditer(r"[()]", s):
+            if m[0] == "(":
+                begin = m.start() if not depth else begin
+                depth += 1
+            elif depth:
+                depth -= 1
+                if not depth:
+                    out.append(" ".join(s[begin : m.end()].split()))
+        return out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cut(t or ""))
+
+    return df.select("path", F.posexplode(run(F.col(text))).alias("ix", "tree"))
+
+
 #: Readers by name, for configurations that name one.
-READERS = {"columns": columns, "conll": conll, "conllx": conllx, "tagger": tagger_lines, "vertical": vertical, "json": json_sentences, "evaluation": evaluation}
+READERS = {"columns": columns, "conll": conll, "conllx": conllx, "tagger": tagger_lines, "vertical": vertical, "json": json_sentences, "evaluation": evaluation, "markup": markup_text, "preprocessed": preprocessed}

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators import patterns
+from glossa.operators.trees import build
+
 BY = ("doc_id", "sent_id")
 
 
@@ -113,8 +119,9 @@ def wi_xml(df: DataFrame, by=BY, label: str = "label") -> DataFrame:
 
 
 def tf_json(df: DataFrame, by=BY, limit: int | None = None) -> DataFrame:
-    """Sentences of {wordform, gold_tag, gold_lemma, options}."""
-    row = F.to_json(F.struct(F.col("tok").alias("wordform"), F.col("tag").alias("gold_tag"), F.col("lemma").alias("gold_lemma")))
+    """Sentences of {wordform, gold_tag, gold_lemma, attributes, options}, the last two if they are there."""
+    more = [F.col(c) for c in ("attributes", "options") if c in df.columns]
+    row = F.to_json(F.struct(F.col("tok").alias("wordform"), F.col("tag").alias("gold_tag"), F.col("lemma").alias("gold_lemma"), *more))
     out = per_sentence(df, row, ",", by).withColumn("line", F.concat(F.lit("["), "line", F.lit("]")))
     return out.orderBy(*by).limit(limit) if limit else out
 
@@ -148,6 +155,106 @@ def table_text(df: DataFrame, row: str, column: str, value: str, columns: list)
     return m.select(F.concat_ws("\t", F.col(row).cast("string"), *(F.col(f"`{c}`").cast("string") for c in columns)).alias("line"))
 
 
+def entity_lines(entities: DataFrame) -> DataFrame:
+    """Tab lines of name, normal_form, category, doc_id, count."""
+    return entities.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("name", "normal_form", "category", "doc_id", "count"))).alias("line"))
+
+
+def insert_statements(df: DataFrame, table: str) -> DataFrame:
+    """One INSERT a row; quotes inside values are doubled, nulls are NULL.  Names are checked, so nothing but values comes from the data."""
+    if not all(n.isidentifier() for n in (table, *df.columns)):
+        raise ValueError("table and columns must be plain names")
+    def value(f):
+        c = F.col(f.name)
+        text = c.cast("string") if f.dataType.typeName() in ("long", "integer", "short", "byte", "double", "float", "boolean", "decimal") else F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.coalesce(text, F.lit("NULL"))
+
+    return df.select(F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *map(value, df.schema.fields)), F.lit(");")).alias("line"))
+
+
+def sparse_lines(df: DataFrame) -> DataFrame:
+    """(example_id, line): label, then feature=value in the features' order, of (example_id, label, feature, value)."""
+    rows = df.groupBy("example_id", "label").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("_a"))
+    return rows.select("example_id", F.concat_ws("\t", F.col("label").cast("string"), F.array_join(F.transform("_a", lambda x: F.concat_ws("=", x["feature"], x["value"].cast("string"))), "\t")).alias("line"))
+
+
+def matrix_lines(df: DataFrame, features: list[str]) -> DataFrame:
+    """(example_id, line): label and the value of each feature in the order given, 0 where there is none.  Features are the columns of a dense dump, so they are few."""
+    m = df.groupBy("example_id", "label").pivot("feature", features).agg(F.sum("value")).na.fill(0.0)
+    return m.select("example_id", F.concat_ws("\t", F.col("label").cast("string"), *(F.col(f"`{f}`").cast("string") for f in features)).alias("line"))
+
+
+def _cells(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    return df.groupBy(row).pivot(column, columns).agg(F.sum(value)).na.fill(0).select(F.col(row).cast("string").alias("_row"), F.array(*(F.col(f"`{c}`").cast("string") for c in columns)).alias("_v"))
+
+
+def html_table(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    """(key, line): a two-way table as HTML rows; the first, with an empty key, has the columns' names."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def line(head, cells, tag):
+        return F.concat(F.lit("<tr><th>"), safe(head), F.lit("</th>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), safe(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+
+    body = _cells(df, row, column, value, columns)
+    head = df.sparkSession.range(1).select(F.lit("").alias("key"), line(F.lit(""), F.array(*(F.lit(str(c)) for c in columns)), "th").alias("line"))
+    return head.union(body.select("_row", line(F.col("_row"), F.col("_v"), "td")))
+
+
+def ascii_table(df: DataFrame, row: str, column: str, value: str, columns: list, width: int = 12) -> DataFrame:
+    """(key, line): the same in columns of `width` characters, keys to the left, numbers to the right."""
+    right = lambda c: F.when(F.length(c) < width, F.lpad(c, width, " ")).otherwise(c)
+    left = lambda c: F.when(F.length(c) < width, F.rpad(c, width, " ")).otherwise(c)
+    line = lambda head, cells: F.concat(left(head), F.array_join(F.transform(cells, right), ""))
+    body = _cells(df, row, column, value, columns)
+    head = df.sparkSession.range(1).select(F.lit("").alias("key"), line(F.lit(""), F.array(*(F.lit(str(c)) for c in columns))).alias("line"))
+    return head.union(body.select("_row", line(F.col("_row"), F.col("_v"))))
+
+
+def fsm_lines(arcs: DataFrame) -> DataFrame:
+    """A Viterbi lattice (doc_id, pos, tag, next_tag, score) as finite-state text: from, to, in, out, cost; states are places and tags."""
+    state = lambda pos, tag: F.concat_ws("_", pos.cast("string"), tag)
+    return arcs.select("doc_id", "pos", F.concat_ws("\t", state(F.col("pos"), F.col("tag")), state(F.col("pos") + 1, F.col("next_tag")), "next_tag", "next_tag", (-F.col("score")).cast("string")).alias("line"))
+
+
+def _penn(n, depth: int) -> str:
+    if not n.kids:
+        return n.label
+    if all(not k.kids for k in n.kids):
+        return f"({n.label} {' '.join(k.label for k in n.kids)})"
+    return f"({n.label}" + "".join(("\n" + "  " * (depth + 1) if k.kids else " ") + _penn(k, depth + 1) for k in n.kids) + ")"
+
+
+def _latex(n) -> str:
+    return f"[.{n.label} {' '.join(map(_latex, n.kids))} ]" if n.kids else n.label
+
+
+def _xml(n, depth: int) -> str:
+    label = escape(n.label, {'"': "&quot;"})
+    pad = "  " * depth
+    return f'{pad}<node value="{label}">\n' + "\n".join(_xml(k, depth + 1) for k in n.kids) + f"\n{pad}</node>" if n.kids else f'{pad}<leaf value="{label}"/>'
+
+
+#: Layouts of a tree by name.
+LAYOUTS = {"oneline": str, "penn": lambda n: _penn(n, 0), "latex": lambda n: f"\\Tree {_latex(n)}", "xml": lambda n: _xml(n, 0), "words": lambda n: " ".join(x.label for x in patterns.Numbered(n).nodes if not x.kids), "dependencies": lambda n: "\n".join(_edge(n, e) for e in patterns.edges(n)), "collapsed": lambda n: "\n".join(_edge(n, e) for e in patterns.edges(n, collapsed=True))}
+
+
+def _edge(n, edge: tuple[str, int, int]) -> str:
+    words = ["ROOT", *(x.label for x in patterns.Numbered(n).nodes if not x.kids)]
+    r, g, d = edge
+    return f"{r}({words[g + 1]}-{g + 1}, {words[d + 1]}-{d + 1})"
+
+
+def tree_text(df: DataFrame, layout: str, text: str = "tree") -> DataFrame:
+    """(tree_id, line): bracketed trees in a layout: oneline, penn, latex, xml, words, dependencies, collapsed."""
+    show = LAYOUTS[layout]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"tree_id": pdf["tree_id"], "line": [show(n) if (n := build(t)) else None for t in pdf[text]]})
+
+    return df.select("tree_id", text).mapInPandas(run, "tree_id long, line string")
+
+
 def in_order(df: DataFrame, line_no: str = "line_no", line: str = "line") -> DataFrame:
     """Output in input order; null lines are left out."""
     return df.where(F.col(line).isNotNull()).orderBy(line_no)
@@ -155,3 +262,7 @@ def in_order(df: DataFrame, line_no: str = "line_no", line: str = "line") -> Dat
 
 def write(df: DataFrame, path: str, column: str = "line", mode: str = "errorifexists") -> None:
     df.select(column).write.mode(mode).text(path)
+
+
+#: Writers by name, for configurations that name one.
+WRITERS = {"json": json, "conllx": conllx, "tab": tab, "vertical": vertical, "moses": moses, "xml": xml_words, "visl": visl, "lemmas": lemmas, "lower": lower, "slash_tags": slash_tags, "inline_xml": inline_xml, "wi_xml": wi_xml, "tf_json": tf_json}

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import U64, blocks, mix, need, plan_bytes, planes, powers, slices, squeezed, stable, trimmed, trimmed_group, unplaned, unsqueezed
+from glossa.llm.common import U64, blocks, grown, mix, need, plan_bytes, planes, powers, slices, squeezed, stable, trimmed, trimmed_group, unplaned, unsqueezed
 
 #: White space as the vocabularies' pattern means it (Unicode White_Space), in place of a library's own \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -161,12 +161,15 @@ def _ordered(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.take(pa.array(order)), hashes[order], rank
 
 
-def _words(source: str, bits: int):
+_BLOCK_BYTES = 8 << 20
+
+
+def _words(source: str, bits: int, most: int):
     """(bucket, block, sizes, data): a block's distinct words dealt by the leading bits of their hashes, packed."""
 
     def run(batches):
         pat = pattern(source)
-        for name, table in blocks(batches):
+        for name, table in blocks(batches, most=most):
             words, hashes, _ = _ordered(Block(table.column("text").chunk(0), pat).words)
             offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
             data = words.buffers()[2].to_pybytes() if len(words) else b""
@@ -179,12 +182,12 @@ def _words(source: str, bits: int):
     return run
 
 
-def _positions(source: str):
+def _positions(source: str, most: int):
     """(block, doc_id, seq): each document's words as ranks among the block's words."""
 
     def run(batches):
         pat = pattern(source)
-        for name, table in blocks(batches):
+        for name, table in blocks(batches, most=most):
             block = Block(table.column("text").chunk(0), pat)
             rank = _ordered(block.words)[2]
             seq = [planes(rank[d].astype("<u4")) for d in block.docs]
@@ -244,10 +247,11 @@ def encode(df: DataFrame, path: str, source: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one row a row of df."""
     base = stable(need(df, "doc_id", "text"))
     bits = max(4, (plan_bytes(base) // (4 << 20)).bit_length())
-    words = base.mapInArrow(trimmed(_words(source, bits)), "bucket long, block long, sizes binary, data binary")
+    most = grown(_BLOCK_BYTES, bits)
+    words = base.mapInArrow(trimmed(_words(source, bits, most)), "bucket long, block long, sizes binary, data binary")
     coded = words.groupBy("bucket").applyInArrow(trimmed_group(_encode(path, source)), "block long, bucket long, counts binary, ids binary")
     kind = base.schema["doc_id"].dataType.simpleString()
-    docs = base.mapInArrow(trimmed(_positions(source)), f"block long, doc_id {kind}, seq binary")
+    docs = base.mapInArrow(trimmed(_positions(source, most)), f"block long, doc_id {kind}, seq binary")
     return docs.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(trimmed_group(_assemble), f"doc_id {kind}, ids binary")
 
 

@@ -295,6 +295,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield close()
 
 
+def grown(block: int, bits: int) -> int:
+    """Bytes of a block where values are dealt to 2**bits ranges: from 2**15 on blocks grow with the ranges, up to eight times, so that a block's share of one does not shrink to a few values."""
+    return block << min(3, max(0, (bits - 13) // 2))
+
+
 _ZSTD = pa.Codec("zstd", 1)
 
 

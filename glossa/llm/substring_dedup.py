@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from glossa.llm.common import U64, Words, blocks, need, plan_bytes, planes, squeezed, stable, trimmed, trimmed_group, unplaned, unsqueezed
+from glossa.llm.common import U64, Words, blocks, grown, need, plan_bytes, planes, squeezed, stable, trimmed, trimmed_group, unplaned, unsqueezed
 
 WINDOW = 35
 _CHECK = 5  # bytes kept of the second hash
@@ -147,8 +147,7 @@ def _removed(base: DataFrame, width: int, bucket_mb: int, block: int) -> DataFra
     names = base.columns
     size = plan_bytes(base)
     bits = max(4, (size * 3 // (bucket_mb << 20)).bit_length())
-    # where ranges are so many that a block's share of one would be a few values, blocks grow with the input instead
-    block = min(8 * block, block << max(0, (bits - 10) // 2))
+    block = grown(block, bits)
     more = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType()), StructField("kept_sha256", StringType())]
     dealt = base.select("doc_id", "text").mapInArrow(trimmed(_deal(bits, width, block)), "bucket long, block long, one binary, two binary")
     answers = dealt.groupBy("bucket").applyInArrow(trimmed_group(_repeated), "block long, bucket long, n long, bits binary")

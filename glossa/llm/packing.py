@@ -1,11 +1,12 @@
 """Lexical retrieval packing: neighbours found by BM25 fill the window that a seed document opened.
 
-1. One pass counts, over all documents, in how many each term occurs, and the documents, their terms and bytes.  Counts are kept for `CELLS`
-   hash values of terms, so their size is fixed and they can be sent to all tasks; two terms in one cell share its count, which
-   moves a term's weight by the logarithm alone.
-2. The index is sharded by content.  A document goes by its topic, the term whose document frequency is nearest to a shard's number of documents, and within
-   that by the next such term; so documents that share a fitting term stand together wherever they come from.  A term in more documents than
-   a shard holds is dealt over as many groups as it takes, so a third of all documents being copies makes many even groups.  This is the one shuffle of texts.
+1. One pass counts, over all documents, the documents, their terms and bytes, and in how many documents terms occur: exactly for one term in `SAMPLED` (by
+   hash), and for all terms by `CELLS` hash values.  Cells are exact enough for BM25, where a rare term that shares its cell loses weight by the logarithm alone;
+   their size is fixed, so they can be sent to all tasks.
+2. The index is sharded by content.  Of the exactly counted terms the `TOPICS` whose frequency is nearest to a quarter of a shard's documents (or to four times the
+   documents a topic must hold for all to have one) are the topics.  A document goes by its three nearest topics, so documents that share them
+   stand together wherever they come from.  Range bounds come from a sample of documents, as Spark's own do, and end in a number that
+   differs for every row, so a third of all documents being copies is parted evenly.  This is the one shuffle of texts.
 3. A shard is a run of about `shard_bytes` of a task's sorted documents.  It has its own inverted index: a term's postings with BM25 weights from the
    corpus' document frequencies and mean length.  Terms found in one document of the shard can rank no other there and are not indexed; all others are.
 
@@ -37,16 +38,20 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from glossa.llm.bpe import chunks_of, edges, encoder, joined, per_chunk, term_hashes, token_bytes
-from glossa.llm.common import U64, mix, need, planes, slices, spread, stable, trimmed, trimmed_group, unplaned
+from glossa.llm.common import U64, mix, need, planes, slices, spread, stable, trimmed, trimmed_group, unplaned, written
 
 SHARD_BYTES = 4 << 20
 LENGTH = 1024
 K1, B = 1.2, 0.75
-#: Counted hash values of terms, and the parts in which their counts travel.
+#: Counted hash values of terms, and the parts in which counts travel.
 CELLS, _PARTS = 1 << 20, 64
+#: One term in so many is counted exactly; at most so many topics, which go to all tasks (2 MB).
+SAMPLED, TOPICS = 16, 1 << 17
+#: Documents looked at for range bounds: so many a partition, and never more than so many in all.
+_BOUNDS, _MOST_BOUNDS = 40, 1_000_000
 
 
 @functools.cache
@@ -115,12 +120,15 @@ class Coder:
 
 
 class Corpus:
-    """What all documents say of terms: documents, mean terms, mean bytes, and for each hash value the documents that hold it."""
+    """What all documents say of terms: documents, mean terms, mean bytes, for each hash value the documents that hold it, and the topics."""
 
-    def __init__(self, documents: int, terms: int, size: int, cells: np.ndarray | None):
+    def __init__(self, documents: int, terms: int, size: int, cells: np.ndarray, topics: np.ndarray | None = None, often: np.ndarray | None = None):
+        """topics: hashes in rising order; often: the documents that hold each."""
         self.documents, self.mean, self.size = documents, terms / max(1, documents), size / max(1, documents)
-        self._packed = planes(cells.astype("<u8")) if cells is not None else None  # travels packed, is read once a worker
+        self._packed = planes(cells.astype("<u8"))  # travels packed, is read once a worker
         self._cells: np.ndarray | None = None
+        self.topics = np.empty(0, U64) if topics is None else topics
+        self.often = np.empty(0) if often is None else often.astype(np.float64)
 
     def __getstate__(self):
         return self.__dict__ | {"_cells": None}
@@ -131,58 +139,96 @@ class Corpus:
         return self._cells[_cell(hashes)]
 
 
+_COUNTS = "task long, part long, documents long, terms long, size long, cells binary, hashes binary, often binary"
+
+
+def _rows(task: int, sums: tuple[int, int, int], cells: np.ndarray, hashes: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    """A task's counts by part: cells and exactly counted terms by the leading bits of their hashes; the sums stand in the first part alone."""
+    cut = np.searchsorted(hashes, np.arange(1, _PARTS, dtype=U64) << U64(64 - _PARTS.bit_length() + 1))
+    columns = [[task] * _PARTS, list(range(_PARTS)), *([x, *[0] * (_PARTS - 1)] for x in sums), *([planes(x) for x in parts] for parts in (np.split(cells, _PARTS), np.split(hashes, cut), np.split(often, cut)))]
+    kinds = [*[pa.int64()] * 5, *[pa.binary()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in _COUNTS.split(", ")])
+
+
+def _added(hashes: list[np.ndarray], often: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal hashes as one, in the order of the hashes."""
+    every, at = np.unique(np.concatenate([np.empty(0, U64), *hashes]), return_inverse=True)
+    return every, np.bincount(at, np.concatenate([np.empty(0), *often]), len(every)).astype("<u8")
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(task, part, documents, terms, size, cells) of a task's documents."""
-    cells, documents, terms, size, task = np.zeros(CELLS, "<u8"), 0, 0, 0, TaskContext.get().partitionId()
+    cells, sums, task = np.zeros(CELLS, "<u8"), np.zeros(3, np.int64), TaskContext.get().partitionId()
+    hashes, often, held = [], [], 0
     for batch in slices(batches, "text"):
         texts = batch.column("text")
         chunk, values, offsets = chunks_of(texts)
         width = max(1, len(values))
         pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets)) * width + chunk) % width
-        cells += np.bincount(_cell(term_hashes(values))[pairs], minlength=CELLS).astype("<u8")
-        documents, terms, size = documents + len(texts), terms + len(chunk), size + texts.nbytes
-    if documents:
-        yield _parts(task, documents, terms, size, cells)
-
-
-def _parts(task: int, documents: int, terms: int, size: int, cells: np.ndarray) -> pa.RecordBatch:
-    one = [1, *[0] * (_PARTS - 1)]  # the sums stand in the first part alone
-    columns = [[task] * _PARTS, list(range(_PARTS)), *([x * k for k in one] for x in (documents, terms, size)), [planes(x) for x in np.split(cells, _PARTS)]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 5, pa.binary()], strict=True)], ["task", "part", "documents", "terms", "size", "cells"])
+        df, h = np.bincount(pairs, minlength=len(values)), term_hashes(values)
+        cells += np.bincount(_cell(h), df, CELLS).astype("<u8")
+        exact = h % U64(SAMPLED) == 0
+        hashes.append(h[exact])
+        often.append(df[exact])
+        held += int(exact.sum())
+        if held > 1 << 19:
+            h, n = _added(hashes, often)
+            hashes, often, held = [h], [n], 0
+        sums += (len(texts), len(chunk), texts.nbytes)
+    if sums[0]:
+        yield _rows(task, tuple(map(int, sums)), cells, *_added(hashes, often))
 
 
 def _summed(table: pa.Table) -> pa.Table:
     cells = np.zeros(CELLS // _PARTS, "<u8")
     for b in table.column("cells").to_pylist():
         cells += unplaned(b, 8)
+    hashes, often = _added(*([unplaned(b, 8) for b in table.column(c).to_pylist()] for c in ("hashes", "often")))
     row = [[table.column("task")[0].as_py()], [table.column("part")[0].as_py()], *([pc.sum(table.column(c)).as_py()] for c in ("documents", "terms", "size"))]
-    return pa.table([*(pa.array(x, pa.int64()) for x in row), pa.array([planes(cells)], pa.binary())], names=["task", "part", "documents", "terms", "size", "cells"])
+    return pa.table([*(pa.array(x, pa.int64()) for x in row), *(pa.array([planes(x)], pa.binary()) for x in (cells, hashes, often))], names=table.column_names)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, n in zip(batch.column("hashes").to_pylist(), batch.column("often").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(unplaned(x, 8).astype(np.uint64).view(np.int64)) for x in (h, n)], ["hash", "often"])
+
 
+def corpus(df: DataFrame, shard_bytes: int = SHARD_BYTES) -> Corpus:
+    """Counts over all documents of df (text).  Summed in two steps by parts; what reaches the driver is `CELLS` counts and `TOPICS` topics, whatever the input."""
+    rows = df.select("text").mapInArrow(trimmed(_counts), _COUNTS)
+    first = rows.withColumn("task", F.floor(F.col("task") / 64)).groupBy("task", "part").applyInArrow(trimmed_group(_summed), _COUNTS)
+    found = written(first.groupBy("part").applyInArrow(trimmed_group(_summed), _COUNTS))
+    parts = found.select("part", "documents", "terms", "size", "cells").orderBy("part").collect()
+    cells = np.concatenate([unplaned(bytes(r["cells"]), 8) for r in parts]) if parts else np.zeros(CELLS, "<u8")
+    documents, terms, size = (sum(r[c] for r in parts) for c in ("documents", "terms", "size"))
+    aim = max(1.0, shard_bytes * documents / max(1, size) / 4, 4 * documents / TOPICS)
+    near = found.select("hashes", "often").mapInArrow(trimmed(_unpacked), "hash long, often long").where("often > 1")
+    chosen = near.orderBy(F.abs(F.log2(F.col("often") / F.lit(aim))), "hash").limit(TOPICS).collect()
+    chosen = sorted((r["hash"] & 0xFFFFFFFFFFFFFFFF, r["often"]) for r in chosen)
+    return Corpus(documents, terms, size, cells, np.array([h for h, _ in chosen], U64), np.array([n for _, n in chosen], np.float64))
 
-def corpus(df: DataFrame) -> Corpus:
-    """Counts over all documents of df (text).  Summed in two steps over parts of the cells; what reaches the driver is `CELLS` counts, whatever the input."""
-    schema = "task long, part long, documents long, terms long, size long, cells binary"
-    rows = df.select("text").mapInArrow(trimmed(_counts), schema)
-    first = rows.withColumn("task", F.floor(F.col("task") / 64)).groupBy("task", "part").applyInArrow(trimmed_group(_summed), schema)
-    found = first.groupBy("part").applyInArrow(trimmed_group(_summed), schema).orderBy("part").collect()
-    cells = np.concatenate([unplaned(bytes(r["cells"]), 8) for r in found]) if found else np.zeros(CELLS, "<u8")
-    return Corpus(*(sum(r[c] for r in found) for c in ("documents", "terms", "size")), cells)
 
+_NO_TOPIC = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-def topics(texts: pa.Array, about: Corpus, fit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's topic, the next one, and the documents that hold the first: terms whose frequency is nearest to `fit`, ties to the smaller hash."""
+
+def topics(texts: pa.Array, about: Corpus, aim: float, depth: int = 3) -> list[np.ndarray]:
+    """Each text's nearest topics by falling fit: hashes of those whose frequency is nearest to `aim`, ties to the smaller hash; all ones where there is none."""
     chunk, values, offsets = chunks_of(texts)
+    if not len(texts):
+        return [np.empty(0, U64)] * depth
     hashes = term_hashes(values)
-    often = np.maximum(about.frequency(hashes), 1)
-    far = np.minimum(np.abs(np.log2(often / fit)) * 1024, 65_535).astype(U64)
-    rank = (far << U64(48) | hashes >> U64(16))[chunk]
-    begin = offsets[:-1]
-    best = np.minimum.reduceat(rank, begin) if len(begin) else rank
-    last = np.uint64(0xFFFFFFFFFFFFFFFF)
-    own = np.repeat(best, np.diff(offsets))
-    following = np.minimum.reduceat(np.where(rank == own, last, rank), begin) if len(begin) else rank
-    held = np.maximum.reduceat(np.where(rank == own, often[chunk], 0), begin) if len(begin) else np.empty(0)
-    return best, following, held
+    rank = np.full(len(hashes), _NO_TOPIC)
+    if len(about.topics):
+        at = np.minimum(np.searchsorted(about.topics, hashes), len(about.topics) - 1)
+        known = about.topics[at] == hashes
+        far = np.minimum(np.abs(np.log2(about.often[at] / aim)) * 1024, 65_534).astype(U64)
+        rank[known] = (far << U64(48) | hashes >> U64(16))[known]
+    rank, begin, size, out = rank[chunk], offsets[:-1], np.diff(offsets), []
+    for _ in range(depth):
+        best = np.minimum.reduceat(rank, begin)
+        out.append(np.where(best == _NO_TOPIC, best, mix(best)))
+        rank = np.where(rank == np.repeat(best, size), _NO_TOPIC, rank)
+    return out
 
 
 class Index:
@@ -271,24 +317,41 @@ def fill(tokens: np.ndarray, index: Index, length: int = LENGTH) -> list[list[tu
     return windows
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], about: Corpus, aim: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a task's rows with their keys: topics by fit, then a number that differs for every row; 32 bytes that sort as they read."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in slices(batches, "text"):
+        tie = mix(np.arange(row, row + batch.num_rows).astype(U64))
+        row += batch.num_rows
+        yield batch, np.stack([*topics(batch.column("text"), about, aim), tie], 1).astype(">u8")
+
+
 def grouped(df: DataFrame, about: Corpus, shard_bytes: int) -> DataFrame:
-    """df (doc_id, text), dealt and sorted by topics."""
-    fit = max(1.0, shard_bytes / max(1.0, about.size))
+    """df (doc_id, text), dealt to ranges and sorted by topics."""
+    aim = max(1.0, shard_bytes / max(1.0, about.size) / 4, 4 * about.documents / TOPICS)
+    parts = spread(df, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def sampled(batches):
+        for batch, keys in _keyed(batches, about, aim):
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), sizes], ["key", "size"])
+
+    share = min(1.0, min(_BOUNDS * parts, _MOST_BOUNDS) / max(1, about.documents))
+    some = df.sample(False, share, 17) if share < 1 else df
+    seen = sorted((bytes(r["key"]), r["size"] + 16) for r in some.mapInArrow(trimmed(sampled), "key binary, size long").collect())  # at most about _MOST_BOUNDS rows of 40 bytes
+    total = np.cumsum([n for _, n in seen]) if seen else np.zeros(0)
+    cut = np.searchsorted(total, np.arange(1, parts) * (total[-1] / parts)) if seen else np.zeros(0, np.int64)
+    bounds = np.array(sorted({seen[min(int(i), len(seen) - 1)][0].ljust(32, b"\0") for i in cut}), "S32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
-            best, following, held = topics(batch.column("text"), about, fit)
-            tie = mix(np.arange(row, row + batch.num_rows).astype(U64))
-            row += batch.num_rows
-            salt = tie % np.ceil(held / fit).clip(1).astype(U64)
-            keys = [pa.array(x.view(np.int64)) for x in (best, salt, following, tie)]
-            yield pa.RecordBatch.from_arrays([*keys, *batch.columns], ["topic", "salt", "following", "tie", *batch.schema.names])
-
-    keys = [StructField(c, LongType()) for c in ("topic", "salt", "following", "tie")]
-    parts = spread(df, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.mapInArrow(trimmed(run), StructType([*keys, *df.schema.fields])).repartition(parts, "topic", "salt")
-    return dealt.sortWithinPartitions("topic", "salt", "following", "tie").select(*df.columns)
+        for batch, keys in _keyed(batches, about, aim):
+            whole = np.ascontiguousarray(keys).view("S32").ravel()
+            place = np.searchsorted(bounds, whole, side="right").astype(np.int32) if len(bounds) else np.zeros(len(whole), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array([k.tobytes() for k in keys], pa.binary()), *batch.columns], ["_range", "_key", *batch.schema.names])
+
+    more = [StructField("_range", IntegerType()), StructField("_key", BinaryType())]
+    dealt = df.mapInArrow(trimmed(run), StructType([*more, *df.schema.fields])).repartitionById(parts, "_range")
+    return dealt.sortWithinPartitions("_key").select(*df.columns)
 
 
 _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -297,7 +360,7 @@ _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def pack(df: DataFrame, path: str, ranks: str, source: str, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian unsigned 32-bit)."""
     base = stable(need(df, "doc_id", "text"))
-    about = corpus(base)
+    about = corpus(base, shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, ranks, source)

@@ -419,14 +419,30 @@ def test_packing_finds_neighbours_in_other_partitions(spark):
     """Documents of a topic lie in as many partitions as there are; they meet in one shard, and a group larger than a shard is dealt over several."""
     rows = [(k, " ".join([f"topic{k % 40}"] * 3 + [f"own{k}x{i}" for i in range(30)] + ["all"])) for k in range(800)] + [(1000 + k, "the same text again and again") for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    about = packing.corpus(df)
+    about = packing.corpus(df, 20 * 280)
     where = packing.grouped(common.written(df), about, 20 * 280).withColumn("p", F.spark_partition_id()).toPandas()
     topical = where[where.doc_id < 800].assign(topic=lambda x: x.doc_id % 40)
-    together = topical.groupby("topic").p.agg(lambda p: p.value_counts().max()).sum()
-    assert together >= 0.99 * len(topical) and topical.p.nunique() > 1  # two terms in one cell may lead a document elsewhere
-    breaks = sum((np.diff(g.topic) != 0).sum() - g.topic.nunique() + 1 for _, g in topical.groupby("p"))
-    assert breaks <= 4  # and next to each other
+    known = {int(h): n for h, n in zip(about.topics, about.often, strict=True)}
+    hashes = bpe.term_hashes(pa.array([f"topic{k}" for k in range(40)], pa.large_string()))
+    counted = [k for k, h in enumerate(hashes.tolist()) if h in known]  # one term in so many is counted
+    assert all(known[int(hashes[k])] == 20 for k in counted) and len(counted) == sum(int(h) % packing.SAMPLED == 0 for h in hashes)
+    for k in counted:  # its documents meet, next to each other
+        g = topical[topical.topic == k]
+        assert g.p.value_counts().max() >= 19 and (np.diff(g.index) == 1).sum() >= 18
     assert where[where.doc_id >= 1000].p.nunique() > 1 and len(where) == len(rows)
+    sizes = where.groupby("p").text.agg(lambda t: t.str.len().sum())
+    assert sizes.max() < 3 * sizes.mean()
+
+
+def test_packing_groups_by_topics_in_order():
+    texts = pa.array(["a b c", "c b", "x", None, "a a a"])
+    hashes = {w: int(bpe.term_hashes(pa.array([w], pa.large_string()))[0]) for w in "abc"}
+    often = {"a": 8.0, "b": 4.0, "c": 100.0}
+    order = sorted("abc", key=hashes.get)
+    about = packing.Corpus(5, 9, 9, np.zeros(packing.CELLS), np.array([hashes[w] for w in order], np.uint64), np.array([often[w] for w in order]))
+    one, two, three = packing.topics(texts, about, 4.0)
+    none = 2**64 - 1
+    assert one[0] == one[1] and two[0] == one[4] and three[0] == two[1] and [int(one[2]), int(one[3]), int(two[4])] == [none] * 3
 
 
 def test_feistel_is_a_bijection():

@@ -205,13 +205,35 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+#: Pairs of one id beyond which they are dealt over several tasks, and the number of such ids up to which their list may be sent to all tasks (16 MB).
+_HOT, _HOT_IDS = 2048, 1_000_000
+
+
+class Hot:
+    """Joins on the first end of pairs, which is the smallest member of a hot list for all its other members: such ids' rows are copied, and their pairs dealt by the other end."""
+
+    def __init__(self, pairs: DataFrame):
+        self.many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(_HOT)).cast("int").alias("_salts")).where("_salts > 1"))
+        count = self.many.count()
+        self.none, self.few = count == 0, count <= _HOT_IDS
+
+    def join(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """pairs (a, b, ...) with rows (a, ...)."""
+        if self.none:
+            return pairs.join(rows, "a")
+        many = F.broadcast(self.many) if self.few else self.many
+        dealt = pairs.join(many, "a", "left").withColumn("_salt", F.pmod(F.xxhash64("b"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+        copied = rows.join(many, "a", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        return dealt.join(copied, ["a", "_salt"]).drop("_salt")
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, k: int, hot: Hot) -> DataFrame:
     """Of pairs (a, b) those that link: estimate, then exact check on whole texts."""
     s = reps.select("id", "n", "sketch")
-    with_a = pairs.join(s.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    with_a = hot.join(pairs, s.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")))
     with_b = with_a.join(s.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     close = with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_estimate(percent / 100, k)), "a long, b long")
-    texts_a = close.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    texts_a = hot.join(close, docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")))
     texts = texts_a.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return written(texts.mapInArrow(trimmed(_verify(width, percent)), "a long, b long"))
 
@@ -277,23 +299,23 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, k: int = K, few: i
     star = hot.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct().withColumn("c", F.lit(1 << 20).cast("long"))
     shared = found.where("not hot").groupBy("a", "b").agg(F.sum("c").alias("c"))
     info = written(reps.select("id", "n", keys_of.alias("keys")).join(hot_of, "id", "left").select("id", "n", "keys", F.coalesce("h", F.lit(0)).alias("h")))
+    spread = Hot(star)
     pairs = (
-        shared.union(star)
-        .join(info.toDF("a", "na", "ka", "ha"), "a")
+        spread.join(shared.union(star), info.toDF("a", "na", "ka", "ha"))
         .join(info.toDF("b", "nb", "kb", "hb"), "b")
         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and c + least(ha, hb) >= greatest(1, floor(least(ka, kb) / 12))")
         .select("a", "b", "c")
     )
     pairs = written(pairs)
     best = pairs.where(f"c < {1 << 20}").groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b").union(pairs.where(f"c >= {1 << 20}").select("a", "b"))
-    links = _confirmed(best, reps, docs, width, percent, k)
+    links = _confirmed(best, reps, docs, width, percent, k, spread)
     first = components(links, parts)
 
     def with_component(x: DataFrame, at: str, name: str) -> DataFrame:
         return x.join(first.toDF(at, name), at, "left").withColumn(name, F.coalesce(name, at))
 
     rest = with_component(with_component(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    second = _confirmed(rest, reps, docs, width, percent, k)
+    second = _confirmed(rest, reps, docs, width, percent, k, spread)
     if not hot.isEmpty():
         # classes most of whose runs are hot: groups that share hot lists, each pair of blocks compared once
         dense = info.where("h >= greatest(1, floor(keys / 12))").select("id", "n")

@@ -273,18 +273,6 @@ def test_hot_families(spark):
     assert got == classes_by_hand(docs, 3, 85)
 
 
-def test_hot_lists_are_dealt(spark, monkeypatch):
-    """Pairs of one id over several tasks: the same classes."""
-    monkeypatch.setattr(minhash_dedup, "_HOT", 3)
-    texts = near_copies(4, 60, 90, 7) + [prose(70 + k, 40) for k in range(10)]
-    docs = list(enumerate(texts))
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    for ids in (1_000_000, 0):  # with the list of such ids sent to all tasks, and joined
-        monkeypatch.setattr(minhash_dedup, "_HOT_IDS", ids)
-        got = {r[0]: tuple(r)[1:] for r in minhash_dedup.classes(df, 3, 85, few=6).collect()}
-        assert got == classes_by_hand(docs, 3, 85)
-
-
 def test_one_of_each_group_stays(spark, odd, empty):
     kept = minhash_dedup.keep_one(odd)
     assert kept.columns == odd.columns

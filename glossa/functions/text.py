@@ -465,7 +465,12 @@ def gap_encode(sorted_ints: Column) -> Column:
 
 
 def gap_decode(gaps: Column) -> Column:
-    return F.transform(gaps, lambda x, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0).cast("long"), lambda a, b: a + b))
+    """Running sums of the gaps, in one pass over each array."""
+    @F.pandas_udf("array<long>")
+    def sums(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64))
+
+    return sums(gaps)
 
 
 #: Characters whose places are one integer's bits.

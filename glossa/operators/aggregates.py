@@ -188,3 +188,16 @@ def field_values(df: DataFrame, fields: list[str], score: str = "score") -> Data
     """(field, value, n): the score of all templates that give a field a value."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("_f")
     return df.select(score, each).where("_f.value is not null").groupBy("_f.field", "_f.value").agg(F.sum(score).alias("n"))
+
+
+# --- estimates ------------------------------------------------------------------------------------------------------------------
+
+
+def distinct_estimate(df: DataFrame, column: str, by: list[str] = (), error: float = 0.02) -> DataFrame:
+    """(by, estimate): number of distinct values within a relative standard error, by sketches that are merged before the shuffle."""
+    return df.groupBy(*by).agg(F.approx_count_distinct(column, error).alias("estimate"))
+
+
+def quantile_estimates(df: DataFrame, column: str, shares: list[float], by: list[str] = (), accuracy: int = 10_000) -> DataFrame:
+    """(by, quantiles): values at shares of the order, each within 1 / accuracy of its share."""
+    return df.groupBy(*by).agg(F.percentile_approx(column, shares, accuracy).alias("quantiles"))

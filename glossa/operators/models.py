@@ -171,14 +171,14 @@ def marginals(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.exp(a + b - z)
 
 
-def gibbs_path(emit: np.ndarray, move: np.ndarray, sweeps: int = 50, seed: int = 0, cooling: str = "linear") -> tuple[np.ndarray, float]:
-    """Annealed Gibbs sampling; the best sequence seen."""
+def gibbs_path(emit: np.ndarray, move: np.ndarray, sweeps: int = 50, seed: int = 0, cooling: str = "linear", prior=None) -> tuple[np.ndarray, float]:
+    """Annealed Gibbs sampling; the best sequence seen.  `prior` gives a score (0 or less) of a whole sequence, for what reaches beyond neighbours."""
     rng = np.random.default_rng(seed)
     n, k = emit.shape
     y = emit.argmax(1)
 
     def total(v):
-        return float(emit[np.arange(n), v].sum() + move[v[:-1], v[1:]].sum())
+        return float(emit[np.arange(n), v].sum() + move[v[:-1], v[1:]].sum()) + (prior(v) if prior else 0.0)
 
     best, best_score = y.copy(), total(y)
     for sweep in range(sweeps):
@@ -189,6 +189,10 @@ def gibbs_path(emit: np.ndarray, move: np.ndarray, sweeps: int = 50, seed: int =
                 s += move[y[t - 1]]
             if t + 1 < n:
                 s += move[:, y[t + 1]]
+            if prior:
+                for label in range(k):
+                    y[t] = label
+                    s[label] += prior(y)
             p = np.exp((s - s.max()) / heat)
             y[t] = rng.choice(k, p=p / p.sum())
         if (now := total(y)) > best_score:
@@ -221,6 +225,55 @@ def consistency_penalty(words: list[str], path: np.ndarray, weight: float) -> fl
     return -weight * sum(len(v) - 1 for v in seen.values())
 
 
+def entities_of(words: list[str], path: np.ndarray, background: int) -> list[tuple[tuple[str, ...], int]]:
+    """Runs of one label other than the background, as words and label."""
+    out, k = [], 0
+    while k < len(path):
+        j = k
+        while j < len(path) and path[j] == path[k]:
+            j += 1
+        if path[k] != background:
+            out.append((tuple(words[k:j]), int(path[k])))
+        k = j
+    return out
+
+
+def entity_prior(words: list[str], background: int, costs: np.ndarray, part_costs: np.ndarray):
+    """Prior over a document's entities: `costs[x, y]` for each pair of equal entities labelled x and y, `part_costs` where one is part of the other."""
+
+    def score(path: np.ndarray) -> float:
+        found, out = entities_of(words, path, background), 0.0
+        for i, (a, x) in enumerate(found):
+            for b, y in found[i + 1 :]:
+                if a == b:
+                    out -= costs[x, y]
+                else:
+                    small, large = sorted((a, b), key=len)
+                    if any(large[k : k + len(small)] == small for k in range(len(large) - len(small) + 1)):
+                        out -= part_costs[x, y]
+        return out
+
+    return score
+
+
+def slot_prior(words: list[str], single: dict[int, float]):
+    """Prior of texts with slots: a label that should be filled by one phrase costs its weight for each further phrase."""
+
+    def score(path: np.ndarray) -> float:
+        out = 0.0
+        for label, weight in single.items():
+            at = np.flatnonzero(path == label)
+            runs = {tuple(words[k] for k in r) for r in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(r)}
+            out -= weight * max(0, len(runs) - 1)
+        return out
+
+    return score
+
+
+def uniform_prior(path: np.ndarray) -> float:
+    return 0.0
+
+
 METHODS = {"viterbi": viterbi_path, "beam": beam_path, "gibbs": gibbs_path}
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossa.functions import dates
 from glossa.functions import text as T
 from glossa.operators import aggregates, context, counters, distributions, evaluate, merge, models, morphology, patterns, plugins, sets, spans, tagger, trees
 from glossa.operators import vectors as V
@@ -566,3 +567,24 @@ def label_probabilities(spark, sf_dir):
 
     s = spark.createDataFrame([(1, 0, 0, "NAME", 1.0), (1, 0, 0, "O", 0.0)], "doc_id int, sent_id int, pos int, label string, score double")
     return rounded(models.posterior(s, ["NAME", "O"], np.zeros((2, 2))), "p").select("pos", "label", "p")
+
+
+# --- dates and estimates ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, year(ts)::INTEGER AS year, quarter(ts)::INTEGER AS quarter, month(ts)::INTEGER AS month, isodow(ts)::INTEGER AS weekday, hour(ts)::INTEGER AS hour, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, strftime(ts, '%Y/%m/%d %H:%M') AS shown, datediff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS days FROM events")
+def event_dates(spark, sf_dir):
+    ts = F.col("ts")
+    e = read(spark, sf_dir, "events").select("event_id", "ts", dates.parts(ts).alias("p"))
+    return e.select("event_id", *(F.col(f"p.{c}") for c in ("year", "quarter", "month", "weekday", "hour")), dates.shown(dates.floor_to(ts, "week")).alias("week"), dates.shown(ts, "yyyy/MM/dd HH:mm").alias("shown"), dates.days_between(F.lit("2024-01-01").cast("date"), ts).alias("days"))
+
+
+@query(f"WITH {TOK} SELECT lang, true AS near_distinct, true AS near_median FROM tok GROUP BY lang")
+def estimates(spark, sf_dir):
+    """Distinct words and median lengths by sketches, against exact ones: within six standard errors, and within one character."""
+    t = tokens_with(spark, sf_dir, "lang")
+    exact = t.groupBy("lang").agg(F.count_distinct("tok").alias("d"), F.median(F.length("tok")).alias("m"))
+    d = aggregates.distinct_estimate(t, "tok", ["lang"])
+    q = aggregates.quantile_estimates(t.withColumn("n", F.length("tok")), "n", [0.5], ["lang"])
+    j = exact.join(d, "lang").join(q, "lang")
+    return j.select("lang", (F.abs(F.col("estimate") - F.col("d")) <= F.greatest(F.lit(2), 0.12 * F.col("d"))).alias("near_distinct"), (F.abs(F.col("quantiles")[0] - F.col("m")) <= 1).alias("near_median"))

@@ -154,7 +154,18 @@ def _emissions(spark, sf_dir):
     return t.where(F.size("toks") > 0).select("doc_id", "sent_id", F.transform("toks", score).alias("emit"))
 
 
-@query()
+def _count(state: str) -> str:
+    """Labels on the best way to a state, one column a label: those of its best predecessor, the earliest of equals."""
+    move = dict(zip("abc", MOVE[:, "abc".index(state)].tolist(), strict=True))
+    a, b, c = (f"(v.{s} + {w})" for s, w in move.items())
+    return ", ".join(f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN v.a{k} WHEN {b} >= {c} THEN v.b{k} ELSE v.c{k} END + {int(k == 'abc'.index(state))}" for k in range(3))
+
+
+@query(rf"""WITH RECURSIVE {STOK}, e AS (SELECT doc_id, sent_id, pos, CASE WHEN regexp_matches(tok, '^\p{{Lu}}') THEN 1.0 ELSE -0.5 END::DOUBLE AS a, CASE WHEN regexp_matches(tok, '^[0-9]') THEN 2.0 ELSE -1.0 END::DOUBLE AS b, 0.25::DOUBLE AS c FROM stok),
+  v(doc_id, sent_id, pos, a, b, c, a0, a1, a2, b0, b1, b2, c0, c1, c2) AS (SELECT doc_id, sent_id, pos, a, b, c, 1, 0, 0, 0, 1, 0, 0, 0, 1 FROM e WHERE pos = 0 UNION ALL
+    SELECT e.doc_id, e.sent_id, e.pos, greatest(v.a + 0.5, v.b - 1.0, v.c) + e.a, greatest(v.a - 1.0, v.b + 0.25, v.c) + e.b, greatest(v.a, v.b, v.c + 0.25) + e.c, {_count("a")}, {_count("b")}, {_count("c")} FROM v JOIN e ON e.doc_id = v.doc_id AND e.sent_id = v.sent_id AND e.pos = v.pos + 1),
+  l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos DESC) AS r FROM v), w AS (SELECT CASE WHEN a >= b AND a >= c THEN [a0, a1, a2] WHEN b >= c THEN [b0, b1, b2] ELSE [c0, c1, c2] END AS n FROM l WHERE r = 1),
+  s AS (SELECT sum(n[1])::BIGINT AS x, sum(n[2])::BIGINT AS y, sum(n[3])::BIGINT AS z FROM w) SELECT label, n FROM (SELECT 'NAME' AS label, x AS n FROM s UNION ALL SELECT 'NUM', y FROM s UNION ALL SELECT 'O', z FROM s) WHERE n > 0""")
 def viterbi_path(spark, sf_dir):
     d = models.decode_arrays(_emissions(spark, sf_dir), ORDER, MOVE)
     return d.select(F.explode("path").alias("label")).groupBy("label").agg(F.count("*").alias("n"))

@@ -173,7 +173,7 @@ def sampled_documents(spark, sf_dir):
     return sets.sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), 0.1, 7, "doc_id")
 
 
-@query()
+@query("SELECT doc_id FROM documents")
 def shuffled_documents(spark, sf_dir):
     return sets.shuffled(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7)
 

@@ -71,12 +71,19 @@ def annotated(stream: DataFrame, *columns) -> DataFrame:
     return stream.select("*", *columns)
 
 
-def sentences(stream: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sentence, lines): vertical lines (key, line_no, line) are buffered until a line starts with `</s>`."""
+def sentences(stream: DataFrame, key: str = "doc_id", idle: str | None = None) -> DataFrame:
+    """(key, sentence, lines): vertical lines (key, line_no, line) are buffered until a line starts with `</s>`.
+
+    A key's state is the lines of its open sentence.  With `idle` (milliseconds) a key that gets no line for so long gives out what it holds and is forgotten.
+    """
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, held = state.get if state.exists else (0, [])
         held, out = list(held), []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(k[0], n, "\n".join(held))] if held else [], columns=[key, "sentence", "lines"])
+            return
         for pdf in batches:
             for line in pdf.sort_values("line_no")["line"]:
                 held.append(line)
@@ -84,17 +91,19 @@ def sentences(stream: DataFrame, key: str = "doc_id") -> DataFrame:
                     out.append((k[0], n, "\n".join(held)))
                     held, n = [], n + 1
         state.update((n, held))
+        if idle:
+            state.setTimeoutDuration(int(idle))
         yield pd.DataFrame(out, columns=[key, "sentence", "lines"])
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, sentence long, lines string", "n long, held array<string>", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, sentence long, lines string", "n long, held array<string>", "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
 def ordered_sink(path: str, order: str):
-    """foreachBatch function that writes each batch in input order, once a batch number."""
+    """foreachBatch function that writes each batch in input order, once a batch number: files in the order of their names, each sorted."""
 
     def write(df: DataFrame, n: int) -> None:
-        df.orderBy(order).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return write
 

@@ -208,6 +208,19 @@ def test_optimisers_find_the_least():
         assert np.allclose(got, want, atol=0.02)
 
 
+def test_priors_reach_beyond_neighbours():
+    words = "Bo ran . Bo fell".split()
+    emit = np.array([[2.0, 0.0], [0.0, 2.0], [0.0, 2.0], [0.0, 0.3], [0.0, 2.0]])
+    move = np.zeros((2, 2))
+    free, _ = models.gibbs_path(emit, move, prior=models.uniform_prior)
+    bound, _ = models.gibbs_path(emit, move, sweeps=80, prior=lambda y: models.consistency_penalty(words, y, 5.0))
+    assert free.tolist() == [0, 1, 1, 1, 1] and bound.tolist() == [0, 1, 1, 0, 1]
+    path = np.array([0, 1, 1, 0, 0])
+    assert models.entities_of(words, path, 1) == [(("Bo",), 0), (("Bo", "fell"), 0)]
+    assert models.entity_prior(words, 1, np.full((2, 2), 3.0), np.full((2, 2), 0.5))(path) == -0.5
+    assert models.slot_prior(words, {0: 2.0})(path) == -2.0
+
+
 def test_plugins(spark):
     plugins.register("tokenizer", "commas", lambda c: F.split(c, ","))
     try:

@@ -17,7 +17,8 @@ So no list is expanded into all its pairs beyond the fixed `FEW`, each task's me
 between different texts is left out but by the chance given above.
 
 Defined results: null or empty texts and texts without words have n_shingles 0, link with nothing and are kept;
-repeated rows link as copies; very long texts are used whole; an empty table gives an empty table; further columns
+repeated rows link as copies, and of rows equal in doc_id all stay or go together; a null doc_id links with nothing and is kept; pairs at the threshold
+link; which of several equally good pairs is looked at first changes no class; very long texts are used whole; an empty table gives an empty table; further columns
 are ignored by `classes` and passed through by `keep_one`.
 """
 

@@ -5,8 +5,9 @@
 every comparison is exact: low * denominator <= scale * numerator <= high * denominator.
 
 Defined results: a null or empty text has all counts 0 and fails the base rule; texts of any length are
-measured whole; repeated rows are judged one by one; further columns are passed through
-untouched by `apply` and ignored by `digest`.
+measured whole; repeated rows are judged one by one; a ratio that equals its limit passes; an empty table gives an empty
+table; a null doc_id is a document like any other; further columns are passed through untouched by `apply`, whatever their
+names, and ignored by `digest`.
 """
 
 from __future__ import annotations

@@ -445,6 +445,20 @@ def test_packing_groups_by_topics_in_order():
     assert one[0] == one[1] and two[0] == one[4] and three[0] == two[1] and [int(one[2]), int(one[3]), int(two[4])] == [none] * 3
 
 
+def test_ids_may_be_null_or_strings(spark):
+    """Encoding, packing and shards keep ids of any kind, null ones and repeated ones."""
+    rows = [(None, "a b"), (None, None), ("x", "c"), ("x", "c"), ("y", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(2)
+    want = sorted(rows, key=repr)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    got = [(r["doc_id"], bytes(r["bytes"]).decode()) for r in bpe.decode(bpe.encode(df, path, P.PATTERN), path).collect()]
+    assert sorted(got, key=repr) == sorted([(i, t or "") for i, t in want], key=repr)
+    packed = packing.pack(df, PATH, RANKS, P.PATTERN).collect()
+    assert Counter(r["doc_id"] for r in packed) >= Counter({None: 2, "x": 2, "y": 1}) and sum(r["length"] for r in packed) == sum(len(ids_by_library(t)) for _, t in rows)
+    cut = token_output.unpack(token_output.shards(df, PATH, RANKS, P.PATTERN, length=8, per_shard=2)).collect()
+    assert Counter(r["doc_id"] for r in cut) == Counter(i for i, _ in rows) and sorted(r["slot"] for r in cut) == list(range(5))
+
+
 def test_feistel_is_a_bijection():
     for n in (1, 2, 3, 17, 256, 1000):
         s = token_output.permute(np.arange(n), n)

@@ -10,64 +10,89 @@ import functools
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "tree_id long, node_id int, parent_id int, child_ix int, label string, depth int, pre int, post int, lft int, rgt int"
 
 
-def parse(text: str) -> list[tuple]:
-    """Bracketed tree to (node_id, parent_id, child_ix, label, depth, pre, post, lft, rgt) rows; an unclosed tree ends with its text."""
-    rows: list[list] = []
-    stack: list[int] = []
-    kids: dict[int, int] = {}
-    leaf = post = 0
-    tokens = re.findall(r"\(|\)|[^\s()]+", text or "")
+def _columns(text: str) -> list[list]:
+    """A bracketed tree as columns node_id, parent_id, child_ix, label, depth, pre, post, lft, rgt; an unclosed tree ends with its text."""
+    parent, child, label, depth, post, lft, rgt = ([] for _ in range(7))
+    stack, kids = [], []  # open nodes, and the number of children of every node
+    roots = leaf = done = 0
     fresh = False
-
-    def add(label):
-        parent = stack[-1] if stack else None
-        k = kids.get(parent, 0)
-        kids[parent] = k + 1
-        rows.append([len(rows), parent, k, label, len(stack), len(rows), None, leaf, None])
-        return len(rows) - 1
-
-    for t in tokens:
-        if t == "(":
-            stack.append(add(""))
-            fresh = True
-        elif t == ")":
+    for t in re.findall(r"\(|\)|[^\s()]+", text or ""):
+        if t == ")":
+            fresh = False
             if stack:
                 n = stack.pop()
-                rows[n][6], rows[n][8] = post, leaf
-                post += 1
-            fresh = False
-        elif fresh:
-            rows[stack[-1]][3] = t
+                post[n], rgt[n] = done, leaf
+                done += 1
+            continue
+        if t != "(" and fresh:
+            label[stack[-1]] = t
             fresh = False
+            continue
+        up, n = stack[-1] if stack else None, len(parent)
+        parent.append(up)
+        child.append(roots if up is None else kids[up])
+        if up is None:
+            roots += 1
+        else:
+            kids[up] += 1
+        kids.append(0)
+        depth.append(len(stack))
+        lft.append(leaf)
+        if t == "(":
+            label.append("")
+            post.append(0)
+            rgt.append(0)
+            stack.append(n)
+            fresh = True
         else:
-            n = add(t)
             leaf += 1
-            rows[n][6], rows[n][8] = post, leaf
-            post += 1
+            label.append(t)
+            post.append(done)
+            rgt.append(leaf)
+            done += 1
     while stack:
         n = stack.pop()
-        rows[n][6], rows[n][8] = post, leaf
-        post += 1
-    return [tuple(r) for r in rows]
+        post[n], rgt[n] = done, leaf
+        done += 1
+    ids = list(range(len(parent)))
+    return [ids, parent, child, label, depth, ids, post, lft, rgt]
+
+
+def parse(text: str) -> list[tuple]:
+    """Bracketed tree to (node_id, parent_id, child_ix, label, depth, pre, post, lft, rgt) rows."""
+    return list(zip(*_columns(text), strict=True))
 
 
 def from_brackets(df: DataFrame, text: str = "tree") -> DataFrame:
     """Penn-style trees (tree_id, text) to nodes; one pass over Arrow batches."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            rows = [(i, *r) for i, t in zip(pdf["tree_id"], pdf[text], strict=True) for r in parse(t)]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            out["parent_id"] = out["parent_id"].astype("Int64")
-            yield out
+        for batch in batches:
+            columns = [[] for _ in names]
+            for i, t in zip(batch.column("tree_id").to_pylist(), batch.column(text).to_pylist(), strict=True):
+                made = _columns(t)
+                columns[0] += [i] * len(made[0])
+                for c, m in zip(columns[1:], made, strict=True):
+                    c += m
+                if len(columns[0]) > 1 << 17:
+                    yield _batch(names, columns)
+                    columns = [[] for _ in names]
+            yield _batch(names, columns)
+
+    return df.select(F.col("tree_id").cast("long").alias("tree_id"), text).mapInArrow(run, SCHEMA)
+
 
-    return df.select("tree_id", text).mapInPandas(run, SCHEMA)
+def _batch(names: list[str], columns: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64() if n == "tree_id" else pa.string() if n == "label" else pa.int32() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def to_brackets(nodes: DataFrame) -> DataFrame:
@@ -149,7 +174,9 @@ def search(nodes: DataFrame, head: str, *terms: tuple) -> DataFrame:
     A term is (relation, label pattern, name, from_name) with options after it: `!` before the relation for none such, `?` for optional;
     `<3` and `>-1` style relations name the i-th child (from the end if negative).  Terms are joined one after another.
     """
-    base = with_siblings(nodes)
+    ops = {t[0].lstrip("!?") for t in terms}
+    # sisters are counted only where a relation asks for the last or the only child
+    base = with_siblings(nodes) if any(o in ("<-", ">-", "<:", ">:") or re.fullmatch(r"[<>]-\d+", o) for o in ops) else nodes.withColumn("siblings", F.lit(0).cast("long"))
     out = base.alias("r").where(_label("r", head)).select(F.col("r.tree_id").alias("tree_id"), *(F.col(f"r.{c}").alias(f"r__{c}") for c in base.columns if c != "tree_id"))
     names = ["r"]
     for term in terms:

@@ -8,6 +8,7 @@ from glossa.operators import morphology, sets, trees
 from glossa.plans.catalogue import query, read
 from glossa.plans.corpus import tokens
 from glossa.plans.sqltext import TOK
+from glossa.shared import written
 from glossa.streaming import streams
 
 #: A document as a tree: the document, its lines, and each line's words.
@@ -25,7 +26,8 @@ def document_trees(spark, sf_dir):
 
 
 def nodes(spark, sf_dir):
-    return trees.from_brackets(document_trees(spark, sf_dir))
+    """Nodes of documents' trees, written once: relations read them several times over."""
+    return written(trees.from_brackets(document_trees(spark, sf_dir)))
 
 
 @query(f"{_N} n AS (SELECT tree_id, count(*) AS words, count(DISTINCT i) AS lines FROM w GROUP BY tree_id) SELECT tree_id, (1 + lines + words)::BIGINT AS size, 2::BIGINT AS depth FROM n")

@@ -31,16 +31,16 @@ def tokenise_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def with_offsets(docs: DataFrame, text: str = "text", pattern: str = TOKEN, space: str = r"\s*", after: bool = False) -> DataFrame:
     """Tokens with their character borders and what stands before them (white space, or what `space` matches); with `after` also what follows, so that texts can be rebuilt."""
-    piece = F.regexp_extract_all(F.col(text), F.lit(rf"({space})({pattern})"), F.lit(0))
-    keep = [F.regexp_extract(text, rf"({space})$", 1).alias("_tail")] if after else []
-    out = docs.select("doc_id", *keep, F.posexplode(piece).alias("pos", "piece"))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"({space})({pattern})"), F.lit(0))
+    if after:  # what follows the last token is a piece of its own, so that it is found once a text and not once a token
+        pieces = F.concat(pieces, F.array(F.regexp_extract(text, rf"({space})$", 1)))
+    out = docs.select("doc_id", F.posexplode(pieces).alias("pos", "piece"))
     tok = F.regexp_replace("piece", rf"^{space}", "")
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("piece")).over(w).cast("long")
-    rows = out.select("doc_id", "pos", *(["_tail"] if after else []), tok.alias("tok"), F.substring("piece", F.lit(1), F.length("piece") - F.length(tok)).alias("before"), (end - F.length(tok)).alias("begin"), end.alias("end"))
-    if not after:
-        return rows
-    return rows.withColumn("after", F.coalesce(F.lead("before").over(Window.partitionBy("doc_id").orderBy("pos")), "_tail")).drop("_tail")
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    end = F.sum(F.length("piece")).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    before = F.substring("piece", F.lit(1), F.length("piece") - F.length(tok))
+    rows = out.select("doc_id", "pos", tok.alias("tok"), before.alias("before"), (end - F.length(tok)).alias("begin"), end.alias("end"))
+    return rows.withColumn("after", F.lead("before").over(by)).where("after is not null") if after else rows
 
 
 #: Tokens that end a sentence, and those that may follow its end and still belong to it.

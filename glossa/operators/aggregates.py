@@ -124,6 +124,7 @@ def information_gain(f: DataFrame, labels: DataFrame, compat: bool = False) -> D
     seen = f.select("example_id", "feature").distinct().join(labels, "example_id")
     nf = seen.groupBy("feature").agg(F.count("*").cast("double").alias("nf"))
     nfl = seen.groupBy("feature", "label").agg(F.count("*").cast("double").alias("nfl"))
+    # one row a label, few by nature
     grid = nf.crossJoin(F.broadcast(by_label)).join(nfl, ["feature", "label"], "left").na.fill(0, ["nfl"]).crossJoin(F.broadcast(n))
     xlog = lambda p: F.when(p > 0, p * F.log2(p)).otherwise(0.0)
     pf = F.col("nf") / F.col("total")

@@ -378,7 +378,7 @@ def train_maxent(features: DataFrame, labels: DataFrame, rounds: int = 30, sigma
     The step for a feature is divided by its count, which bounds the curvature of its column; weights are written every few rounds, which cuts their lineage.
     """
     penalty = {"quadratic": lambda w: w / (sigma * sigma), "null": lambda w: F.lit(0.0), "huber": lambda w: F.greatest(F.least(w, F.lit(1.0)), F.lit(-1.0)) / (sigma * sigma), "quartic": lambda w: w * w * w / sigma**4, "cosh": lambda w: F.tanh(w / sigma) / sigma}[prior]
-    classes = labels.select("label").distinct()
+    classes = labels.select("label").distinct()  # few by nature
     data = features.select("example_id", "feature").distinct().join(labels, "example_id")
     count = data.groupBy("feature").agg(F.count("*").cast("double").alias("nf"))
     weights = count.crossJoin(F.broadcast(classes)).withColumn("w", F.lit(0.0))

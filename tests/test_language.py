@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators import aggregates, context, evaluate, features, gazetteer, merge, models, patterns, plugins, spans, tagger, trees
+from glossa.operators import aggregates, context, distributions, evaluate, features, gazetteer, merge, models, patterns, plugins, sets, spans, tagger, trees
 from glossa.operators import vectors as V
 from glossa.streaming.server import Server
 
@@ -289,3 +289,44 @@ def test_hyphenation_weights():
     assert p["ab"] == [0, 1, 0] and p["bc"] == [1, 2, 0] and p[".xy"] == [0, 0, 3, 0]
     for w in map("".join, itertools.product("abcx", repeat=6)):
         assert all(2 <= k <= 3 for k in T.hyphenate(w, p))
+
+
+def test_simple_good_turing_by_hand(spark):
+    """Against the estimate written out with numpy: averaged counts of counts, a line in logarithms, the switch to it, and scaling."""
+    counts = [1] * 120 + [2] * 40 + [3] * 24 + [4] * 13 + [5] * 15 + [6] * 5 + [7] * 11 + [8] * 2 + [9] * 2 + [10] * 1 + [12] * 3 + [26] * 1
+    df = spark.createDataFrame([(f"k{i}", n) for i, n in enumerate(counts)], "key string, n long")
+    r = np.array(sorted(set(counts)), float)
+    n = np.array([counts.count(int(x)) for x in r], float)
+    q, t = np.concatenate([[0], r[:-1]]), np.concatenate([r[1:], [2 * r[-1] - r[-2]]])
+    b, a = np.polyfit(np.log(r), np.log(n / (0.5 * (t - q))), 1)
+    s = lambda x: np.exp(a + b * np.log(x))
+    adjusted, line = [], False
+    for i, x in enumerate(r):
+        y = (x + 1) * s(x + 1) / s(x)
+        if not line and x + 1 in r:
+            m = n[list(r).index(x + 1)]
+            turing, sd = (x + 1) * m / n[i], np.sqrt((x + 1) ** 2 * m / n[i] ** 2 * (1 + m / n[i]))
+            line = abs(turing - y) <= 1.96 * sd
+            adjusted.append(y if line else turing)
+        else:
+            line = True
+            adjusted.append(y)
+    adjusted = np.array(adjusted)
+    want = (1 - n[0] / (n * r).sum()) * adjusted / (n * adjusted).sum()
+    got = distributions.simple_good_turing(df).orderBy("value").collect()
+    assert [x["value"] for x in got] == r.tolist() and np.allclose([x["adjusted"] for x in got], adjusted) and np.allclose([x["p"] for x in got], want)
+    assert abs((want * n).sum() + n[0] / (n * r).sum() - 1) < 1e-9
+
+
+def test_edits_by_label(spark):
+    df = spark.createDataFrame([(1, "(DOC (LINE walking talked) (LINE a ended))"), (2, "(DOC (LINE b))")], "tree_id long, tree string")
+    out = trees.rewrite(df, [("[a-z]*ing", "relabel", "ING"), ("[a-z]*ed", "delete")])
+    assert {r["tree_id"]: r["tree"] for r in out.collect()} == {1: "(DOC (LINE ING) (LINE a))", 2: "(DOC (LINE b))"}
+
+
+def test_samples_and_shuffles_are_stable(spark):
+    df = spark.range(1000).withColumnRenamed("id", "doc_id")
+    one = [r[0] for r in sets.sample(df.repartition(3), 0.1, 7, "doc_id").orderBy("doc_id").collect()]
+    assert one == [r[0] for r in sets.sample(df.repartition(7), 0.1, 7, "doc_id").orderBy("doc_id").collect()] and 60 < len(one) < 140
+    a, b = ([r[0] for r in sets.shuffled(df.repartition(k), "doc_id", 7).collect()] for k in (2, 5))
+    assert a == b != sorted(a) and sorted(a) == list(range(1000))

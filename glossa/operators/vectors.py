@@ -32,6 +32,11 @@ def scaled(a: Column, by: float | Column) -> Column:
     return F.transform(a, lambda x: x * by)
 
 
+def over(a: Column, by: Column) -> Column:
+    """By one number, which is found once a row and not once an element; by zero gives NaN."""
+    return F.get(F.transform(F.array(by), lambda n: F.transform(a, lambda x: F.when(n != 0, x / n).otherwise(x * F.lit(float("nan"))))), 0)
+
+
 def shifted(a: Column, by: float | Column) -> Column:
     return F.transform(a, lambda x: x + by)
 
@@ -45,6 +50,15 @@ def powered(a: Column, p: float) -> Column:
     return F.transform(a, lambda x: F.pow(x, F.lit(p)))
 
 
+def rounded(a: Column, digits: int) -> Column:
+    """Half away from zero; a negative that rounds to zero keeps its sign (-0.0), which Spark's round drops."""
+    def one(x: Column) -> Column:
+        r = F.round(x, digits)
+        return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+    return F.transform(a, one)
+
+
 # --- reductions -----------------------------------------------------------------------------------------------------------------
 
 

@@ -46,8 +46,8 @@ def vector_reductions(spark, sf_dir):
 def vector_elements(spark, sf_dir):
     a = F.col("a")
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a")).where("a is not null and size(a) > 0")
-    six = lambda c: F.transform(c, lambda x: F.round(x, 6))
-    return e.select("vec_id", six(V.add(V.scaled(a, 2.0), F.reverse(a))).alias("added"), six(V.multiply(a, a)).alias("multiplied"), six(V.mapped(a, F.exp)).alias("exps"), six(V.scaled(a, 1 / V.norm2(a))).alias("unit"))
+    six = lambda c: V.rounded(c, 6)
+    return e.select("vec_id", six(V.add(V.scaled(a, 2.0), F.reverse(a))).alias("added"), six(V.multiply(a, a)).alias("multiplied"), six(V.mapped(a, F.exp)).alias("exps"), six(V.over(a, V.norm2(F.array_compact(a)))).alias("unit"))
 
 
 @query("SELECT item_id, list_concat(w[1:1], w[3:]) AS removed, to_json(list_transform(range(0, len(w), 4), lambda i: w[i + 1:i + 4])) AS rows, (len(w) > 1 AND w[1] < w[2])::INTEGER AS first_smaller, list_contains(w, 3) AS has_three FROM (SELECT item_id, list_transform(string_split(text, ' '), lambda x: length(x)::INTEGER) AS w FROM benchmark)")

@@ -3,6 +3,7 @@
 import itertools
 import socket
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from glossa.functions import text as T
 from glossa.operators import aggregates, context, distributions, evaluate, features, gazetteer, merge, models, patterns, plugins, sets, spans, tagger, trees
 from glossa.operators import vectors as V
+from glossa.plans import catalogue
 from glossa.streaming.server import Server
 
 LABELS = ["NAME", "O"]
@@ -197,6 +199,19 @@ def test_vectors_of_odd_sizes(spark):
     assert rows[1][0] == 1.0 and rows[1][2] == [1.0] and rows[2][2] is None and rows[2][3] == 8.0 and rows[2][6] == 1 and rows[2][8] == [2.0, -2.0]
 
 
+def test_vector_elements_keep_the_sign_of_zero_and_take_odd_vectors(spark, tmp_path):
+    """Elements that round to -0.0, a zero vector and null elements, against the query's SQL, told apart by their text."""
+    rows = [(1, [-1e-7, 0.25, -0.0]), (2, [0.0, 0.0]), (3, [None, -3.0, 4.0]), (4, [2e-7, -2e-7]), (5, []), (6, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    columns = ["vec_id", "added", "multiplied", "exps", "unit"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLE['vector_elements']}) ORDER BY vec_id").fetchall()
+    got = sorted(tuple(r[c] for c in columns) for r in catalogue.QUERIES["vector_elements"](spark, str(tmp_path)).collect())
+    text = lambda rows: [[None if x is None else repr(x) for c in r[1:] for x in c] for r in rows]
+    assert text(got) == text(want) and "-0.0" in text(got)[0]
+
+
 def test_optimisers_find_the_least():
     rng = np.random.default_rng(0)
     x, want = rng.normal(size=(200, 3)), np.array([1.0, -2.0, 0.5])

@@ -1,14 +1,14 @@
 """LM scoring: per-token cross-entropy difference of matched target and background bigram models.
 
 Both models have the same order, smoothing and vocabulary: p(w | v) = (c(v w) + L) / (c(v) + L * V), V the distinct words of the whole
-corpus and the end mark.  The background model counts all documents, the target model those of a bounded sample of labelled good
-rows; background counts are scaled by the ratio of the two models' tokens, so that both weigh their smoothing alike and a pair neither has
+corpus and the end mark.  The background model counts all documents, the target model all those that are labelled good; background counts are scaled by the ratio of the two models' tokens, so that both weigh their smoothing alike and a pair neither has
 seen tells nothing.  A document's own counts are taken out of both models before it is scored, so no document is scored by itself.
 
 Counting: a block of documents first sums its own keys (63-bit hashes of words and of word pairs), so the most frequent word is one
 entry a block.  Entries are dealt by the key's leading bits, summed over blocks, and the totals go back to
 the blocks that asked, in the order of their keys.  There they meet the block's texts and score them.  All counts cover all documents.
 Both passes must form the same blocks, so an input that is more than files under projections and filters is first written once.
+Ids of good rows are sent to all tasks while they are few; more are joined by a shuffle, and the joined documents are written once.
 
 Defined results: null or empty texts are scored on the end mark alone (n_tokens 1); repeated rows count and are scored one by one;
 a missing label or a null id or quality is no target row; without target rows the target model is uniform; an empty table gives
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from glossa.llm.common import U64, Words, blocks, grown, mix, need, plan_bytes, planes, stable, trimmed, trimmed_group, unplaned, written
 
 LAMBDA = 0.05
-#: Most labelled rows that the target model is fitted on; those with the smallest hashes of their ids.
-TARGET_ROWS = 20_000
+#: So many ids of good rows are sent to all tasks; more are dealt with the documents.
+FEW_IDS = 1 << 20
 _START, _END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: Text of a block; counting and scoring hold some 40 times as much for a moment.
 _BLOCK_BYTES = 2 << 20
@@ -119,15 +119,14 @@ def _score(vocabulary: int, smooth: float, ratio: float):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS, smooth: float = LAMBDA) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, smooth: float = LAMBDA, few: int = FEW_IDS) -> DataFrame:
     """(doc_id, n_tokens, target_xent, background_xent, xent_diff) in nats a token; a lower xent_diff is closer to the target."""
-    good = need(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("hit", F.lit(1))
-    # the sample's size is bounded by target_rows, so it may be broadcast at any scale
-    docs = stable(need(docs, "doc_id", "text"))
-    sample = written(sample)
-    base = docs.join(F.broadcast(sample), "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(0)).cast("int").alias("target"))
-    bits = max(4, (plan_bytes(docs) * 4 // (16 << 20)).bit_length())
+    good = written(need(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("hit", F.lit(1)))
+    sent = good.count() <= few
+    docs = stable(need(docs, "doc_id", "text")) if sent else need(docs, "doc_id", "text")
+    base = docs.join(F.broadcast(good) if sent else good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(0)).cast("int").alias("target"))
+    base = base if sent else written(base)
+    bits = max(4, (plan_bytes(docs if sent else base) * 4 // (16 << 20)).bit_length())
     most = grown(_BLOCK_BYTES, bits)
     counted = base.mapInArrow(trimmed(_count(bits, most)), "bucket long, block long, keys binary, every binary, good binary")
     totals = written(counted.groupBy("bucket").applyInArrow(trimmed_group(_total), "bucket long, block long, every binary, good binary, words long, tokens long, good_tokens long"))

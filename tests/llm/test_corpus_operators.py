@@ -514,6 +514,17 @@ def test_lm_scores_by_hand(spark, odd, empty):
         assert g[:2] == w[:2] and np.allclose(g[2:], w[2:], atol=1e-9)
     assert lm_scoring.score(empty, labels).count() == 0
     assert lm_scoring.score(odd, labels.where("false")).count() == len(want)
+    joined = sorted(tuple(r) for r in lm_scoring.score(odd, labels, few=0).collect())
+    assert [g[:2] for g in joined] == [g[:2] for g in got] and np.allclose([g[2:] for g in joined], [g[2:] for g in got], atol=1e-12)
+
+
+def test_lm_target_model_counts_all_good_rows(spark):
+    """Where all of many documents are good, both models are the same, so no document is nearer to one of them."""
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 9_001)).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    for few in (lm_scoring.FEW_IDS, 20_000):
+        most, n = lm_scoring.score(docs, labels, few=few).agg(F.max(F.abs("xent_diff")), F.count("*")).first()
+        assert n == 21_000 and most < 1e-9
 
 
 # --- 2, 3 -------------------------------------------------------------------------------------------------------------------------

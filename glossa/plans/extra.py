@@ -221,11 +221,14 @@ def conll_round_trip(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum((F.col("answer") != "O").cast("long")).alias("labelled"), F.sum((F.col("tag") == "NUM").cast("long")).alias("numbers"))
 
 
+def _tag(t):
+    return F.when(t.rlike(r"^\p{L}"), "w").when(t.rlike("^[0-9]"), "n").otherwise("z")
+
+
 def _analysed(spark, sf_dir):
-    """Sentences with tags by class and lemmas in small letters."""
-    t = F.col("tok")
-    s = context.tokenise_sentences(read(spark, sf_dir, "documents"))
-    return s.withColumn("tag", F.when(t.rlike(r"^\p{L}"), "w").when(t.rlike("^[0-9]"), "n").otherwise("z")).withColumn("lemma", F.lower("tok"))
+    """Sentences with tags by class and lemmas in small letters: one row a sentence, `words` holds its tokens (one at least, as no sentence is blank)."""
+    s = context.sentence_arrays(read(spark, sf_dir, "documents"))
+    return s.select("doc_id", "sent_id", F.transform("toks", lambda t, i: F.struct(i.alias("pos"), t.alias("tok"), _tag(t).alias("tag"), F.lower(t).alias("lemma"))).alias("words"))
 
 
 _AN = f"{STOK}, an AS (SELECT *, CASE WHEN regexp_matches(tok, '^\\p{{L}}') THEN 'w' WHEN regexp_matches(tok, '^[0-9]') THEN 'n' ELSE 'z' END AS tag, lower(tok) AS lemma FROM stok)"
@@ -238,12 +241,10 @@ _X = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
 def sentence_formats(spark, sf_dir):
     """Sentences as XML words, small letters, training JSON, word elements, and with border lines; by their digests."""
     s = _analysed(spark, sf_dir)
-    by, out = ["doc_id", "sent_id"], None
-    made = {"xml": writers.xml_words(s), "low": writers.lower(s), "tf": writers.tf_json(s), "wi": writers.wi_xml(s, label="tag"), "bordered": writers.with_borders(writers.lower(s))}
-    for name, df in made.items():
-        one = df.select(*by, F.md5(F.col("line").cast("binary")).alias(name))
-        out = one if out is None else out.join(one, by)
-    return out
+    # the lines with borders are made of those in small letters, which are the last before them
+    for name, write in {"xml": writers.xml_words, "tf": writers.tf_json, "wi": lambda s: writers.wi_xml(s, label="tag"), "low": writers.lower, "bordered": writers.with_borders}.items():
+        s = write(s).withColumn(name, F.md5(F.col("line").cast("binary")))
+    return s.select("doc_id", "sent_id", "xml", "low", "tf", "wi", "bordered")
 
 
 _T = [(1, "(ROOT (S (NP (DT The) (JJ old) (NN man)) (VP (MD will) (VP (VB give) (NP (PRP her)) (NP (DT a) (NN book)) (PP (IN in) (NP (NNP June))))) (. .)))"), (2, "(ROOT (S (NP (NNS Dogs) (CC and) (NNS cats)) (VP (VBD ran) (CC and) (VBD ate) (NP (NN fish)))))")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -14,12 +15,23 @@ from glossa.operators.trees import build
 BY = ("doc_id", "sent_id")
 
 
-def per_sentence(df: DataFrame, token_text: Column, glue: str, by=BY, name: str = "line") -> DataFrame:
-    """Token texts in order, joined; a sentence is a bounded group."""
+def per_sentence(df: DataFrame, token_text: Column | Callable[[Callable[[str], Column]], Column], glue: str, by=BY, name: str = "line") -> DataFrame:
+    """Token texts in order, joined; a sentence is a bounded group.
+
+    A token text is a column, or a function that makes it of a token's columns.  With the latter df may hold sentences as rows
+    instead, with their tokens in order as structs in an array `words`: they are written in place, nothing is shuffled, and all columns stay.
+    """
+    if "words" in df.columns:
+        return df.withColumn(name, F.array_join(F.transform("words", lambda x: F.coalesce(token_text(lambda c: x[c]), F.lit(""))), glue))
+    token_text = token_text if isinstance(token_text, Column) else token_text(F.col)
     rows = df.select(*by, "pos", token_text.alias("_t")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "_t"))).alias("_a"))
     return rows.select(*by, F.array_join(F.transform("_a", lambda x: F.coalesce(x["_t"], F.lit(""))), glue).alias(name))
 
 
+def _token_columns(df: DataFrame) -> list[str]:
+    return df.schema["words"].dataType.elementType.names if "words" in df.columns else df.columns
+
+
 def underscored(c) -> Column:
     return F.replace(F.col(c) if isinstance(c, str) else c, F.lit(" "), F.lit("_"))
 
@@ -59,8 +71,8 @@ def moses(df: DataFrame, by=BY) -> DataFrame:
 
 
 def xml_words(df: DataFrame, by=BY) -> DataFrame:
-    esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    return per_sentence(df, F.concat(F.lit('<w form="'), esc("tok"), F.lit('" lemma="'), F.coalesce(esc("lemma"), esc("tok")), F.lit('" tag="'), F.coalesce(esc("tag"), F.lit("-")), F.lit('"/>')), "\n", by)
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return per_sentence(df, lambda c: F.concat(F.lit('<w form="'), esc(c("tok")), F.lit('" lemma="'), F.coalesce(esc(c("lemma")), esc(c("tok"))), F.lit('" tag="'), F.coalesce(esc(c("tag")), F.lit("-")), F.lit('"/>')), "\n", by)
 
 
 def visl(df: DataFrame, by=BY) -> DataFrame:
@@ -76,7 +88,7 @@ def lemmas(df: DataFrame, save_case: bool = False, by=BY) -> DataFrame:
 
 
 def lower(df: DataFrame, by=BY) -> DataFrame:
-    return per_sentence(df, F.lower(underscored("tok")), " ", by)
+    return per_sentence(df, lambda c: F.lower(underscored(c("tok"))), " ", by)
 
 
 def all_tags(df: DataFrame, by=BY) -> DataFrame:
@@ -115,14 +127,17 @@ def inline_xml(df: DataFrame, by=BY, label: str = "label", keep_spacing: bool =
 
 
 def wi_xml(df: DataFrame, by=BY, label: str = "label") -> DataFrame:
-    return per_sentence(df, F.concat(F.lit('<wi num="'), F.col("pos").cast("string"), F.lit('" entity="'), label, F.lit('">'), "tok", F.lit("</wi>")), " ", by)
+    return per_sentence(df, lambda c: F.concat(F.lit('<wi num="'), c("pos").cast("string"), F.lit('" entity="'), c(label), F.lit('">'), c("tok"), F.lit("</wi>")), " ", by)
 
 
 def tf_json(df: DataFrame, by=BY, limit: int | None = None) -> DataFrame:
     """Sentences of {wordform, gold_tag, gold_lemma, attributes, options}, the last two if they are there."""
-    more = [F.col(c) for c in ("attributes", "options") if c in df.columns]
-    row = F.to_json(F.struct(F.col("tok").alias("wordform"), F.col("tag").alias("gold_tag"), F.col("lemma").alias("gold_lemma"), *more))
-    out = per_sentence(df, row, ",", by).withColumn("line", F.concat(F.lit("["), "line", F.lit("]")))
+    more = [c for c in ("attributes", "options") if c in _token_columns(df)]
+    row = lambda c: F.struct(c("tok").alias("wordform"), c("tag").alias("gold_tag"), c("lemma").alias("gold_lemma"), *(c(m).alias(m) for m in more))
+    if "words" in df.columns:
+        out = df.withColumn("line", F.to_json(F.transform("words", lambda x: row(lambda c: x[c]))))
+    else:
+        out = per_sentence(df, F.to_json(row(F.col)), ",", by).withColumn("line", F.concat(F.lit("["), "line", F.lit("]")))
     return out.orderBy(*by).limit(limit) if limit else out
 
 

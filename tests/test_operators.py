@@ -393,3 +393,18 @@ def test_lcs_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {x[0]: tuple(x[1:]) for x in catalogue.QUERIES["lcs_lengths"](spark, str(tmp_path)).collect()}
     assert got == {k: by_hand(texts[k], texts[k + 1]) for k in range(len(texts) - 1)} and got[5] == (4, 4)
+
+
+def test_sentences_are_written_in_place_as_from_token_tables(spark, sf):
+    """Writers over rows of sentences give the lines they give over tokens; sentence_formats shuffles nothing."""
+    from glossa.plans import catalogue
+
+    rows = [(1, 0, [("a & b", "x", None), ("<c>", None, 'l"')]), (1, 1, [("D", "y", "d")]), (None, 0, [("é", "z", "e")])]
+    s = spark.createDataFrame(rows, "doc_id long, sent_id int, w array<struct<tok:string,tag:string,lemma:string>>")
+    s = s.select("doc_id", "sent_id", F.transform("w", lambda x, i: F.struct(i.alias("pos"), x["tok"].alias("tok"), x["tag"].alias("tag"), x["lemma"].alias("lemma"))).alias("words"))
+    tokens = s.select("doc_id", "sent_id", F.inline("words"))
+    for write in (writers.xml_words, writers.lower, writers.tf_json, lambda d: writers.wi_xml(d, label="tag")):
+        lines = [sorted(map(repr, (tuple(r) for r in write(d).select("doc_id", "sent_id", "line").collect()))) for d in (s, tokens)]
+        assert lines[0] == lines[1] and len(lines[0]) == 3
+    plan = catalogue.QUERIES["sentence_formats"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -205,6 +206,81 @@ def search(nodes: DataFrame, head: str, *terms: tuple) -> DataFrame:
     return out.select("tree_id", *(F.col(f"{n}__node_id").alias(n) for n in names))
 
 
+#: Pairs of columns, A's and B's, that are equal where a relation holds; relations that are not named have none but the tree.
+_EQUAL = {"<": ("node_id", "parent_id"), ">": ("parent_id", "node_id"), "$": ("parent_id", "parent_id"), ".": ("rgt", "lft"), ",": ("lft", "rgt"), "==": ("node_id", "node_id")}
+_EQUAL |= {o: _EQUAL["$"] for o in ("$..", "$,,", "$.", "$,")} | {o: _EQUAL["<"] for o in ("<,", "<-", "<:")} | {o: _EQUAL[">"] for o in (">,", ">-", ">:")}
+_EQUAL |= {o: ("lft", "lft") for o in ("<<,", ">>,", "<<:")} | {o: ("rgt", "rgt") for o in ("<<-", ">>-")}
+#: Columns of B that follow from A's where a relation holds, as keys of a join.
+_NEXT = {"$.": 1, "$,": -1}
+
+
+def search_texts(df: DataFrame, head: str, *terms: tuple, text: str = "tree") -> DataFrame:
+    """Matches in bracketed trees (tree_id, text): (tree_id, node_id of each name, label of each name as `name_label`).
+
+    A tree is parsed and searched where it stands, some of them at a time, so nothing is shuffled or written on the way.  Terms are those of `search` that
+    bind a name (no `!`, `?` or numbered child); `/regex/` is Python's.  Each row is a tree of its own, whatever its id.
+    """
+    ops = {t[0] for t in terms}
+    if ops - set(RELATIONS):
+        raise ValueError(f"relations that search_texts does not know: {sorted(ops - set(RELATIONS))}")
+    names = ["r", *(t[2] for t in terms)]
+    schema = ", ".join(["tree_id long", *(f"{n} int" for n in names), *(f"{n}_label string" for n in names)])
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def matches(ids: list[int], made: list[list[list]]) -> pa.RecordBatch:
+        table = {c: np.concatenate([np.array(m[k], object if c == "label" else float) for m in made]) for k, c in enumerate(columns[1:])}
+        n = pd.DataFrame({"tree": np.repeat(np.arange(len(ids)), [len(m[0]) for m in made]), **table})
+        if any(o in ("<-", ">-", "<:", ">:") for o in ops):
+            n["siblings"] = n.groupby(["tree", "parent_id"], dropna=False)["label"].transform("size")
+        labels = n["label"].astype("category")
+        of = lambda pattern: n[labels.map(lambda x: _matches(x, pattern)).astype(bool)] if pattern != "__" else n
+        out = of(head)
+        out = out[["tree"]].assign(r=out.index)
+        for op, pattern, name, *start in terms:
+            a, b = n.loc[out[start[0] if start else "r"]].reset_index(drop=True), of(pattern)
+            keys, there = [a["tree"]], [b["tree"]]
+            if op in _EQUAL:
+                one, two = _EQUAL[op]
+                keys, there = [*keys, a[one]], [*there, b[two]]
+            if op in _NEXT:
+                keys, there = [*keys, a["child_ix"] + _NEXT[op]], [*there, b["child_ix"]]
+            left = pd.DataFrame(dict(enumerate(k.to_numpy() for k in keys))).assign(at=np.arange(len(a)))
+            right = pd.DataFrame(dict(enumerate(k.to_numpy() for k in there))).assign(to=b.index.to_numpy())
+            pairs = left.dropna().merge(right.dropna(), on=list(range(len(keys))))
+            x, y = a.iloc[pairs["at"]].reset_index(drop=True), n.loc[pairs["to"]].reset_index(drop=True)
+            holds = np.ones(len(pairs), bool) if op == ":" else np.asarray(RELATIONS[op](x.__getitem__, y.__getitem__), bool)
+            out = out.iloc[pairs["at"][holds]].reset_index(drop=True).assign(**{name: pairs["to"][holds].to_numpy()})
+        node, label = n["node_id"].to_numpy(np.int32), n["label"].to_numpy()
+        found = [pa.array(np.array(ids, np.int64)[out["tree"]]), *(pa.array(node[out[x]]) for x in names), *(pa.array(label[out[x]], pa.string()) for x in names)]
+        return pa.RecordBatch.from_arrays(found, ["tree_id", *names, *(f"{x}_label" for x in names)])
+
+    def run(batches):
+        ids, made, size = [], [], 0
+        for batch in batches:
+            for i, t in zip(batch.column("tree_id").to_pylist(), batch.column(text).to_pylist(), strict=True):
+                ids.append(i)
+                made.append(_columns(t))
+                size += len(made[-1][0])
+                if size > 1 << 17:
+                    yield matches(ids, made)
+                    ids, made, size = [], [], 0
+        if ids:
+            yield matches(ids, made)
+
+    return df.where("tree_id is not null").select(F.col("tree_id").cast("long").alias("tree_id"), text).mapInArrow(run, schema)
+
+
+def _matches(label: str, pattern: str) -> bool:
+    """`_label` of one label."""
+    if pattern.startswith("@"):
+        label, pattern = (m[1] if (m := re.match(r"(.[^-=|#^~_]*)", label)) else ""), pattern[1:]
+    if pattern == "__":
+        return True
+    if pattern.startswith("/") and pattern.endswith("/"):
+        return re.search(pattern[1:-1], label) is not None
+    return label in pattern.split("|")
+
+
 def _bind(op: str, start: str) -> Column:
     """The relation with its left side's columns as flattened names."""
     a = lambda c: F.col(f"{start}__{c}")

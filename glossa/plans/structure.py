@@ -45,11 +45,10 @@ def tree_dominates(spark, sf_dir):
 @query(f"{_N} p AS (SELECT a.tree_id, a.i, a.word AS x, b.word AS y FROM w a JOIN w b ON a.tree_id = b.tree_id AND a.i = b.i AND b.j = a.j + 1) SELECT x, y, count(*)::BIGINT AS n FROM p GROUP BY ALL HAVING count(*) > 1")
 def tree_sisters(spark, sf_dir):
     """Words that follow each other under one line: LINE < x and x $. y."""
-    n = nodes(spark, sf_dir)
-    m = trees.search(n, "LINE", ("<", "__", "x"), ("$.", "__", "y", "x"))
-    lab = n.select("tree_id", "node_id", "label")
-    out = m.join(lab.toDF("tree_id", "x", "lx"), ["tree_id", "x"]).join(lab.toDF("tree_id", "y", "ly"), ["tree_id", "y"])
-    return out.groupBy(F.col("lx").alias("x"), F.col("ly").alias("y")).agg(F.count("*").alias("n")).where("n > 1")
+    m = trees.search_texts(document_trees(spark, sf_dir), "LINE", ("<", "__", "x"), ("$.", "__", "y", "x"))
+    # labels hold no white space; a pair as one string is shuffled in fewer bytes
+    pairs = m.groupBy(F.concat("x_label", F.lit(" "), "y_label").alias("p")).agg(F.count("*").alias("n")).where("n > 1")
+    return pairs.select(F.substring_index("p", " ", 1).alias("x"), F.substring_index("p", " ", -1).alias("y"), "n")
 
 
 @query(f"{_N} h AS (SELECT DISTINCT tree_id, i FROM w WHERE starts_with(word, 'T')) SELECT tree_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT tree_id, i FROM w EXCEPT SELECT tree_id, i FROM h) GROUP BY tree_id")

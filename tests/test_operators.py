@@ -408,3 +408,23 @@ def test_sentences_are_written_in_place_as_from_token_tables(spark, sf):
         assert lines[0] == lines[1] and len(lines[0]) == 3
     plan = catalogue.QUERIES["sentence_formats"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_trees_searched_in_place_as_by_joins(spark, sf):
+    """search_texts gives the matches of search for every relation; tree_sisters shuffles only its counts."""
+    from glossa.plans import catalogue
+
+    texts = ["(ROOT (S (NP (DT The) (JJ old) (NN man)) (VP (MD will) (VP (VB give) (NP (PRP her)) (PP (IN in) (NP June)))) (. .)))", "(A (B b) (B (A b) c)) (A x)", "(A", "", "(A a a a)"]
+    df = spark.createDataFrame([*enumerate(texts), (9, None), (None, "(A a a)")], "tree_id long, tree string").coalesce(1)
+    nodes = trees.from_brackets(df.where("tree_id is not null")).cache()
+    for op in trees.RELATIONS:
+        for head, pattern in (("__", "__"), ("@NP|A|B", "/^[A-Nb]/")):
+            term = (op, pattern, "x")
+            lists = [sorted(tuple(r) for r in d.select("tree_id", "r", "x").collect()) for d in (trees.search_texts(df, head, term), trees.search(nodes, head, term))]
+            assert lists[0] == lists[1], op
+    got = trees.search_texts(df, "NP", ("<", "__", "x"), ("$.", "NN", "y", "x")).select("tree_id", "r_label", "x_label", "y_label").collect()
+    assert [tuple(r) for r in got] == [(0, "NP", "JJ", "NN")]
+    with pytest.raises(ValueError):
+        trees.search_texts(df, "A", ("!<", "__", "x"))
+    plan = catalogue.QUERIES["tree_sisters"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan

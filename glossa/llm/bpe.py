@@ -88,14 +88,22 @@ def term_hashes(terms: pa.Array) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + size.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+#: First bytes of white space in UTF-8, and the last but one of what has several bytes.
+_SPACE_FIRST, _SPACE_BEFORE_LAST = np.zeros(256, bool), np.zeros(256, bool)
+for _c in filter(str.isspace, map(chr, range(0x3100))):
+    _SPACE_FIRST[_c.encode()[0]] = True
+    if len(_c.encode()) > 1:
+        _SPACE_BEFORE_LAST[_c.encode()[-2]] = True
+
+
 def edges(chunks: pa.Array) -> np.ndarray:
     """Chunks that are empty, or start or end with white space."""
     data, at = bytes_of(chunks)
     edge = np.diff(at) == 0
     some = np.flatnonzero(~edge)
-    first, last = data[at[:-1][some]], data[at[1:][some] - 1]
-    # plain marks, digits and letters are no white space; the rest is looked at one by one
-    for i in some[(first < 0x21) | (first > 0x7E) | (last < 0x21) | (last > 0x7E)].tolist():
+    first, last, before = data[at[:-1][some]], data[at[1:][some] - 1], data[np.maximum(at[1:][some] - 2, 0)]
+    # only what begins or ends with bytes that white space may have there is looked at one by one
+    for i in some[_SPACE_FIRST[first] | (last < 0x21) | (last > 0x7E) & _SPACE_BEFORE_LAST[before]].tolist():
         v = chunks[i].as_py()
         edge[i] = v[0].isspace() or v[-1].isspace()
     return edge

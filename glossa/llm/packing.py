@@ -165,7 +165,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = max(1, len(values))
         pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets)) * width + chunk) % width
         df, h = np.bincount(pairs, minlength=len(values)), term_hashes(values)
-        cells += np.bincount(_cell(h), df, CELLS).astype("<u8")
+        np.add.at(cells, _cell(h), df.astype("<u8"))  # a slice has few of them
         exact = h % U64(SAMPLED) == 0
         hashes.append(h[exact])
         often.append(df[exact])
@@ -262,16 +262,33 @@ class Index:
         size = np.bincount(term, minlength=width)
         self.begin, self.size = np.cumsum(size) - size, size
 
-    def ask(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with doc, best first."""
+    def scores(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        """Of each document the score with doc's terms, 0 for those that are used or share none."""
         terms = self.terms[self.of_doc[doc] : self.of_doc[doc + 1]]
         n = self.size[terms]
         at = np.repeat(self.begin[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         rows = self.row[terms]
         score = self.rows[rows[rows >= 0]].sum(axis=0) + np.bincount(self.docs[at], self.weights[at], self.n)
         score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        return score
+
+    def ask(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term with doc, best first."""
+        return _falling(self.scores(doc, unused))
+
+    def near(self, doc: int, unused: np.ndarray, first: int = 32) -> Iterator[int]:
+        """The same one by one; the `first` are put in order without the others, which are seldom asked for."""
+        score = self.scores(doc, unused)
+        if np.count_nonzero(score) > first:
+            top = score >= np.partition(score, len(score) - first)[len(score) - first]
+            yield from _falling(np.where(top, score, 0)).tolist()
+            score[top] = 0
+        yield from _falling(score).tolist()
+
+
+def _falling(score: np.ndarray) -> np.ndarray:
+    found = np.flatnonzero(score)
+    return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(tokens: np.ndarray, index: Index, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
@@ -284,7 +301,7 @@ def fill(tokens: np.ndarray, index: Index, length: int = LENGTH) -> list[list[tu
     while True:
         if doc < 0:
             if seed >= 0 and near is None:
-                near = iter(index.ask(seed, unused).tolist())
+                near = index.near(seed, unused)
             doc = next((d for d in near if unused[d]), -1) if near is not None else -1
             if doc < 0:
                 while following < n and not unused[following]:

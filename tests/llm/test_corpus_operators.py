@@ -487,6 +487,22 @@ def test_token_shards_round_trip(spark, odd, empty, tmp_path):
     assert token_output.shards(empty, PATH, RANKS, P.PATTERN).count() == 0
 
 
+def test_packing_takes_neighbours_and_edges_as_in_full():
+    """Neighbours one by one come in the order of all of them, ties too; edges are white space of any kind."""
+    import sys
+
+    rng = np.random.default_rng(3)
+    offsets = np.concatenate([[0], np.cumsum(rng.integers(1, 9, 300))])
+    index = packing.Index(rng.integers(0, 40, offsets[-1]), offsets)
+    for seed in range(0, 300, 7):
+        unused = rng.random(300) < 0.7
+        for first in (1, 5, 32, 400):
+            assert list(index.near(seed, unused.copy(), min(first, 300))) == index.ask(seed, unused.copy()).tolist()
+    kinds = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()] + list("ažя语😀\x7f\x00«”")
+    chunks = ["", *kinds, *(f"{c}b" for c in kinds), *(f"я{c}" for c in kinds), *(f"a{c}z" for c in kinds)]
+    assert bpe.edges(pa.array(chunks, pa.large_string())).tolist() == [not c or c[0].isspace() or c[-1].isspace() for c in chunks]
+
+
 # --- 1 --------------------------------------------------------------------------------------------------------------------------
 
 

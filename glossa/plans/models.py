@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from glossa.functions.text import shape_dan2
-from glossa.operators import context, features, models
+from glossa.operators import context, feature_counts, features, models
 from glossa.plans.catalogue import query, read, rounded
 from glossa.plans.counts import labelled_features
 from glossa.plans.corpus import tokens
@@ -21,9 +21,8 @@ from glossa.plans.sqltext import LAB, STOK, TOK, dan2
   SELECT feature, count(*)::BIGINT AS n FROM f GROUP BY feature""")
 def feature_templates(spark, sf_dir):
     """Word, neighbour, shape and sequence templates of all tokens, counted."""
-    s = context.tokenise_sentences(read(spark, sf_dir, "documents")).withColumn("shape", shape_dan2(F.col("tok")))
     groups = ("word", "neighbours", "word_pairs", "shape", "shape_neighbours", "shape_pairs", "types2", "sequence", "types_long", "next_sequence")
-    return features.extract(s, groups).groupBy("feature").agg(F.count("*").alias("n"))
+    return feature_counts.counted(context.sentence_arrays(read(spark, sf_dir, "documents")), groups, {"shape": feature_counts.dan2(spark)})
 
 
 _CLASS = "CASE WHEN regexp_matches({0}, '^\\p{{Lu}}') THEN 'VB' WHEN regexp_matches({0}, '^[0-9]') THEN 'CD' ELSE 'NN' END"

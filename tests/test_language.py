@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators import aggregates, context, distributions, evaluate, features, gazetteer, merge, models, patterns, plugins, sets, spans, tagger, trees
+from glossa.operators import aggregates, context, distributions, evaluate, feature_counts, features, gazetteer, merge, models, patterns, plugins, sets, spans, tagger, trees
 from glossa.operators import vectors as V
 from glossa.plans import catalogue
 from glossa.streaming.server import Server
@@ -345,3 +345,24 @@ def test_samples_and_shuffles_are_stable(spark):
     assert one == [r[0] for r in sets.sample(df.repartition(7), 0.1, 7, "doc_id").orderBy("doc_id").collect()] and 60 < len(one) < 140
     a, b = ([r[0] for r in sets.shuffled(df.repartition(k), "doc_id", 7).collect()] for k in (2, 5))
     assert a == b != sorted(a) and sorted(a) == list(range(1000))
+
+
+def test_counted_templates_are_the_extracted_ones(spark, monkeypatch):
+    """Windows counted by blocks give what a row a feature gives: neighbours seen from both sides, sentence ends, forms beyond ASCII, several blocks and buckets."""
+    monkeypatch.setattr(feature_counts, "BLOCK", 40)
+    texts = ["Ab ab - -. Don't -- stop... 1.50 12 a-b! ÄÖ äx ١٢ 中中 ǅ ⅷ 𝔸𝕓 ~~ ~x. Ab ab", None, "", " . ", "a", "a a a a. a a", *(f"w{i % 7} x{i % 3} W{i}. Ab ab." for i in range(60))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    groups = ("word", "neighbours", "word_pairs", "sym_words", "shape", "shape_neighbours", "shape_pairs", "types2", "sequence", "types_long", "next_sequence", "long")
+    by_row = context.tokenise_sentences(docs).withColumn("shape", T.shape_dan2(F.col("tok")))
+    want = {r[0]: r[1] for r in features.extract(by_row, groups).groupBy("feature").count().collect()}
+    rows = [tuple(r) for r in feature_counts.counted(context.sentence_arrays(docs), groups, {"shape": feature_counts.dan2(spark)}).collect()]
+    assert len(rows) == len(want) and dict(rows) == want
+    with pytest.raises(ValueError):
+        feature_counts.counted(context.sentence_arrays(docs), ("either_side",), {})
+    with pytest.raises(ValueError):
+        feature_counts.counted(context.sentence_arrays(docs), ("tag",), {})
+
+
+def test_feature_templates_shuffles_no_row_a_token(spark, sf):
+    plan = catalogue.QUERIES["feature_templates"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
